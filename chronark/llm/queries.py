@@ -24,7 +24,7 @@ WITH RECURSIVE words AS MATERIALIZED (
   FROM documents),
 sets AS MATERIALIZED (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), k -> array_to_string(w[k:k + 4], ' ')) END) AS shingle
+    ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END) AS shingle
   FROM words),
 sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
 common AS (
