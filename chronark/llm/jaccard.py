@@ -4,8 +4,9 @@ Similar documents are put into groups, the matrix has a row for each (token, gro
 group only if the tokens they share can reach the required overlap.
 
 * Tokens are hashed 5-word shingles. All documents follow one order of tokens: rare ones first by hash, tokens that were
-  found to be frequent last by count. If two sets reach similarity t, each has one of the common tokens among its first
-  ``n - ceil(t n) + 1`` ones, so the matrix needs those columns only.
+  found to be frequent last by count. If two sets reach similarity t, each has k of the common tokens among its first
+  ``n - ceil(t n) + k`` ones. The matrix needs those columns only, and a document and a group that have fewer than k of them
+  in common hold no similar pair; k is 1 plus a twentieth of the smaller set.
 * A group's leader is the document with the largest share of frequent tokens in a common column (of a family of copies this
   is the one they were made from), and a group is stored in blocks of bounded token count.
 * Each member is first compared with its leader. Only members that this leaves unlinked, and documents of other groups with
@@ -30,7 +31,11 @@ from chronark.llm import _runtime, shingles
 
 #: Tokens that get their own rank in the order, at most: 16 bytes each on every executor.
 FREQUENT = 500_000
+#: Ids that are broadcast, at most: 16 MB. More are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 BLOCK_TOKENS = 200_000
+#: The matrix has one column more for each so many tokens of a set than one match needs; similar sets then share as many more.
+SPARE = 20
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +98,7 @@ def _columns(order, percent: int):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingles.shingle_set(text)
                 if len(s):
-                    tokens, share = by.first(s, len(s) - _needed(len(s), percent) + 1)
+                    tokens, share = by.first(s, len(s) - _needed(len(s), percent) + 1 + len(s) // SPARE)
                     ids.append(i), sizes.append(len(s)), shares.append(share), firsts.append(tokens)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shares, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "n", "share", "tokens"])
 
@@ -183,6 +188,12 @@ def _open(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(_opened(percent), "u long, v long")
 
 
+def _only(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``rows`` joined with ``ids`` (doc_id): the ids are broadcast if they were counted to be few, else both sides shuffle."""
+    ids = _runtime.cut(ids)
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
+
+
 def links_and_sets(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(sets, links): for each row its id, set size and set key; and links (u, v) between ids of different sets.
 
@@ -195,23 +206,28 @@ def links_and_sets(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", t
     frequent = profiles.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).where("seen >= 4").orderBy(F.desc("seen"), "token").limit(FREQUENT).toPandas()
     order = spark.sparkContext.broadcast((frequent["token"].to_numpy(np.int64), frequent["seen"].to_numpy(np.int64)))
 
-    first = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
+    # of equal sets, one stands for all
+    known = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
+    first = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    copies = known.select("doc_id").distinct().join(first.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti")
     columns = base.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_columns(order, percent), "doc_id long, n long, share long, tokens array<long>")
-    columns = columns.join(first.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").select("doc_id", "n", "share", F.explode("tokens").alias("token"))
-    by_token = "OVER (PARTITION BY token)"
-    shared = columns.selectExpr("token", "doc_id", "n", f"min(doc_id) {by_token} AS lo", f"max(doc_id) {by_token} AS hi", f"max(struct(share, -doc_id AS neg)) {by_token} AS best")
-    shared = _runtime.cut(shared.where("lo <> hi").select("token", "doc_id", "n", "best"))
-
-    leaders = shared.groupBy("doc_id").agg(F.max("best").alias("best"), F.max("n").alias("n")).select("doc_id", "n", (-F.col("best.neg")).alias("grp"))
+    columns = _only(columns, copies, "left_anti").select("doc_id", F.col("n").cast("int").alias("n"), F.col("share").cast("int").alias("share"), F.explode("tokens").alias("token"))
+    by_size = "OVER (PARTITION BY token ORDER BY n, doc_id)"
+    shared = columns.selectExpr("token", "doc_id", "n", f"lag(n) {by_size} AS smaller", f"lead(n) {by_size} AS larger", "max(struct(share, -doc_id AS neg)) OVER (PARTITION BY token) AS best")
+    shared = _runtime.cut(shared.where(f"100 * smaller >= {percent} * n OR 100 * n >= {percent} * larger").select("token", "doc_id", "n", "best"))
+
+    enough = F.expr(f"columns >= 1 + (({percent} * n + 99) div 100) div {SPARE}")
+    in_common = shared.groupBy("doc_id", "best").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("columns"))
+    leaders = in_common.groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("columns").alias("columns"), F.max(F.struct("best.share", "columns", "best.neg")).alias("top")).where(enough)
+    leaders = leaders.select("doc_id", "n", (-F.col("top.neg")).alias("grp"))
     # a leader belongs to its own group
     led = leaders.select("grp").distinct().select(F.col("grp").alias("doc_id"), F.lit(True).alias("leads"))
     leaders = _runtime.cut(leaders.join(led, "doc_id", "left").select("doc_id", "n", F.when(F.col("leads"), F.col("doc_id")).otherwise(F.col("grp")).alias("grp")))
-    tokens = base.join(leaders.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").where("text IS NOT NULL").mapInArrow(_sets, "doc_id long, tokens array<long>")
-    tokens = _runtime.cut(tokens)
+    wanted = leaders.select("doc_id").union(leaders.select("grp")).distinct()
+    tokens = _runtime.cut(_only(base.where("text IS NOT NULL"), wanted, "left_semi").mapInArrow(_sets, "doc_id long, tokens array<long>"))
 
-    parts = leaders.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"), F.count(F.lit(1)).alias("members"))
-    members = leaders.join(parts, "grp").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    members = members.select("doc_id", "n", "grp", "block", "blocks", "members")
+    parts = leaders.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"))
+    members = leaders.join(parts, "grp").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).select("doc_id", "n", "grp", "block", "blocks")
 
     row = ["grp", "block", "query", "doc_id", "comp", "tokens"]
     star = members.where("doc_id <> grp").select("grp", "block", F.lit(True).alias("query"), "doc_id", F.col("doc_id").alias("comp"))
@@ -220,15 +236,19 @@ def links_and_sets(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", t
 
     linked = near.select(F.col("u").alias("doc_id"), F.lit(True).alias("linked")).distinct()
     members = members.join(linked, "doc_id", "left").withColumn("comp", F.when(F.col("linked"), F.col("grp")).otherwise(F.col("doc_id"))).drop("linked")
-    at = shared.select("token", "doc_id").join(members.select("doc_id", "grp", "comp"), "doc_id")
+    at = shared.join(members.select("doc_id", "grp", "comp"), "doc_id").select("token", "doc_id", "n", "grp", "comp")
     matrix = at.select("token", F.col("grp").alias("to")).distinct()
-    other = at.join(matrix, "token").where("grp > to").select("doc_id", "comp", "to").distinct()
+    # the bound on columns: with fewer in common with a group than this, no member can be similar
+    other = at.join(matrix, "token").where("grp > to").groupBy("doc_id", "comp", "to").agg(F.max("n").alias("n"), F.count_distinct("token").alias("columns")).where(enough).select("doc_id", "comp", "to")
     rest = members.where("comp <> grp").select("doc_id", "comp", F.col("grp").alias("to"))
     queries = other.union(rest).join(parts.select(F.col("grp").alias("to"), "blocks"), "to").select("doc_id", "comp", F.col("to").alias("grp"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
     queries = _runtime.cut(queries.select("grp", "block", F.lit(True).alias("query"), "doc_id", "comp"))
     asked = members.join(queries.select("grp", "block").distinct(), ["grp", "block"], "left_semi").select("grp", "block", F.lit(False).alias("query"), "doc_id", "comp")
     far = _open(queries.union(asked).join(tokens, "doc_id").select(row), percent)
-    return sets, near.union(far)
+    # an id with several texts connects their sets
+    several = known.groupBy("doc_id").agg(F.min("set_key").alias("a"), F.max("set_key").alias("b")).where("a <> b").select("doc_id")
+    own = known.join(several, "doc_id", "left_semi").join(first, "set_key").where("doc_id <> rep").select("doc_id", "rep")
+    return sets, near.union(far).union(own)
 
 
 def components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
