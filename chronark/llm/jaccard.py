@@ -31,8 +31,6 @@ from chronark.llm import _runtime, shingles
 
 #: Tokens that get their own rank in the order, at most: 16 bytes each on every executor.
 FREQUENT = 500_000
-#: Ids that are broadcast, at most: 16 MB. More are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 BLOCK_TOKENS = 200_000
 #: The matrix has one column more for each so many tokens of a set than one match needs; similar sets then share as many more.
 SPARE = 20
@@ -188,12 +186,6 @@ def _open(rows: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(_opened(percent), "u long, v long")
 
 
-def _only(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """``rows`` joined with ``ids`` (doc_id): the ids are broadcast if they were counted to be few, else both sides shuffle."""
-    ids = _runtime.cut(ids)
-    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how)
-
-
 def links_and_sets(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(sets, links): for each row its id, set size and set key; and links (u, v) between ids of different sets.
 
@@ -211,20 +203,22 @@ def links_and_sets(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", t
     first = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     copies = known.select("doc_id").distinct().join(first.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti")
     columns = base.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_columns(order, percent), "doc_id long, n long, share long, tokens array<long>")
-    columns = _only(columns, copies, "left_anti").select("doc_id", F.col("n").cast("int").alias("n"), F.col("share").cast("int").alias("share"), F.explode("tokens").alias("token"))
+    columns = _runtime.only(columns, copies, "left_anti").select("doc_id", F.col("n").cast("int").alias("n"), F.col("share").cast("int").alias("share"), F.explode("tokens").alias("token"))
     by_size = "OVER (PARTITION BY token ORDER BY n, doc_id)"
     shared = columns.selectExpr("token", "doc_id", "n", f"lag(n) {by_size} AS smaller", f"lead(n) {by_size} AS larger", "max(struct(share, -doc_id AS neg)) OVER (PARTITION BY token) AS best")
     shared = _runtime.cut(shared.where(f"100 * smaller >= {percent} * n OR 100 * n >= {percent} * larger").select("token", "doc_id", "n", "best"))
 
     enough = F.expr(f"columns >= 1 + (({percent} * n + 99) div 100) div {SPARE}")
-    in_common = shared.groupBy("doc_id", "best").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("columns"))
-    leaders = in_common.groupBy("doc_id").agg(F.max("n").alias("n"), F.sum("columns").alias("columns"), F.max(F.struct("best.share", "columns", "best.neg")).alias("top")).where(enough)
-    leaders = leaders.select("doc_id", "n", (-F.col("top.neg")).alias("grp"))
+    pointers = shared.groupBy("doc_id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("columns"), F.max("best").alias("best")).where(enough)
+    pointers = _runtime.cut(pointers.select("doc_id", "n", (-F.col("best.neg")).alias("grp")))
+    # a leader may follow a better one: its group follows it once, so that a family has few groups
+    onward = pointers.where("doc_id <> grp").select(F.col("doc_id").alias("grp"), F.col("grp").alias("next"))
+    leaders = pointers.join(onward, "grp", "left").select("doc_id", "n", F.coalesce("next", "grp").alias("grp"))
     # a leader belongs to its own group
     led = leaders.select("grp").distinct().select(F.col("grp").alias("doc_id"), F.lit(True).alias("leads"))
     leaders = _runtime.cut(leaders.join(led, "doc_id", "left").select("doc_id", "n", F.when(F.col("leads"), F.col("doc_id")).otherwise(F.col("grp")).alias("grp")))
     wanted = leaders.select("doc_id").union(leaders.select("grp")).distinct()
-    tokens = _runtime.cut(_only(base.where("text IS NOT NULL"), wanted, "left_semi").mapInArrow(_sets, "doc_id long, tokens array<long>"))
+    tokens = _runtime.cut(_runtime.only(base.where("text IS NOT NULL"), wanted, "left_semi").mapInArrow(_sets, "doc_id long, tokens array<long>"))
 
     parts = leaders.groupBy("grp").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"))
     members = leaders.join(parts, "grp").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).select("doc_id", "n", "grp", "block", "blocks")
