@@ -1,23 +1,63 @@
-"""From raw documents to training shards: five operators in a row, each over all its predecessor kept."""
+"""From raw documents to training shards: five operators in a row, each over all that its predecessor kept.
+
+Each stage takes (spark, docs, sf_dir); its result is written and read again as the next one's ``docs``.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from chronark.llm import jaccard
+from chronark.llm import _runtime, decontaminate, jaccard, language_id, mixing, sharding
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that language identification accepts; ``lang`` becomes the language it finds.
+
+    The models learn from all documents with a language. Texts without a letter, and those far worse than their language's
+    own texts, go. Rows with an id that repeats keep the language of each row's own text.
+    """
+    model = language_id.train(docs)
+    return language_id.keep_accepted(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class that the n-gram Jaccard join finds."""
     return jaccard.drop_near_duplicates(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a test item of ``benchmark``."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix to target weights takes them; those it doesn't take go."""
+    return mixing.mix(docs, ordered=False)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard and slot of each row of the mix."""
+    return sharding.assign(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixture", mixture),
+    ("shards", shards),
+]
 
+#: Language models and edit distances to a part of a text are beyond SQL; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    at = f"{_runtime.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        docs = spark.read.parquet(f"{at}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -1,0 +1,231 @@
+"""PII, decontamination, secrets, language and toxicity."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from chronark.llm import decontaminate, language_id, pii, queries, secrets, toxicity
+from tests.llm.conftest import prose
+
+
+def luhn(s):
+    d = [int(c) for c in s if c.isdigit()][::-1]
+    return (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
+VALUES = {
+    "email": ["bosbt.42@mail8.example.com", "A.b+c@x-y.org"],
+    "card": ["4041894974608795", "4111 1111 1111 1111", "3782-822463-10005"],
+    "phone": ["+1 (988) 555-2485", "(212) 555-0100", "415-555-2671"],
+    "date": ["1999-12-31", "28.02.2024", "31/01/2050"],
+    "ip": ["70.123.182.155", "8.8.8.8"],
+    "ssn": ["123-45-6789", "899-99-9999"],
+}
+NOT = ["4041894974608796", "300.1.2.3", "2023-02-30", "000-12-3456", "666-12-3456", "1.2.3.4.5", "12345678901234567890123"]
+
+
+def run(df, f=pii.pseudonymise, key="k"):
+    return {r.doc_id: r for r in f(df, key).collect()}
+
+
+def test_pseudonyms_keep_format_and_links(spark):
+    flat = [(k, v) for k, vs in VALUES.items() for v in vs]
+    rows = [(i, f"See {v}, then {v}; end.") for i, (_, v) in enumerate(flat)] + [(100 + i, f"x {v} y") for i, v in enumerate(NOT)] + [(999, " and ".join(v for _, v in flat))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = run(df)
+    every = got[999].text
+    for i, (kind, v) in enumerate(flat):
+        m = re.fullmatch(r"See (.+), then (.+); end\.", got[i].text)
+        assert m and m[1] == m[2] != v and m[1] in every, (kind, v, got[i].text)
+        assert got[i][f"n_{kind}"] == 2 and re.fullmatch(pii.FORMATS[kind], m[1])
+        if kind not in ("email",):
+            assert re.sub(r"\d", "9", m[1]) == re.sub(r"\d", "9", v) or kind == "ip"
+        if kind == "card":
+            assert luhn(m[1])
+    for i, v in enumerate(NOT):
+        assert got[100 + i].text == f"x {v} y", v
+    numbers = df.where(~F.col("text").contains("@"))
+    back = run(pii.pseudonymise(numbers, "k"), pii.restore)
+    assert {i: r.text for i, r in back.items()} == {r.doc_id: r.text for r in numbers.collect()}
+    assert run(df, key="other")[0].text != got[0].text
+
+
+def test_feistel_is_a_permutation(spark):
+    rows = [(i, f"{i // 100:03d}-{i % 97 + 1:02d}-{i % 89 + 1:04d}") for i in range(100, 900)]
+    got = run(spark.createDataFrame([(i, t) for i, t in rows if not t.startswith("666")], "doc_id long, text string"))
+    distinct = {t for _, t in rows}
+    assert len({r.text for r in got.values()}) == len(distinct)
+
+
+def test_pii_of_odd_rows(odd, odd_rows, nothing):
+    assert sorted((str(r.doc_id), str(r.text)) for r in pii.pseudonymise(odd, "k").collect()) == sorted((str(r[0]), str(r[1])) for r in odd_rows)
+    assert pii.pseudonymise(nothing, "k").collect() == []
+
+
+def brute_distance(item, text):
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(text, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return min(row)
+
+
+def test_items_equal_brute_force(spark):
+    rng = random.Random(11)
+    items = [(i, prose(rng, rng.randint(6, 20)).capitalize() + ".") for i in range(12)] + [(50, None), (51, "tiny"), (None, prose(rng, 9))]
+    rows = []
+    for i in range(60):
+        text = prose(rng, 40)
+        if i % 2:
+            x = list(rng.choice(items[:12])[1])
+            for _ in range(rng.randint(0, len(x) // 9)):
+                at = rng.randrange(len(x))
+                x[at : at + rng.randint(0, 1)] = [rng.choice("abz ")] * rng.randint(0, 1)
+            text = text[:50] + "\n" + "".join(x).upper() + " " + text[50:]
+        rows.append((i, text))
+    rows += [(100, None), (101, "")]
+    want = {}
+    for i, text in rows:
+        t = decontaminate.normalised(text)
+        found = [(k, brute_distance(n, t)) for k, n in ((k, decontaminate.normalised(x)) for k, x in items if k is not None) if len(n) >= decontaminate.LEAST]
+        limit = {k: int(len(decontaminate.normalised(x)) * decontaminate.RATE) for k, x in items if k is not None}
+        want[i] = [(k, d) for k, d in found if d <= limit[k]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.find_items(docs, benchmark).collect()}
+    assert {i: [(h.item_id, h.distance) for h in r.hits] for i, r in got.items()} == want
+    assert 10 < sum(map(bool, want.values())) < 40
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, benchmark).collect()} == {i for i, x in want.items() if not x}
+
+
+def test_items_in_blocks(spark, odd, nothing, monkeypatch):
+    rng = random.Random(2)
+    items = spark.createDataFrame([(i, prose(rng, 12)) for i in range(8)], "item_id long, text string")
+    docs = items.selectExpr("item_id AS doc_id", "concat(text, ' more ', text) AS text").union(odd.select("doc_id", "text"))
+    one = sorted(map(str, decontaminate.find_items(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 150)
+    assert sorted(map(str, decontaminate.find_items(docs, items).collect())) == one
+    assert decontaminate.find_items(nothing, items).collect() == []
+    assert not any(r.contaminated for r in decontaminate.find_items(odd, nothing.selectExpr("doc_id AS item_id", "text")).collect())
+
+
+def brute_base(text):
+    kinds = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32)]
+    return sorted((m.start(), k, m.end()) for k, (_, p, g, n) in enumerate(kinds) for m in p.finditer(text or "") if len(m[g]) >= n)
+
+
+def secret_rows():
+    rng = random.Random(4)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    rows, planted = [], {}
+    for i in range(400):
+        x = [prose(rng, 30), f"password={hexes(18)}", f'Api_Key" : "{hexes(12)}', "token: short", f"AKIA{mixed(16).upper().replace('+', 'A').replace('/', 'B')}", f"é {hexes(40)} ü", f"{hexes(31)}", "read_user_profile_settings2", "AKIAAKIA12"]
+        name = rng.choice(["read_user_name", "settings_file_path", "user_profile_of", "get_settings", "profile_page"])
+        text = f"{x[0]} {name} {x[i % 9]} {prose(rng, 5)} {x[(i // 9) % 9]}."
+        if i % 10 == 0:
+            planted[i] = mixed(40)
+            text += f" ñ {planted[i]}"
+        rows.append((i, text))
+    return rows, planted
+
+
+def test_secrets(spark, tmp_path):
+    rows, planted = secret_rows()
+    spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op6_secrets(spark, str(tmp_path)).collect()}
+    for i, text in [*rows, (900, None), (901, "")]:
+        base = brute_base(text)
+        written = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base)
+        assert got[i].base_sha256 == hashlib.sha256(written.encode()).hexdigest()
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(k == n for _, k, _ in base) for n in range(3)]
+        if not got[i].n_markov:
+            assert got[i].spans == written
+    found = [i for i in planted if f"markov:{rows[i][1].index(planted[i])}:{len(rows[i][1])}" in got[i].spans]
+    assert len(found) >= 0.95 * len(planted)
+    clean = [i for i, _ in rows if i not in planted and "read_user" in rows[i][1]]
+    assert not any("markov" in got[i].spans and brute_base(rows[i][1]) == [] and not re.search("[0-9a-f]{31}", rows[i][1]) for i in clean)
+
+
+def test_secrets_of_odd_rows(odd, odd_rows, nothing):
+    assert secrets.scan(odd).count() == len(odd_rows)
+    assert secrets.scan(nothing).collect() == []
+
+
+LANGS = {"aa": "ba ke lo mi tu ran".split(), "bb": "schi ung der ä öf tz".split(), "cc": "ção nhe qua l'o é ti".split()}
+
+
+def test_language_on_held_out_rows(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, rng.randint(3, 60), LANGS[x]), x) for i in range(900) for x in [rng.choice(list(LANGS))]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language_id.train(df.where("doc_id % 3 <> 1"))
+    got = {r.doc_id: r for r in language_id.identify(df.where("doc_id % 3 = 1"), model).collect()}
+    assert sum(r.lang_pred == rows[i][2] for i, r in got.items()) >= 0.99 * len(got)
+    assert all(0 < r.score <= 1 and r.accepted for r in got.values())
+    other = spark.createDataFrame([(1, "щщ жж фф ыы яя " * 5), (2, "123 ..."), (3, None), (4, "")], "doc_id long, text string")
+    out = {r.doc_id: r for r in language_id.identify(other, model).collect()}
+    assert not any(r.accepted for r in out.values())
+    assert [out[i].lang_pred for i in (2, 3, 4)] == ["und"] * 3
+
+
+def test_kneser_ney_sums_to_one():
+    import numpy as np
+
+    rng = random.Random(1)
+    grams = np.concatenate([language_id._grams(language_id._codes(prose(rng, 20))) for _ in range(50)])
+    key, n = np.unique(grams, return_counts=True)
+    model = language_id.Model({"x": (key, n)})
+    letters = np.unique(grams & language_id._MASK)
+    for context in list(np.unique(grams >> language_id._BITS)[:40]) + [12345]:
+        p = 2.0 ** -model.bits((int(context) << language_id._BITS) + letters)[:, 0]
+        assert 0.9 < p.sum() <= 1 + 1e-4
+    assert np.all(np.diff(model.orders[-1][0]) > 0)
+
+
+def test_language_of_odd_rows(odd, odd_rows, nothing):
+    model = language_id.train(odd)
+    assert language_id.identify(odd, model).count() == len(odd_rows)
+    untrained = language_id.train(nothing)
+    assert {r.lang_pred for r in language_id.identify(odd, untrained).collect()} == {"und"}
+    assert language_id.identify(nothing, model).collect() == []
+    kept = language_id.keep_accepted(odd, model)
+    assert kept.schema == odd.schema and kept.count() == language_id.identify(odd, model).where("accepted").count()
+
+
+def toxic_rows(n=1500):
+    rng = random.Random(6)
+    bad = ["loser", "wretch", "vermin", "numbskull"]
+    rows, labels = [], []
+    for i in range(n):
+        words = prose(rng, rng.choice([8, 60, 300])).split()
+        toxic = i % 8 == 0
+        for _ in range(toxic * rng.randint(2, 5)):
+            words.insert(rng.randrange(len(words)), rng.choice(bad))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    return rows, labels
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rows, labels = toxic_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, known.where("doc_id % 4 <> 0 OR doc_id % 16 = 0"))
+    held = {i: t for i, t in labels if i % 4 == 0 and i % 16}
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    right = sum((got[i] >= toxicity.THRESHOLD) == bool(t) for i, t in held.items())
+    assert right >= 0.97 * len(held)
+    assert all(0 <= s <= 1 for s in got.values())
+
+
+@pytest.mark.parametrize("label", [0, 1, None])
+def test_toxicity_of_odd_rows(spark, odd, odd_rows, nothing, label):
+    labels = spark.createDataFrame([(i, 1 if i % 2 else 0) for i in range(14)] + [(None, 1)], "doc_id long, toxic int") if label is None else spark.createDataFrame([(7, label)], "doc_id long, toxic int")
+    model = toxicity.train(odd, labels)
+    assert toxicity.score(odd, model).count() == len(odd_rows)
+    assert toxicity.score(nothing, model).collect() == []
