@@ -120,6 +120,7 @@ def literal(value: Any, data_type: str) -> Column:
 
 
 def check(q: Query, catalog: Catalog) -> None:
+    catalog.ancestry(q.type)
     for w in q.where:
         p = catalog.property(q.type, w.name)
         if w.op not in OPERATORS:

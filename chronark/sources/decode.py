@@ -29,7 +29,7 @@ def exchange_info(raw: DataFrame) -> DataFrame:
     return s.select("exchange", "symbol", F.col("baseAsset").alias("base_asset"), F.col("quoteAsset").alias("quote_asset"), status.alias("status"), pick(("PRICE_FILTER",), "tickSize", "0.00000001").alias("tick_size"), pick(("LOT_SIZE",), "stepSize", "0.00000001").alias("step_size"), pick(("MIN_NOTIONAL", "NOTIONAL"), "minNotional", "0").alias("min_notional"))
 
 
-_DATES = ("EEE, dd MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss Z", "EEE, dd MMM yyyy HH:mm:ss z", "dd MMM yyyy HH:mm:ss Z", "yyyy-MM-dd HH:mm:ss")
+_DATES = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm Z", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX")
 
 
 def feeds(raw: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def feeds(raw: DataFrame) -> DataFrame:
     plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&lt;", "<"), "&gt;", ">"), "&quot;", '"'), "&amp;", "&"))
     href = F.regexp_extract("x", r"<link[^>]*href=[\"']([^\"']+)[\"']", 1)
     url = F.coalesce(tag("link"), F.when(href != "", href), tag("guid", "id"))
-    when = tag("pubDate", "published", "updated", "dc:date")
+    when = F.regexp_replace(tag("pubDate", "published", "updated", "dc:date"), "^[A-Za-z]{3}, *", "")
     published = F.coalesce(*(F.try_to_timestamp(when, F.lit(p)) for p in _DATES), F.try_to_timestamp(when), F.col("fetched_at"))
     out = rows.select("feed_id", plain(url).alias("url"), plain(tag("title")).alias("title"), plain(tag("description", "summary", "content")).alias("summary"), published.alias("published_at"), "refused")
     reason = F.when(F.col("refused"), "DOCTYPE").when(F.col("url").isNull() | F.col("title").isNull(), "NO_URL_OR_TITLE")
