@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Ids that are broadcast, at most: 16 MB. More are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Rows and bytes of the batches that go to Python workers: a worker holds a batch of texts and what it makes of them.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -22,6 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-checkpoint-")
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches set to the sizes above."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read from there: lost executors lose none of it."""
     context = df.sparkSession.sparkContext

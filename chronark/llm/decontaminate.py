@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronark.llm import _runtime
+
 RATE = 0.08
 #: Items of fewer normalised characters say too little to be searched.
 LEAST = 24
@@ -139,7 +141,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col
     their row; other columns are ignored; empty tables give an empty result or no hits.
     """
     context = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = _runtime.in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     blocks = list(map(context.broadcast, _blocks(benchmark, item_col, item_text_col)))
     found = rows.mapInArrow(_search(blocks[0], rate), f"doc_id long, hits {HITS}")
     if len(blocks) > 1:
@@ -164,5 +166,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE,
             for batch in batches:
                 yield batch.filter(pa.array([not ready.find(t) for t in batch.column(text_col).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = _runtime.in_batches(docs).mapInArrow(keep, docs.schema)
     return docs

@@ -54,7 +54,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([shingles.set_key(s) for s in sets], pa.binary()), none, none], ["doc_id", "n", "set_key", "token", "seen"])
         kept += sets
         held += sum(map(len, sets))
-        if held > 4_000_000:
+        if held > 2_000_000:
             yield repeated()
             held = 0
     yield repeated()
@@ -192,7 +192,7 @@ def links_and_sets(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", t
     The links connect all that the threshold connects; of pairs that are connected anyway, not each has a row.
     """
     spark: SparkSession = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = _runtime.in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     profiles = _runtime.cut(base.mapInArrow(_profiles, "doc_id long, n long, set_key binary, token long, seen long"))
     sets = profiles.where("n IS NOT NULL").select("doc_id", "n", "set_key")
     frequent = profiles.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).where("seen >= 4").orderBy(F.desc("seen"), "token").limit(FREQUENT).toPandas()

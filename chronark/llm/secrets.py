@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronark.llm import _runtime
+
 #: Fixed formats: kind, pattern, group and its least length.
 FORMATS = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE), 2, 8),
@@ -167,7 +169,7 @@ def _scan(model):
 
 def train(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, float]:
     """(log ratios, threshold) from the runs of all documents; what is collected are two tables of fixed size."""
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
+    texts = _runtime.in_batches(docs).select(F.col(text_col).cast("string").alias("text"))
 
     def summed(rows: DataFrame, key: str, width: int) -> np.ndarray:
         table = np.zeros((2, width), np.int64)
@@ -187,5 +189,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     each give their row; other columns are ignored; an empty table gives an empty result.
     """
     model = model or train(docs, text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = _runtime.in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_scan(model), "doc_id long, spans array<struct<kind:string,start:long,end:long,score:double>>")

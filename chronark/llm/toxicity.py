@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronark.llm import shingles
+from chronark.llm import _runtime, shingles
 
 #: Labelled rows the classifier is fitted on, at most, of each label; those with the smallest hash of the id.
 FIT_TOXIC, FIT_ORDINARY = 6_000, 18_000
@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").dropDuplicates(["doc_id"])
     by_hash = F.xxhash64("doc_id")
     fit = known.where("toxic = 1").orderBy(by_hash).limit(FIT_TOXIC).union(known.where("toxic = 0").orderBy(by_hash).limit(FIT_ORDINARY))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = _runtime.in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.join(F.broadcast(fit), "doc_id").select("text", "toxic")
     # near copies of one text would pass for evidence
     rows = rows.mapInArrow(_keyed, "text string, toxic int, least long").dropDuplicates(["toxic", "least"]).select("text", "toxic").repartition(24).cache()
@@ -201,5 +201,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             x = np.array([features(t, both) for t in batch.column(1).to_pylist()]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x)), pa.array(x[:, 0])], ["doc_id", "score", "saved"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = _runtime.in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, saved double")
