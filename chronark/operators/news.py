@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronark.functions import text
+from chronark.operators.query import Catalog, Link, Property
 
 WINDOW_H = 72
 THRESHOLD = 0.45
@@ -25,6 +26,23 @@ NEGATIVE = ("loss", "crash", "plunge", "reject", "bearish", "decline", "fraud",
 SPECULATIVE = ("may", "might", "rumor", "could", "reportedly", "allegedly", "consider")
 
 
+def ensure_schema(catalog: Catalog) -> Catalog:
+    """``catalog`` with the types and links that articles and macro figures need, where they are missing."""
+    wanted = {
+        "Asset": [Property("name", is_title=True)], "NewsArticle": [Property("title", is_title=True), Property("url"), Property("eventType", "ENUM"), Property("sentiment", "DECIMAL"), Property("materiality", "DECIMAL"), Property("sourceCount", "INTEGER")],
+        "MacroIndicator": [Property("title", is_title=True), Property("units")], "MacroObservation": [Property("label", is_title=True), Property("value", "DECIMAL"), Property("revision", "BOOLEAN")],
+    }
+    for name, properties in wanted.items():
+        if name not in catalog.parents:
+            catalog.define_type(name)
+            for p in properties:
+                catalog.define_property(name, p)
+    for link in (Link("MENTIONS", "NewsArticle", "Asset"), Link("OBSERVATION_OF", "MacroObservation", "MacroIndicator", "MANY_TO_ONE")):
+        if link.name not in catalog.links:
+            catalog.define_link(link)
+    return catalog
+
+
 def dedup_url(items: DataFrame) -> DataFrame:
     """The first item of each (feed, canonical url) in arrival order."""
     key = items.withColumn("canonical", text.canonical_url(F.col("url")))

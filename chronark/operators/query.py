@@ -5,10 +5,11 @@ A query is a dataclass that is checked against the catalog on the driver and the
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronark.operators import temporal
@@ -16,6 +17,7 @@ from chronark.operators import temporal
 ORDERED = {"DECIMAL", "INTEGER", "BOOLEAN", "TIMESTAMP", "DATE"}
 TEXT = {"STRING", "TEXT", "ENUM"}
 OPERATORS = ("EQ", "NEQ", "GT", "GTE", "LT", "LTE", "IN", "CONTAINS", "STARTS_WITH", "IS_NULL", "IS_NOT_NULL")
+CARDINALITIES = ("ONE_TO_ONE", "ONE_TO_MANY", "MANY_TO_ONE", "MANY_TO_MANY")
 DEFAULT_LIMIT, MOST = 50, 500
 _SPARK = {"DECIMAL": "decimal(38,12)", "INTEGER": "decimal(38,12)", "BOOLEAN": "boolean", "TIMESTAMP": "timestamp", "DATE": "timestamp"}
 
@@ -36,6 +38,17 @@ class Property:
     is_title: bool = False
     required: bool = False
     order: int = 0
+    since: int = 1
+    deprecated_in: int | None = None
+
+
+@dataclass
+class Link:
+    name: str
+    from_type: str
+    to_type: str
+    cardinality: str = "MANY_TO_MANY"
+    symmetric: bool = False
 
 
 @dataclass
@@ -45,6 +58,9 @@ class Catalog:
     parents: dict[str, str | None]
     own: dict[str, list[Property]]
     abstract: set[str] = field(default_factory=set)
+    links: dict[str, Link] = field(default_factory=dict)
+    versions: dict[str, int] = field(default_factory=dict)
+    log: list[tuple[str, int, str]] = field(default_factory=list)
 
     def ancestry(self, type_: str) -> list[str]:
         if type_ not in self.parents:
@@ -77,6 +93,13 @@ class Catalog:
         self.parents[name] = parent
         if abstract:
             self.abstract.add(name)
+        self._changed(name, "DEFINE_TYPE")
+
+    def _changed(self, type_: str, what: str) -> int:
+        """The type's next version, noted in the log."""
+        self.versions[type_] = self.versions.get(type_, 0) + 1
+        self.log.append((type_, self.versions[type_], what))
+        return self.versions[type_]
 
     def define_property(self, type_: str, p: Property, populated: bool = False) -> None:
         if p.required and populated:
@@ -86,8 +109,37 @@ class Catalog:
         if p.is_title and any(q.is_title for q in self.own.get(type_, [])):
             raise SchemaViolation(f"{type_} has a title")
         self.ancestry(type_)
+        if any(q.name == p.name for q in self.own.get(type_, [])):
+            raise SchemaViolation(f"{type_}.{p.name} exists")
+        p.since = self._changed(type_, f"DEFINE_PROPERTY {p.name}")
         self.own.setdefault(type_, []).append(p)
 
+    def define_link(self, link: Link) -> None:
+        if not re.fullmatch(r"[A-Z][A-Z0-9_]*", link.name):
+            raise SchemaViolation(f"link name {link.name}")
+        if link.name in self.links or link.cardinality not in CARDINALITIES:
+            raise SchemaViolation(f"link {link.name}")
+        self.ancestry(link.from_type), self.ancestry(link.to_type)
+        self.links[link.name] = link
+        self._changed(link.from_type, f"DEFINE_LINK {link.name}")
+
+    def deprecate(self, type_: str, name: str) -> None:
+        """A stamp: the property stays readable."""
+        for p in self.own.get(type_, []):
+            if p.name == name:
+                p.deprecated_in = self._changed(type_, f"DEPRECATE {name}")
+                return
+        raise NotFound(f"field {type_}.{name}")
+
+    def specs(self, spark: SparkSession) -> DataFrame:
+        """(type, parent, is_abstract, version, properties): each type with its own and inherited properties in display order."""
+        kind = "type string, parent string, is_abstract boolean, version int, properties array<struct<name:string,data_type:string,is_list:boolean,required:boolean,since:int,deprecated_in:int>>"
+        rows = []
+        for t, parent in self.parents.items():
+            shown = sorted(self.properties(t).values(), key=lambda p: (p.order, p.name))
+            rows.append((t, parent, t in self.abstract, self.versions.get(t, 1), [(p.name, p.data_type, p.is_list, p.required, p.since, p.deprecated_in) for p in shown]))
+        return spark.createDataFrame(rows, kind)
+
 
 @dataclass
 class Where:

@@ -148,3 +148,21 @@ def test_bad_queries_are_refused_before_planning(coins, where, error):
 def test_limits_are_clamped():
     q = qb.Query("X", limit=10_000, offset=-4)
     assert (q.limit, q.offset) == (500, 0)
+
+
+def test_catalog_grows_by_versions(spark):
+    from chronark.operators import news
+
+    c = news.ensure_schema(qb.Catalog({}, {}))
+    before = len(c.log)
+    assert news.ensure_schema(c) is c and len(c.log) == before
+    c.define_type("Coin", "Asset")
+    c.define_property("Coin", qb.Property("supply", "DECIMAL"))
+    c.deprecate("Coin", "supply")
+    spec = {r.type: r for r in c.specs(spark).collect()}
+    assert spec["Coin"].version == 3 and [(p.name, p.deprecated_in) for p in spec["Coin"].properties] == [("name", None), ("supply", 3)]
+    for bad in (lambda: c.define_type("coin"), lambda: c.define_type("Coin"), lambda: c.define_property("Coin", qb.Property("Bad")), lambda: c.define_property("Coin", qb.Property("must", required=True), populated=True), lambda: c.define_link(qb.Link("bad", "Coin", "Asset"))):
+        with pytest.raises(qb.SchemaViolation):
+            bad()
+    with pytest.raises(qb.NotFound):
+        c.deprecate("Coin", "nope")
