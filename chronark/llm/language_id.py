@@ -6,13 +6,12 @@ a text gets the language of the lowest cross-entropy per character. Texts that a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronark.llm import _runtime
@@ -20,8 +19,11 @@ from chronark.llm import _runtime
 ORDER = 4
 _BITS = 12
 _MASK = (1 << _BITS) - 1
-#: N-grams that all models together keep, the most frequent ones of each language: 16 bytes each, and 8 a language.
+#: N-grams of all languages that are held in sorted arrays and sent to all tasks, at most (fewer with more than 4 languages, as
+#: each takes a column). More stay a table, of which a block of texts fetches the rows it needs; the results are the same.
 GRAMS = 1_000_000
+#: Characters of a block times its languages and 4.
+BLOCK_CELLS = 16_000_000
 UNKNOWN = "und"
 #: A language rejects above this quantile of its own texts' cross-entropy, plus so many bits a character and a text.
 KEEP, MARGIN, SHORT = 0.9995, 1.0, 20.0
@@ -89,6 +91,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Kneser-Ney models of all languages side by side: per order sorted n-grams with discounted shares, contexts with back-off weights."""
 
+    #: The models' rows, where there are too many for arrays.
+    table: DataFrame | None = None
+
     def __init__(self, grams: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(grams)
         self.limits = np.full(len(self.langs), np.inf)
@@ -123,7 +128,9 @@ class Model:
         for k, (keys, share, contexts, weight) in enumerate(self.orders):
             part = grams & ((1 << _BITS * (k + 1)) - 1)
             for table, values, of in ((contexts, weight, part >> _BITS), (keys, share, part)):
-                at = np.minimum(np.searchsorted(table, of), max(len(table) - 1, 0))
+                if not len(table):
+                    continue
+                at = np.minimum(np.searchsorted(table, of), len(table) - 1)
                 seen = table[at] == of
                 if table is contexts:
                     p[seen] *= values[at[seen]]
@@ -157,55 +164,133 @@ def _slices(texts: list, most: int = 2_000_000) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
-def _own(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        place = {x: j for j, x in enumerate(m.langs)}
-        for batch in batches:
-            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in _slices(texts):
-                h, n = m.entropies(texts[part])
-                got = [(x, int(row[place[x]] / _BIN)) for x, row, k in zip(langs[part], h, n, strict=True) if k and x in place]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([b for _, b in got], pa.int64())], ["lang", "bin"])
-
-    return run
-
-
-def _predictions(model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            langs, scores, bits, fits = [], [], [], []
-            for part in _slices(texts):
-                h, n = m.entropies(texts[part])
-                for row, k in zip(h, n, strict=True):
-                    if not k or not len(row):
-                        langs.append(UNKNOWN), scores.append(0.0), bits.append(None), fits.append(False)
-                        continue
-                    best = int(np.argmin(row))
-                    langs.append(m.langs[best])
-                    scores.append(float(1 / np.exp2(np.clip((row[best] - row) * min(k, 30), -500, 0)).sum()))
-                    bits.append(float(row[best]))
-                    fits.append(bool(row[best] <= m.limits[best] + SHORT / k))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64()), pa.array(fits, pa.bool_())], ["doc_id", "lang_pred", "score", "bits", "accepted"])
-
-    return run
+def _own(m: Model, batch: pa.RecordBatch) -> pa.RecordBatch:
+    place = {x: j for j, x in enumerate(m.langs)}
+    texts, langs, got = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+    for part in _slices(texts):
+        h, n = m.entropies(texts[part])
+        got += [(x, int(row[place[x]] / _BIN)) for x, row, k in zip(langs[part], h, n, strict=True) if k and x in place]
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([b for _, b in got], pa.int64())], ["lang", "bin"])
+
+
+def _predictions(m: Model, ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+    langs, scores, bits, fits = [], [], [], []
+    for part in _slices(texts):
+        h, n = m.entropies(texts[part])
+        for row, k in zip(h, n, strict=True):
+            if not k or not len(row):
+                langs.append(UNKNOWN), scores.append(0.0), bits.append(None), fits.append(False)
+                continue
+            best = int(np.argmin(row))
+            langs.append(m.langs[best])
+            scores.append(float(1 / np.exp2(np.clip((row[best] - row) * min(k, 30), -500, 0)).sum()))
+            bits.append(float(row[best]))
+            fits.append(bool(row[best] <= m.limits[best] + SHORT / k))
+    return pa.RecordBatch.from_arrays([ids, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64()), pa.array(fits, pa.bool_())], ["doc_id", "lang_pred", "score", "bits", "accepted"])
+
+
+def _table_of(counts: DataFrame, langs: list[str]) -> DataFrame:
+    """What ``Model`` computes from ``counts`` (lang, gram, n), as rows (part, key, js, values): an n-gram of k + 1 characters has
+    its share in part 2 k, a context of k characters its weight in part 2 k + 1, each for the languages js that have it."""
+    number = counts.sparkSession.createDataFrame([(x, j) for j, x in enumerate(langs)], "lang string, j int")
+    level = counts.join(F.broadcast(number), "lang").select("j", F.col("gram").alias("key"), F.col("n").cast("double").alias("n"))
+    parts: list[DataFrame] = []
+    for k in range(ORDER - 1, -1, -1):
+        if k < ORDER - 1:  # how many different characters stand before a shorter n-gram
+            level = level.groupBy("j", F.col("key").bitwiseAND(F.lit((1 << _BITS * (k + 1)) - 1)).alias("key")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+        level = _runtime.cut(level.withColumn("context", F.shiftright("key", _BITS)))
+        ones, twos = F.sum(F.when(F.col("n") == 1, 1.0).otherwise(0.0)), F.sum(F.when(F.col("n") == 2, 1.0).otherwise(0.0))
+        discount = level.groupBy("j").agg(F.least(F.lit(0.95), F.greatest(F.lit(0.3), ones / F.greatest(F.lit(1.0), ones + 2 * twos))).alias("discount"))
+        context = level.groupBy("j", "context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).join(F.broadcast(discount), "j")
+        share = level.join(context, ["j", "context"]).select(F.lit(2 * k).alias("part"), "key", "j", ((F.col("n") - F.col("discount")) / F.col("total")).cast("float").alias("value"))
+        parts += [share, context.select(F.lit(2 * k + 1).alias("part"), F.col("context").alias("key"), "j", (F.col("discount") * F.col("kinds") / F.col("total")).cast("float").alias("value"))]
+        level = level.drop("context")
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.union(part)
+    of = F.array_sort(F.collect_list(F.struct("j", "value")))
+    return _runtime.cut(rows.groupBy("part", "key").agg(of.alias("of")).select("part", "key", F.col("of.j").alias("js"), F.col("of.value").alias("values")))
+
+
+def _needed(texts: list[str | None]) -> list[tuple[int, np.ndarray]]:
+    """(part, distinct keys) that the models look up for ``texts``."""
+    seen = np.empty(0, np.int64)
+    for part in _slices(texts):
+        seen = np.unique(np.concatenate([seen, *(_grams(_codes(t or "")) for t in texts[part])]))
+    keys = [np.unique(seen & ((1 << _BITS * (k + 1)) - 1)) for k in range(ORDER)]
+    return [x for k in range(ORDER) for x in ((2 * k, keys[k]), (2 * k + 1, np.unique(keys[k] >> _BITS)))]
+
+
+def _part_of(rest: Model, found: pa.Table) -> Model:
+    """The models with the rows ``found`` only."""
+    m = Model({})
+    m.langs, m.limits, m.floor, m.orders = rest.langs, rest.limits, rest.floor, []
+    part, key = found["part"].to_numpy(), found["key"].to_numpy()
+    js, values = (pa.concat_arrays(found[x].chunks) if found.num_rows else pa.array([], found.schema.field(x).type) for x in ("js", "values"))
+    row = np.repeat(np.arange(len(key)), js.value_lengths().to_numpy())
+    js, values = js.flatten().to_numpy(), values.flatten().to_numpy()
+    for k in range(ORDER):
+        both = []
+        for p, other in ((2 * k, 0), (2 * k + 1, 1)):
+            at = np.flatnonzero(part == p)
+            at = at[np.argsort(key[at])]
+            place = np.full(len(key), -1)
+            place[at] = np.arange(len(at))
+            table = np.full((len(at), len(m.langs)), other, np.float32)
+            of = place[row] >= 0
+            table[place[row[of]], js[of]] = values[of]
+            both += [key[at], table]
+        m.orders.append(tuple(both))
+    return m
+
+
+def _scored(rows: DataFrame, model: Model, text_col: str, each: Callable[[Model, pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
+    """``each`` over the batches of ``rows`` with the model, or with what the texts of a block need of the model's table."""
+    if model.table is None:
+        sent = rows.sparkSession.sparkContext.broadcast(model)
+        return rows.mapInArrow(lambda batches: (each(sent.value, batch) for batch in batches), schema)
+    names, at = rows.columns, rows.columns.index(text_col)
+    rest = Model({})
+    rest.langs, rest.limits, rest.floor = model.langs, model.limits, model.floor
+    held = BLOCK_CELLS // (len(rest.langs) + 4)
+    blocks = (rows.agg(F.sum(F.length(text_col))).first()[0] or 0) // max(1, held) + 1
+    hashed = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    dealt = rows.withColumn("__block", F.pmod(F.xxhash64(*hashed), F.lit(blocks)))
+
+    def needed(key: tuple, texts: pa.Table) -> pa.Table:
+        parts = _needed(texts["__text"].to_pylist())
+        n = [len(k) for _, k in parts]
+        return pa.table({"__block": np.full(sum(n), key[0].as_py(), np.int64), "part": np.repeat(np.array([p for p, _ in parts], np.int32), n), "key": np.concatenate([k for _, k in parts])})
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        m = _part_of(rest, right)
+        return pa.Table.from_batches([each(m, batch) for batch in left.select(names).combine_chunks().to_batches(max_chunksize=_runtime.BATCH_ROWS)])
+
+    keys = dealt.select("__block", F.col(text_col).alias("__text")).groupBy("__block").applyInArrow(needed, "__block long, part int, key long")
+    found = keys.join(model.table, ["part", "key"])
+    return dealt.groupBy("__block").cogroup(found.groupBy("__block")).applyInArrow(run, schema)
+
+
+def _model(counts: DataFrame) -> Model:
+    langs = sorted(x[0] for x in counts.select("lang").distinct().collect())
+    if counts.count() * max(8, len(langs) + 4) <= 8 * GRAMS:
+        table = counts.toPandas().sort_values(["lang", "gram"])
+        return Model({lang: (g["gram"].to_numpy(np.int64), g["n"].to_numpy(np.int64)) for lang, g in table.groupby("lang")})
+    model = Model({})
+    model.langs, model.limits, model.table = langs, np.full(len(langs), np.inf), _table_of(counts, langs)
+    model.floor = 1 / (model.table.where("part = 0").count() + 1)
+    return model
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Models of all languages of ``docs``, from the n-gram counts of all its rows with text and language.
+    """Models of all languages of ``docs``, from all n-grams of all its rows with text and language.
 
-    Each language keeps its ``GRAMS`` / languages most frequent n-grams, which bounds what is collected and sent out.
+    Up to ``GRAMS`` n-grams are collected; more are turned into a table of the same models.
     """
     rows = _runtime.in_batches(docs).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    languages = max(1, rows.select("lang").distinct().count())
-    best = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    table = counts.withColumn("place", F.row_number().over(best)).where(F.col("place") <= GRAMS // languages).select("lang", "gram", "n").toPandas()
-    model = Model({lang: (g := part.sort_values("gram"), (g["gram"].to_numpy(np.int64), g["n"].to_numpy(np.int64)))[1] for lang, part in table.groupby("lang")})
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    seen = rows.mapInArrow(_own(sent), "lang string, bin long").groupBy("lang", "bin").count().toPandas()
+    counts = _runtime.cut(rows.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    model = _model(counts)
+    seen = _scored(rows, model, "text", _own, "lang string, bin long").groupBy("lang", "bin").count().toPandas()
     for j, lang in enumerate(model.langs):
         of = seen[seen["lang"] == lang].sort_values("bin")
         if len(of):
@@ -222,23 +307,16 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     repeated ids each give their row; other columns are ignored; an empty table gives an empty result.
     """
     rows = _runtime.in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_predictions(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, lang_pred string, score double, bits double, accepted boolean")
+    return _scored(rows, model, "text", lambda m, batch: _predictions(m, batch.column(0), batch.column(1).to_pylist()), "doc_id long, lang_pred string, score double, bits double, accepted boolean")
 
 
 def keep_accepted(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose text the model accepts, ``lang`` set to the language found; all other columns stay."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = _predictions(sent)
-        for batch in batches:
-            ids = pa.nulls(batch.num_rows, pa.int64())
-            parts = list(predict(iter([pa.RecordBatch.from_arrays([ids, batch.column(text_col)], ["doc_id", "text"])])))
-            # the texts' own batch comes back in one piece
-            found = pa.Table.from_batches(parts).combine_chunks()
-            at = batch.schema.get_field_index(lang_col)
-            lang = found["lang_pred"].combine_chunks().cast(batch.schema.field(at).type)
-            out = batch.set_column(at, batch.schema.field(at), lang)
-            yield out.filter(found["accepted"].combine_chunks())
-
-    return _runtime.in_batches(docs).mapInArrow(run, docs.schema)
+
+    def run(m: Model, batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = _predictions(m, pa.nulls(batch.num_rows, pa.int64()), batch.column(text_col).to_pylist())
+        at = batch.schema.get_field_index(lang_col)
+        out = batch.set_column(at, batch.schema.field(at), found["lang_pred"].cast(batch.schema.field(at).type))
+        return out.filter(found["accepted"])
+
+    return _scored(_runtime.in_batches(docs), model, text_col, run, docs.schema)

@@ -197,6 +197,26 @@ def test_language_of_odd_rows(odd, odd_rows, nothing):
     assert kept.schema == odd.schema and kept.count() == language_id.identify(odd, model).where("accepted").count()
 
 
+def test_all_n_grams_count_beyond_the_arrays(spark, odd, monkeypatch):
+    """Held in arrays or as a table, the models are the same: no n-gram is dropped at any size."""
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.randint(3, 60), LANGS[x]), x) for i in range(300) for x in [rng.choice(list(LANGS))]]
+    rows += [(None, None, None), (None, "", "aa"), (7, "щщ жж", "aa"), (7, "12", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    train = df.where("doc_id % 3 <> 1")
+
+    def results():
+        model = language_id.train(train)
+        return model.limits.tolist(), sorted(map(str, language_id.identify(df, model).collect())), sorted(map(str, language_id.keep_accepted(df, model).collect()))
+
+    held = results()
+    for grams, cells in ((100, 16_000_000), (0, 7_000)):
+        monkeypatch.setattr(language_id, "GRAMS", grams)
+        monkeypatch.setattr(language_id, "BLOCK_CELLS", cells)
+        assert results() == held
+    assert language_id.identify(odd, language_id.train(odd)).count() == odd.count()
+
+
 def toxic_rows(n=1500):
     rng = random.Random(6)
     bad = ["loser", "wretch", "vermin", "numbskull"]
