@@ -1,16 +1,20 @@
 """Language identification by interpolated Kneser-Ney character models in sorted hash arrays.
 
 A text is its letters, lower-cased, with one space for each run of other characters. Each model interpolates the orders 1 to 4;
-a text gets the language of the lowest cross-entropy per character. Texts that are worse than calibrated for are rejected.
+a text gets the language of the lowest cross-entropy per character. A text is accepted by models that haven't seen it: the corpus
+is halved by a hash of the text, each half is judged by the models of the other, and what these give the texts whose label is the
+language found sets the limits, by language and length.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +29,11 @@ GRAMS = 1_000_000
 #: Characters of a block times its languages and 4.
 BLOCK_CELLS = 16_000_000
 UNKNOWN = "und"
-#: A language rejects above this quantile of its own texts' cross-entropy, plus so many bits a character and a text.
-KEEP, MARGIN, SHORT = 0.9995, 1.0, 20.0
+#: A language rejects what is more than ``WIDE`` times the distance from median to upper quartile, this at least ``SPREAD``, above
+#: the median bits of its texts of about that length (within a power of two). Up to a quarter of junk among its texts shifts these
+#: little. Lengths with fewer than ``LEAST_CLASS`` texts get theirs from all lengths, languages with fewer than ``LEAST`` none.
+WIDE, SPREAD, LEAST_CLASS, LEAST = 8.0, 0.05, 50, 20
+CLASSES = 32
 _BIN = 0.02
 _table: list[np.ndarray] = []
 
@@ -55,28 +62,33 @@ def _grams(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _half(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) & 1
+
+
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     key, at = np.unique(np.concatenate(keys), return_inverse=True)
     return key, np.bincount(at, np.concatenate(counts), len(key)).astype(np.int64)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, list[np.ndarray]] = {}
-    sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    size: dict[str, int] = {}
+    held: dict[tuple[str, int], list[np.ndarray]] = {}
+    sums: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+    size: dict[tuple[str, int], int] = {}
 
-    def fold(lang: str) -> None:
+    def fold(lang: tuple[str, int]) -> None:
         key, n = np.unique(np.concatenate(held.pop(lang)), return_counts=True)
         size[lang] = 0
         sums[lang] = _merged([sums[lang][0], key], [sums[lang][1], n]) if lang in sums else (key, n)
 
-    def rows(lang: str) -> pa.RecordBatch:
+    def rows(lang: tuple[str, int]) -> pa.RecordBatch:
         key, n = sums.pop(lang)
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(key), pa.string()), pa.array(key), pa.array(n)], ["lang", "gram", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([lang[0]] * len(key), pa.string()), pa.array([lang[1]] * len(key), pa.int32()), pa.array(key), pa.array(n)], ["lang", "half", "gram", "n"])
 
     for batch in batches:
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             grams = _grams(_codes(text))
+            lang = (lang, _half(text))
             held.setdefault(lang, []).append(grams)
             size[lang] = size.get(lang, 0) + len(grams)
             if size[lang] > 1_000_000:
@@ -93,10 +105,12 @@ class Model:
 
     #: The models' rows, where there are too many for arrays.
     table: DataFrame | None = None
+    #: For the texts of each half, the models of the other.
+    halves: list[Model] = []
 
     def __init__(self, grams: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(grams)
-        self.limits = np.full(len(self.langs), np.inf)
+        self.limits = np.full((len(self.langs), CLASSES), np.inf)
         self.orders: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         per = {}
         for lang, (key, n) in grams.items():
@@ -164,20 +178,38 @@ def _slices(texts: list, most: int = 2_000_000) -> Iterator[slice]:
         yield slice(start, len(texts))
 
 
+def _class(n: int) -> int:
+    return min(int(n).bit_length(), CLASSES) - 1
+
+
+def _unseen(m: Model, texts: list[str | None]) -> np.ndarray:
+    """Bits per character of each text in each language, by the models of the half it isn't in."""
+    out, half = np.zeros((len(texts), len(m.langs))), np.array([_half(t or "") for t in texts])
+    for k, other in enumerate(m.halves):
+        at = np.flatnonzero(half == k)
+        if len(at):
+            out[at] = other.entropies([texts[i] for i in at])[0]
+    return out
+
+
 def _own(m: Model, batch: pa.RecordBatch) -> pa.RecordBatch:
     place = {x: j for j, x in enumerate(m.langs)}
     texts, langs, got = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
     for part in _slices(texts):
-        h, n = m.entropies(texts[part])
-        got += [(x, int(row[place[x]] / _BIN)) for x, row, k in zip(langs[part], h, n, strict=True) if k and x in place]
-    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.string()), pa.array([b for _, b in got], pa.int64())], ["lang", "bin"])
+        bits = _unseen(m, texts[part])
+        for x, row, text in zip(langs[part], bits, texts[part], strict=True):
+            codes = _codes(text)
+            if codes.any() and x in place and row[place[x]] == row.min():
+                got.append((x, _class(len(codes) - 1), int(row[place[x]] / _BIN)))
+    return pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int64()))], ["lang", "class", "bin"])
 
 
 def _predictions(m: Model, ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
     langs, scores, bits, fits = [], [], [], []
     for part in _slices(texts):
         h, n = m.entropies(texts[part])
-        for row, k in zip(h, n, strict=True):
+        unseen = _unseen(m, texts[part])
+        for row, other, k in zip(h, unseen, n, strict=True):
             if not k or not len(row):
                 langs.append(UNKNOWN), scores.append(0.0), bits.append(None), fits.append(False)
                 continue
@@ -185,10 +217,36 @@ def _predictions(m: Model, ids: pa.Array, texts: list[str | None]) -> pa.RecordB
             langs.append(m.langs[best])
             scores.append(float(1 / np.exp2(np.clip((row[best] - row) * min(k, 30), -500, 0)).sum()))
             bits.append(float(row[best]))
-            fits.append(bool(row[best] <= m.limits[best] + SHORT / k))
+            fits.append(bool(other[best] <= m.limits[best, _class(k)]))
     return pa.RecordBatch.from_arrays([ids, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(bits, pa.float64()), pa.array(fits, pa.bool_())], ["doc_id", "lang_pred", "score", "bits", "accepted"])
 
 
+def _middle(bins: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Median and its distance to the upper quartile."""
+    order = np.argsort(bins)
+    share = np.cumsum(n[order]) / n.sum()
+    low, high = ((bins[order][np.argmax(share >= q)] + 0.5) * _BIN for q in (0.5, 0.75))
+    return low, max(SPREAD, high - low)
+
+
+def _limits(classes: np.ndarray, bins: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The limits of one language, by class of length, from the numbers n of its texts by class and bin of bits."""
+    out = np.full(CLASSES, np.inf)
+    if n.sum() < LEAST:
+        return out
+    middle, spread = _middle(bins, n)
+    order = np.argsort(classes)
+    typical = classes[order][np.argmax(np.cumsum(n[order]) >= n.sum() / 2)]
+    for c in range(CLASSES):
+        of = classes == c
+        if n[of].sum() >= LEAST_CLASS:
+            low, wide = _middle(bins[of], n[of])
+        else:  # a mean over fewer characters strays further
+            low, wide = middle, spread * max(1.0, 2.0 ** ((typical - c) / 2))
+        out[c] = low + WIDE * wide
+    return out
+
+
 def _table_of(counts: DataFrame, langs: list[str]) -> DataFrame:
     """What ``Model`` computes from ``counts`` (lang, gram, n), as rows (part, key, js, values): an n-gram of k + 1 characters has
     its share in part 2 k, a context of k characters its weight in part 2 k + 1, each for the languages js that have it."""
@@ -222,9 +280,20 @@ def _needed(texts: list[str | None]) -> list[tuple[int, np.ndarray]]:
 
 
 def _part_of(rest: Model, found: pa.Table) -> Model:
-    """The models with the rows ``found`` only."""
+    """The models with the rows ``found`` only, those of the halves too."""
+    m, *m.halves = (_alone(x, found.filter(pa.compute.equal(found["of"], k))) for k, x in enumerate((rest, *rest.halves)))
+    return m
+
+
+def _bare(model: Model) -> Model:
+    """``model`` without its n-grams."""
     m = Model({})
-    m.langs, m.limits, m.floor, m.orders = rest.langs, rest.limits, rest.floor, []
+    m.langs, m.limits, m.floor, m.orders, m.halves = model.langs, model.limits, model.floor, [], [_bare(x) for x in model.halves]
+    return m
+
+
+def _alone(rest: Model, found: pa.Table) -> Model:
+    m = _bare(rest)
     part, key = found["part"].to_numpy(), found["key"].to_numpy()
     js, values = (pa.concat_arrays(found[x].chunks) if found.num_rows else pa.array([], found.schema.field(x).type) for x in ("js", "values"))
     row = np.repeat(np.arange(len(key)), js.value_lengths().to_numpy())
@@ -250,8 +319,7 @@ def _scored(rows: DataFrame, model: Model, text_col: str, each: Callable[[Model,
         sent = rows.sparkSession.sparkContext.broadcast(model)
         return rows.mapInArrow(lambda batches: (each(sent.value, batch) for batch in batches), schema)
     names, at = rows.columns, rows.columns.index(text_col)
-    rest = Model({})
-    rest.langs, rest.limits, rest.floor = model.langs, model.limits, model.floor
+    rest = _bare(model)
     held = BLOCK_CELLS // (len(rest.langs) + 4)
     blocks = (rows.agg(F.sum(F.length(text_col))).first()[0] or 0) // max(1, held) + 1
     hashed = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
@@ -274,27 +342,39 @@ def _scored(rows: DataFrame, model: Model, text_col: str, each: Callable[[Model,
 def _model(counts: DataFrame) -> Model:
     langs = sorted(x[0] for x in counts.select("lang").distinct().collect())
     if counts.count() * max(8, len(langs) + 4) <= 8 * GRAMS:
-        table = counts.toPandas().sort_values(["lang", "gram"])
-        return Model({lang: (g["gram"].to_numpy(np.int64), g["n"].to_numpy(np.int64)) for lang, g in table.groupby("lang")})
-    model = Model({})
-    model.langs, model.limits, model.table = langs, np.full(len(langs), np.inf), _table_of(counts, langs)
-    model.floor = 1 / (model.table.where("part = 0").count() + 1)
+        table = counts.toPandas()
+
+        def held(part: pd.DataFrame) -> Model:
+            sums = part.groupby(["lang", "gram"], as_index=False)["n"].sum()
+            of = dict(list(sums.groupby("lang")))
+            return Model({x: (g["gram"].to_numpy(np.int64), g["n"].to_numpy(np.int64)) for x in langs for g in [of.get(x, sums[:0])]})
+
+        model = held(table)
+        model.halves = [held(table[table["half"] != k]) for k in (0, 1)]
+        return model
+    model, *model.halves = (Model({}) for _ in range(3))
+    tables = []
+    for k, (m, part) in enumerate(((model, counts), *((model.halves[h], counts.where(F.col("half") != h)) for h in (0, 1)))):
+        table = _table_of(part.groupBy("lang", "gram").agg(F.sum("n").alias("n")), langs)
+        m.langs, m.limits = langs, np.full((len(langs), CLASSES), np.inf)
+        m.floor = 1 / (table.where("part = 0").count() + 1)
+        tables.append(table.withColumn("of", F.lit(k)))
+    model.table = tables[0].union(tables[1]).union(tables[2])
     return model
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Models of all languages of ``docs``, from all n-grams of all its rows with text and language.
 
-    Up to ``GRAMS`` n-grams are collected; more are turned into a table of the same models.
+    Up to ``GRAMS`` n-grams, those of each half counted apart, are collected; more are turned into a table of the same models.
     """
     rows = _runtime.in_batches(docs).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = _runtime.cut(rows.mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counts = _runtime.cut(rows.mapInArrow(_counts, "lang string, half int, gram long, n long").groupBy("lang", "half", "gram").agg(F.sum("n").alias("n")))
     model = _model(counts)
-    seen = _scored(rows, model, "text", _own, "lang string, bin long").groupBy("lang", "bin").count().toPandas()
+    seen = _scored(rows, model, "text", _own, "lang string, class int, bin long").groupBy("lang", "class", "bin").count().toPandas()
     for j, lang in enumerate(model.langs):
-        of = seen[seen["lang"] == lang].sort_values("bin")
-        if len(of):
-            model.limits[j] = (of["bin"].to_numpy()[np.argmax(of["count"].cumsum().to_numpy() >= KEEP * of["count"].sum())] + 1) * _BIN + MARGIN
+        of = seen[seen["lang"] == lang]
+        model.limits[j] = _limits(of["class"].to_numpy(), of["bin"].to_numpy(), of["count"].to_numpy())
     return model
 
 
@@ -302,7 +382,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """(doc_id, lang_pred, score, bits, accepted) for each row, from its whole text.
 
     ``bits``: cross-entropy per character in the language; ``score``: its share of the likelihood of at most 30 characters;
-    ``accepted``: whether ``bits`` is within the language's calibrated limit. Null texts, texts without a letter and, with an
+    ``accepted``: whether models without the text give it bits within the language's limit for its length. Null texts, texts without a letter and, with an
     untrained model, all texts are 'und' with score 0 and not accepted. Ties go to the first language by name. Null and
     repeated ids each give their row; other columns are ignored; an empty table gives an empty result.
     """

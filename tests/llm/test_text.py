@@ -217,6 +217,18 @@ def test_all_n_grams_count_beyond_the_arrays(spark, odd, monkeypatch):
     assert language_id.identify(odd, language_id.train(odd)).count() == odd.count()
 
 
+def test_junk_in_the_training_rows_is_rejected(spark):
+    """A twentieth of a label's rows is gibberish in the same letters: it goes, though the models were trained on it; clean rows stay."""
+    rng = random.Random(10)
+    rows = [(i, prose(rng, rng.randint(10, 60), LANGS[x]), x) for i in range(1200) for x in [rng.choice(list(LANGS))]]
+    letters = "bakelomiturn"
+    junk = [(2000 + i, " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(40)), "aa") for i in range(20)]
+    df = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string").repartition(4)
+    kept = {r.doc_id for r in language_id.keep_accepted(df, language_id.train(df)).collect()}
+    assert not kept & {j[0] for j in junk}
+    assert len(kept) >= 0.99 * len(rows)
+
+
 def toxic_rows(n=1500):
     rng = random.Random(6)
     bad = ["loser", "wretch", "vermin", "numbskull"]
