@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-#: Fixed formats, in the order in which they are tried.
+#: Card numbers in one piece, or in the groups that cards have.
+_GROUPS = r"(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})"
+#: Fixed formats.
 FORMATS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
@@ -28,7 +30,12 @@ FORMATS = {
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
 }
-ANY = "|".join(f"(?:{p})" for p in FORMATS.values())
+#: A number in a card's groups, but for one before one to three digits of its own: these may belong to it, so ``_pieces`` decides.
+_CARD = rf"(?<![\d.-]){_GROUPS}(?![\d-])"
+_CARD_ALONE = rf"{_CARD}(?![ -]\d{{1,3}}(?![ ./-]?\d))"
+#: What is tried, in this order, and what is tried within a match of digits in other groups.
+ANY = "|".join(f"(?:{p})" for p in (FORMATS["email"], FORMATS["date"], FORMATS["phone"], FORMATS["ssn"], FORMATS["ip"], _CARD_ALONE, FORMATS["card"]))
+_WITHIN = "|".join(f"(?:{p})" for p in (FORMATS["date"], FORMATS["phone"], FORMATS["ssn"], FORMATS["ip"], _CARD))
 _EPOCH, _DAYS_A, _DAYS_B = "1900-01-01", 319, 229  # 319 * 229 days, to 2100-01-02
 
 
@@ -119,9 +126,25 @@ def _one(value: Column, key: str, inverse: bool) -> Column:
 
 def _kind(value: Column) -> Column:
     out = F.when(value.contains("@"), "email")
-    for kind in ("card", "phone", "date", "ip"):
+    for kind in ("phone", "date", "ssn", "ip", "card"):
         out = out.when(value.rlike(f"^(?:{FORMATS[kind]})$"), kind)
-    return out.otherwise("ssn")
+    return out
+
+
+def _valid_card(value: Column) -> Column:
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    n = F.length(digits)
+    return F.substr(digits, n) == _check_digit(F.substr(digits, F.lit(1), n - 1))
+
+
+def _pieces(gap: Column, value: Column) -> Column:
+    """The matches in one match, each with the text before it: itself, or what lies within digits that make no card or hold one."""
+    inner, gaps = F.regexp_extract_all(value, F.lit(_WITHIN), F.lit(0)), F.split(value, _WITHIN, -1)
+    holds = F.exists(inner, lambda v: v.rlike(f"^{_GROUPS}$") & (v != value) & _valid_card(v))
+    parts = F.transform(inner, lambda v, i: F.struct(F.concat(F.when(i == 0, gap).otherwise(""), gaps[i]).alias("gap"), v.alias("was")))
+    parts = F.concat(parts, F.array(F.struct(F.element_at(gaps, -1).alias("gap"), F.lit("").alias("was"))))
+    split = (_kind(value) == "card") & (F.size(inner) > 0) & (holds | ~_valid_card(value))
+    return F.when(split, parts).otherwise(F.array(F.struct(gap.alias("gap"), value.alias("was"))))
 
 
 def _count(kind: str) -> Column:
@@ -132,10 +155,11 @@ def _rewritten(docs: DataFrame, key: str, inverse: bool, id_col: str, text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = F.when(F.col("text").rlike(ANY), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>"))
     # one entry for each match: its kind, and its pseudonym if it is valid
-    rows = rows.withColumn("values", F.transform(found, lambda v: F.struct(v.alias("was"), _kind(v).alias("kind"), _one(v, key, inverse).alias("now"))))
     gaps = F.split("text", ANY, -1)
-    tail = F.transform("values", lambda v, i: F.concat(F.coalesce(v["now"], v["was"]), gaps[i + 1]))
-    text = F.when(F.size("values") == 0, F.col("text")).otherwise(F.concat(gaps[0], F.array_join(tail, "")))
+    pieces = F.flatten(F.transform(found, lambda v, i: _pieces(gaps[i], v)))
+    rows = rows.withColumn("values", F.transform(pieces, lambda v: F.struct(v["gap"].alias("gap"), v["was"].alias("was"), _kind(v["was"]).alias("kind"), _one(v["was"], key, inverse).alias("now"))))
+    tail = F.transform("values", lambda v: F.concat(v["gap"], F.coalesce(v["now"], v["was"])))
+    text = F.when(F.size("values") == 0, F.col("text")).otherwise(F.concat(F.array_join(tail, ""), F.element_at(gaps, -1)))
     counts = [_count(kind) for kind in FORMATS]
     return rows.select("doc_id", text.alias("text"), *counts)
 
@@ -144,7 +168,7 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """(doc_id, text, n_email, n_card, n_phone, n_date, n_ip, n_ssn): each whole text with its personal data replaced.
 
     Matches are the leftmost ones; a match that isn't a valid value (card check, calendar, parts of an address) stays as it is
-    and isn't counted. Dates written with one-digit days or months may change their length. A null text stays null with counts
+    and isn't counted, but other values within digits that make no card are found. Dates written with one-digit days or months may change their length. A null text stays null with counts
     of 0, null ids stay. Repeated rows each give a row; other columns are ignored; an empty table gives an empty result.
     """
     return _rewritten(docs, key, False, id_col, text_col)

@@ -53,6 +53,21 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert run(df, key="other")[0].text != got[0].text
 
 
+def test_values_next_to_each_other(spark):
+    """Two values with a space between are replaced as each alone is, and what stands beside a card stays."""
+    alone = {v: k for k, vs in VALUES.items() if k != "email" for v in vs} | {"555 123 4567": "phone", "555 987 6543": "phone", "2020-01-01": "date", "2021-02-02": "date"}
+    beside = ["12/25", "123", "7"]
+    pairs = [(a, b) for a in [*alone, *beside] for b in [*alone, *beside] if (a in alone or b in alone) and not (a in beside and alone.get(b) != "card")]
+    texts = [*alone, *(f"{a} {b}" for a, b in pairs)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = run(df)
+    now = {v: got[i].text for i, v in enumerate(alone)} | {v: v for v in beside}
+    wrong = [(t, got[len(alone) + i].text) for i, ((a, b), t) in enumerate(zip(pairs, texts[len(alone) :], strict=True)) if got[len(alone) + i].text != f"{now[a]} {now[b]}"]
+    assert wrong == []
+    back = run(pii.pseudonymise(df, "k"), pii.restore)
+    assert {i: r.text for i, r in back.items()} == dict(enumerate(texts))
+
+
 def test_feistel_is_a_permutation(spark):
     rows = [(i, f"{i // 100:03d}-{i % 97 + 1:02d}-{i % 89 + 1:04d}") for i in range(100, 900)]
     got = run(spark.createDataFrame([(i, t) for i, t in rows if not t.startswith("666")], "doc_id long, text string"))
