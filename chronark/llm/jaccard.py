@@ -9,8 +9,9 @@ group only if the tokens they share can reach the required overlap.
   in common hold no similar pair; k is 1 plus a twentieth of the smaller set.
 * A group's leader is the document with the largest share of frequent tokens in a common column (of a family of copies this
   is the one they were made from), and a group is stored in blocks of bounded token count.
-* Each member is first compared with its leader. Only members that this leaves unlinked, and documents of other groups with
-  a common column, query the group: against each block's token union first, then, if the bound holds, its members.
+* Each member is first compared with its leader. Only members that this leaves unlinked, and documents of other groups, query
+  the group, if they have enough columns in common with it: against each block's token union first, then, if the bound holds,
+  its members.
 
 Every pair at or above the threshold is either compared or already connected, so components are exact; the join emits
 neither pairs within a group nor pairs of equal sets.
@@ -31,7 +32,11 @@ from chronark.llm import _runtime, shingles
 
 #: Tokens that get their own rank in the order, at most: 16 bytes each on every executor.
 FREQUENT = 500_000
-BLOCK_TOKENS = 200_000
+BLOCK_TOKENS = 100_000
+#: Documents of a frequent token's column that one task compares to find the best leader, about.
+SLICE = 50_000
+#: A column of more groups than this is left out of a document's search if it can lack them all and still share enough.
+WIDE = 64
 #: The matrix has one column more for each so many tokens of a set than one match needs; similar sets then share as many more.
 SPARE = 20
 
@@ -73,32 +78,38 @@ class _Order:
         rank = np.empty(len(tokens), np.int64)
         rank[np.lexsort((tokens, counts))] = np.arange(len(tokens))
         self.rank = rank[by_token]
+        self.slices = 1 + counts[by_token] // SLICE
 
-    def first(self, s: np.ndarray, k: int) -> tuple[np.ndarray, int]:
-        """The first ``k`` tokens of ``s``, and how many thousandths of ``s`` are frequent."""
+    def first(self, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The first ``k`` tokens of ``s``, in how many slices their columns are dealt (0: no frequent token), and how many
+        thousandths of ``s`` are frequent."""
         if not len(self.tokens) or not len(s):
-            return s[:k], 0
+            return s[:k], np.zeros(len(s[:k]), np.int64), 0
         at = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
         hot = self.tokens[at] == s
         count = int(hot.sum())
-        cold = s[~hot]
-        if len(cold) < k:
-            last = s[hot]
-            cold = np.concatenate([cold, last[np.argsort(self.rank[at[hot]])]])
-        return cold[:k], 1000 * count // len(s)
+        first = s[~hot][:k]
+        slices = np.zeros(len(first), np.int64)
+        if len(first) < k:
+            last = at[hot][np.argsort(self.rank[at[hot]])][: k - len(first)]
+            first, slices = np.concatenate([first, self.tokens[last]]), np.concatenate([slices, self.slices[last]])
+        return first, slices, 1000 * count // len(s)
 
 
 def _columns(order, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = _Order(*order.value)
         for batch in batches:
-            ids, sizes, shares, firsts = [], [], [], []
+            ids, sizes, shares, firsts, dealt = [], [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingles.shingle_set(text)
                 if len(s):
-                    tokens, share = by.first(s, len(s) - _needed(len(s), percent) + 1 + len(s) // SPARE)
+                    tokens, slices, share = by.first(s, len(s) - _needed(len(s), percent) + 1 + len(s) // SPARE)
                     ids.append(i), sizes.append(len(s)), shares.append(share), firsts.append(tokens)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shares, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["doc_id", "n", "share", "tokens"])
+                    # frequent tokens come last: what is dealt in slices is a list for the end of ``tokens``
+                    dealt.append(slices[np.count_nonzero(slices == 0) :])
+            columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shares, pa.int64()), pa.array(firsts, pa.list_(pa.int64())), pa.array(dealt, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "share", "tokens", "dealt"])
 
     return run
 
@@ -202,14 +213,18 @@ def links_and_sets(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", t
     known = sets.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     first = known.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     copies = known.select("doc_id").distinct().join(first.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_anti")
-    columns = base.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_columns(order, percent), "doc_id long, n long, share long, tokens array<long>")
-    columns = _runtime.only(columns, copies, "left_anti").select("doc_id", F.col("n").cast("int").alias("n"), F.col("share").cast("int").alias("share"), F.explode("tokens").alias("token"))
-    by_size = "OVER (PARTITION BY token ORDER BY n, doc_id)"
-    shared = columns.selectExpr("token", "doc_id", "n", f"lag(n) {by_size} AS smaller", f"lead(n) {by_size} AS larger", "max(struct(share, -doc_id AS neg)) OVER (PARTITION BY token) AS best")
-    shared = _runtime.cut(shared.where(f"100 * smaller >= {percent} * n OR 100 * n >= {percent} * larger").select("token", "doc_id", "n", "best"))
+    columns = base.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_columns(order, percent), "doc_id long, n long, share long, tokens array<long>, dealt array<long>")
+    columns = _runtime.only(columns, copies, "left_anti").select("doc_id", F.col("n").cast("int").alias("n"), F.col("share").cast("int").alias("share"), F.size("tokens").alias("all"), "dealt", F.posexplode("tokens").alias("i", "token"))
+    # a frequent token's column is dealt in slices, so that no task has all of it; it has partners enough not to look for them
+    late = F.col("i") - (F.col("all") - F.size("dealt"))
+    columns = columns.select("token", "doc_id", "n", "share", F.when(late >= 0, F.pmod(F.xxhash64("doc_id"), F.get("dealt", late)) + 1).otherwise(0).cast("int").alias("slice"))
+    by_size = "OVER (PARTITION BY token, slice ORDER BY n, doc_id)"
+    shared = columns.selectExpr("token", "doc_id", "n", "slice", f"lag(n) {by_size} AS smaller", f"lead(n) {by_size} AS larger", "max(struct(share, -doc_id AS neg)) OVER (PARTITION BY token, slice) AS best")
+    shared = _runtime.cut(shared.where(f"slice > 0 OR 100 * smaller >= {percent} * n OR 100 * n >= {percent} * larger").select("token", "doc_id", "n", "slice", "best"))
+    sliced = F.broadcast(shared.where("slice > 0").groupBy("token").agg(F.max("best").alias("best_of_all")))
 
     enough = F.expr(f"columns >= 1 + (({percent} * n + 99) div 100) div {SPARE}")
-    pointers = shared.groupBy("doc_id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("columns"), F.max("best").alias("best")).where(enough)
+    pointers = shared.join(sliced, "token", "left").groupBy("doc_id").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("columns"), F.max(F.coalesce("best_of_all", "best")).alias("best")).where(enough)
     pointers = _runtime.cut(pointers.select("doc_id", "n", (-F.col("best.neg")).alias("grp")))
     # a leader may follow a better one: its group follows it once, so that a family has few groups
     onward = pointers.where("doc_id <> grp").select(F.col("doc_id").alias("grp"), F.col("grp").alias("next"))
@@ -231,11 +246,20 @@ def links_and_sets(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", t
     linked = near.select(F.col("u").alias("doc_id"), F.lit(True).alias("linked")).distinct()
     members = members.join(linked, "doc_id", "left").withColumn("comp", F.when(F.col("linked"), F.col("grp")).otherwise(F.col("doc_id"))).drop("linked")
     at = shared.join(members.select("doc_id", "grp", "comp"), "doc_id").select("token", "doc_id", "n", "grp", "comp")
-    matrix = at.select("token", F.col("grp").alias("to")).distinct()
-    # the bound on columns: with fewer in common with a group than this, no member can be similar
-    other = at.join(matrix, "token").where("grp > to").groupBy("doc_id", "comp", "to").agg(F.max("n").alias("n"), F.count_distinct("token").alias("columns")).where(enough).select("doc_id", "comp", "to")
-    rest = members.where("comp <> grp").select("doc_id", "comp", F.col("grp").alias("to"))
-    queries = other.union(rest).join(parts.select(F.col("grp").alias("to"), "blocks"), "to").select("doc_id", "comp", F.col("to").alias("grp"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
+    matrix = at.groupBy("token", "grp").agg(F.count(F.lit(1)).alias("docs"))
+    wide = _runtime.cut(matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") > WIDE)).select("token", F.lit(True).alias("wide"))
+    at = _runtime.cut(_runtime.only(at, wide, "left", "token").withColumn("wide", F.coalesce("wide", F.lit(False))))
+    # with fewer columns in common with a group than ``need``, no member can be similar. A document that could lack all its wide
+    # columns and still share enough looks through its narrow ones only, and is given the wide ones
+    need = F.expr(f"1 + (({percent} * n + 99) div 100) div {SPARE}")
+    widths = at.groupBy("doc_id").agg(F.sum(F.col("wide").cast("int")).alias("given"), F.max("n").alias("n")).where(F.col("given") > 0)
+    widths = widths.select("doc_id", F.when(F.col("given") < need, F.col("given")).otherwise(0).alias("given"))
+    looking = _runtime.only(at, widths, "left", "doc_id").withColumn("given", F.coalesce("given", F.lit(0))).where("NOT wide OR given = 0")
+    # its own group counts where another member has the column too, and for members not known to be linked with the leader
+    pairs = looking.join(matrix.select("token", F.col("grp").alias("to"), "docs"), "token").where("grp > to OR grp = to AND docs > 1 AND comp <> grp")
+    queries = pairs.groupBy("doc_id", "comp", "to").agg(F.max("n").alias("n"), F.max("given").alias("given"), F.count_distinct("token").alias("columns"))
+    queries = queries.where(F.col("columns") + F.col("given") >= need).join(parts.select(F.col("grp").alias("to"), "blocks"), "to")
+    queries = queries.select("doc_id", "comp", F.col("to").alias("grp"), F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"))
     queries = _runtime.cut(queries.select("grp", "block", F.lit(True).alias("query"), "doc_id", "comp"))
     asked = members.join(queries.select("grp", "block").distinct(), ["grp", "block"], "left_semi").select("grp", "block", F.lit(False).alias("query"), "doc_id", "comp")
     far = _open(queries.union(asked).join(tokens, "doc_id").select(row), percent)
