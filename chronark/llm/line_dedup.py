@@ -1,12 +1,15 @@
-"""Near-duplicate lines by a deletion-neighbourhood join: lines within one edit, the earliest stays.
-
-Two lines differ by one edit if they become equal when one character is deleted at the same place of both, or if one
-becomes the other. All such variants of a line are emitted as hashed keys, but only those that another line can have too: the
-edit lies in one of ``WINDOWS`` parts of the line, and before and behind that part the lines are equal. So each line first
-emits the hashes of what surrounds each part; only where two distinct lines agree on one, they emit the variants within it.
-
-A key's lines are never paired with each other. Equal substitution keys mean a distance of one at most, so the earliest line
-of the key stands for all; in an insertion key, the line that is the key itself is compared with the earliest of the others.
+"""Near-duplicate lines by a deletion-neighbourhood join: lines that are equal or within one edit, the earliest stays.
+
+Equal lines count at any length. An edit is allowed in lines of ``PER_EDIT`` characters or more: in shorter ones it often makes
+another word or number. Two lines differ by one edit if they become equal when one character is deleted at the same place of
+both, or if one becomes the other. All such variants of a line are emitted as hashed keys, but only those that another line can
+have too: the edit lies in one of ``WINDOWS`` parts of the line, and before and behind that part the lines are equal. So each
+line first emits the hashes of what surrounds each part; only where two distinct lines agree on one, they emit the variants
+within it.
+
+A key's lines are never paired with each other: keys are aggregated, and what aggregates say is joined back. Equal substitution
+keys mean a distance of one at most, so the earliest line of the key stands for all; in an insertion key, the line that is the
+key itself is compared with the earliest of the others.
 """
 
 from __future__ import annotations
@@ -17,9 +20,10 @@ from pyspark.sql import functions as F
 from chronark.llm import _runtime
 
 WINDOWS = 4
-#: Lines of fewer characters, without spaces at their ends, are left alone.
-LEAST = 20
+#: A line may differ by one edit if it has so many characters, without spaces at its ends.
+PER_EDIT = 20
 _LAST = 2**63 - 1
+_PLACE = ("doc", "hash", "no")
 
 
 def _hash(*parts: Column | str | int) -> Column:
@@ -32,64 +36,78 @@ def _around(line: Column, n: Column, base: Column, j: int) -> Column:
     return _hash(base, j, F.substr(line, F.lit(1), lo.cast("int")), F.substr(line, (n - (base - hi) + 1).cast("int")))
 
 
-def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, no, line) of all lines that take part; null ids are last."""
-    lines = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("no", "line"))
-    return lines.withColumn("line", F.trim("line")).where(F.length("line") >= LEAST).withColumn("h", F.xxhash64("line"))
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, doc, hash): a document is known by its id, the largest long for null, and the hash of its text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("hash"))
+
+
+def _occurrences(docs: DataFrame) -> DataFrame:
+    """(doc, hash, no, line, h) of all lines that aren't blank."""
+    lines = docs.select("doc", "hash", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    return lines.withColumn("line", F.trim("line")).where(F.length("line") > 0).withColumn("h", F.xxhash64("line"))
 
 
-def _near(docs: DataFrame, firsts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _near(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """(h): hashes of lines with an earlier line within one edit."""
-    around = firsts.select("h", F.explode("keys").alias("k")).select("h", "k.key", "k.shift", "k.j")
-    by_key = "OVER (PARTITION BY key)"
-    shared = around.selectExpr("h", "shift", "j", f"min(h) {by_key} AS lo", f"max(h) {by_key} AS hi").where("lo <> hi").select("h", "shift", "j").distinct()
+    # the place in ``keys`` tells by how much the line is longer than the base, and the part
+    around = firsts.select("h", F.posexplode("keys").alias("i", "key"))
+    common = around.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("key")
+    shared = _runtime.only(around, common, "left_semi", "key")
     # these lines' texts, from where they occur first
-    chosen = shared.groupBy("h").agg(F.collect_set(F.struct("shift", "j")).alias("parts")).join(firsts.select("h", "first"), "h")
-    chosen = _runtime.cut(chosen.select("h", "parts", "first", F.col("first.doc").alias("doc"), F.col("first.no").alias("no")))
-    here = _occurrences(_runtime.only(docs.withColumn("doc", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))), chosen.select("doc").distinct(), "left_semi", "doc"), id_col, text_col)
-    texts = _runtime.cut(chosen.join(here.select("doc", "no", "line", F.col("h").alias("same")), ["doc", "no"]).where("h = same").dropDuplicates(["h"]).select("h", "first", "line", "parts"))
+    chosen = shared.groupBy("h").agg(F.collect_set(F.struct(F.expr(f"i div {WINDOWS}").alias("shift"), F.expr(f"i % {WINDOWS}").alias("j"))).alias("parts")).join(firsts.select("h", "first"), "h")
+    chosen = _runtime.cut(chosen.select("h", "parts", "first", *(F.col(f"first.{c}").alias(c) for c in _PLACE)))
+    here = _occurrences(_runtime.only(docs, chosen.select("doc").distinct(), "left_semi", "doc"))
+    texts = _runtime.cut(chosen.join(here.select(*_PLACE, "line", F.col("h").alias("same")), list(_PLACE)).where("h = same").dropDuplicates(["h"]).select("h", "first", "line", "parts"))
 
     def variants(p: Column) -> Column:
         size = F.length("line")
         base = size - p["shift"]
         lo = F.floor(base * p["j"] / WINDOWS).cast("int")
-        hi = F.floor(base * (p["j"] + 1) / WINDOWS).cast("int") + p["shift"]
+        hi = (F.floor(base * (p["j"] + 1) / WINDOWS) + p["shift"]).cast("int")
         deleted = lambda i: F.concat(F.substr("line", F.lit(1), i), F.substr("line", i + 2))
         at = F.when(hi > lo, F.sequence(lo, hi - 1)).otherwise(F.array().cast("array<int>"))
-        moved = F.transform(at, lambda i: F.struct(F.when(p["shift"] == 0, _hash("replaced", deleted(i), i)).otherwise(_hash("longer", deleted(i))).alias("key"), p["shift"].alias("role")))
+        moved = F.transform(at, lambda i: F.struct(F.when(p["shift"] == 0, _hash("replaced", deleted(i), i)).otherwise(_hash("longer", deleted(i))).alias("key"), p["shift"].cast("int").alias("role")))
         return F.when(p["shift"] == 0, F.concat(moved, F.array(F.struct(_hash("longer", F.col("line")).alias("key"), F.lit(2).alias("role"))))).otherwise(moved)
 
     # role 0: a character is replaced; 1: longer by one; 2: the shorter line itself
     every = texts.select("h", "first", F.explode(F.array_distinct(F.flatten(F.transform("parts", variants)))).alias("v")).select("h", "first", "v.key", "v.role")
-    me = "struct(first, h)"
-    found = every.selectExpr("h", "first", f"CASE role WHEN 0 THEN min({me}) OVER (PARTITION BY key) WHEN 1 THEN min(CASE WHEN role = 2 THEN {me} END) OVER (PARTITION BY key) ELSE min(CASE WHEN role = 1 THEN {me} END) OVER (PARTITION BY key) END AS near")
+    me = F.struct("first", "h")
+    heads = every.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), *(F.min(F.when(F.col("role") == k, me)).alias(f"role{k}") for k in range(3))).where("lo <> hi").drop("lo", "hi")
+    found = _runtime.only(every, heads, "inner", "key").withColumn("near", F.expr("CASE role WHEN 0 THEN role0 WHEN 1 THEN role2 ELSE role1 END"))
     found = found.where("near.first < first").select("h", F.col("near.h").alias("other")).distinct()
     pairs = found.join(texts.select("h", "line"), "h").join(texts.select(F.col("h").alias("other"), F.col("line").alias("earlier")), "other")
     return pairs.where(F.levenshtein("line", "earlier", 1).between(0, 1)).select("h").distinct()
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, no, h): the lines that go. ``doc`` is the id, the largest long for null; ``no`` counts the lines of a text from 0."""
-    lines = _occurrences(docs, id_col, text_col)
+    """(doc, hash, no, h): the lines that go. ``doc`` is the id, the largest long for null, ``hash`` that of the text; ``no``
+    counts the lines of a text from 0."""
+    docs = _keyed(docs, id_col, text_col)
+    lines = _occurrences(docs)
     n = F.length("line")
-    keys = F.array(*(F.struct(_around(F.col("line"), n, n - shift, j).alias("key"), F.lit(shift).alias("shift"), F.lit(j).alias("j")) for shift in (0, 1) for j in range(WINDOWS)))
-    firsts = _runtime.cut(lines.select("h", "doc", "no", keys.alias("keys")).groupBy("h").agg(F.min(F.struct("doc", "no")).alias("first"), F.any_value("keys").alias("keys")))
-    near = _runtime.cut(_near(docs, firsts, id_col, text_col)).withColumn("near", F.lit(True))
-    known = firsts.select("h", "first").join(near, "h", "left")
-    return lines.select("doc", "no", "h").join(known, "h").where("near OR first.doc <> doc OR first.no <> no").select("doc", "no", "h")
+    keys = F.when(n >= PER_EDIT, F.array(*(_around(F.col("line"), n, n - shift, j) for shift in (0, 1) for j in range(WINDOWS))))
+    firsts = lines.select("h", *_PLACE, keys.alias("keys")).groupBy("h").agg(F.min(F.struct(*_PLACE)).alias("first"), F.max(F.struct(*_PLACE)).alias("last"), F.any_value("keys").alias("keys"))
+    firsts = _runtime.cut(firsts)
+    near = _runtime.cut(_near(docs, firsts.where("keys IS NOT NULL"))).withColumn("near", F.lit(True))
+    # only lines that go somewhere are looked up: those that are near an earlier one, and those that occur again
+    known = firsts.select("h", "first", "last").join(near, "h", "left").where("near OR last <> first").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    gone = _runtime.only(lines.select(*_PLACE, "h"), known, "inner", "h")
+    return gone.where("near OR first <> struct(doc, hash, no)").select(*_PLACE, "h")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_lines, n_removed): each whole text without the lines that an earlier line equals or is one edit away from.
 
-    Earlier: by document id (null last), then by place in the text. Lines are compared without spaces at their ends; those of
-    fewer than 20 characters always stay. A line goes whether or not the earlier one stays itself. A null text stays null with
-    0 lines, an empty one is one empty line. Rows that repeat an id are one document: what is at the same place of both
-    is one line. Other columns are ignored; an empty table gives an empty result.
+    Earlier: by document id (null last), then by a hash of the text, then by place in the text. Lines are compared without
+    spaces at their ends; blank ones always stay, and those of fewer than 20 characters go only for an equal one. A line goes
+    whether or not the earlier one stays itself. A null text stays null with 0 lines, an empty one is one empty line. Rows that
+    repeat an id and its text are one document, rows with an id and another text, or with no id and another text, are others.
+    Other columns are ignored; an empty table gives an empty result.
     """
-    gone = removed_lines(docs, id_col, text_col).groupBy(F.col("doc").alias("gone_doc")).agg(F.collect_set(F.struct("no", "h")).alias("gone"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"))
-    rows = rows.join(gone, F.col("doc") == F.col("gone_doc"), "left")
+    gone = removed_lines(docs, id_col, text_col).groupBy(F.col("doc").alias("gone_doc"), F.col("hash").alias("gone_hash")).agg(F.collect_set(F.struct("no", "h")).alias("gone"))
+    rows = _keyed(docs, id_col, text_col)
+    rows = rows.join(gone, (F.col("doc") == F.col("gone_doc")) & (F.col("hash") == F.col("gone_hash")), "left")
     lines = F.split("text", "\n")
     stays = lambda x, i: ~F.coalesce(F.array_contains("gone", F.struct(i.alias("no"), F.xxhash64(F.trim(x)).alias("h"))), F.lit(False))
     kept = F.when(F.col("gone").isNull(), lines).otherwise(F.filter(lines, stays))
