@@ -1,8 +1,10 @@
 """Secret scans: fixed formats, and character Markov models of random strings and ordinary identifiers.
 
-The labelled samples are in the corpus itself: what the fixed formats match are random strings, other runs of identifier
-characters are ordinary ones, but for those that are to be judged. Both models hold the transition counts of all documents; a run is a secret if the
-models' log-likelihood ratio per character is above a threshold that is calibrated on all labelled runs.
+The labelled samples are in the corpus itself: what the fixed formats match are random strings, all other runs of identifier
+characters are ordinary ones (the few secrets among them weigh little against the rest). Both models hold the transition counts
+of all documents. Each run is judged by its best segment: the one with the largest sum of log-likelihood ratios, so that a key
+within a path or a name=value pair is found. The threshold for the sum is calibrated on the best segments of all labelled runs;
+it alone decides how short a random string can be found.
 """
 
 from __future__ import annotations
@@ -23,80 +25,106 @@ FORMATS = (
     ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16),
     ("hex", re.compile(r"[0-9a-f]{32,}"), 0, 32),
 )
-_ASSIGNED = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-_HEX = re.compile(rb"[0-9a-f]{32}")
+_ASSIGNED = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = (*(f[0] for f in FORMATS), "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _SIZE = len(ALPHABET) + 1  # 0: any other character, also before the first and after the last of a run
-_CODE = np.zeros(256, np.int16)
+_CODE = np.zeros(256, np.int32)
 _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(1, _SIZE)
-_DIGIT, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
-_DIGIT[48:58] = _LETTER[65:91] = _LETTER[97:123] = True
-#: Runs of at least so many characters, with a letter and a digit, are scored.
-LEAST = 20
-#: Shares of the labelled runs that set the threshold.
-ORDINARY_BELOW, RANDOM_ABOVE = 0.999, 0.02
-_BINS = np.linspace(-8, 8, 321)
+_SIGN = np.array([c in "/_=-" for c in f" {ALPHABET}"])
+#: Shares of the labelled runs that set the threshold; up to a hundredth of random strings among the ordinary ones shift it little.
+ORDINARY_BELOW, RANDOM_ABOVE = 0.99, 0.02
+#: Bits by which the threshold is above the ordinary runs, at least; twice as many where the random ones leave room.
+BITS = 8.0
+_BINS = np.linspace(0, 256, 1025)
 
 
-def base_spans(text: str, raw: bytes) -> list[tuple[int, int, int]]:
+def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the fixed formats, leftmost non-overlapping per kind, in code points."""
-    low, found = raw.lower(), []
-    may = (any(k in low for k in _ASSIGNED), b"AKIA" in raw, _HEX.search(raw) is not None)
+    low, found = text.lower(), []
+    may = (any(k in low for k in _ASSIGNED), "AKIA" in text, True)
     for k, (_, pattern, group, least) in enumerate(FORMATS):
         if may[k]:
             found += [(m.start(), k, m.end()) for m in pattern.finditer(text) if len(m[group]) >= least]
     return sorted(found)
 
 
-def _runs(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Character codes with a 0 at each end, and first and last position + 1 of each run of identifier characters."""
-    code = np.concatenate(([0], _CODE[raw], [0])).astype(np.int32)
-    edge = np.flatnonzero(np.diff(code > 0))
-    return code, edge[::2] + 1, edge[1::2] + 1
-
-
-def _byte_offsets(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Spans in bytes, those of assignments without the name before the value."""
-    out = []
-    for start, kind, end in spans:
-        if kind == 0:
-            start = FORMATS[0][1].match(text, start).start(2)
-        at = len(text[:start].encode("utf-8", "surrogatepass"))
-        out.append((at, at + len(text[start:end].encode("utf-8", "surrogatepass"))))
-    return out
-
-
-def _labelled(text: str):
-    """Of one text: bytes, codes, runs, which runs are random by the fixed formats, which are to be judged, and the base spans."""
-    raw = text.encode("utf-8", "surrogatepass")
-    spans = base_spans(text, raw)
-    bytes_ = np.frombuffer(raw, np.uint8)
-    code, start, end = _runs(bytes_)
-    random = np.zeros(len(start), bool)
-    for lo, hi in _byte_offsets(text, spans):
-        random |= (start < hi + 1) & (end > lo + 1)
-    open_ = (end - start >= LEAST) & ~random
-    for i in np.flatnonzero(open_):
-        run = bytes_[start[i] - 1 : end[i] - 1]
-        open_[i] = _DIGIT[run].any() and _LETTER[run].any()
-    return bytes_, code, start, end, random, open_, spans
+class _Text:
+    """Character codes of one text with a 0 at each end, its runs, which of them the fixed formats cover, and the base spans.
+
+    Position p of the text is place p + 1 of ``code``; run i has the places from ``start[i]`` to before ``end[i]``.
+    """
+
+    def __init__(self, text: str):
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.code = np.zeros(len(points) + 2, np.int32)
+        self.code[1:-1] = _CODE[np.where(points < 256, points, 0)]
+        edge = np.flatnonzero(np.diff(self.code > 0))
+        self.start, self.end = edge[::2] + 1, edge[1::2] + 1
+        self.spans = base_spans(text)
+        cover = np.zeros(len(self.code) + 1, np.int32)
+        for start, kind, end in self.spans:
+            if kind == 0:  # without the name before the value
+                start = FORMATS[0][1].match(text, start).start(2)
+            cover[start + 1] += 1
+            cover[end + 1] -= 1
+        covered = np.concatenate(([0], np.cumsum(np.cumsum(cover) > 0)))
+        self.random = covered[self.end] > covered[self.start]
+
+    def pairs(self) -> np.ndarray:
+        """The transition into each place after the first."""
+        return self.code[:-1] * _SIZE + self.code[1:]
+
+    def best(self, ratio: np.ndarray) -> np.ndarray:
+        """For each run the largest sum of ratios over a segment of it."""
+        if not len(self.start):
+            return np.zeros(0)
+        into = np.concatenate(([0.0], ratio[self.pairs()]))
+        total = np.cumsum(into)
+        # the least sum before each place within its run: every run is lowered below all before it, so that minima don't cross
+        inside = np.repeat(np.arange(len(self.start)), self.end - self.start)
+        place = np.flatnonzero(self.code)
+        upto = total[place] - np.repeat(total[self.start - 1], self.end - self.start)
+        before = upto - into[place]
+        fall = before.max() - before.min() + 1.0
+        low = np.minimum.accumulate(before - inside * fall) + inside * fall
+        return np.maximum.reduceat(upto - low, np.flatnonzero(np.diff(inside, prepend=-1)))
+
+    def segments(self, i: int, ratio: np.ndarray, least: float) -> list[tuple[int, int, float]]:
+        """(start, end, sum) of run i's segments above ``least``, in the text: the best one, then those left and right of it."""
+        into = ratio[self.code[self.start[i] - 1 : self.end[i] - 1] * _SIZE + self.code[self.start[i] : self.end[i]]]
+        found, open_ = [], [(0, len(into))]
+        while open_:
+            lo, hi = open_.pop()
+            if lo >= hi:
+                continue
+            total = np.concatenate(([0.0], np.cumsum(into[lo:hi])))
+            rise = total[1:] - np.minimum.accumulate(total[:-1])
+            last = int(rise.argmax())
+            if rise[last] <= least:
+                continue
+            first = int(total[: last + 1].argmin())
+            # up to the next sign on either side: what a key ends in may look ordinary
+            signs = np.flatnonzero(_SIGN[self.code[self.start[i] + lo : self.start[i] + hi]])
+            at = np.searchsorted(signs, (first, last + 1))
+            first = int(signs[at[0] - 1]) + 1 if at[0] else 0
+            last = int(signs[at[1]]) - 1 if at[1] < len(signs) else hi - lo - 1
+            found.append((int(self.start[i]) - 1 + lo + first, int(self.start[i]) + lo + last, float(rise.max())))
+            open_ += [(lo, lo + first), (lo + last + 1, hi)]
+        return found
 
 
 def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count = np.zeros((2, _SIZE * _SIZE), np.int64)
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            if not text:
-                continue
-            _, code, start, end, random, open_, _ = _labelled(text)
-            pair = code[:-1] * _SIZE + code[1:]
-            every = np.bincount(pair, minlength=_SIZE * _SIZE)
-            for i in np.flatnonzero(random | open_):
-                of = np.bincount(pair[start[i] - 1 : end[i]], minlength=_SIZE * _SIZE)
-                count[1] += of * random[i]
-                every = every - of
-            count[0] += every
+            if text:
+                t = _Text(text)
+                label = np.zeros(len(t.code), bool)
+                label[np.flatnonzero(t.code)] = np.repeat(t.random, t.end - t.start)
+                pair = t.pairs()
+                for k in (0, 1):
+                    count[k] += np.bincount(pair[label[1:] == bool(k)], minlength=_SIZE * _SIZE)
     label, pair = np.nonzero(count)
     yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(pair), pa.array(count[label, pair])], ["label", "pair", "n"])
 
@@ -113,21 +141,15 @@ def ratios(count: np.ndarray) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _scores(code: np.ndarray, start: np.ndarray, end: np.ndarray, ratio: np.ndarray) -> np.ndarray:
-    total = np.concatenate(([0.0], np.cumsum(ratio[code[:-1] * _SIZE + code[1:]])))
-    return (total[end - 1] - total[start - 1]) / (end - start)
-
-
 def _histograms(ratio):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = np.zeros((2, len(_BINS) + 1), np.int64)
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if text:
-                    _, code, start, end, random, open_, _ = _labelled(text)
-                    long = (end - start >= LEAST // 2) & ~open_
-                    bins = np.digitize(_scores(code, start[long], end[long], ratio), _BINS)
-                    for k, of in enumerate((~random[long], random[long])):
+                    t = _Text(text)
+                    bins = np.digitize(t.best(ratio), _BINS)
+                    for k, of in enumerate((~t.random, t.random)):
                         count[k] += np.bincount(bins[of], minlength=len(_BINS) + 1)
         label, bin_ = np.nonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(bin_), pa.array(count[label, bin_])], ["label", "bin", "n"])
@@ -136,12 +158,12 @@ def _histograms(ratio):
 
 
 def threshold(count: np.ndarray) -> float:
-    """Between the top of the ordinary runs and the bottom of the random ones; never below the former, nor below 0.5 bits."""
+    """``BITS`` above the top of the ordinary runs, or up to twice that if it stays below the bottom of the random ones."""
     share = np.cumsum(count, 1) / np.maximum(count.sum(1, keepdims=True), 1)
     edges = np.append(_BINS, _BINS[-1])
-    ordinary = edges[np.argmax(share[0] >= ORDINARY_BELOW)] if count[0].any() else 0.5
-    random = edges[max(0, np.argmax(share[1] >= RANDOM_ABOVE) - 1)] if count[1].any() else ordinary
-    return float(max(0.5, ordinary, (ordinary + random) / 2))
+    ordinary = edges[np.argmax(share[0] >= ORDINARY_BELOW)] if count[0].any() else 0.0
+    random = edges[max(0, np.argmax(share[1] > RANDOM_ABOVE) - 1)] if count[1].any() else 0.0
+    return float(max(ordinary + BITS, min(ordinary + 2 * BITS, random)))
 
 
 def _scan(model):
@@ -153,14 +175,10 @@ def _scan(model):
             for text in batch.column(1).to_pylist():
                 found = []
                 if text:
-                    bytes_, code, start, end, _, open_, spans = _labelled(text)
-                    found = [(s, k, e, None) for s, k, e in spans]
-                    if open_.any():
-                        start, end = start[open_], end[open_]
-                        score = _scores(code, start, end, ratio)
-                        for i in np.flatnonzero(score > least):
-                            at = len(bytes(bytes_[: start[i] - 1]).decode("utf-8", "surrogatepass"))
-                            found.append((at, len(FORMATS), at + int(end[i] - start[i]), float(score[i])))
+                    t = _Text(text)
+                    found = [(s, k, e, None) for s, k, e in t.spans]
+                    for i in np.flatnonzero((t.best(ratio) > least) & ~t.random):
+                        found += [(s, len(FORMATS), e, x) for s, e, x in t.segments(i, ratio, least)]
                 out.append([{"kind": KINDS[k], "start": s, "end": e, "score": x} for s, k, e, x in sorted(found, key=lambda f: f[:2])])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "spans"])
 
@@ -184,8 +202,8 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, float]:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: tuple[np.ndarray, float] | None = None) -> DataFrame:
     """(doc_id, spans array<struct<kind, start, end, score>>) for each row, spans in code points, by start and kind.
 
-    Kinds: assign, access, hex by fixed formats; markov for runs of 20 or more identifier characters with a letter and a digit
-    that the models take for random and no fixed format matches. Null counts as empty and has no spans; null and repeated ids
+    Kinds: assign, access, hex by fixed formats; markov for segments of runs of identifier characters that no fixed format
+    touches and that the models take for random; their score is the sum of log ratios in bits. Null counts as empty and has no spans; null and repeated ids
     each give their row; other columns are ignored; an empty table gives an empty result.
     """
     model = model or train(docs, text_col)
