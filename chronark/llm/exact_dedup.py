@@ -39,9 +39,10 @@ def flag_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     digests = _runtime.cut(_digests(docs, id_col, text_col))
     winners = _runtime.cut(frequent(digests))
     marked = digests.join(F.broadcast(winners), "text_sha256", "left")
-    rest = marked.where("group_size IS NULL").select(
-        "text_sha256", "doc_id", F.expr("max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id"), F.expr("count(1) OVER (PARTITION BY text_sha256) AS group_size")
-    )
+    # an aggregate combines before its shuffle and a skewed join is split: no digest is put in order by one task
+    rest = marked.where("group_size IS NULL").select("text_sha256", "doc_id")
+    groups = rest.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    rest = rest.join(groups, "text_sha256").select("text_sha256", "doc_id", "keep_id", "group_size")
     every = marked.where("group_size IS NOT NULL").select("text_sha256", "doc_id", "keep_id", "group_size").union(rest)
     return every.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
 
