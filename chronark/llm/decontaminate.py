@@ -2,13 +2,15 @@
 
 Texts and test items are compared as lower-cased words with one space between. An item of n characters may differ by
 ``rate * n`` edits: cut into one piece more than that, one piece at least is found unchanged. An Aho-Corasick automaton finds
-the pieces, and Myers' bit-parallel distance verifies the item around each hit.
+the pieces, and Myers' bit-parallel distance verifies the item around each hit. Items of fewer than 1 / rate characters have no
+edits: they are found where their words stand as they are.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -18,8 +20,6 @@ from pyspark.sql import functions as F
 from chronark.llm import _runtime
 
 RATE = 0.08
-#: Items of fewer normalised characters say too little to be searched.
-LEAST = 24
 #: Characters of items that one automaton holds; more are searched in blocks of that size.
 BLOCK_CHARS = 4_000_000
 _WORDS = re.compile(r"\w+")
@@ -75,7 +75,7 @@ class Items:
         by_piece: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
             text = normalised(text)
-            if len(text) < LEAST:
+            if not text:
                 continue
             edits = int(len(text) * rate)
             for offset, piece in pieces(text, edits):
@@ -97,6 +97,11 @@ class Items:
             for k, offset in of:
                 _, item, edits, mask = self.items[k]
                 start = end + 1 - length - offset
+                if not edits:
+                    whole = (start == 0 or text[start - 1] == " ") and (end + 1 == len(text) or text[end + 1] == " ")
+                    if whole:
+                        best.setdefault(k, (0, start, end + 1))
+                    continue
                 if best.get(k, (edits + 1,))[0] == 0:
                     continue
                 # hits along one diagonal band are one window: a window covers starts from -edits to +edits
@@ -110,13 +115,22 @@ class Items:
         return sorted((self.items[k][0], lo, hi, d) for k, (d, lo, hi) in best.items())
 
 
-def _search(items, rate: float):
+KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("distance", pa.int64())]))
+
+
+def _hits(ready: Items, text: str | None) -> list[dict]:
+    return [dict(zip(("item_id", "start", "end", "distance"), h, strict=True)) for h in ready.find(text)]
+
+
+def _search(items, rate: float, some: bool):
+    """The hits of each text; ``some``: only texts with any, with the id and the text's hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = Items(items.value, rate)
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("distance", pa.int64())]))
         for batch in batches:
-            hits = [[dict(zip(("item_id", "start", "end", "distance"), h, strict=True)) for h in ready.find(t)] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, kind), *batch.columns[2:]], ["doc_id", "hits", *batch.schema.names[2:]])
+            hits = [_hits(ready, t) for t in batch.column(1).to_pylist()]
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, KIND), *batch.columns[2:]], ["doc_id", "hits", *batch.schema.names[2:]])
+            yield out.filter(pa.array([bool(h) for h in hits], pa.bool_())) if some else out
 
     return run
 
@@ -133,36 +147,50 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[list
 HITS = "array<struct<item_id:long,start:long,end:long,distance:long>>"
 
 
+def _block_by_block(rows: DataFrame, blocks: Iterator[list[tuple[int, str]]], rate: float) -> DataFrame:
+    """(doc_id, text_hash, hits) of the texts with hits. One block is held at a time: its hits are written before the next is sent."""
+    found = []
+    for items in blocks:
+        sent = rows.sparkSession.sparkContext.broadcast(items)
+        found.append(_runtime.cut(rows.mapInArrow(_search(sent, rate, True), f"doc_id long, hits {HITS}, text_hash long").dropDuplicates(["doc_id", "text_hash"])))
+        sent.unpersist()
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    return every.groupBy("doc_id", "text_hash").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, contaminated, n_items, hits) for each row: the test items its whole text holds within ``rate`` edits a character.
 
-    ``hits`` has one entry for each item, at its nearest place in the normalised text. Items with a null id or text, or of
-    fewer than 24 normalised characters, are not searched. Null and empty texts have no hits; null and repeated ids each give
-    their row; other columns are ignored; empty tables give an empty result or no hits.
+    ``hits`` has one entry for each item, at its nearest place in the normalised text. Items with a null id or text, or without
+    a word, are not searched. Null and empty texts have no hits; null and repeated ids each give their row; other columns are
+    ignored; empty tables give an empty result or no hits.
     """
-    context = docs.sparkSession.sparkContext
     rows = _runtime.in_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = list(map(context.broadcast, _blocks(benchmark, item_col, item_text_col)))
-    found = rows.mapInArrow(_search(blocks[0], rate), f"doc_id long, hits {HITS}")
-    if len(blocks) > 1:
-        keyed = rows.withColumn("text_hash", F.xxhash64("text"))
-        schema = f"doc_id long, hits {HITS}, text_hash long"
-        parts = [keyed.mapInArrow(_search(b, rate), schema) for b in blocks]
-        found = parts[0]
-        for part in parts[1:]:
-            more = part.where("size(hits) > 0").dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("hits").alias("more"))
-            found = found.join(more, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("text_hash").eqNullSafe(F.col("h")), "left").select("doc_id", F.concat("hits", F.coalesce("more", F.array().cast(HITS))).alias("hits"), "text_hash")
-        found = found.select("doc_id", F.array_sort("hits").alias("hits"))
+    blocks = _blocks(benchmark, item_col, item_text_col)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        found = rows.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(first), rate, False), f"doc_id long, hits {HITS}")
+    else:
+        rows = rows.withColumn("text_hash", F.xxhash64("text"))
+        some = _block_by_block(rows, chain((first, second), blocks), rate).select(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_hash"), "hits")
+        found = rows.join(some, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_hash") == F.col("of_hash")), "left")
+        found = found.select("doc_id", F.coalesce("hits", F.array().cast(HITS)).alias("hits"))
     return found.select("doc_id", (F.size("hits") > 0).alias("contaminated"), F.size("hits").cast("long").alias("n_items"), "hits")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a test item; all columns and all other rows stay as they are."""
-    context = docs.sparkSession.sparkContext
-    for block in map(context.broadcast, _blocks(benchmark, "item_id", "text")):
+    """``docs`` without the rows that hold a test item; all columns and all other rows stay as they are.
+
+    Null and empty texts stay, null ids and repeated rows are judged each by its text; empty tables drop nothing. Each block of
+    items is searched in what the ones before left.
+    """
+    for items in _blocks(benchmark, "item_id", "text"):
+        sent = docs.sparkSession.sparkContext.broadcast(items)
 
-        def keep(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            ready = Items(block.value, rate)
+        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ready = Items(sent.value, rate)
             for batch in batches:
                 yield batch.filter(pa.array([not ready.find(t) for t in batch.column(text_col).to_pylist()], pa.bool_()))
 
