@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import defaultdict
 
+import pytest
+
 from chronark.llm import mixing, sharding
 from tests.llm.conftest import prose
 
@@ -62,14 +64,69 @@ def test_mix_meets_targets(spark):
     assert seen == {i: k for i, k in copies.items() if k}
 
 
-def test_runs_of_a_hot_source(spark, monkeypatch):
-    rows = docs_of(2)
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    whole = sorted((r.doc_id, r.taken, r.finish) for r in mixing.plan(df).collect())
-    monkeypatch.setattr(mixing, "RUN", 20)
-    parts = sorted((r.doc_id, r.taken, r.finish) for r in mixing.plan(df).collect())
-    assert [x[0] for x in whole] == [x[0] for x in parts]
-    assert abs(sum(x[1] for x in whole) - sum(x[1] for x in parts)) <= 60
+def brute_copies(got, weights=(5, 2, 1), most=3):
+    """Plain weighted fair queueing: each source's documents in the plan's order, ``most`` times; what finishes first is taken."""
+    names = sorted({r.source for r in got}, key=lambda s: (s is None, s or ""))
+    queue, budget = [], sum(r.size for r in got)
+    for k, name in enumerate(names):
+        mine = sorted((r for r in got if r.source == name and r.size), key=lambda r: r.finish)
+        upto = 0
+        for lap in range(most):
+            for r in mine:
+                upto += r.size
+                queue.append((upto / weights[k % len(weights)], r.doc_id, r.size))
+                if lap == 0:
+                    assert abs(r.finish - queue[-1][0]) < 1e-6 * max(1, r.finish)
+    taken, copies = 0, defaultdict(int)
+    for _, i, size in sorted(queue):
+        if taken + size > budget:
+            break
+        taken += size
+        copies[i] += 1
+    return copies
+
+
+@pytest.mark.parametrize("ordered, run", [(50_000, 4_000), (40, 4_000), (40, 20)])
+def test_mix_equals_plain_queueing(spark, monkeypatch, ordered, run):
+    monkeypatch.setattr(mixing, "ORDERED", ordered)
+    monkeypatch.setattr(mixing, "RANGES", 8 if ordered < 100 else 4096)
+    monkeypatch.setattr(mixing, "RUN", run)
+    got = mixing.plan(spark.createDataFrame(docs_of(2), "doc_id long, text string, source string")).collect()
+    want = brute_copies(got)
+    # documents that finish at one time are taken together or not at all: one of a source at most differs
+    assert sum(want[r.doc_id] != r.copies for r in got) <= 2
+    assert all(abs(want[r.doc_id] - r.copies) <= 1 for r in got)
+
+
+def test_mix_is_in_order_of_finish(spark):
+    df = spark.createDataFrame(docs_of(3, 300), "doc_id long, text string, source string")
+    plan = {r.doc_id: r for r in mixing.plan(df).collect()}
+    want = sorted((p.finish + k * p.lap, i) for i, p in plan.items() for k in range(p.copies))
+    got = [r.doc_id for r in mixing.mix(df).collect()]
+    assert sorted(got) == sorted(i for _, i in want)
+    seen, times = defaultdict(int), []
+    for i in got:
+        times.append(plan[i].finish + seen[i] * plan[i].lap)
+        seen[i] += 1
+    assert times == sorted(times)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_repeated_rows_share_what_is_taken(spark, parts):
+    rows = docs_of(4, 60) + [(1000, "one two three four", "hot")] * 50 + [(1000, "one two three four", "Z")] * 9 + [(None, None, None)] * 3
+    df = spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "doc_id long, text string, source string, row long").repartition(parts)
+    plan, want = mixing.plan(df).collect(), defaultdict(int)
+    for r in plan:
+        want[r.doc_id, r.source] += r.copies if r.size else 1
+    got, each = defaultdict(int), defaultdict(int)
+    for r in mixing.mix(df).collect():
+        got[r.doc_id, r.source] += 1
+        each[r.row] += 1
+    assert got == {k: n for k, n in want.items() if n}
+    assert max(each.values()) <= 3
+    for source, n in (("hot", 50), ("Z", 9)):
+        counts = [each[k] for k, r in enumerate(rows) if r[0] == 1000 and r[2] == source]
+        assert len(counts) == n and max(counts) - min(counts) <= 1
 
 
 def test_mix_of_odd_rows(odd, odd_rows, nothing):
@@ -103,17 +160,38 @@ def check_shards(rows, got, shards):
     return loads
 
 
+def plain_loads(rows, shards):
+    """Loads of plain longest-processing-time scheduling, group by group."""
+    groups, loads = defaultdict(int), [0] * shards
+    for _, text in rows:
+        groups[text or ""] += len((text or "").encode()) + 1
+    for size in sorted(groups.values(), reverse=True):
+        loads[loads.index(min(loads))] += size
+    return loads
+
+
 def test_shards(spark, odd, odd_rows, nothing, monkeypatch):
     rng = random.Random(7)
-    rows = [(i, prose(rng, rng.randint(1, 80)) if i % 9 else "same text") for i in range(1500)]
+    rows = [(i, prose(rng, rng.choice([1, 3, rng.randint(1, 80)])) if i % 9 else "same text") for i in range(1500)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    loads = check_shards(rows, sharding.assign(df).collect(), 16)
-    assert max(loads) - min(loads) <= 0.01 * max(loads)
+    assert check_shards(rows, sharding.assign(df).collect(), 16) == plain_loads(rows, 16)
     monkeypatch.setattr(sharding, "RUN", 10)
-    check_shards(rows, sharding.assign(df, 5).collect(), 5)
-    check_shards([(r[0], r[1]) for r in odd_rows], sharding.assign(odd, 4).collect(), 4)
+    assert check_shards(rows, sharding.assign(df, 5).collect(), 5) == plain_loads(rows, 5)
+    odd_texts = [(r[0], r[1]) for r in odd_rows]
+    assert check_shards(odd_texts, sharding.assign(odd, 4).collect(), 4) == plain_loads(odd_texts, 4)
     assert sharding.assign(nothing).collect() == []
 
 
-def test_schedule_is_longest_first():
-    assert sharding.schedule([(1, 3), (2, 9), (3, 5), (4, 5)], 2) == {2: 0, 3: 1, 4: 1, 1: 0}
+@pytest.mark.parametrize("seed", range(20))
+def test_size_classes_are_scheduled_as_single_groups(seed):
+    rng = random.Random(seed)
+    shards = rng.choice([1, 2, 5, 16])
+    classes = [(s, rng.choice([1, 2, 5, 50, 400])) for s in rng.sample(range(1, 200), rng.randint(1, 20))]
+    loads, want = [0] * shards, {}
+    for size, count in sorted(classes, reverse=True):
+        want[size] = [0] * shards
+        for _ in range(count):
+            k = loads.index(min(loads))
+            loads[k] += size
+            want[size][k] += 1
+    assert sharding.schedule(classes, shards) == want
