@@ -12,13 +12,17 @@ from pyspark.sql import types as T
 
 #: Words that carry no topic.
 STOP_WORDS = (
-    "the", "and", "for", "with", "from", "that", "this", "was", "were", "are", "has", "have", "had", "will", "would", "its", "their",
-    "his", "her", "our", "your", "but", "not", "you", "all", "can", "could", "been", "more", "about", "after", "into", "over", "than", "says", "said",
+    "the", "and", "for", "with", "from", "that", "this", "their", "there",
+    "into", "over", "after", "before", "once", "again", "since", "than", "then",
+    "was", "were", "are", "has", "have", "had", "its", "his", "her", "will",
+    "not", "but", "all", "any", "new", "now", "out", "off", "own", "per",
+    "says", "said", "say", "amid", "also", "more", "most", "some", "such",
+    "who", "why", "how", "what", "when", "where", "which", "while", "you",
 )
 #: Query parameters that only track.
 TRACKING = (
-    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "fbclid", "gclid", "mc_cid", "mc_eid", "igshid",
-    "ref", "ref_src", "cmpid", "source",
+    "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id",
+    "fbclid", "gclid", "msclkid", "mc_cid", "mc_eid", "ref", "source", "cmpid", "s_cid",
 )
 
 
@@ -84,26 +88,26 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def content_hash(title: Column, body: Column) -> Column:
-    return F.sha2(normalize_ascii(F.concat_ws(" ", title, body)), 256)
+    return F.sha2(normalize(F.concat_ws(" ", title, F.coalesce(body, F.lit("")))), 256)
 
 
 def similarity_text(title: Column, summary: Column) -> Column:
-    return F.concat_ws(" ", title, summary)
+    """Title and summary, where there is one that isn't blank."""
+    return F.concat_ws(" ", title, F.when(F.trim(summary) != "", summary))
 
 
 def canonical_url(url: Column) -> Column:
-    """Lower-case scheme and host without www., no port, fragment, last slash or tracking parameters, parameters sorted.
-
-    What isn't an absolute URL comes back trimmed.
-    """
+    """Lower-case scheme (https if none) and host without www., decoded path and query; no port, fragment, slash at the end of a
+    longer path, or tracking parameters; parameters sorted. What isn't a URL comes back trimmed."""
     url = F.trim(url)
     part = lambda what: F.try_parse_url(url, F.lit(what))
-    host = F.regexp_replace(F.lower(part("HOST")), r"^www\.", "")
-    path = F.regexp_replace(F.coalesce(part("PATH"), F.lit("")), "/$", "")
-    kept = F.filter(F.split(F.coalesce(part("QUERY"), F.lit("")), "&"), lambda p: (p != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(*TRACKING))
+    decoded = lambda c: F.try_url_decode(F.replace(F.coalesce(c, F.lit("")), F.lit("+"), F.lit("%2B")))
+    host = F.regexp_replace(F.lower(F.coalesce(part("HOST"), F.lit(""))), r"^www\.", "")
+    path = F.regexp_replace(decoded(part("PATH")), "(?<=.)/$", "")
+    kept = F.filter(F.split(decoded(part("QUERY")), "&"), lambda p: (F.trim(p) != "") & ~F.lower(F.substring_index(p, "=", 1)).isin(*TRACKING))
     query = F.array_join(F.array_sort(kept), "&")
-    built = F.concat(F.lower(part("PROTOCOL")), F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
-    return F.coalesce(built, url)
+    built = F.concat(F.coalesce(F.lower(part("PROTOCOL")), F.lit("https")), F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+    return F.when(F.coalesce(part("PATH"), part("PROTOCOL")).isNotNull(), F.coalesce(built, url)).otherwise(url)
 
 
 def truncate(text: Column, most: int, marker: str = "") -> Column:

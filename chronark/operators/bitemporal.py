@@ -248,40 +248,58 @@ def delete_objects(objects: DataFrame, deletions: DataFrame) -> DataFrame:
     return rows.withColumn("deleted_at", F.coalesce("deleted_at", "at")).select(*objects.columns)
 
 
-def link_objects(assertions: DataFrame, cardinality: str, symmetric: bool = False) -> DataFrame:
-    """State of one link type from assertions (link_type, from_id, to_id, weight, valid_from, recorded_at, seq) in order.
+LINK = ("link_type", "from_id", "to_id", "weight", "valid_from", "valid_to", "recorded_at", "retracted_at")
 
-    A repeated open link is no change. Where a source may have one target (ONE_TO_ONE, MANY_TO_ONE), or a target one source
-    (ONE_TO_ONE, ONE_TO_MANY), the next link closes the one before. Symmetric types get the reverse edge too.
+
+def link_objects(assertions: DataFrame, cardinality: str, symmetric: bool = False, state: DataFrame | None = None) -> DataFrame:
+    """Links of one type after assertions (link_type, from_id, to_id, weight, valid_from, recorded_at, seq), in the order in which they were recorded.
+
+    A link that is open is not asserted again. Where a source may have one target (ONE_TO_ONE, MANY_TO_ONE), or a target one
+    source (ONE_TO_ONE, ONE_TO_MANY), the next link of the source or target closes it if it begins later; of links that begin
+    at one instant none closes another. Symmetric types get the reverse link too. ``state`` holds links from before; its open
+    ones take part like any other, all its columns stay.
+
+    Whether a link is open when it is asserted again depends on the last links of its source and of its target only: windows
+    on either side decide it, and no group of linked objects is gathered.
     """
-    rows = assertions.where("from_id <> to_id")
+    rows = assertions.where("from_id <> to_id").select(*(c for c in LINK if c not in ("valid_to", "retracted_at")), "seq", F.lit(False).alias("old"))
     if symmetric:
-        rows = rows.unionByName(rows.withColumnRenamed("from_id", "x").withColumnRenamed("to_id", "from_id").withColumnRenamed("x", "to_id")).dropDuplicates(["link_type", "from_id", "to_id", "seq"])
-    order = ("valid_from", "recorded_at", "seq")
+        back = rows.select(*(F.col({"from_id": "to_id", "to_id": "from_id"}.get(c, c)).alias(c) for c in rows.columns))
+        rows = rows.unionByName(back).dropDuplicates(["link_type", "from_id", "to_id", "seq"])
+    done = None
+    if state is not None:
+        current = temporal.is_current()
+        done = state.where(~current).select(*LINK)
+        rows = rows.unionByName(state.where(current).select(*(c for c in LINK if c not in ("valid_to", "retracted_at")), F.lit(0).cast("long").alias("seq"), F.lit(True).alias("old")))
+    of_source = cardinality in ("ONE_TO_ONE", "MANY_TO_ONE")
+    of_target = cardinality in ("ONE_TO_ONE", "ONE_TO_MANY")
+    sides = [["link_type", "from_id"]] * of_source + [["link_type", "to_id"]] * of_target or [["link_type", "from_id", "to_id"]]
+    order = (F.desc("old"), "recorded_at", "seq", "valid_from", "from_id", "to_id")
+    again = F.lit(True)
+    for side in sides:
+        last = F.lag(F.struct("from_id", "to_id")).over(W.partitionBy(*side).orderBy(*order))
+        again = again & F.coalesce(last == F.struct("from_id", "to_id"), F.lit(False))
+    rows = rows.withColumn("again", again).where("NOT again").drop("again")
     ends = []
-    if cardinality in ("ONE_TO_ONE", "MANY_TO_ONE"):
-        w = W.partitionBy("link_type", "from_id").orderBy(*order)
-        rows = rows.withColumn("last_to", F.lag("to_id").over(w)).where("last_to IS NULL OR last_to <> to_id").drop("last_to")
-        rows = rows.withColumn("end_from", F.lead("valid_from").over(w))
-        ends.append("end_from")
-    if cardinality in ("ONE_TO_ONE", "ONE_TO_MANY"):
-        w = W.partitionBy("link_type", "to_id").orderBy(*order)
-        rows = rows.withColumn("end_to", F.lead("valid_from").over(w))
-        ends.append("end_to")
-    if cardinality == "MANY_TO_MANY":
-        first = W.partitionBy("link_type", "from_id", "to_id").orderBy(*order)
-        rows = rows.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
+    for side in sides if of_source or of_target else []:
+        ends.append(f"end_{side[-1]}")
+        later = W.partitionBy(*side).orderBy(F.unix_micros("valid_from")).rangeBetween(1, W.unboundedFollowing)
+        rows = rows.withColumn(ends[-1], F.min("valid_from").over(later))
     end = F.least(*map(F.col, ends)) if len(ends) > 1 else F.col(ends[0]) if ends else F.lit(None).cast("timestamp")
-    return rows.select("link_type", "from_id", "to_id", "weight", "valid_from", end.alias("valid_to"), "recorded_at", F.lit(None).cast("timestamp").alias("retracted_at"))
+    out = rows.withColumn("valid_to", end).withColumn("retracted_at", F.lit(None).cast("timestamp")).select(*LINK)
+    return out if done is None else done.unionByName(out)
 
 
 def unlink_objects(links: DataFrame, ends: DataFrame, symmetric: bool = False) -> DataFrame:
-    """(link_type, from_id, to_id, until): open links get that end, both directions if symmetric."""
+    """(link_type, from_id, to_id, until): open links that began before get that end, both directions if symmetric; of several
+    ends of one link, the earliest that is later than its start."""
     e = ends.select("link_type", "from_id", "to_id", "until")
     if symmetric:
-        e = e.union(e.select("link_type", "to_id", "from_id", "until")).dropDuplicates(["link_type", "from_id", "to_id"])
+        e = e.union(e.select("link_type", "to_id", "from_id", "until"))
+    e = e.groupBy("link_type", "from_id", "to_id").agg(F.sort_array(F.collect_set("until")).alias("untils"))
     rows = links.join(e, ["link_type", "from_id", "to_id"], "left")
-    return rows.withColumn("valid_to", F.when(temporal.is_current() & F.col("until").isNotNull(), F.col("until")).otherwise(F.col("valid_to"))).select(*links.columns)
+    until = F.try_element_at(F.filter("untils", lambda u: u > F.col("valid_from")), F.lit(1))
+    return rows.withColumn("valid_to", F.when(temporal.is_current(), F.coalesce(until, "valid_to")).otherwise(F.col("valid_to"))).select(*links.columns)
 
 
 def check_invariants(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -95,13 +95,14 @@ def _scalar(v: Column, f: Field) -> Conformed:
     as_text = F.try_variant_get(v, "$", "string")
     if f.kind in ("NUMBER", "INTEGER"):
         x = F.try_variant_get(v, "$", "double")
-        x = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.rint(x) if f.kind == "INTEGER" else x)
+        x = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
         held = x
         if f.low is not None:
             held = F.greatest(held, F.when(x.isNotNull(), F.lit(float(f.low))))
         if f.high is not None:
             held = F.least(held, F.when(x.isNotNull(), F.lit(float(f.high))))
-        return Conformed(held, F.coalesce(held != x, F.lit(False)), there & x.isNull())
+        # first within bounds, then rounded: what the bound changes is reported, what rounding changes isn't
+        return Conformed(F.rint(held) if f.kind == "INTEGER" else held, F.coalesce(held != x, F.lit(False)), there & x.isNull())
     if f.kind == "BOOLEAN":
         x = F.when(F.lower(as_text) == "true", True).when(F.lower(as_text) == "false", False)
         return Conformed(x, F.lit(False), there & x.isNull())
@@ -109,7 +110,9 @@ def _scalar(v: Column, f: Field) -> Conformed:
         x = F.coalesce(*(F.when(F.lower(F.trim(as_text)) == value.lower(), F.lit(value)) for value in f.values))
         return Conformed(x, F.lit(False), there & x.isNull())
     if f.kind == "TEXT_LIST":
-        x = F.coalesce(F.try_variant_get(v, "$", "array<string>"), F.when(F.schema_of_variant(v).isin("STRING", "BIGINT", "BOOLEAN") | F.schema_of_variant(v).startswith("DECIMAL"), F.array(as_text)))
+        plain = F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda e: ~F.schema_of_variant(e).rlike("^(OBJECT|ARRAY|VOID)"))
+        listed = F.filter(F.transform(plain, lambda e: F.trim(F.try_variant_get(e, "$", "string"))), lambda t: t != "")
+        x = F.coalesce(listed, F.when(F.schema_of_variant(v).isin("STRING", "BIGINT", "BOOLEAN") | F.schema_of_variant(v).startswith("DECIMAL"), F.array(as_text)))
         return Conformed(x, F.lit(False), there & x.isNull())
     return Conformed(as_text, F.lit(False), there & as_text.isNull())
 

@@ -23,15 +23,32 @@ def vintage_ranges(observations: DataFrame) -> DataFrame:
 
 
 def write_observations(points: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Assertions for the points whose (object, valid_from) has no value yet; recorded when the vintage began."""
+    """Assertions for the points whose (object, valid_from) has no value yet; recorded when the vintage began. Label and period
+    stay open, value and revision end with the vintage."""
     rows = points.withColumn("object_id", text.external_id("FRED", F.col("series").cast("string"), F.col("period").cast("string")))
     if existing is not None:
         have = existing.where("retracted_at IS NULL AND property = 'value'").select("object_id", F.col("valid_from").cast("date").alias("vintage_from"))
         rows = rows.join(have.distinct(), ["object_id", "vintage_from"], "left_anti")
-    each = F.explode(F.array(F.struct(F.lit("value").alias("property"), F.col("value").cast("string").alias("value")), F.struct(F.lit("revision").alias("property"), F.col("is_revision").cast("string").alias("value")))).alias("p")
     start, end = F.col("vintage_from").cast("timestamp"), F.col("vintage_to").cast("timestamp")
-    rows = rows.select("object_id", each, start.alias("valid_from"), end.alias("valid_to"), F.xxhash64("object_id", "vintage_from").alias("seq"))
-    return rows.select("object_id", "p.property", F.lit(0).alias("ordinal"), "p.value", F.lit("set").alias("op"), "valid_from", "valid_to", F.col("valid_from").alias("recorded_at"), "seq")
+    one = lambda name, value, until: F.struct(F.lit(name).alias("property"), value.cast("string").alias("value"), until.alias("until"))
+    none = F.lit(None).cast("timestamp")
+    each = F.explode(F.array(one("label", F.concat_ws(" ", "series", "period"), none), one("period", F.col("period"), none), one("value", F.col("value"), end), one("revision", F.col("is_revision"), end))).alias("p")
+    rows = rows.select("object_id", each, start.alias("valid_from"), F.xxhash64("object_id", "vintage_from").alias("seq"))
+    return rows.select("object_id", "p.property", F.lit(0).alias("ordinal"), "p.value", F.lit("set").alias("op"), "valid_from", F.col("p.until").alias("valid_to"), F.col("valid_from").alias("recorded_at"), "seq")
+
+
+def observation_links(points: DataFrame) -> DataFrame:
+    """OBSERVATION_OF links of each point's observation to its series' indicator: many to one, from the first vintage on."""
+    rows = points.groupBy("series", "period").agg(F.min("vintage_from").cast("timestamp").alias("valid_from"))
+    rows = rows.withColumn("from_id", text.external_id("FRED", F.col("series").cast("string"), F.col("period").cast("string"))).withColumn("to_id", text.external_id("FRED", F.col("series").cast("string")))
+    return rows.select(F.lit("OBSERVATION_OF").alias("link_type"), "from_id", "to_id", F.lit(None).cast("double").alias("weight"), "valid_from", F.col("valid_from").alias("recorded_at"), F.xxhash64("from_id").alias("seq"))
+
+
+def indicator_assertions(meta: DataFrame, at: Column) -> DataFrame:
+    """Title and units of each series' indicator from (series, title, units), valid from ``at``."""
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("property"), F.col(p).alias("value")) for p in ("title", "units")))).alias("p")
+    rows = meta.select(text.external_id("FRED", F.col("series").cast("string")).alias("object_id"), each, F.xxhash64("series").alias("seq"))
+    return rows.select("object_id", "p.property", F.lit(0).alias("ordinal"), "p.value", F.lit("set").alias("op"), at.alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), at.alias("recorded_at"), "seq").where("value <> ''")
 
 
 def known_at(points: DataFrame, t: Column) -> DataFrame:

@@ -10,27 +10,42 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronark.functions import text
+from chronark.operators import graph
 from chronark.operators.query import Catalog, Link, Property
 
 WINDOW_H = 72
 THRESHOLD = 0.45
-#: Fixed values. Keywords are compared with stemmed tokens; event types are listed in the order in which ties are decided.
+#: Keywords of event types, as they are compared with stemmed tokens. Ties go to the type listed first.
 EVENTS = {
-    "HACK": ("hack", "exploit", "breach", "stolen", "drain", "attack"), "REGULATION": ("sec", "regulator", "lawsuit", "ban", "court", "regulation", "etf"),
-    "LISTING": ("list", "delist", "pair"), "PARTNERSHIP": ("partner", "partnership", "collaboration", "integrate"), "MACRO": ("fed", "inflation", "rate", "cpi", "economy"),
-    "UPGRADE": ("upgrade", "fork", "mainnet", "testnet"), "FUNDING": ("fund", "raise", "investment", "round"),
+    "REGULATORY": ("sec", "regulator", "lawsuit", "court", "ban", "approval", "compliance", "legislation"),
+    "MACRO": ("fed", "inflation", "cpi", "rate", "fomc", "gdp", "unemployment", "treasury", "yield"),
+    "SECURITY_INCIDENT": ("hack", "exploit", "breach", "stolen", "vulnerability", "attack"),
+    "LISTING": ("listing", "listed", "delist", "trading pair"),
+    "PROTOCOL": ("upgrade", "fork", "mainnet", "testnet", "halving", "merge"),
+    "FUNDING": ("raise", "funding", "series", "investment", "valuation"),
+    "PARTNERSHIP": ("partnership", "partners", "collaboration", "integration"),
+}
+#: Materiality before tone and speculation.
+BASE = {
+    "REGULATORY": 0.45, "MACRO": 0.45, "SECURITY_INCIDENT": 0.45, "PROTOCOL": 0.35, "LISTING": 0.35,
+    "FUNDING": 0.25, "PARTNERSHIP": 0.25, "MARKET_MOVE": 0.25, "OPINION": 0.15, "OTHER": 0.15,
 }
-BASE = {"HACK": 0.45, "REGULATION": 0.4, "LISTING": 0.3, "PARTNERSHIP": 0.25, "MACRO": 0.35, "UPGRADE": 0.3, "FUNDING": 0.25, "OTHER": 0.1}
-POSITIVE = ("gain", "surge", "rally", "approve", "bullish", "growth", "record", "win", "rise")
-NEGATIVE = ("loss", "crash", "plunge", "reject", "bearish", "decline", "fraud", "fall", "hack", "drop")
-SPECULATIVE = ("may", "might", "rumor", "could", "reportedly", "allegedly", "consider")
+#: Words of tone and of speculation.
+POSITIVE = ("surge", "rally", "gain", "approval", "approved", "record", "growth", "adoption", "bullish", "upgrade", "partnership", "inflow")
+NEGATIVE = ("crash", "plunge", "hack", "exploit", "ban", "lawsuit", "rejected", "delay", "delayed", "bearish", "outflow", "liquidation", "fraud")
+SPECULATIVE = ("could", "might", "rumor", "rumour", "reportedly", "speculation", "may", "expected")
 
 
 def ensure_schema(catalog: Catalog) -> Catalog:
     """``catalog`` with the types and links that articles and macro figures need, where they are missing."""
     wanted = {
-        "Asset": [Property("name", is_title=True)], "NewsArticle": [Property("title", is_title=True), Property("url"), Property("eventType", "ENUM"), Property("sentiment", "DECIMAL"), Property("materiality", "DECIMAL"), Property("sourceCount", "INTEGER")],
-        "MacroIndicator": [Property("title", is_title=True), Property("units")], "MacroObservation": [Property("label", is_title=True), Property("value", "DECIMAL"), Property("revision", "BOOLEAN")],
+        "Asset": [Property("name", is_title=True)],
+        "NewsArticle": [
+            Property("title", is_title=True), Property("url"), Property("publishedAt", "TIMESTAMP"), Property("summary"), Property("eventType", "ENUM"), Property("timeHorizon", "ENUM"),
+            Property("sentiment", "DECIMAL"), Property("materiality", "DECIMAL"), Property("speculation", "BOOLEAN"), Property("sourceCount", "INTEGER"),
+        ],
+        "MacroIndicator": [Property("title", is_title=True), Property("units")],
+        "MacroObservation": [Property("label", is_title=True), Property("period", "DATE"), Property("value", "DECIMAL"), Property("revision", "BOOLEAN")],
     }
     for name, properties in wanted.items():
         if name not in catalog.parents:
@@ -52,12 +67,16 @@ def dedup_url(items: DataFrame) -> DataFrame:
 def dedup_content(items: DataFrame, hours: int = WINDOW_H) -> DataFrame:
     """Items whose content no accepted item of the last ``hours`` had, in arrival order.
 
-    A chain along one hash: an item is dropped if the newest accepted publication isn't older than the window. Accepting is
-    decided by the running maximum, folded within a hash; hashes with one item take no Python.
+    An item is dropped if the newest accepted publication isn't older than the window. An item later than all before it by more
+    than the window is accepted whatever came before: there a content's items are split, and only the times of each part, where
+    it has several, are folded.
     """
     items = items.withColumn("content", text.content_hash(F.col("title"), F.coalesce("body", F.lit(""))))
-    items = items.withColumn("copies", F.count(F.lit(1)).over(W.partitionBy("content")))
-    single, several = items.where("copies = 1").drop("copies"), items.where("copies > 1").drop("copies")
+    window = F.expr(f"interval {hours} hours")
+    arrival = W.partitionBy("content").orderBy("seq")
+    rows = items.select("content", "seq", "published_at").withColumn("newest", F.max("published_at").over(arrival.rowsBetween(W.unboundedPreceding, -1)))
+    rows = rows.withColumn("free", (F.col("newest").isNull() | (F.col("newest") < F.col("published_at") - window)).cast("int"))
+    rows = rows.withColumn("part", F.sum("free").over(arrival)).withColumn("size", F.count(F.lit(1)).over(W.partitionBy("content", "part")))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
@@ -67,12 +86,14 @@ def dedup_content(items: DataFrame, hours: int = WINDOW_H) -> DataFrame:
             keep.append(ok)
             if ok:
                 newest = at if newest is None else max(newest, at)
-        return pdf[keep]
+        return pdf.loc[keep, ["content", "seq"]]
 
-    return single.unionByName(several.groupBy("content").applyInPandas(fold, several.schema))
+    kinds = dict(items.dtypes)
+    several = rows.where("size > 1").select("content", "part", "seq", "published_at").groupBy("content", "part").applyInPandas(fold, f"content string, seq {kinds['seq']}")
+    return items.join(rows.where("size = 1").select("content", "seq").unionByName(several), ["content", "seq"], "left_semi").select(*items.columns)
 
 
-def similar_pairs(items: DataFrame, threshold: float = THRESHOLD, percent: bool = False) -> DataFrame:
+def similar_pairs(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, similarity), a < b: items (seq, tokens) whose token sets reach the threshold.
 
     Tokens are ordered by frequency, rarest first; two sets that are similar share one of their first
@@ -90,50 +111,52 @@ def similar_pairs(items: DataFrame, threshold: float = THRESHOLD, percent: bool
     return met.join(x, "a").join(y, "b").select("a", "b", text.jaccard(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def greedy(items: list[tuple], matches: dict[int, list[tuple[int, float]]], hours: int = WINDOW_H) -> Iterator[tuple[int, int]]:
-    """(seq, leader's seq) for items (seq, published seconds) in arrival order: the best match among leaders still alive, else its own."""
+def greedy(items: list[tuple], near: dict[int, list[tuple[int, float]]], hours: int = WINDOW_H) -> Iterator[tuple[int, int]]:
+    """(seq, leader's seq) for items (seq, published seconds, token set) in arrival order: the best match among leaders still
+    alive, of equal ones the newest, else its own. ``near`` tells the similarity of other sets to a set."""
+    leaders: dict[int, list[int]] = {}
     last: dict[int, float] = {}
-    for seq, at in items:
-        alive = [(s, last[k], -k) for k, s in matches.get(seq, []) if k in last and last[k] >= at - hours * 3600]
+    for seq, at, tokens in items:
+        alive = [(s, last[k], -k) for other, s in [(tokens, 1.0), *near.get(tokens, [])] for k in leaders.get(other, []) if last[k] >= at - hours * 3600]
         if alive:
             leader = -max(alive)[2]
             last[leader] = max(last[leader], at)
         else:
             leader = seq
             last[seq] = at
+            leaders.setdefault(tokens, []).append(seq)
         yield seq, leader
 
 
-def cluster(items: DataFrame, threshold: float = THRESHOLD, hours: int = WINDOW_H, steps: int = 30) -> DataFrame:
+def cluster(items: DataFrame, threshold: float = THRESHOLD, hours: int = WINDOW_H) -> DataFrame:
     """(seq, cluster_seq): each item joins the most similar cluster by its first member's tokens that still gets items, or founds one.
 
-    Items only join leaders they match, so clusters lie within components of the similarity graph: these are found by label
-    propagation and each is folded in arrival order. Ties go to the cluster with the newest publication.
+    Items only join leaders they match, so clusters lie within components of the similarity graph of distinct token sets; equal
+    sets are one node. A component is split where all that arrives later is also published later than all before by more than
+    the window: no leader lives across. What is folded, in arrival order, is (seq, time, set) of each part, with each set's
+    neighbours once. Items without tokens found clusters of their own.
     """
-    rows = items.select("seq", "tokens", F.unix_seconds("published_at").cast("double").alias("at"))
-    pairs = similar_pairs(rows, threshold)
-    both = pairs.select("a", "b", "similarity").union(pairs.select("b", "a", "similarity")).toDF("u", "v", "s")
-    labels = both.select(F.col("u").alias("seq")).distinct().withColumn("label", F.col("seq"))
-    context = items.sparkSession.sparkContext
-    edges = both.checkpoint() if context.getCheckpointDir() else both.persist()
-    for _ in range(steps):
-        least = edges.join(labels, edges["v"] == labels["seq"]).groupBy("u").agg(F.min("label").alias("m"))
-        new = labels.join(least, labels["seq"] == least["u"], "left").select("seq", F.least("label", F.coalesce("m", "label")).alias("label"), F.col("label").alias("was"))
-        new = new.checkpoint() if context.getCheckpointDir() else new.persist()
-        labels = new.drop("was")
-        if new.where("label <> was").isEmpty():
-            break
-    near = edges.groupBy("u").agg(F.collect_list(F.struct("v", "s")).alias("near"))
-    grouped = rows.select("seq", "at").join(labels, "seq").join(near, F.col("seq") == F.col("u")).select("label", "seq", "at", "near")
+    rows = items.select("seq", F.array_sort("tokens").alias("tokens"), F.unix_seconds("published_at").cast("double").alias("at"))
+    sets = rows.where(F.size("tokens") > 0).groupBy("tokens").agg(F.min("seq").alias("set"))
+    sets = graph.cut(sets)
+    pairs = graph.cut(similar_pairs(sets.select(F.col("set").alias("seq"), "tokens"), threshold))
+    both = pairs.select("a", "b", "similarity").union(pairs.select("b", "a", "similarity")).toDF("of", "other", "similarity")
+    near = both.groupBy("of").agg(F.collect_list(F.struct("other", "similarity")).alias("near"))
+    found = graph.components(pairs)
+    placed = rows.join(sets, "tokens").join(found.select(F.col("node").alias("set"), "component"), "set", "left").select("seq", "at", "set", F.coalesce("component", "set").alias("component"))
+    arrival = W.partitionBy("component").orderBy("seq")
+    newest, oldest = F.max("at").over(arrival.rowsBetween(W.unboundedPreceding, -1)), F.min("at").over(arrival.rowsBetween(W.currentRow, W.unboundedFollowing))
+    placed = placed.withColumn("free", F.coalesce(oldest > newest + hours * 3600, F.lit(False)).cast("int")).withColumn("part", F.sum("free").over(arrival))
+    nth = F.row_number().over(W.partitionBy("component", "part", "set").orderBy("seq"))
+    placed = placed.withColumn("of", F.when(nth == 1, F.col("set"))).join(near, "of", "left").select("component", "part", "seq", "at", "set", "near")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")
-        matches = {s: [(int(x["v"]), float(x["s"])) for x in near] for s, near in zip(pdf["seq"], pdf["near"], strict=True)}
-        return pd.DataFrame(list(greedy(list(zip(pdf["seq"], pdf["at"], strict=True)), matches, hours)), columns=["seq", "cluster_seq"])
+        known = {s: [(int(x["other"]), float(x["similarity"])) for x in of] for s, of in zip(pdf["set"], pdf["near"], strict=True) if of is not None}
+        return pd.DataFrame(list(greedy(list(zip(pdf["seq"], pdf["at"], pdf["set"], strict=True)), known, hours)), columns=["seq", "cluster_seq"])
 
-    found = grouped.groupBy("label").applyInPandas(fold, "seq long, cluster_seq long")
-    alone = rows.join(labels, "seq", "left_anti").select("seq", F.col("seq").alias("cluster_seq"))
-    return found.unionByName(alone)
+    out = placed.groupBy("component", "part").applyInPandas(fold, "seq long, cluster_seq long")
+    return out.unionByName(rows.where(F.size("tokens") == 0).select("seq", F.col("seq").alias("cluster_seq")))
 
 
 def cluster_counters(items: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -180,13 +203,35 @@ def link_entities(items: DataFrame, dictionary: DataFrame) -> DataFrame:
     return items.select("seq", F.explode(F.array_distinct(grams)).alias("keyword")).join(dictionary.select("keyword", "entity_id"), "keyword").select("seq", "entity_id").distinct()
 
 
+#: Properties of an article and the columns they come from.
+ARTICLE = {
+    "title": "title", "url": "url", "publishedAt": "published_at", "summary": "summary", "eventType": "event_type", "sentiment": "sentiment",
+    "materiality": "materiality", "speculation": "speculation", "timeHorizon": "time_horizon", "sourceCount": "source_count",
+}
+
+
 def article_assertions(analyzed: DataFrame) -> DataFrame:
-    """Property assertions of each article: valid from its publication, recorded when it was seen."""
-    fields = ["title", "url", "event_type", "sentiment", "speculation", "materiality"]
-    each = F.explode(F.array(*(F.struct(F.lit(f).alias("property"), F.col(f).cast("string").alias("value")) for f in fields))).alias("p")
-    rows = analyzed.select(text.external_id("NEWS", F.col("seq").cast("string")).alias("object_id"), each, F.col("published_at").alias("valid_from"), F.col("seen_at").alias("recorded_at"), "seq")
+    """Property assertions of each article: valid from its publication, recorded when it was seen. An article starts with one source."""
+    rows = analyzed.withColumn("source_count", F.lit(1)).withColumn("time_horizon", F.lit("DAYS"))
+    rows = rows if "summary" in rows.columns else rows.withColumn("summary", F.lit(None).cast("string"))
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("property"), F.col(c).cast("string").alias("value")) for name, c in ARTICLE.items()))).alias("p")
+    rows = rows.select(text.external_id("NEWS", F.col("seq").cast("string")).alias("object_id"), each, F.col("published_at").alias("valid_from"), F.col("seen_at").alias("recorded_at"), "seq")
     return rows.select("object_id", "p.property", F.lit(0).alias("ordinal"), "p.value", F.lit("set").alias("op"), "valid_from", F.lit(None).cast("timestamp").alias("valid_to"), "recorded_at", "seq").where("value IS NOT NULL")
 
 
+def source_count_assertions(items: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Of each item that joins a cluster: its article's new number of sources, valid from the cluster's latest publication so far."""
+    arrival = W.partitionBy("cluster_seq").orderBy("seq").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = items.join(clusters, "seq").select("seq", "cluster_seq", "seen_at", F.count(F.lit(1)).over(arrival).alias("n"), F.max("published_at").over(arrival).alias("valid_from"))
+    rows = rows.where("n > 1").withColumn("object_id", text.external_id("NEWS", F.col("cluster_seq").cast("string")))
+    return rows.select("object_id", F.lit("sourceCount").alias("property"), F.lit(0).alias("ordinal"), F.col("n").cast("string").alias("value"), F.lit("set").alias("op"), "valid_from", F.lit(None).cast("timestamp").alias("valid_to"), F.col("seen_at").alias("recorded_at"), "seq")
+
+
+def mentions(items: DataFrame, entities: DataFrame) -> DataFrame:
+    """MENTIONS links of each article (seq) to the assets found in it, from its publication on."""
+    rows = items.select("seq", "published_at", "seen_at").join(entities, "seq")
+    return rows.select(F.lit("MENTIONS").alias("link_type"), text.external_id("NEWS", F.col("seq").cast("string")).alias("from_id"), F.col("entity_id").alias("to_id"), F.lit(None).cast("double").alias("weight"), F.col("published_at").alias("valid_from"), F.col("seen_at").alias("recorded_at"), "seq")
+
+
 def ingest_report(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))

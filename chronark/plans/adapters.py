@@ -107,11 +107,22 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as news: the first sentence is the headline, the rest the body; a minute apart."""
+    """Documents as news: the first sentence is the headline, what follows the summary, the whole text the body; a minute apart.
+    What is compared and analysed is headline and summary."""
     d = table(spark, sf_dir, "documents")
     title = F.regexp_extract("text", r"^[^.\n]*", 0)
     rows = d.select(F.col("doc_id").alias("seq"), F.col("source").alias("feed_id"), F.concat(F.lit("https://www.Example.com/n/"), F.col("doc_id") % 700, F.lit("/?utm_source=x&b=2&a=1")).alias("url"), title.alias("title"), F.col("text").alias("body"), F.timestamp_seconds(F.lit(1767225600) + F.col("doc_id") * 60).alias("published_at"), F.timestamp_seconds(F.lit(1767225660) + F.col("doc_id") * 60).alias("seen_at"))
-    return rows.withColumn("normalized", text.normalize(F.col("title"))).withColumn("tokens", text.tokens(F.col("normalized")))
+    rows = rows.withColumn("summary", F.substr("body", F.length("title") + 1))
+    return _with_tokens(rows)
+
+
+def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same news without summaries, as many feeds have them: headlines alone are compared."""
+    return _with_tokens(news(spark, sf_dir).drop("normalized", "tokens").withColumn("summary", F.lit(None).cast("string")))
+
+
+def _with_tokens(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("normalized", text.normalize(text.similarity_text(F.col("title"), F.col("summary")))).withColumn("tokens", text.tokens(F.col("normalized")))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronark.functions import text
 from chronark.operators import bars as B
 from chronark.operators import bitemporal as bt
-from chronark.operators import ledger, news, progress, temporal
+from chronark.operators import graph, ledger, news, progress, registers, temporal
 from chronark.operators import query as qb
 from chronark.plans import adapters as A
 from chronark.plans.registry import query
@@ -20,10 +21,11 @@ from chronark.sources import decode
 from chronark.streaming import streams
 
 
-@query("SELECT 'EX' AS exchange, p_name AS symbol, p_brand AS base_asset, CASE WHEN p_size % 3 = 0 THEN 'TRADING' WHEN p_size % 3 = 1 THEN 'HALT' ELSE 'UNKNOWN' END AS status, CASE WHEN p_size % 2 = 0 THEN p_size / 100 ELSE 1e-8 END AS tick_size, p_partkey AS body FROM part")
+@query("SELECT 'EX' AS exchange, p_name AS symbol, p_brand AS base_asset, CASE p_size % 10 WHEN 0 THEN 'TRADING' WHEN 6 THEN 'DELISTED' WHEN 7 THEN 'DELISTED' WHEN 8 THEN 'UNKNOWN' WHEN 9 THEN 'UNKNOWN' ELSE 'HALT' END AS status, CASE WHEN p_size % 2 = 0 THEN p_size / 100 ELSE 1e-8 END AS tick_size, p_partkey AS body FROM part")
 def decode_exchange_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = A.table(spark, sf_dir, "part")
-    status = F.when(F.col("p_size") % 3 == 0, "TRADING").when(F.col("p_size") % 3 == 1, "BREAK").otherwise("AUCTION")
+    names = ("TRADING", "HALT", "BREAK", "AUCTION_MATCH", "PRE_TRADING", "POST_TRADING", "DELISTED", "END_OF_DAY", "CLOSE", "AUCTION")
+    status = F.element_at(F.array(*map(F.lit, names)), (F.col("p_size") % 10 + 1).cast("int"))
     rule = F.when(F.col("p_size") % 2 == 0, F.array(F.create_map(F.lit("filterType"), F.lit("PRICE_FILTER"), F.lit("tickSize"), (F.col("p_size") / 100).cast("string")))).otherwise(F.array().cast("array<map<string,string>>"))
     one = F.struct(F.col("p_name").alias("symbol"), F.col("p_brand").alias("baseAsset"), F.lit("Q").alias("quoteAsset"), status.alias("status"), rule.alias("filters"))
     raw = p.select(F.col("p_partkey").cast("string").alias("exchange"), F.to_json(F.struct(F.array(one).alias("symbols"))).alias("body"))
@@ -77,8 +79,7 @@ def feed_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {B15} SELECT instrument_id, strftime(to_timestamp(o) AT TIME ZONE 'UTC', '%Y-%m') AS month, count(*) AS n FROM b GROUP BY 1, 2")
 def monthly_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars written in folders by timeframe and month and read again through the pruning predicate."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints")
-    at = f"{top}/bars-{uuid.uuid4().hex}"
+    at = f"{graph.shared_dir(spark)}/bars-{uuid.uuid4().hex}"
     B.write_monthly(A.bars(spark, sf_dir, "15m", 900), at)
     rows = B.read_monthly(spark.read.parquet(at), F.expr("timestamp '2000-01-01 00:00:00'"), F.expr("timestamp '2100-01-01 00:00:00'"))
     return rows.groupBy("instrument_id", F.date_format("open_time", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
@@ -138,10 +139,10 @@ def set_property_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("object_id").agg(F.array_join(F.sort_array(F.collect_list(open_)).getField("value"), ",").alias("tags"), F.count(F.lit(1)).cast("int").alias("versions"))
 
 
-@query("SELECT concat('C', c_custkey) AS from_id, c_custkey % 2 = 0 OR c_custkey % 7 = 0 AS ended FROM customer")
+@query("SELECT concat('C', c_custkey) AS from_id, c_custkey % 7 = 0 OR c_custkey % 2 = 0 AND c_custkey % 300 < 100 AS ended FROM customer")
 def unlink_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = A.links(spark, sf_dir).where("from_id LIKE 'C%'")
-    ends = links.where("CAST(substring(from_id, 2) AS long) % 2 = 0").select("link_type", "from_id", "to_id", F.expr("timestamp '1999-01-01 00:00:00'").alias("until"))
+    ends = links.where("CAST(substring(from_id, 2) AS long) % 2 = 0").select("link_type", "from_id", "to_id", F.timestamp_seconds(F.lit(852076800 + 86400 * 100)).alias("until"))
     return bt.unlink_objects(links, ends).select("from_id", F.col("valid_to").isNotNull().alias("ended"))
 
 
@@ -153,12 +154,12 @@ def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bt.apply_assertions(none, a).log.groupBy("object_id", "op").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT 'Customer' AS type, count(*) AS objects, count(*) FILTER (WHERE c_custkey % 11 = 0) AS missing_balance FROM customer UNION ALL SELECT 'Supplier', count(*), 0 FROM supplier")
+@query("SELECT 'Customer' AS type, count(*) AS objects, count(*) FILTER (WHERE c_custkey % 11 = 0) AS missing_balance FROM customer WHERE c_custkey % 13 <> 0 UNION ALL SELECT 'Supplier', count(*), 0 FROM supplier WHERE s_suppkey % 13 <> 0")
 def missing_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = A.objects(spark, sf_dir)
-    have = A.object_values(spark, sf_dir).where(temporal.is_current() & (F.col("property") == "balance")).select("object_id").distinct()
-    without = o.join(have, "object_id", "left_anti").groupBy("type").agg(F.count(F.lit(1)).alias("missing_balance"))
-    return o.groupBy("type").agg(F.count(F.lit(1)).alias("objects")).join(without, "type", "left").select("type", "objects", F.coalesce("missing_balance", F.lit(0)).alias("missing_balance"))
+    required = spark.createDataFrame([("Customer", "balance"), ("Supplier", "balance")], "type string, property string")
+    without = registers.missing_required(o, A.object_values(spark, sf_dir), required).groupBy("type").agg(F.count(F.lit(1)).alias("missing_balance"))
+    return registers.object_counts(o).join(without, "type", "left").select("type", "objects", F.coalesce("missing_balance", F.lit(0)).alias("missing_balance"))
 
 
 @query("SELECT CASE WHEN copies > 1 AND doc_id > first THEN 'DUPLICATE' ELSE 'NEW' END AS outcome, count(*) AS n FROM (SELECT doc_id, count(*) OVER w AS copies, min(doc_id) OVER w AS first FROM documents WINDOW w AS (PARTITION BY source, doc_id % 700)) GROUP BY 1")
@@ -171,7 +172,7 @@ def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def recent_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 20 clusters by latest publication of a day."""
-    n = A.news(spark, sf_dir)
+    n = A.headlines(spark, sf_dir)
     c = news.cluster_counters(n, news.cluster(n))
     return news.recent_clusters(c, F.expr("timestamp '2026-01-02 00:00:00'"), 48, 20).select("cluster_seq", "source_count", F.unix_seconds("last_at").alias("last_at"), "title")
 
@@ -188,7 +189,7 @@ def text_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT *, event_id % 10 AS m FROM events)
-SELECT event_id AS seq, CASE WHEN m = 4 THEN 'OTHER' WHEN m = 3 OR event_type NOT IN ('click', 'view') THEN 'NONE' ELSE upper(event_type) END AS event_type, CASE WHEN m = 4 THEN 'heuristic' ELSE 'model' END AS extractor FROM e""")
+SELECT event_id AS seq, CASE WHEN m = 4 THEN 'OTHER' WHEN m IN (3, 5) OR event_type NOT IN ('click', 'view') THEN 'NONE' ELSE upper(event_type) END AS event_type, CASE WHEN m = 4 THEN 'heuristic' ELSE 'model' END AS extractor FROM e""")
 def news_from_conformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers with the required number give the analysis, the others fall back."""
     from chronark.plans.text_queries import _responses
@@ -208,21 +209,22 @@ def incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.resume_from(b, "15m", F.expr("timestamp '2024-01-20 10:07:00'")).select("instrument_id", F.unix_seconds("since").alias("since"))
 
 
-@query("SELECT min(doc_id) AS seq FROM documents GROUP BY sha256(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')))")
+@query(r"""WITH d AS (SELECT doc_id AS seq, doc_id * 1800 AS published, sha256(trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^\p{L}\p{N}]+', ' ', 'g'))) AS content FROM documents)
+SELECT seq, published, content FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY published) AS nth FROM d) WHERE nth = 1 AND published < 259200""")
 def stream_dedup_news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact repeats of the whole stream: its window is longer than the stream. The first by event time stays."""
+    """News half an hour apart without exact repeats within 72 hours, as the stream gives them: of the first 72 hours, in which
+    any repeat is within the window."""
     d = spark.readStream.schema(A.table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
-    d = d.select("doc_id", F.sha2(text.normalize_ascii(F.col("text")), 256).alias("content"), F.timestamp_seconds(F.lit(1767225600) + F.col("doc_id")).alias("published_at"))
-    kept = _streamed(spark, streams.stream_dedup(d, hours=1_000_000)).select("content")
-    return A.table(spark, sf_dir, "documents").withColumn("content", F.sha2(text.normalize_ascii(F.col("text")), 256)).join(kept, "content").groupBy("content").agg(F.min("doc_id").alias("seq")).select("seq")
+    d = d.select(F.col("doc_id").alias("seq"), F.sha2(text.normalize(F.coalesce("text", F.lit(""))), 256).alias("content"), F.timestamp_seconds(F.col("doc_id") * 1800).alias("published_at"))
+    kept = _streamed(spark, streams.stream_dedup(d, hours=72))
+    return kept.select("seq", F.unix_seconds("published_at").alias("published"), "content").where("published < 259200")
 
 
 @query(f"""WITH {B15}, r AS (SELECT instrument_id, (o // 3600) * 3600 AS open_time, arg_max(close, o) AS close, count(*) AS c FROM b WHERE is_final GROUP BY 1, 2)
 SELECT instrument_id, open_time, CAST(close AS DOUBLE) AS close FROM r WHERE c = 4""")
 def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base bars arrive as a stream; each batch rolls up the buckets it touches."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints")
-    at = f"{top}/rollup-{uuid.uuid4().hex}"
+    at = f"{graph.shared_dir(spark)}/rollup-{uuid.uuid4().hex}"
     A.bars(spark, sf_dir, "15m", 900).write.parquet(f"{at}/base")
     base = spark.read.parquet(f"{at}/base")
     on_batch = streams.stream_rollup(lambda: base, lambda df: df.write.mode("append").parquet(f"{at}/out"), "15m", ["1h"])
@@ -235,8 +237,7 @@ def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate as state of a stream of hourly signal rows."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints")
-    at = f"{top}/gate-{uuid.uuid4().hex}"
+    at = f"{graph.shared_dir(spark)}/gate-{uuid.uuid4().hex}"
     _signal_rows(spark, sf_dir).write.parquet(f"{at}/in")
     s = spark.readStream.schema(spark.read.parquet(f"{at}/in").schema).parquet(f"{at}/in")
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
@@ -248,11 +249,83 @@ def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("as_of", F.unix_seconds("as_of"))
 
 
-@query("SELECT o_orderkey % 2 = 0 AS archived, count(*) AS n FROM orders GROUP BY 1")
+@query("""WITH v AS (SELECT o_custkey, o_orderdate, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS gone, o_totalprice, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS last FROM orders)
+SELECT coalesce(gone < TIMESTAMP '1997-02-01', false) AS archived, strftime(CASE WHEN gone < TIMESTAMP '1997-02-01' THEN gone END, '%Y-%m') AS month, count(*) AS n FROM v GROUP BY 1, 2""")
 def archive_old(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed values older than a date go to an archive table, the rest stay."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints")
-    at = f"{top}/archive-{uuid.uuid4().hex}"
-    v = A.price_values(spark, sf_dir).withColumn("archived", F.col("commit_id") % 2 == 0)
-    v.repartition("archived").write.partitionBy("archived").parquet(at)
-    return spark.read.parquet(at).groupBy(F.col("archived").cast("boolean").alias("archived")).agg(F.count(F.lit(1)).alias("n"))
+    """Values that ended more than 18 months before August 1998 go to an archive by month, the rest stay."""
+    at = f"{graph.shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    o = A.table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("valid_from"))
+    v = o.withColumn("valid_to", F.lead("valid_from").over(W.partitionBy("o_custkey").orderBy("valid_from", "o_orderkey")))
+    kept = registers.archive(v, "valid_to", F.expr("timestamp '1998-08-01 00:00:00' - interval 18 months"), at)
+    gone = spark.read.parquet(at).groupBy(F.lit(True).alias("archived"), F.date_format("valid_to", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"))
+    return gone.unionByName(kept.groupBy(F.lit(False).alias("archived"), F.lit(None).cast("string").alias("month")).agg(F.count(F.lit(1)).alias("n")))
+
+
+_CLERKS = "a AS (SELECT concat('C', o_custkey) AS f, concat('K', o_orderkey % 50) AS t, CAST(epoch(o_orderdate) AS BIGINT) AS d, o_orderkey AS seq FROM orders)"
+
+
+def _clerk_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as links of customers to fifty clerks, in order of their dates."""
+    o = A.table(spark, sf_dir, "orders")
+    d = F.col("o_orderdate").cast("timestamp")
+    order = F.unix_seconds(d) * 10_000_000 + F.col("o_orderkey")
+    return o.select(F.lit("SERVED_BY").alias("link_type"), F.concat(F.lit("C"), "o_custkey").alias("from_id"), F.concat(F.lit("K"), F.col("o_orderkey") % 50).alias("to_id"), F.lit(1.0).alias("weight"), d.alias("valid_from"), d.alias("recorded_at"), order.alias("seq"))
+
+
+def _links_out(links: DataFrame) -> DataFrame:
+    return links.select("from_id", "to_id", F.unix_seconds("valid_from").alias("valid_from"), F.unix_seconds("valid_to").alias("valid_to"))
+
+
+@query(f"""WITH {_CLERKS}, c AS (SELECT *, lag(f) OVER (PARTITION BY t ORDER BY d, seq) AS last FROM a), e AS (SELECT * FROM c WHERE last IS NULL OR last <> f)
+SELECT f AS from_id, t AS to_id, d AS valid_from, (SELECT min(x.d) FROM e x WHERE x.t = e.t AND x.d > e.d) AS valid_to FROM e""")
+def link_one_to_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clerk has one customer at a time: half of the links are there before, the other half come on top of them."""
+    a = _clerk_links(spark, sf_dir)
+    middle = F.col("valid_from") < F.expr("timestamp '1995-06-01 00:00:00'")
+    before = bt.link_objects(a.where(middle), "ONE_TO_MANY")
+    return _links_out(bt.link_objects(a.where(~middle), "ONE_TO_MANY", state=before))
+
+
+@query(f"""WITH {_CLERKS}, c AS (SELECT *, lag(t) OVER (PARTITION BY f ORDER BY d, seq) AS last_t, lag(f) OVER (PARTITION BY t ORDER BY d, seq) AS last_f FROM a),
+e AS (SELECT * FROM c WHERE NOT coalesce(last_t = t AND last_f = f, false))
+SELECT f AS from_id, t AS to_id, d AS valid_from, least((SELECT min(x.d) FROM e x WHERE x.t = e.t AND x.d > e.d), (SELECT min(x.d) FROM e x WHERE x.f = e.f AND x.d > e.d)) AS valid_to FROM e""")
+def link_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clerk has one customer and a customer one clerk at a time."""
+    return _links_out(bt.link_objects(_clerk_links(spark, sf_dir), "ONE_TO_ONE"))
+
+
+@query(f"""WITH {_CLERKS}, b AS (SELECT f, t, d FROM a UNION ALL SELECT t, f, d FROM a) SELECT f AS from_id, t AS to_id, min(d) AS valid_from, CAST(NULL AS BIGINT) AS valid_to FROM b GROUP BY 1, 2""")
+def link_symmetric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links both ways, each made once."""
+    return _links_out(bt.link_objects(_clerk_links(spark, sf_dir), "MANY_TO_MANY", symmetric=True))
+
+
+@query("SELECT p_partkey AS part, concat('EX:', p_partkey) AS ref, CASE WHEN p_partkey % 5 = 0 THEN 'UNKNOWN_INSTRUMENT' WHEN p_partkey % 5 = 1 THEN 'not EXCHANGE:SYMBOL' END AS reason, CASE WHEN p_partkey % 5 > 1 THEN p_brand END AS base_asset FROM part")
+def find_instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = A.table(spark, sf_dir, "part")
+    there = p.where("p_partkey % 5 <> 0").select(F.lit("EX").alias("exchange"), F.col("p_partkey").cast("string").alias("symbol"), F.col("p_brand").alias("base_asset"))
+    asked = p.select(F.when(F.col("p_partkey") % 5 == 1, F.concat(F.lit("EX"), F.col("p_partkey"))).otherwise(F.concat(F.lit("EX:"), F.col("p_partkey"))).alias("ref"))
+    out = registers.find_instruments(registers.list_instruments(there), asked)
+    part = F.regexp_extract("ref", r"(\d+)$", 1).cast("long")
+    return out.select(part.alias("part"), F.concat(F.lit("EX:"), part).alias("ref"), "reason", "base_asset")
+
+
+@query("SELECT name, url FROM (SELECT s_name AS name, concat('https://', s_suppkey) AS url, s_suppkey AS k FROM supplier) WHERE k % 4 <> 0")
+def enabled_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = A.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.concat(F.lit("https://"), "s_suppkey").alias("url"), (F.col("s_suppkey") % 4 != 0).alias("enabled"))
+    return registers.enabled_feeds(f).select("name", "url")
+
+
+@query("""WITH c AS (SELECT c_custkey AS k FROM customer WHERE c_custkey % 13 <> 0)
+SELECT 'tags' AS property, 2 * count(*) AS open_values FROM c UNION ALL SELECT 'name', count(*) FROM c UNION ALL SELECT 'segment', count(*) FROM c UNION ALL SELECT 'balance', count(*) FROM c WHERE k % 11 <> 0""")
+def open_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = registers.open_value_counts(A.objects(spark, sf_dir), A.object_values(spark, sf_dir))
+    return out.where("type = 'Customer'").select("property", "open_values")
+
+
+@query("SELECT o_orderkey AS commit_id, CAST(epoch(CASE WHEN o_orderkey % 3 = 0 THEN TIMESTAMP '1999-01-01' ELSE o_orderdate END) AS BIGINT) AS recorded_at, o_orderkey % 3 <> 0 AND o_orderdate < TIMESTAMP '1999-01-01' AS backdated FROM orders")
+def commit_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third commit declares no time of its own."""
+    o = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit_id"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate").cast("timestamp")).alias("declared_at"))
+    c = registers.open_commits(o, F.expr("timestamp '1999-01-01 00:00:00'"))
+    return registers.record(o.select("commit_id"), c).join(c.select("commit_id", "backdated"), "commit_id").select("commit_id", F.unix_seconds("recorded_at").alias("recorded_at"), "backdated")

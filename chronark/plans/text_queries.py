@@ -9,40 +9,58 @@ from pyspark.sql import functions as F
 
 from chronark.functions import text
 from chronark.operators import bars as B
-from chronark.operators import learning, ledger, macro, news, progress
+from chronark.operators import graph, learning, ledger, macro, news, progress
 from chronark.plans import adapters as A
 from chronark.plans.registry import query
 from chronark.sources import decode
 from chronark.streaming import streams
 
-_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+# The SQL has its own copies of all word lists, so that a slip in the library's shows.
+_STOP = """'the', 'and', 'for', 'with', 'from', 'that', 'this', 'their', 'there', 'into', 'over', 'after', 'before', 'once', 'again', 'since', 'than', 'then',
+'was', 'were', 'are', 'has', 'have', 'had', 'its', 'his', 'her', 'will', 'not', 'but', 'all', 'any', 'new', 'now', 'out', 'off', 'own', 'per', 'says', 'said', 'say',
+'amid', 'also', 'more', 'most', 'some', 'such', 'who', 'why', 'how', 'what', 'when', 'where', 'which', 'while', 'you'"""
+_PARAMETERS = "['utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'utm_id', 'fbclid', 'gclid', 'msclkid', 'mc_cid', 'mc_eid', 'ref', 'source', 'cmpid', 's_cid']"
 _NORMAL = r"trim(regexp_replace(lower(strip_accents({c})), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 _STEM = (
     "CASE WHEN w LIKE '%ies' AND length(w) >= 7 THEN concat(left(w, -3), 'y') WHEN w LIKE '%ing' AND length(w) >= 7 THEN left(w, -3) "
     "WHEN w LIKE '%ed' AND length(w) >= 6 THEN left(w, -2) WHEN w LIKE '%es' AND length(w) >= 6 THEN left(w, -2) WHEN w LIKE '%s' AND length(w) >= 5 THEN left(w, -1) ELSE w END"
 )
-_TOKENS = f"""
-t AS (SELECT doc_id AS seq, regexp_extract(text, '^[^.\\n]*') AS title, {_NORMAL.format(c="regexp_extract(text, '^[^.\\n]*')")} AS normalized FROM documents),
+_FIRST = "regexp_extract(text, '^[^.\\n]*')"
+
+
+def _tokens(compared: str) -> str:
+    return f"""
+t AS (SELECT doc_id AS seq, {_FIRST} AS title, coalesce({_NORMAL.format(c=compared)}, '') AS normalized FROM documents),
 k AS (SELECT DISTINCT seq, {_STEM} AS token FROM (SELECT seq, unnest(string_split(normalized, ' ')) AS w FROM t) WHERE length(w) >= 3 AND w NOT IN ({_STOP})),
 s AS (SELECT seq, list(token ORDER BY token) AS tokens FROM k GROUP BY seq)"""
 
 
+_TOKENS, _HEADLINES = _tokens("text"), _tokens(_FIRST)
+
+
 @query(f"WITH {_TOKENS} SELECT t.seq, normalized, coalesce(array_to_string(tokens, ' '), '') AS tokens FROM t LEFT JOIN s USING (seq)")
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.news(spark, sf_dir).select("seq", "normalized", F.array_join(F.sort_array("tokens"), " ").alias("tokens"))
 
 
-@query(r"SELECT doc_id AS seq, sha256(trim(regexp_replace(lower(concat_ws(' ', regexp_extract(text, '^[^.\n]*'), text)), '[^\p{L}\p{N}]+', ' ', 'g'))) AS content FROM documents")
+@query(r"SELECT doc_id AS seq, sha256(trim(regexp_replace(lower(strip_accents(concat_ws(' ', regexp_extract(text, '^[^.\n]*'), coalesce(text, '')))), '[^\p{L}\p{N}]+', ' ', 'g'))) AS content FROM documents")
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.news(spark, sf_dir).select("seq", text.content_hash(F.col("title"), F.col("body")).alias("content"))
 
 
-@query(r"""WITH p AS (SELECT page_id, lower(regexp_extract(trim(url), '^([A-Za-z]+)://', 1)) AS s, regexp_replace(lower(regexp_extract(trim(url), '^[A-Za-z]+://([^/?#:]+)', 1)), '^www\.', '') AS h,
-  regexp_replace(regexp_extract(trim(url), '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/$', '') AS path, regexp_extract(trim(url), '\?([^#]*)', 1) AS q FROM pages),
-c AS (SELECT *, list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT list_contains(['""" + "', '".join(text.TRACKING) + r"""'], lower(split_part(x, '=', 1))))) AS kept FROM p)
-SELECT page_id, concat(s, '://', h, path, CASE WHEN len(kept) > 0 THEN concat('?', array_to_string(kept, '&')) ELSE '' END) AS url FROM c""")
+@query(rf"""WITH u AS (SELECT page_id, 0 AS form, trim(url) AS u FROM pages UNION ALL SELECT page_id, 1, concat('HTTPS://WWW.X', page_id, '.com:8080/') FROM pages
+  UNION ALL SELECT page_id, 2, concat('x', page_id, '.org/a%20b/?msclkid=1&s_cid=2&z=%41&igshid=3&b=+') FROM pages UNION ALL SELECT page_id, 3, concat('https://x.com', CASE WHEN page_id % 2 = 0 THEN '/p/' ELSE '' END, '?ref=a&ref_src=', page_id, '#frag') FROM pages),
+f AS (SELECT *, regexp_extract(u, '^([A-Za-z]+)://', 1) AS s, regexp_extract(u, '^(?:[A-Za-z]+://([^/?#:]+)(?::[0-9]+)?)?([^?#]*)', 1) AS h, regexp_extract(u, '^(?:[A-Za-z]+://[^/?#]+)?([^?#]*)', 1) AS path, url_decode(replace(regexp_extract(u, '\?([^#]*)', 1), '+', '%2B')) AS q FROM u),
+c AS (SELECT *, list_sort(list_filter(string_split(q, '&'), lambda x: trim(x) <> '' AND NOT list_contains({_PARAMETERS}, lower(split_part(x, '=', 1))))) AS kept FROM f)
+SELECT page_id, form, concat(CASE s WHEN '' THEN 'https' ELSE lower(s) END, '://', regexp_replace(lower(h), '^www\.', ''), url_decode(CASE WHEN length(path) > 1 THEN rtrim(path, '/') ELSE path END), CASE WHEN len(kept) > 0 THEN concat('?', array_to_string(kept, '&')) ELSE '' END) AS url FROM c""")
 def canonicalize_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.table(spark, sf_dir, "pages").select("page_id", text.canonical_url(F.col("url")).alias("url"))
+    """Each page's address, and three made from its id: a root path with a port, one without a scheme but with escapes, one with a fragment."""
+    p, n = A.table(spark, sf_dir, "pages"), F.col("page_id").cast("string")
+    forms = F.array(
+        F.col("url"), F.concat(F.lit("HTTPS://WWW.X"), n, F.lit(".com:8080/")), F.concat(F.lit("x"), n, F.lit(".org/a%20b/?msclkid=1&s_cid=2&z=%41&igshid=3&b=+")),
+        F.concat(F.lit("https://x.com"), F.when(F.col("page_id") % 2 == 0, "/p/").otherwise(""), F.lit("?ref=a&ref_src="), n, F.lit("#frag")),
+    )
+    return p.select("page_id", F.posexplode(forms).alias("form", "url")).select("page_id", "form", text.canonical_url(F.col("url")).alias("url"))
 
 
 @query("SELECT min(doc_id) AS seq, source AS feed_id FROM documents GROUP BY source, doc_id % 700")
@@ -63,34 +81,45 @@ def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("seq", "simhash", text.hamming(F.col("simhash"), F.lit(0).cast("long")).alias("ones"))
 
 
-@query(f"""WITH {_TOKENS}, n AS (SELECT seq, len(tokens) AS n FROM s), c AS (SELECT a.seq AS a, b.seq AS b, count(*) AS c FROM k a JOIN k b ON a.token = b.token AND a.seq < b.seq GROUP BY 1, 2)
+@query(f"""WITH {_HEADLINES}, n AS (SELECT seq, len(tokens) AS n FROM s), c AS (SELECT a.seq AS a, b.seq AS b, count(*) AS c FROM k a JOIN k b ON a.token = b.token AND a.seq < b.seq GROUP BY 1, 2)
 SELECT a, b, round(c / (x.n + y.n - c), 6) AS similarity FROM c JOIN n x ON x.seq = a JOIN n y ON y.seq = b WHERE c / (x.n + y.n - c) >= 0.45""")
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = news.similar_pairs(A.news(spark, sf_dir).select("seq", "tokens"))
+    out = news.similar_pairs(A.headlines(spark, sf_dir).select("seq", "tokens"))
     return out.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query()
 def cluster_news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = A.news(spark, sf_dir)
+    n = A.headlines(spark, sf_dir)
     return news.cluster_counters(n, news.cluster(n)).withColumn("first_at", F.unix_seconds("first_at")).withColumn("last_at", F.unix_seconds("last_at"))
 
 
-def _words(names: tuple[str, ...]) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in names) + "]"
+_HITS = """len(list_intersect(tokens, ['sec', 'regulator', 'lawsuit', 'court', 'ban', 'approval', 'compliance', 'legislation'])) AS reg,
+len(list_intersect(tokens, ['fed', 'inflation', 'cpi', 'rate', 'fomc', 'gdp', 'unemployment', 'treasury', 'yield'])) AS mac,
+len(list_intersect(tokens, ['hack', 'exploit', 'breach', 'stolen', 'vulnerability', 'attack'])) AS inc, len(list_intersect(tokens, ['listing', 'listed', 'delist', 'trading pair'])) AS lis,
+len(list_intersect(tokens, ['upgrade', 'fork', 'mainnet', 'testnet', 'halving', 'merge'])) AS pro, len(list_intersect(tokens, ['raise', 'funding', 'series', 'investment', 'valuation'])) AS fun,
+len(list_intersect(tokens, ['partnership', 'partners', 'collaboration', 'integration'])) AS par,
+len(list_intersect(tokens, ['surge', 'rally', 'gain', 'approval', 'approved', 'record', 'growth', 'adoption', 'bullish', 'upgrade', 'partnership', 'inflow'])) AS p,
+len(list_intersect(tokens, ['crash', 'plunge', 'hack', 'exploit', 'ban', 'lawsuit', 'rejected', 'delay', 'delayed', 'bearish', 'outflow', 'liquidation', 'fraud'])) AS n,
+len(list_intersect(tokens, ['could', 'might', 'rumor', 'rumour', 'reportedly', 'speculation', 'may', 'expected'])) > 0 AS speculation"""
 
 
-_HITS = ", ".join(f"len(list_intersect(tokens, {_words(w)})) AS h{i}" for i, w in enumerate(news.EVENTS.values()))
-_EVENT = " ".join(f"WHEN h{i} > 0 AND h{i} = greatest({', '.join(f'h{j}' for j in range(len(news.EVENTS)))}) THEN '{n}'" for i, n in enumerate(news.EVENTS))
-_BASE = " ".join(f"WHEN '{n}' THEN {b}" for n, b in news.BASE.items())
+#: Words put before a document's text, by its id, so that all types, tones and ties occur.
+_PUT = ("sec", "cpi", "hacks", "delist", "forks merge", "raised valuation", "partnership", "rumor surge", "ban fomc treasury", "crashed", "")
 
 
-@query(f"""WITH {_TOKENS}, a AS (SELECT t.seq, coalesce(tokens, []) AS tokens FROM t LEFT JOIN s USING (seq)),
-h AS (SELECT seq, {_HITS}, len(list_intersect(tokens, {_words(news.POSITIVE)})) AS p, len(list_intersect(tokens, {_words(news.NEGATIVE)})) AS n, len(list_intersect(tokens, {_words(news.SPECULATIVE)})) > 0 AS speculation FROM a),
-e AS (SELECT *, CASE {_EVENT} ELSE 'OTHER' END AS event_type, CASE WHEN p + n > 0 THEN (p - n) / (p + n) ELSE 0.0 END AS sentiment FROM h)
-SELECT seq, event_type, round(sentiment, 6) AS sentiment, speculation, round(least(0.5, (CASE event_type {_BASE} END + 0.1 * abs(sentiment)) * CASE WHEN speculation THEN 0.6 ELSE 1 END)::DOUBLE, 6) AS materiality FROM e""")
+@query(f"""WITH {_tokens("concat((['" + "', '".join(_PUT) + "'])[doc_id % 11 + 1], '. ', coalesce(text, ''))")}, a AS (SELECT t.seq, coalesce(tokens, []) AS tokens FROM t LEFT JOIN s USING (seq)), h AS (SELECT seq, {_HITS} FROM a),
+e AS (SELECT *, greatest(reg, mac, inc, lis, pro, fun, par) AS most, CASE WHEN p + n > 0 THEN (p - n) / (p + n) ELSE 0.0 END AS sentiment FROM h),
+y AS (SELECT *, CASE WHEN most = 0 THEN 'OTHER' WHEN reg = most THEN 'REGULATORY' WHEN mac = most THEN 'MACRO' WHEN inc = most THEN 'SECURITY_INCIDENT' WHEN lis = most THEN 'LISTING' WHEN pro = most THEN 'PROTOCOL' WHEN fun = most THEN 'FUNDING' ELSE 'PARTNERSHIP' END AS event_type FROM e)
+SELECT seq, event_type, round(sentiment, 6) AS sentiment, speculation, round(least(0.5, (CASE WHEN event_type IN ('REGULATORY', 'MACRO', 'SECURITY_INCIDENT') THEN 0.45 WHEN event_type IN ('PROTOCOL', 'LISTING') THEN 0.35
+  WHEN event_type = 'OTHER' THEN 0.15 ELSE 0.25 END + 0.1 * abs(sentiment)) * CASE WHEN speculation THEN 0.6 ELSE 1 END)::DOUBLE, 6) AS materiality FROM y""")
 def extract_news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return news.analyze(A.news(spark, sf_dir)).select("seq", "event_type", F.round("sentiment", 6).alias("sentiment"), "speculation", F.round("materiality", 6).alias("materiality"))
+    """Whole documents, some with words of an event or tone before them."""
+    n = A.news(spark, sf_dir)
+    put = F.element_at(F.array(*map(F.lit, _PUT)), (F.col("seq") % len(_PUT) + 1).cast("int"))
+    n = n.withColumn("normalized", text.normalize(F.concat_ws(". ", put, F.coalesce("body", F.lit("")))))
+    out = news.analyze(n.withColumn("tokens", text.tokens(F.col("normalized"))))
+    return out.select("seq", "event_type", F.round("sentiment", 6).alias("sentiment"), "speculation", F.round("materiality", 6).alias("materiality"))
 
 
 @query(f"WITH {_TOKENS} SELECT DISTINCT seq, e AS entity_id FROM t, (VALUES ('the', 'A'), ('of the', 'B'), ('de la', 'C'), ('und', 'D'), ('en', 'E')) d(k, e) WHERE contains(concat(' ', normalized, ' '), concat(' ', k, ' '))")
@@ -99,10 +128,14 @@ def link_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news.link_entities(A.news(spark, sf_dir), d)
 
 
-@query("SELECT 'NEWS:' || doc_id AS object_id, 'title' AS property, regexp_extract(text, '^[^.\\n]*') AS value, 1767225600 + doc_id * 60 AS valid_from FROM documents")
+@query(f"""WITH d AS (SELECT concat('NEWS:', doc_id) AS object_id, {_FIRST} AS title, text, doc_id, CAST(1767225600 + doc_id * 60 AS BIGINT) AS valid_from FROM documents),
+a AS (SELECT object_id, valid_from, unnest([{{'p': 'title', 'v': title}}, {{'p': 'summary', 'v': substr(text, length(title) + 1)}}, {{'p': 'url', 'v': concat('https://www.Example.com/n/', doc_id % 700, '/?utm_source=x&b=2&a=1')}},
+  {{'p': 'publishedAt', 'v': strftime(to_timestamp(valid_from) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S')}}, {{'p': 'timeHorizon', 'v': 'DAYS'}}, {{'p': 'sourceCount', 'v': '1'}}]) AS x FROM d)
+SELECT object_id, x.p AS property, sha256(x.v) AS value, valid_from FROM a WHERE x.v IS NOT NULL""")
 def write_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = news.article_assertions(news.analyze(A.news(spark, sf_dir)))
-    return out.where("property = 'title'").select("object_id", "property", "value", F.unix_seconds("valid_from").alias("valid_from"))
+    """Six of an article's ten properties, as digests; the others are those of ``extract_news``."""
+    out = news.article_assertions(news.analyze(A.news(spark, sf_dir))).where("property NOT IN ('eventType', 'sentiment', 'materiality', 'speculation')")
+    return out.select("object_id", "property", F.sha2("value", 256).alias("value"), F.unix_seconds("valid_from").alias("valid_from"))
 
 
 _VINTAGES = """
@@ -123,11 +156,12 @@ def macro_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("series", F.col("period").cast("string").alias("period"), F.col("value").cast("double").alias("value"))
 
 
-@query(f"WITH {_VINTAGES} SELECT series, CAST(max(period) AS VARCHAR) AS cursor, 2 * count(*) AS assertions FROM v GROUP BY series")
+@query(f"WITH {_VINTAGES} SELECT series, CAST(max(period) AS VARCHAR) AS cursor, 4 * count(*) AS assertions, count(DISTINCT period) AS links FROM v GROUP BY series")
 def sync_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, c = macro.sync_series(A.observations(spark, sf_dir))
     n = a.groupBy(F.split("object_id", ":")[1].alias("series")).agg(F.count(F.lit(1)).alias("assertions"))
-    return c.join(n, "series").select("series", F.col("cursor").cast("string").alias("cursor"), "assertions")
+    links = macro.observation_links(macro.vintage_ranges(A.observations(spark, sf_dir))).groupBy(F.split("to_id", ":")[1].alias("series")).agg(F.count(F.lit(1)).alias("links"))
+    return c.join(n, "series").join(links, "series").select("series", F.col("cursor").cast("string").alias("cursor"), "assertions", "links")
 
 
 _CALLS = """
@@ -164,21 +198,22 @@ _FIELDS = [ledger.Field("k", "INTEGER", True, 0, 50), ledger.Field("kind", "ENUM
 
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = A.table(spark, sf_dir, "events")
-    odd = F.when(F.col("event_id") % 10 == 3, F.regexp_replace("props", "}", ', "flag": "true", "tags": "one"}')).when(F.col("event_id") % 10 == 4, F.lit('{"kind": "view"}')).otherwise(F.regexp_replace("props", "}", F.concat(F.lit(', "kind": "'), F.col("event_type"), F.lit('"}'))))
+    fraction = F.when(F.col("event_id") % 7 == 0, F.regexp_replace("props", r"(-?\d+)", "$1.3")).otherwise(F.col("props"))
+    odd = F.when(F.col("event_id") % 10 == 3, F.regexp_replace("props", "}", ', "flag": "true", "tags": "one"}')).when(F.col("event_id") % 10 == 5, F.regexp_replace(fraction, "}", ', "tags": [" two ", "", "three", null, 4, {"x": 1}]}')).when(F.col("event_id") % 10 == 4, F.lit('{"kind": "view"}')).otherwise(F.regexp_replace("props", "}", F.concat(F.lit(', "kind": "'), F.col("event_type"), F.lit('"}'))))
     return e.select("event_id", F.concat(F.lit("```json\n"), odd, F.lit("\n```")).alias("raw"))
 
 
-@query("""WITH e AS (SELECT *, CAST(regexp_extract(props, '(-?\\d+)', 1) AS INTEGER) AS x, event_id % 10 AS m FROM events)
-SELECT event_id, CASE WHEN m <> 4 THEN CAST(least(greatest(x, 0), 50) AS DOUBLE) END AS k, CASE WHEN m = 4 THEN 'VIEW' WHEN m = 3 THEN NULL WHEN event_type IN ('click', 'view') THEN upper(event_type) END AS kind,
-  CASE WHEN m = 3 THEN true END AS flag, CASE WHEN m = 3 THEN 'one' ELSE '' END AS tags, CASE WHEN m <> 4 AND (x < 0 OR x > 50) THEN 'k' ELSE '' END AS clamped,
-  CASE WHEN m NOT IN (3, 4) AND event_type NOT IN ('click', 'view') THEN 'kind' ELSE '' END AS dropped, CASE WHEN m = 4 THEN 'missing: k' END AS error FROM e""")
+@query("""WITH e AS (SELECT *, CAST(regexp_extract(props, '(-?\\d+)', 1) AS DOUBLE) + CASE WHEN event_id % 10 = 5 AND event_id % 7 = 0 THEN 0.3 ELSE 0 END AS x, event_id % 10 AS m FROM events)
+SELECT event_id, CASE WHEN m <> 4 THEN round(least(greatest(x, 0), 50)) END AS k, CASE WHEN m = 4 THEN 'VIEW' WHEN m IN (3, 5) THEN NULL WHEN event_type IN ('click', 'view') THEN upper(event_type) END AS kind,
+  CASE WHEN m = 3 THEN true END AS flag, CASE WHEN m = 3 THEN 'one' WHEN m = 5 THEN 'two,three,4' ELSE '' END AS tags, CASE WHEN m <> 4 AND (x < 0 OR x > 50) THEN 'k' ELSE '' END AS clamped,
+  CASE WHEN m NOT IN (3, 4, 5) AND event_type NOT IN ('click', 'view') THEN 'kind' ELSE '' END AS dropped, CASE WHEN m = 4 THEN 'missing: k' END AS error FROM e""")
 def conform_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ledger.conform(_responses(spark, sf_dir), _FIELDS)
     return out.select("event_id", "k", "kind", "flag", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), ",").alias("tags"), F.array_join("clamped", ",").alias("clamped"), F.array_join("dropped", ",").alias("dropped"), "error")
 
 
-@query("""WITH e AS (SELECT *, CAST(regexp_extract(props, '(-?\\d+)', 1) AS INTEGER) AS x, event_id % 10 AS m FROM events)
-SELECT 'k' AS violation, count(*) AS n FROM e WHERE m <> 4 AND (x < 0 OR x > 50) HAVING count(*) > 0 UNION ALL SELECT 'dropped:kind', count(*) FROM e WHERE m NOT IN (3, 4) AND event_type NOT IN ('click', 'view') HAVING count(*) > 0""")
+@query("""WITH e AS (SELECT *, CAST(regexp_extract(props, '(-?\\d+)', 1) AS DOUBLE) + CASE WHEN event_id % 10 = 5 AND event_id % 7 = 0 THEN 0.3 ELSE 0 END AS x, event_id % 10 AS m FROM events)
+SELECT 'k' AS violation, count(*) AS n FROM e WHERE m <> 4 AND (x < 0 OR x > 50) HAVING count(*) > 0 UNION ALL SELECT 'dropped:kind', count(*) FROM e WHERE m NOT IN (3, 4, 5) AND event_type NOT IN ('click', 'view') HAVING count(*) > 0""")
 def violation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.violation_report(ledger.conform(_responses(spark, sf_dir), _FIELDS))
 
@@ -263,8 +298,7 @@ def similar_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """The rows a stream appends until its source is read to the end, from a table in the shared folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints")
-    at = f"{top}/stream-{uuid.uuid4().hex}"
+    at = f"{graph.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
 

@@ -25,7 +25,7 @@ def exchange_info(raw: DataFrame) -> DataFrame:
     kind = "struct<symbols:array<struct<symbol:string,baseAsset:string,quoteAsset:string,status:string,filters:array<map<string,string>>>>>"
     s = raw.select("exchange", F.explode(F.from_json("body", kind)["symbols"]).alias("s")).select("exchange", "s.*")
     pick = lambda types, name, default: F.coalesce(F.try_element_at(F.transform(F.filter("filters", lambda f: f["filterType"].isin(*types)), lambda f: f[name]), F.lit(1)).try_cast("decimal(24,12)"), F.lit(default).cast("decimal(24,12)"))
-    status = F.when(F.col("status") == "TRADING", "TRADING").when(F.col("status").isin("HALT", "BREAK"), "HALT").when(F.col("status").isin("DELISTED", "CLOSE"), "DELISTED").otherwise("UNKNOWN")
+    status = F.when(F.col("status") == "TRADING", "TRADING").when(F.col("status").isin("HALT", "BREAK", "AUCTION_MATCH", "PRE_TRADING", "POST_TRADING"), "HALT").when(F.col("status").isin("DELISTED", "END_OF_DAY"), "DELISTED").otherwise("UNKNOWN")
     return s.select("exchange", "symbol", F.col("baseAsset").alias("base_asset"), F.col("quoteAsset").alias("quote_asset"), status.alias("status"), pick(("PRICE_FILTER",), "tickSize", "0.00000001").alias("tick_size"), pick(("LOT_SIZE",), "stepSize", "0.00000001").alias("step_size"), pick(("MIN_NOTIONAL", "NOTIONAL"), "minNotional", "0").alias("min_notional"))
 
 

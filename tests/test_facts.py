@@ -166,3 +166,38 @@ def test_catalog_grows_by_versions(spark):
             bad()
     with pytest.raises(qb.NotFound):
         c.deprecate("Coin", "nope")
+
+
+def plain_links(rows, source_one, target_one):
+    """Links one after another, as the store makes them."""
+    made = []
+    for f, t, at in rows:
+        if any(x[:2] == [f, t] and x[3] is None for x in made):
+            continue
+        for x in made:
+            if x[3] is None and x[2] < at and (source_one and x[0] == f and x[1] != t or target_one and x[1] == t and x[0] != f):
+                x[3] = at
+        made.append([f, t, at, None])
+    return sorted(map(tuple, made), key=str)
+
+
+@pytest.mark.parametrize("cardinality", ["ONE_TO_ONE", "ONE_TO_MANY", "MANY_TO_ONE", "MANY_TO_MANY"])
+@pytest.mark.parametrize("split", [0, 60])
+def test_links_of_each_cardinality_equal_a_plain_fold(spark, cardinality, split):
+    import random
+
+    rng = random.Random(len(cardinality) + split)
+    rows = [(f"a{rng.randrange(6)}", f"x{rng.randrange(5)}", d(f"2026-{1 + k // 25:02d}-{1 + k % 25:02d}")) for k in range(120)]
+    make = lambda part, start: spark.createDataFrame([("L", f, t, 1.0, at, at, start + k) for k, (f, t, at) in enumerate(part)], "link_type string, from_id string, to_id string, weight double, valid_from timestamp, recorded_at timestamp, seq long")
+    state = bt.link_objects(make(rows[:split], 0), cardinality) if split else None
+    got = bt.link_objects(make(rows[split:], split), cardinality, state=state)
+    want = plain_links(rows, cardinality in ("ONE_TO_ONE", "MANY_TO_ONE"), cardinality in ("ONE_TO_ONE", "ONE_TO_MANY"))
+    assert sorted(((r.from_id, r.to_id, r.valid_from, r.valid_to) for r in got.collect()), key=str) == want
+
+
+def test_unlinking_before_the_start_does_nothing(spark):
+    kind = "link_type string, from_id string, to_id string, weight double, valid_from timestamp, recorded_at timestamp, seq long"
+    links = bt.link_objects(spark.createDataFrame([("L", "a", "x", 1.0, d("2026-02-01"), d("2026-02-01"), 1)], kind), "MANY_TO_MANY")
+    ends = lambda *until: spark.createDataFrame([("L", "a", "x", d(u)) for u in until], "link_type string, from_id string, to_id string, until timestamp")
+    assert bt.unlink_objects(links, ends("2026-02-01")).first().valid_to is None
+    assert bt.unlink_objects(links, ends("2026-01-01", "2026-04-01", "2026-03-01")).first().valid_to == d("2026-03-01")

@@ -3,6 +3,8 @@
 import json
 from datetime import datetime, timedelta, timezone
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +38,67 @@ def test_other_topics_and_old_clusters_stay_apart(spark):
     assert clusters(spark, [SAME[0], SAME[0]], step=7 * 86_400) == [0, 1]
 
 
+def plain_clusters(rows, threshold=0.45, hours=72):
+    """(seq, leader) one item after another: among clusters that still get items, the most similar first member."""
+    out, leaders = {}, []
+    for seq, tokens, at in rows:
+        best = None
+        for k, (first, words, last) in enumerate(leaders):
+            either = len(words | tokens)
+            s = len(words & tokens) / either if words and tokens else 0
+            if s >= threshold and last >= at - hours * 3600 and (best is None or (s, last, -first) > best[0]):
+                best = ((s, last, -first), k)
+        if best is None:
+            leaders.append((seq, tokens, at))
+            out[seq] = seq
+        else:
+            first, words, last = leaders[best[1]]
+            leaders[best[1]] = (first, words, max(last, at))
+            out[seq] = first
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_clusters_equal_a_plain_fold(spark, seed):
+    """Random headlines over months, some out of order, long chains of similar ones, equal ones, and some without words."""
+    rng = random.Random(seed)
+    words = [f"w{k:02d}x" for k in range(30)]
+    rows, at = [], 0
+    for seq in range(300):
+        at += rng.choice([600, 40_000, 90_000, 400_000] if seed else [600])
+        base = (seq // 3) % 25 if seed == 2 else rng.randrange(8)
+        tokens = sorted({words[(base + k) % 30] for k in range(5)} ^ ({rng.choice(words)} if rng.random() < 0.4 else set()))
+        rows.append((seq, [] if seq % 50 == 7 else tokens, at - (rng.choice([0, 0, 0, 300_000]))))
+    df = spark.createDataFrame(rows, "seq long, tokens array<string>, at long").select("seq", "tokens", F.timestamp_seconds("at").alias("published_at"))
+    got = {r.seq: r.cluster_seq for r in news.cluster(df.repartition(3)).collect()}
+    assert got == plain_clusters([(s, frozenset(t), at) for s, t, at in rows])
+
+
+def test_content_window_equals_a_plain_fold(spark):
+    rng = random.Random(4)
+    rows, at = [], 0
+    for seq in range(400):
+        at += rng.choice([600, 30_000, 400_000])
+        rows.append((seq, rng.choice(["Á b", "a B!", "c", ""]), None if seq % 9 == 0 else rng.choice(["x", ""]), at - rng.choice([0, 0, 500_000])))
+    df = spark.createDataFrame(rows, "seq long, title string, body string, at long").select("seq", "title", "body", F.timestamp_seconds("at").alias("published_at"))
+    newest, want = {}, []
+    for seq, title, body, at in rows:
+        key = (title.lower().replace("á", "a").strip("!"), body or "")
+        if key not in newest or newest[key] < at - 72 * 3600:
+            want.append(seq)
+            newest[key] = max(newest.get(key, at), at)
+    out = news.dedup_content(df.repartition(3))
+    assert sorted(r.seq for r in out.collect()) == want and out.columns == [*df.columns, "content"]
+
+
+def test_source_counts_and_mentions(spark):
+    n = items(spark, [SAME[0], SAME[1], "Other topic altogether"]).withColumn("seen_at", F.col("published_at"))
+    grown = news.source_count_assertions(n, news.cluster(n)).collect()
+    assert [(r.object_id, r.value) for r in grown] == [("NEWS:0", "2")]
+    links = news.mentions(n, spark.createDataFrame([(0, "ASSET:BTC")], "seq long, entity_id string")).collect()
+    assert [(r.link_type, r.from_id, r.to_id) for r in links] == [("MENTIONS", "NEWS:0", "ASSET:BTC")]
+
+
 def test_urls(spark):
     urls = ["https://www.Example.com/a/?utm_source=t&b=2&a=1#x", "https://example.com/a?a=1&b=2&fbclid=9", "HTTPS://example.com:443/a/?a=1&b=2", " not a url "]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(text.canonical_url(F.col("u"))).collect()]
@@ -53,7 +116,7 @@ def test_normalize_and_simhash(spark):
 
 def test_extraction(spark):
     rows = {r.seq: r for r in news.analyze(items(spark, ["Hackers exploit bridge, funds stolen in attack", "Token may rally after record growth", "Nothing here"])).collect()}
-    assert rows[0].event_type == "HACK" and rows[0].materiality > 0.4
+    assert rows[0].event_type == "SECURITY_INCIDENT" and rows[0].materiality > 0.4
     assert rows[1].sentiment == 1.0 and rows[1].speculation and rows[2].event_type == "OTHER"
     d = spark.createDataFrame([("bitcoin", "BTC"), ("token may", "TM")], "keyword string, entity_id string")
     assert {(r.seq, r.entity_id) for r in news.link_entities(items(spark, ["Bitcoin up", "A token may fall", "bitcoiners"]), d).collect()} == {(0, "BTC"), (1, "TM")}
