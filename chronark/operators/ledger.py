@@ -39,19 +39,10 @@ def budget_gate(calls: DataFrame, limit: str) -> DataFrame:
     return rows.withColumn("spent_before", F.col("before_day") + F.col("within")).withColumn("refused", F.col("spent_before") >= F.lit(limit).cast("decimal(20,8)")).drop("month", "day", "within", "before_day")
 
 
-def replay_budget(calls: DataFrame, limit: float) -> DataFrame:
-    """Like ``budget_gate`` where refused calls cost nothing: folded month by month."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["occurred_at", "call_id"])
-        spent, refused = 0.0, []
-        for cost in pdf["cost"]:
-            refused.append(spent >= limit)
-            spent += 0.0 if refused[-1] else float(cost)
-        return pdf[["call_id"]].assign(refused=refused)
-
-    rows = calls.select("call_id", "occurred_at", F.col("cost").cast("double").alias("cost"), F.date_trunc("month", "occurred_at").alias("month"))
-    return rows.groupBy("month").applyInPandas(lambda pdf: fold(pdf), f"call_id {dict(calls.dtypes)['call_id']}, refused boolean")
+def replay_budget(calls: DataFrame, limit: float | str) -> DataFrame:
+    """(call_id, refused): like ``budget_gate`` where refused calls cost nothing. Costs are never negative: up to the call with
+    which a month's limit is reached none is refused, and after it all are, so both say the same of every call."""
+    return budget_gate(calls, str(limit)).select("call_id", "refused")
 
 
 # conforming

@@ -1,8 +1,9 @@
-"""Market regime with hysteresis and the trigger gate, folded over each instrument's rows in time order.
+"""Market regime with hysteresis and the trigger gate, over each instrument's rows in time order.
 
 Input rows: (instrument_id, as_of, close, ema20, ema50, ema200, rsi14, macd_histogram, bb_percent_b, atr_percent, volume_z, return1,
-vol_percentile_slow, max_news_materiality, has_open_position). What a rule needs of the row before is a ``lag``; only the regime and
-the time of the last opened round are carried, by a fold over about twelve numbers a row.
+vol_percentile_slow, max_news_materiality, has_open_position). What a rule needs of the row before is a ``lag``, the regime is decided
+by windows, and only the times of reviews between other rounds are picked one after another. ``classify`` and ``fold`` are the same
+rules row by row, as a stream needs them.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -92,20 +93,73 @@ def fold(rows: Iterator[tuple], last: Regime, round_at: float | None) -> Iterato
         last = now
 
 
-def replay(rows: DataFrame) -> DataFrame:
-    """(instrument_id, as_of, trend, volatility, strength, regime_changed, is_open, reasons): the gate walked over every row."""
-    fired = F.array_compact(F.array(*(F.when(m.isNotNull(), F.struct(F.lit(t).alias("type"), m.cast("double").alias("magnitude"))) for t, m in stateless_reasons().items())))
-    narrow = rows.withColumn("reasons", fired).select("instrument_id", "as_of", F.unix_seconds("as_of").alias("at"), *STATE)
+def _settled(sure: Column, leaning: Column, either: tuple[str, str], resting: str) -> Column:
+    """A state with hysteresis: ``sure`` where the row alone decides it; else the row leans to one of ``either``, which holds if
+    the last sure state is that one and no row has leaned to the other since; else it is ``resting``."""
+    w = W.partitionBy("instrument_id").orderBy("as_of").rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = F.last(sure, ignorenulls=True).over(w)
+    since = F.max(F.when(sure.isNotNull(), F.col("as_of"))).over(w)
+    out = sure
+    for name, other in (either, either[::-1]):
+        against = F.max(F.when(sure.isNull() & (leaning == other), F.col("as_of"))).over(w)
+        holds = sure.isNull() & (leaning == name) & (last == name) & (against.isNull() | (against < since))
+        out = F.coalesce(out, F.when(holds, name))
+    return F.coalesce(out, F.lit(resting))
+
+
+def regimes(rows: DataFrame) -> DataFrame:
+    """``rows`` with trend, volatility, strength and regime_changed: ``classify`` walked over each instrument, as windows."""
+    none = lambda c: F.col(c).isNull() | F.isnan(c)
+    blind = none("ema20") | none("ema50") | none("ema200") | (F.col("ema200") <= 0)
+    fast, slow = (F.when(~blind, (F.col(x) - F.col(y)) / F.col("ema200") * 100) for x, y in (("ema20", "ema50"), ("ema50", "ema200")))
+    rows = rows.withColumns({"__blind": blind, "__fast": fast, "__slow": slow})
+    both = lambda sign, limit: (sign * F.col("__fast") > limit) & (sign * F.col("__slow") > limit)
+    lean = F.when(both(1, STAY_TREND), "UPTREND").when(both(-1, STAY_TREND), "DOWNTREND")
+    sure = F.when(F.col("__blind"), UNKNOWN).when(both(1, ENTER_TREND), "UPTREND").when(both(-1, ENTER_TREND), "DOWNTREND").when(lean.isNull(), "RANGE")
+    p = F.col("vol_percentile_slow")
+    settled = F.when(F.col("__blind") | none("vol_percentile_slow"), UNKNOWN).when(p > ENTER_HIGH, "HIGH").when(p < ENTER_LOW, "LOW").when((p > LEAVE_LOW) & (p < LEAVE_HIGH), "NORMAL")
+    rows = rows.withColumns({"__sure": sure, "__lean": lean, "__level": settled, "__near": F.when(p >= LEAVE_HIGH, "HIGH").when(p <= LEAVE_LOW, "LOW")})
+    trend = _settled(F.col("__sure"), F.col("__lean"), ("UPTREND", "DOWNTREND"), "RANGE")
+    volatility = _settled(F.col("__level"), F.col("__near"), ("HIGH", "LOW"), "NORMAL")
+    rows = rows.withColumns({"trend": trend, "volatility": volatility, "strength": F.coalesce(F.bround(F.least(F.abs("__fast"), F.abs("__slow")), 4), F.lit(0.0))})
+    w = W.partitionBy("instrument_id").orderBy("as_of")
+    was = F.coalesce(F.lag(F.struct("trend", "volatility")).over(w), F.struct(F.lit(UNKNOWN).alias("trend"), F.lit(UNKNOWN).alias("volatility")))
+    rows = rows.withColumn("regime_changed", (F.col("trend") != UNKNOWN) & (F.struct("trend", "volatility") != was))
+    return rows.drop("__blind", "__fast", "__slow", "__sure", "__lean", "__level", "__near")
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at", ignore_index=True)
-        out = list(fold(pdf[["at", *STATE]].itertuples(index=False, name=None), Regime(), None))
-        cols = ["trend", "volatility", "strength", "regime_changed", "is_open", "reasons"]
-        return pd.concat([pdf[["instrument_id", "as_of"]], pd.DataFrame([x[:6] for x in out], columns=cols)], axis=1)
 
-    kind = dict(rows.dtypes)
-    schema = f"instrument_id {kind['instrument_id']}, as_of timestamp, trend string, volatility string, strength double, regime_changed boolean, is_open boolean, reasons array<{REASON}>"
-    return narrow.groupBy("instrument_id").applyInPandas(walk, schema)
+def replay(rows: DataFrame) -> DataFrame:
+    """(instrument_id, as_of, trend, volatility, strength, regime_changed, is_open, reasons): the gate walked over every row.
+
+    Rules and regime are windows. A row with any such reason opens a round whatever came before, so reviews, which depend on
+    the round before, are picked in each span between two such rows for itself.
+    """
+    fired = F.array_compact(F.array(*(F.when(m.isNotNull(), F.struct(F.lit(t).alias("type"), m.cast("double").alias("magnitude"))) for t, m in stateless_reasons().items())))
+    out = regimes(rows.withColumn("reasons", fired).select("instrument_id", "as_of", F.unix_seconds("as_of").alias("at"), *STATE))
+    changed = F.when(F.col("regime_changed"), F.array(F.struct(F.lit("REGIME_CHANGE").alias("type"), F.col("strength").alias("magnitude")))).otherwise(F.array().cast(f"array<{REASON}>"))
+    out = out.withColumn("reasons", F.concat("reasons", changed)).withColumn("certain", F.size("reasons") > 0)
+    w = W.partitionBy("instrument_id").orderBy("as_of")
+    upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = out.withColumns({"span": F.count_if("certain").over(upto), "anchor": F.max(F.when(F.col("certain"), F.col("at"))).over(upto)})
+    waiting = out.where(F.col("has_open_position") & ~F.col("certain") & (F.col("anchor").isNull() | (F.col("at") - F.col("anchor") >= REVIEW_S)))
+
+    def picked(pdf: pd.DataFrame) -> pd.DataFrame:
+        last, keep = pdf["anchor"].iloc[0], []
+        for at in pdf["at"].sort_values():
+            if last is None or math.isnan(last) or at - last >= REVIEW_S:
+                keep.append(at)
+                last = at
+        return pd.DataFrame({"instrument_id": pdf["instrument_id"].iloc[0], "at": keep})
+
+    kind = dict(rows.dtypes)["instrument_id"]
+    reviews = waiting.select("instrument_id", "span", "anchor", "at").groupBy("instrument_id", "span").applyInPandas(picked, f"instrument_id {kind}, at long")
+    out = out.join(reviews.withColumn("reviewed", F.lit(True)), ["instrument_id", "at"], "left")
+    before = F.max(F.when(F.col("certain") | F.col("reviewed"), F.col("at"))).over(w.rowsBetween(W.unboundedPreceding, -1))
+    out = out.withColumn("before", before)
+    due = F.coalesce(F.col("has_open_position"), F.lit(False)) & (F.col("before").isNull() | (F.col("at") - F.col("before") >= REVIEW_S))
+    review = F.when(due, F.array(F.struct(F.lit("SCHEDULED_REVIEW").alias("type"), (F.col("at") - F.col("before")).cast("double").alias("magnitude")))).otherwise(F.array().cast(f"array<{REASON}>"))
+    out = out.withColumn("reasons", F.concat("reasons", review))
+    return out.select("instrument_id", "as_of", "trend", "volatility", "strength", "regime_changed", (F.size("reasons") > 0).alias("is_open"), "reasons")
 
 
 def trigger_rates(decisions: DataFrame) -> DataFrame:

@@ -224,8 +224,8 @@ def walk_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH a AS (SELECT o_custkey AS f, o_orderkey % 20 AS t, o_orderdate AS d, o_orderkey AS seq FROM orders),
-c AS (SELECT *, lag(t) OVER w AS last FROM a WINDOW w AS (PARTITION BY f ORDER BY d, seq))
-SELECT f AS from_id, t AS to_id, CAST(epoch(d) AS BIGINT) AS valid_from, CAST(epoch(lead(d) OVER (PARTITION BY f ORDER BY d, seq)) AS BIGINT) AS valid_to FROM c WHERE last IS NULL OR last <> t""")
+c AS (SELECT *, lag(t) OVER w AS last FROM a WINDOW w AS (PARTITION BY f ORDER BY d, seq)), e AS (SELECT * FROM c WHERE last IS NULL OR last <> t)
+SELECT f AS from_id, t AS to_id, CAST(epoch(d) AS BIGINT) AS valid_from, CAST(epoch((SELECT min(x.d) FROM e x WHERE x.f = e.f AND x.d > e.d)) AS BIGINT) AS valid_to FROM e""")
 def link_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's last used clerk: many to one, the next link closes the one before."""
     o = A.table(spark, sf_dir, "orders")

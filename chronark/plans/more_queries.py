@@ -215,9 +215,9 @@ def stream_dedup_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """News half an hour apart without exact repeats within 72 hours, as the stream gives them: of the first 72 hours, in which
     any repeat is within the window."""
     d = spark.readStream.schema(A.table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
-    d = d.select(F.col("doc_id").alias("seq"), F.sha2(text.normalize(F.coalesce("text", F.lit(""))), 256).alias("content"), F.timestamp_seconds(F.col("doc_id") * 1800).alias("published_at"))
+    d = d.select(F.col("doc_id").alias("seq"), F.sha2(text.normalize(F.coalesce("text", F.lit(""))), 256).alias("content"), F.timestamp_seconds(F.lit(1767225600) + F.col("doc_id") * 1800).alias("published_at"))
     kept = _streamed(spark, streams.stream_dedup(d, hours=72))
-    return kept.select("seq", F.unix_seconds("published_at").alias("published"), "content").where("published < 259200")
+    return kept.select("seq", (F.unix_seconds("published_at") - 1767225600).alias("published"), "content").where("published < 259200")
 
 
 @query(f"""WITH {B15}, r AS (SELECT instrument_id, (o // 3600) * 3600 AS open_time, arg_max(close, o) AS close, count(*) AS c FROM b WHERE is_final GROUP BY 1, 2)

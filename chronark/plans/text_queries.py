@@ -68,13 +68,19 @@ def dedup_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news.dedup_url(A.news(spark, sf_dir)).select("seq", "feed_id")
 
 
-@query()
+@query(r"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id AS seq, sha256(trim(regexp_replace(lower(strip_accents(concat_ws(' ', regexp_extract(text, '^[^.\n]*'), coalesce(text, '')))), '[^\p{L}\p{N}]+', ' ', 'g'))) AS content FROM documents),
+r AS (SELECT content, min(seq) AS seq FROM d GROUP BY content UNION ALL SELECT content, next FROM (SELECT content, (SELECT min(x.seq) FROM d x WHERE x.content = r.content AND x.seq > r.seq + 600) AS next FROM r) WHERE next IS NOT NULL)
+SELECT seq, content FROM r""")
 def dedup_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten minutes' window, so that later copies come back."""
+    """Ten hours' window, so that later copies come back."""
     return news.dedup_content(A.news(spark, sf_dir).select("seq", "title", "body", "published_at"), hours=10).select("seq", "content")
 
 
-@query()
+@query(f"""WITH {_TOKENS}, f AS (SELECT token, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(range(0, CAST(length(hex(encode(token))) // 2 AS BIGINT)), lambda i: CAST(concat('0x', substr(hex(encode(token)), 2 * i + 1, 2)) AS UHUGEINT))),
+  lambda h, c: (xor(h, c) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS h FROM (SELECT DISTINCT token FROM k)),
+b AS (SELECT token, unnest(range(0, 64)) AS j, h FROM f), v AS (SELECT seq, j, sum(CASE WHEN (h >> CAST(j AS UHUGEINT)) % 2 = 1 THEN 1 ELSE -1 END) AS votes FROM k JOIN b USING (token) GROUP BY 1, 2),
+s2 AS (SELECT seq, sum(CASE WHEN votes > 0 THEN CAST(power(2, j) AS HUGEINT) ELSE 0 END) AS bits, count(*) FILTER (WHERE votes > 0) AS ones FROM v GROUP BY 1)
+SELECT t.seq, CAST(CASE WHEN coalesce(bits, 0) >= 9223372036854775808 THEN bits - 18446744073709551616 ELSE coalesce(bits, 0) END AS BIGINT) AS simhash, coalesce(ones, 0) AS ones FROM t LEFT JOIN s2 USING (seq)""")
 def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = A.news(spark, sf_dir)
     h = n.select("seq", text.simhash64("tokens").alias("simhash"))
@@ -188,7 +194,10 @@ def budget_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.budget_gate(ledger.normalise(A.calls(spark, sf_dir)), "0.002").select("call_id", "refused")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CALLS}, n AS MATERIALIZED (SELECT *, date_trunc('month', moment) AS month, row_number() OVER (PARTITION BY date_trunc('month', moment) ORDER BY moment, call_id) AS k FROM l),
+r AS (SELECT month, k, call_id, false AS refused, units AS spent FROM n WHERE k = 1
+  UNION ALL SELECT n.month, n.k, n.call_id, r.spent >= 200000, r.spent + CASE WHEN r.spent >= 200000 THEN 0 ELSE n.units END FROM r JOIN n ON n.month = r.month AND n.k = r.k + 1)
+SELECT call_id, refused FROM r""")
 def budget_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.replay_budget(ledger.normalise(A.calls(spark, sf_dir)), 0.002)
 

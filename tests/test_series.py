@@ -4,6 +4,8 @@ import math
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +169,36 @@ def test_gate_stays_shut_on_a_ramp(spark, step):
     df = rows.withColumn("instrument_id", F.lit("x")).withColumn("as_of", F.col("open_time")).withColumn("ema200", F.col("ema50")).withColumn("max_news_materiality", F.lit(0.0)).withColumn("has_open_position", F.lit(False))
     out = signals.replay(df).where("as_of > timestamp '2026-01-10'")
     assert out.where("is_open").count() < 0.05 * out.count()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_replay_equals_the_fold(spark, seed):
+    """Windows against the rules walked row by row: every band of the hysteresis, missing values, open positions, quiet spans."""
+    rng = random.Random(seed)
+    rows = []
+    for name in ("a", "b"):
+        fast = slow = 0.0
+        level = 50.0
+        for k in range(400):
+            fast, slow = (max(-0.3, min(0.3, x + rng.uniform(-0.06, 0.06))) for x in (fast, slow))
+            level = max(0.0, min(100.0, level + rng.uniform(-15, 15)))
+            quiet = 150 < k < 260
+            e200 = rng.choice([100.0] * 30 + [None, 0.0]) if not quiet else 100.0
+            rows.append((name, k * 3600, 100.0, None if e200 is None else 100 + fast + slow, 100 + slow, e200, rng.choice([50.0] * 20 + [25.0, 75.0]) if not quiet else 50.0, 0.0, 0.5, 1.0, 0.0, 0.0, rng.choice([level] * 15 + [None]) if not quiet else 50.0, 0.0, rng.random() < 0.7))
+    names = "close ema20 ema50 ema200 rsi14 macd_histogram bb_percent_b atr_percent volume_z return1 vol_percentile_slow max_news_materiality".split()
+    df = spark.createDataFrame(rows, "instrument_id string, at long, " + ", ".join(f"{n} double" for n in names) + ", has_open_position boolean")
+    got = signals.replay(df.withColumn("as_of", F.timestamp_seconds("at")).drop("at").repartition(3)).collect()
+    of = {(r.instrument_id, int(r.as_of.timestamp())): r for r in got}
+    assert len(of) == len(rows)
+    for name in ("a", "b"):
+        mine = [r for r in rows if r[0] == name]
+        fired = []
+        for k, r in enumerate(mine):
+            was, now = (mine[k - 1][6] if k else None), r[6]
+            crossed = was is not None and ((now <= 30 < was) or (now >= 70 > was))
+            fired.append([{"type": "RSI_EXTREME", "magnitude": now}] if crossed else [])
+        walk = signals.fold(iter([(r[1], r[3], r[4], r[5], r[12], r[14], f) for r, f in zip(mine, fired, strict=True)]), signals.Regime(), None)
+        for r, (trend, volatility, strength, changed, is_open, reasons, _) in zip(mine, walk, strict=True):
+            x = of[name, r[1]]
+            assert (x.trend, x.volatility, x.regime_changed, x.is_open) == (trend, volatility, changed, is_open)
+            assert abs(x.strength - strength) < 1.1e-4 and [(y.type, y.magnitude) for y in x.reasons if y.type != "REGIME_CHANGE"] == [(y["type"], y["magnitude"]) for y in reasons if y["type"] != "REGIME_CHANGE"]
