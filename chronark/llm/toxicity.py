@@ -32,9 +32,9 @@ FIT_WINDOWS = 20_000
 #: Words of toxic texts that the toxic dictionary is trained on, at most: the surest ones.
 FIT_WORDS = 2_000
 WINDOW = 160
-#: Spelled bytes of a dictionary, and the trainer's segment lengths.
+#: Spelled bytes of a dictionary, and the trainer's segment lengths; of those for toxic text, the one that fits the labels best.
 ORDINARY_BYTES, TOXIC_BYTES = 36_000, 9_000
-ORDINARY_SEGMENT, TOXIC_SEGMENT = 120, 40
+ORDINARY_SEGMENT, TOXIC_SEGMENTS = 120, (24, 32, 40, 48)
 PREFIX = 5
 #: Of ordinary windows, about this share saves no more than the window's threshold.
 ORDINARY_BELOW = 0.99
@@ -138,14 +138,15 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([w for t in batch.column(0).to_pylist() for w in windows(_bytes(t))], pa.binary())], ["part"])
 
 
-def _measured(model: Model):
-    """(toxic, class, saved): label, class of length, and how many of the text's windows save -1 or less, 0, 1 and so on."""
+def _measured(models: list[Model]):
+    """(toxic, class, saved): label, class of length, and for each model how many of the text's windows save -1 or less, 0, 1 and so on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = model.compressors()
+        pairs = [m.compressors() for m in models]
+        counted = lambda text, both: np.bincount(np.clip(savings(text, both), -1, _MOST) + 1, minlength=_MOST + 2)
         for batch in batches:
-            rows = [np.bincount(np.clip(savings(t, both), -1, _MOST) + 1, minlength=_MOST + 2) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([_class(int(r.sum())) for r in rows], pa.int32()), pa.array(rows, pa.list_(pa.int64()))], ["toxic", "class", "saved"])
+            rows = [[counted(t, both).tolist() for both in pairs] for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([_class(sum(r[0])) for r in rows], pa.int32()), pa.array(rows, pa.list_(pa.list_(pa.int64())))], ["toxic", "class", "saved"])
 
     return run
 
@@ -171,8 +172,8 @@ def _rising(share: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.repeat([b[0] for b in blocks], [int(b[2]) for b in blocks])
 
 
-def calibrate(model: Model, toxic: np.ndarray, classes: np.ndarray, saved: np.ndarray) -> None:
-    """Sets the window's threshold and the probabilities. Classes with fewer than 30 rows take those of all rows.
+def calibrate(model: Model, toxic: np.ndarray, classes: np.ndarray, saved: np.ndarray) -> float:
+    """Sets the window's threshold and the probabilities, and tells the log-likelihood of the labels. Classes with fewer than 30 rows take those of all rows.
 
     ``saved`` has a row for each text: how many of its windows save -1 bytes or less, 0, 1 and so on."""
     ordinary = saved[toxic == 0].sum(0)
@@ -184,6 +185,8 @@ def calibrate(model: Model, toxic: np.ndarray, classes: np.ndarray, saved: np.nd
         of = of if of.sum() >= 30 else np.ones(len(toxic), bool)
         n, k = (np.bincount(excess[of], w, _MOST + 1) for w in (np.ones(of.sum()), toxic[of].astype(float)))
         model.chance[c] = _rising((k + base) / (n + 1), np.maximum(n, 1e-6))
+    p = np.clip(model.chance[classes, excess], 1e-3, 1 - 1e-3)
+    return float(np.log(np.where(toxic == 1, p, 1 - p)).sum())
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -218,10 +221,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     toxic = [f" {w}".encode("utf-8", "surrogatepass") for _, w in turns]
     parts = rows.where("toxic = 0").select("text").mapInArrow(_windows, "part binary")
     ordinary = parts.orderBy(F.xxhash64("part"), "part").limit(FIT_WINDOWS).toPandas()["part"]
-    model = Model(_trained(TOXIC_BYTES, TOXIC_SEGMENT, toxic), _trained(ORDINARY_BYTES, ORDINARY_SEGMENT, list(map(bytes, ordinary))))
-    measured = rows.mapInArrow(_measured(model), "toxic int, class int, saved array<long>").toPandas()
-    calibrate(model, measured["toxic"].to_numpy(), measured["class"].to_numpy(), np.array(measured["saved"].tolist()))
-    return model
+    of_ordinary = _trained(ORDINARY_BYTES, ORDINARY_SEGMENT, list(map(bytes, ordinary)))
+    models = [Model(_trained(TOXIC_BYTES, segment, toxic), of_ordinary) for segment in TOXIC_SEGMENTS]
+    measured = rows.mapInArrow(_measured(models), "toxic int, class int, saved array<array<long>>").toPandas()
+    label, classes, saved = measured["toxic"].to_numpy(), measured["class"].to_numpy(), np.array([[list(m) for m in r] for r in measured["saved"]])
+    fits = [calibrate(m, label, classes, saved[:, k]) for k, m in enumerate(models)]
+    return models[int(np.argmax(fits))]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
