@@ -141,6 +141,14 @@ def register_instruments(existing: DataFrame, specs: DataFrame) -> DataFrame:
     return joined.select(*key, *(F.coalesce(f"o.{c}", f"n.{c}").alias(c) for c in kept), *(F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in replaced))
 
 
+def instrument_assertions(specs: DataFrame, at: Column) -> DataFrame:
+    """Property assertions that mirror instruments as objects EXCHANGE:SYMBOL: assets, status and trading rules, valid from ``at``."""
+    names = ("base_asset", "quote_asset", "status", "tick_size", "step_size")
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("property"), F.col(n).cast("string").alias("value")) for n in names))).alias("p")
+    rows = specs.select(F.concat_ws(":", "exchange", "symbol").alias("object_id"), each)
+    return rows.select("object_id", "p.property", F.lit(0).alias("ordinal"), "p.value", F.lit("set").alias("op"), at.alias("valid_from"), F.lit(None).cast("timestamp").alias("valid_to"), at.alias("recorded_at"), F.xxhash64("object_id").alias("seq")).where("value IS NOT NULL")
+
+
 def select_configured(instruments: DataFrame, configured: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(instruments whose symbol is configured, configured symbols not found), case aside."""
     names = configured.select(F.upper("symbol").alias("wanted")).distinct()

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronark.operators import temporal
+from chronark.operators import graph, temporal
 
 KEY = ["object_id", "property", "ordinal"]
 STATE = [*KEY, "value", "valid_from", "valid_to", "recorded_at", "retracted_at"]
@@ -27,14 +27,30 @@ def current_values(values: DataFrame) -> DataFrame:
     return values.where(temporal.is_current())
 
 
-def objects_as_of(objects: DataFrame, values: DataFrame, t: Column, title_property: str = "name") -> DataFrame:
-    """(object_id, external_id, title, data map<property, array<value>>) of objects that existed at ``t``, as known then."""
+def objects_as_of(objects: DataFrame, values: DataFrame, t: Column, title_property: str = "name", titles: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+    """(object_id, external_id, title, data map<property, array<value>>) of objects that existed at ``t``, as known then.
+
+    The title is the value at ``t`` of ``title_property`` or, with ``titles`` (type, property, depth), of the title property of the
+    object's type or of the nearest type above it (largest depth) that has a value; else the external id. With ``links`` there is
+    a column of them as of ``t``: map<link_type, array<target's id, title and weight>>.
+    """
     known = values.where(temporal.known_at(t))
     lists = known.groupBy("object_id", "property").agg(F.sort_array(F.collect_list(F.struct("ordinal", "value"))).getField("value").alias("v"))
     maps = lists.groupBy("object_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("property", "v")))).alias("data"))
-    there = objects.where(temporal.exists_at(t)).select("object_id", "external_id")
+    there = objects.where(temporal.exists_at(t))
     out = there.join(maps, "object_id", "left")
-    return out.select("object_id", "external_id", F.coalesce(F.try_element_at(F.try_element_at("data", F.lit(title_property)), F.lit(1)), "external_id").alias("title"), "data")
+    value = lambda name: F.try_element_at(F.try_element_at("data", name), F.lit(1))
+    if titles is None:
+        title = value(F.lit(title_property))
+    else:
+        names = titles.groupBy("type").agg(F.reverse(F.sort_array(F.collect_list(F.struct("depth", "property")))).getField("property").alias("names"))
+        out = out.join(F.broadcast(names), "type", "left")
+        title = F.try_element_at(F.filter(F.transform("names", value), lambda v: v.isNotNull()), F.lit(1))
+    out = out.select("object_id", "external_id", F.coalesce(title, "external_id").alias("title"), "data")
+    if links is None:
+        return out
+    grouped = group_links(links_as_of(links, objects, out.select("object_id", "title"), t))
+    return out.join(grouped.withColumnRenamed("from_id", "object_id"), "object_id", "left")
 
 
 def history(values: DataFrame, commits: DataFrame, sources: DataFrame | None = None) -> DataFrame:
@@ -106,12 +122,15 @@ class Applied:
 def monotone(assertions: DataFrame) -> DataFrame:
     """State from a history without updates out of order: each value lasts until the next one begins.
 
-    A repeated value is no change; one that begins at the same instant retracts the one before.
+    A repeated value is no change; one that begins at the same instant retracts the one before. A column ``old``, if there is
+    one, marks rows that were there before and come first.
     """
-    w = W.partitionBy(*KEY).orderBy("recorded_at", "seq")
-    changed = assertions.withColumn("last", F.lag(F.struct("value")).over(w)).where(F.col("last").isNull() | ~F.col("last.value").eqNullSafe(F.col("value"))).drop("last")
+    rows = assertions if "old" in assertions.columns else assertions.withColumn("old", F.lit(False))
+    w = W.partitionBy(*KEY).orderBy(F.desc("old"), "recorded_at", "seq")
+    changed = rows.withColumn("last", F.lag(F.struct("value")).over(w)).where(F.col("last").isNull() | ~F.col("last.value").eqNullSafe(F.col("value"))).drop("last")
     nxt, rec = F.lead("valid_from").over(w), F.lead("recorded_at").over(w)
-    return changed.select(*KEY, "value", "valid_from", F.when(nxt > F.col("valid_from"), nxt).alias("valid_to"), "recorded_at", F.when(nxt == F.col("valid_from"), rec).alias("retracted_at"))
+    out = changed.select(*KEY, "value", "valid_from", F.when(nxt > F.col("valid_from"), nxt).alias("valid_to"), "recorded_at", F.when(nxt == F.col("valid_from"), rec).alias("retracted_at"), "old")
+    return out if "old" in assertions.columns else out.drop("old")
 
 
 def _apply(rows: list[dict], assertions: list[dict]) -> tuple[list[dict], list[dict], list[dict]]:
@@ -126,13 +145,13 @@ def _apply(rows: list[dict], assertions: list[dict]) -> tuple[list[dict], list[d
         if a["op"] == "retract":
             for r in opened:
                 r["retracted_at"] = at
-            log += [("RETRACT", a)] * bool(opened)
+            log += [("RETRACT_PROPERTY", a)] * bool(opened)
             continue
         if a["op"] == "close":
             hit = [r for r in opened if r["valid_from"] < until]
             for r in hit:
                 r["valid_to"] = until
-            log += [("CLOSE", a)] * bool(hit)
+            log += [("CLOSE_PROPERTY", a)] * bool(hit)
             continue
         if len(opened) == 1 and opened[0]["value"] == a["value"] and until is None:
             continue
@@ -150,15 +169,15 @@ def _apply(rows: list[dict], assertions: list[dict]) -> tuple[list[dict], list[d
             rejects.append(("TEMPORAL_CONFLICT", a))
             continue
         rows.append({"value": a["value"], "valid_from": start, "valid_to": until, "recorded_at": at, "retracted_at": None})
-        log.append(("SET", a))
+        log.append(("SET_PROPERTY", a))
     return rows, rejects, log
 
 
 def apply_assertions(state: DataFrame, assertions: DataFrame) -> Applied:
     """Bulk change application: assertions (KEY, value, op, valid_from, valid_to, recorded_at, seq) onto ``state``.
 
-    Only keys with assertions are touched. Keys that start empty and are monotone with plain open-ended sets take the window
-    form; the rest are folded, one key a group.
+    Only keys with assertions are touched. Keys whose assertions are plain open-ended sets in order, that start empty or with one
+    open row before them, take the window form; the rest are folded, one key a group, once.
     """
     a = assertions.select(*KEY, "value", "op", "valid_from", "valid_to", "recorded_at", "seq")
     touched = a.select(*KEY).distinct()
@@ -166,8 +185,16 @@ def apply_assertions(state: DataFrame, assertions: DataFrame) -> Applied:
     old = state.select(*STATE).join(touched, KEY, "left_semi")
     w = W.partitionBy(*KEY).orderBy("recorded_at", "seq")
     late = (F.col("op") != "set") | F.col("valid_to").isNotNull() | F.coalesce(F.lag("valid_from").over(w) > F.col("valid_from"), F.lit(False))
-    special = a.withColumn("late", late).where("late").select(*KEY).union(old.select(*KEY)).distinct()
-    plain = monotone(a.join(special, KEY, "left_anti"))
+    # a state is simple if all its rows have ended when the assertions begin, but for one that is open and began before
+    begins = a.groupBy(*KEY).agg(F.min("valid_from").alias("begins"))
+    reaches = F.col("retracted_at").isNull() & (F.coalesce("valid_to", "valid_from") > F.col("begins"))
+    tangled = old.join(begins, KEY).groupBy(*KEY).agg(F.max(reaches).alias("reaches"), F.count_if(temporal.is_current()).alias("open")).where("reaches OR open > 1").select(*KEY)
+    special = a.withColumn("late", late).where("late").select(*KEY).union(tangled).distinct()
+    simple = old.join(special, KEY, "left_anti")
+    first = simple.where(temporal.is_current()).select(*KEY, "value", "valid_from", "recorded_at", F.lit(0).cast("long").alias("seq"), F.lit(True).alias("old"))
+    made = monotone(first.unionByName(a.join(special, KEY, "left_anti").select(*KEY, "value", "valid_from", "recorded_at", F.col("seq").cast("long").alias("seq"), F.lit(False).alias("old"))))
+    plain = made.drop("old").unionByName(simple.where(~temporal.is_current()).select(*STATE))
+    old = old.join(special, KEY, "left_semi")
     both = old.select(*STATE, F.lit(None).cast("string").alias("op"), F.lit(None).cast("long").alias("seq")).unionByName(a.join(special, KEY, "left_semi"), allowMissingColumns=True)
 
     def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -186,9 +213,9 @@ def apply_assertions(state: DataFrame, assertions: DataFrame) -> Applied:
 
     kinds = dict(state.dtypes)
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in STATE), "kind string", "reason string", "seq long"])
-    folded = both.groupBy(*KEY).applyInPandas(fold, schema)
+    folded = graph.cut(both.groupBy(*KEY).applyInPandas(fold, schema))
     log = folded.where("kind = 'log'").select(*KEY, "value", "valid_from", "recorded_at", "seq", F.col("reason").alias("op"))
-    log = log.unionByName(plain.select(*KEY, "value", "valid_from", "recorded_at", F.lit(None).cast("long").alias("seq"), F.lit("SET").alias("op")))
+    log = log.unionByName(made.where("NOT old").select(*KEY, "value", "valid_from", "recorded_at", F.lit(None).cast("long").alias("seq"), F.lit("SET_PROPERTY").alias("op")))
     return Applied(untouched.unionByName(plain).unionByName(folded.where("kind = 'state'").select(*STATE)), folded.where("kind = 'reject'").select(*KEY, "value", "valid_from", "valid_to", "recorded_at", "seq", "reason"), log)
 
 
@@ -302,6 +329,26 @@ def unlink_objects(links: DataFrame, ends: DataFrame, symmetric: bool = False) -
     return rows.withColumn("valid_to", F.when(temporal.is_current(), F.coalesce(until, "valid_to")).otherwise(F.col("valid_to"))).select(*links.columns)
 
 
+def object_log(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(op, object_id): objects that a write made or deleted, from the tables before and after it."""
+    was = before.select("object_id", F.lit(True).alias("was"), F.col("deleted_at").alias("was_deleted"))
+    rows = after.select("object_id", "deleted_at").join(was, "object_id", "left")
+    made, gone = F.when(F.col("was").isNull(), "CREATE_OBJECT"), F.when(F.col("deleted_at").isNotNull() & F.col("was_deleted").isNull(), "DELETE_OBJECT")
+    return rows.select(F.explode(F.array_compact(F.array(made, gone))).alias("op"), "object_id")
+
+
+def link_log(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(op, link_type, from_id, to_id, valid_from): links that a write added, closed or retracted."""
+    key = ["link_type", "from_id", "to_id", "valid_from"]
+    was = before.select(*key, F.lit(True).alias("was"), F.col("valid_to").alias("was_to"), F.col("retracted_at").alias("was_retracted"))
+    rows = after.select(*key, "valid_to", "retracted_at").join(was, key, "left")
+    kinds = F.array(
+        F.when(F.col("was").isNull(), "ADD_LINK"), F.when(F.col("valid_to").isNotNull() & F.col("was_to").isNull(), "CLOSE_LINK"),
+        F.when(F.col("retracted_at").isNotNull() & F.col("was_retracted").isNull(), "RETRACT_LINK"),
+    )
+    return rows.select(F.explode(F.array_compact(kinds)).alias("op"), *key)
+
+
 def check_invariants(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """``rows`` with ``violations``: the names of the rules that don't hold (null counts as holding)."""
     return rows.withColumn("violations", F.array_compact(F.array(*(F.when(~F.coalesce(rule, F.lit(True)), F.lit(name)) for name, rule in rules.items()))))

@@ -29,11 +29,13 @@ def verdict(pnl: Column, thesis_held: Column) -> Column:
 def similar_objects(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1000) -> DataFrame:
     """(query_id, vec_id, similarity, rank): the k nearest by cosine of each query among all vectors.
 
-    Queries go out in blocks of ``block`` rows; each task keeps its k best of each, and these are merged.
+    Queries go out in blocks of ``block`` rows; each task keeps its k best of each, and these are merged. Rows without an id or a
+    vector take no part.
     """
     import numpy as np
     import pandas as pd
 
+    vectors, queries = (df.where("vec_id IS NOT NULL AND embedding IS NOT NULL") for df in (vectors, queries))
     out = None
     n = queries.count()
     for part in range(max(1, -(-n // block))):

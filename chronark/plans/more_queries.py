@@ -146,7 +146,7 @@ def unlink_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bt.unlink_objects(links, ends).select("from_id", F.col("valid_to").isNotNull().alias("ended"))
 
 
-@query("SELECT o_custkey AS object_id, 'SET' AS op, count(*) AS n FROM (SELECT *, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS last FROM orders) WHERE last IS NULL OR last <> o_totalprice GROUP BY 1")
+@query("SELECT o_custkey AS object_id, 'SET_PROPERTY' AS op, count(*) AS n FROM (SELECT *, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS last FROM orders) WHERE last IS NULL OR last <> o_totalprice GROUP BY 1")
 def change_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One entry for each effective change of a bulk write."""
     a = A.price_assertions(spark, sf_dir).withColumn("recorded_at", F.col("valid_from"))
@@ -329,3 +329,44 @@ def commit_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = A.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("commit_id"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate").cast("timestamp")).alias("declared_at"))
     c = registers.open_commits(o, F.expr("timestamp '1999-01-01 00:00:00'"))
     return registers.record(o.select("commit_id"), c).join(c.select("commit_id", "backdated"), "commit_id").select("commit_id", F.unix_seconds("recorded_at").alias("recorded_at"), "backdated")
+
+
+@query("SELECT CASE WHEN c_custkey % 2 = 0 THEN 'CREATE_OBJECT' ELSE 'DELETE_OBJECT' END AS op, concat('C', c_custkey) AS object_id FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 13 <> 0 UNION ALL SELECT 'DELETE_OBJECT', concat('C', c_custkey) FROM customer WHERE c_custkey % 26 = 0")
+def object_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd customers are there before and then deleted, even ones are made, some of them deleted already."""
+    o = A.objects(spark, sf_dir).where("type = 'Customer'")
+    odd = F.substring("object_id", 2, 20).cast("long") % 2 == 1
+    after = bt.delete_objects(o, o.where(odd).select("object_id", F.expr("timestamp '1999-01-01 00:00:00'").alias("at")))
+    return bt.object_log(o.where(odd), after)
+
+
+@query("SELECT 'ADD_LINK' AS op, concat('C', c_custkey) AS from_id FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT 'CLOSE_LINK', concat('C', c_custkey) FROM customer WHERE c_custkey % 14 = 0 OR (c_custkey % 2 = 1 AND c_custkey % 7 <> 0)")
+def link_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd customers' links are there before and then ended, even ones' are added, some of them ended already."""
+    links = A.links(spark, sf_dir).where("from_id LIKE 'C%'")
+    odd = F.substring("from_id", 2, 20).cast("long") % 2 == 1
+    after = bt.unlink_objects(links, links.where(odd).select("link_type", "from_id", "to_id", F.expr("timestamp '1999-01-01 00:00:00'").alias("until")))
+    return bt.link_log(links.where(odd), after).select("op", "from_id")
+
+
+@query("SELECT concat('EX:', p_partkey) AS object_id, unnest(['base_asset', 'status']) AS property, unnest([p_brand, 'TRADING']) AS value FROM part")
+def instrument_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = A.table(spark, sf_dir, "part")
+    none = F.lit(None).cast("double")
+    specs = p.select(F.lit("EX").alias("exchange"), F.col("p_partkey").alias("symbol"), F.col("p_brand").alias("base_asset"), F.lit(None).cast("string").alias("quote_asset"), F.lit("TRADING").alias("status"), none.alias("tick_size"), none.alias("step_size"))
+    return B.instrument_assertions(specs, F.expr("timestamp '2026-01-01 00:00:00'")).select("object_id", "property", "value")
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, TIMESTAMP '1997-01-01' + to_days(CAST(c_custkey % 700 AS INTEGER)) AS since, TIMESTAMP '1997-01-01' + to_days(CAST(c_custkey % 300 AS INTEGER)) AS linked, c_nationkey FROM customer), t AS (SELECT TIMESTAMP '1998-06-01' AS t)
+SELECT concat('C', k) AS object_id, CASE WHEN k % 3 = 0 THEN concat('Customer#', k) ELSE concat('X:C', k) END AS title, CASE WHEN linked <= t AND (k % 7 <> 0 OR t < linked + INTERVAL 100 DAY) THEN concat('N', c_nationkey) END AS place
+FROM c, t WHERE since + to_days(CAST(k % 5 AS INTEGER)) <= t AND (k % 13 <> 0 OR t < since + INTERVAL 400 DAY)""")
+def objects_with_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as of a day with inherited titles, which a third of them have, and where they were located."""
+    t = F.expr("timestamp '1998-06-01 00:00:00'")
+    o = A.objects(spark, sf_dir)
+    v = A.object_values(spark, sf_dir).where("property = 'name' AND object_id LIKE 'C%' AND CAST(substring(object_id, 2) AS long) % 3 = 0").withColumn("value", F.concat(F.lit("Customer#"), F.substring("object_id", 2, 20)))
+    titles = spark.createDataFrame([("Customer", "label", 1), ("Customer", "name", 0)], "type string, property string, depth int")
+    places = A.places(spark, sf_dir).select("object_id", F.lit("Place").alias("type"), F.col("object_id").alias("external_id"), F.expr("timestamp '1990-01-01 00:00:00'").alias("exists_from"), F.expr("timestamp '1990-01-01 00:00:00'").alias("recorded_at"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    out = bt.objects_as_of(o.unionByName(places), v, t, titles=titles, links=A.links(spark, sf_dir))
+    place = F.try_element_at(F.try_element_at("links", F.lit("LOCATED_IN")), F.lit(1))["to_external_id"]
+    return out.where("object_id LIKE 'C%'").select("object_id", "title", place.alias("place"))
