@@ -247,16 +247,18 @@ def value_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg(F.count("value_bool").alias("bools"), F.count("value_numeric").alias("numbers"), F.count_if(F.col("reason") == "NOT_A_VALUE").alias("bad"))
 
 
-@query("SELECT page_id, title, url FROM (SELECT page_id, concat('https://x/', page_id) AS url, concat('Page & ', page_id) AS title FROM pages) WHERE page_id % 9 <> 0")
+@query("SELECT page_id, concat('Page & ', page_id) AS title, url, sha256(trim(html)) AS body FROM pages WHERE page_id % 9 <> 0 AND trim(html) <> ''")
 def parse_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page as an RSS or Atom body; every ninth has a DOCTYPE."""
-    p = A.table(spark, sf_dir, "pages")
-    t, u = F.concat(F.lit("Page &amp; "), "page_id"), F.concat(F.lit("https://x/"), "page_id")
-    rss = F.concat(F.lit("<rss><channel><item><title>"), t, F.lit("</title><link>"), u, F.lit("</link><pubDate>Mon, 05 Jan 2026 10:00:00 +0000</pubDate></item></channel></rss>"))
-    atom = F.concat(F.lit('<feed><entry><title type="text">'), t, F.lit('</title><link rel="x" href="'), u, F.lit('"/><updated>2026-01-05T10:00:00Z</updated></entry></feed>'))
+    """Each page as an RSS or Atom body with its address and HTML; every ninth has a DOCTYPE."""
+    p = A.table(spark, sf_dir, "pages").where(F.trim("html") != "")
+    t = F.concat(F.lit("Page &amp; "), "page_id")
+    u = F.regexp_replace(F.regexp_replace("url", "&", "&amp;"), "<", "&lt;")
+    html = F.concat(F.lit("<![CDATA["), "html", F.lit("]]>"))
+    rss = F.concat(F.lit("<rss><channel><item><title>"), t, F.lit("</title><link>"), u, F.lit("</link><content:encoded>"), html, F.lit("</content:encoded><pubDate>Mon, 05 Jan 2026 10:00:00 +0000</pubDate></item></channel></rss>"))
+    atom = F.concat(F.lit('<feed><entry><title type="text">'), t, F.lit('</title><link rel="x" href="'), u, F.lit('"/><content type="html">'), html, F.lit("</content><updated>2026-01-05T10:00:00Z</updated></entry></feed>"))
     body = F.when(F.col("page_id") % 9 == 0, F.concat(F.lit("<!DOCTYPE x>"), rss)).when(F.col("page_id") % 2 == 0, rss).otherwise(atom)
     out = decode.feeds(p.select(F.col("page_id").alias("feed_id"), F.expr("timestamp '2026-01-06 00:00:00'").alias("fetched_at"), body.alias("body")))
-    return out.where("reason IS NULL").select(F.col("feed_id").alias("page_id"), "title", "url")
+    return out.where("reason IS NULL").select(F.col("feed_id").alias("page_id"), "title", "url", F.sha2("body", 256).alias("body"))
 
 
 @query("""WITH a AS (SELECT user_id, event_id, event_type <> 'error' AS ok, value FROM events), g AS (SELECT user_id, max(event_id) FILTER (WHERE ok) AS last_ok FROM a GROUP BY 1)

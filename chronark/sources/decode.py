@@ -33,29 +33,34 @@ _DATES = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm Z"
 
 
 def feeds(raw: DataFrame) -> DataFrame:
-    """(feed_id, url, title, summary, published_at, reason) from RSS 2.0 items, else Atom entries; bodies with a DOCTYPE are refused.
+    """(feed_id, url, title, summary, body, published_at, reason) from RSS 2.0 items, else Atom entries; bodies with a DOCTYPE are refused.
 
     Items are cut out by pattern, as Spark's XML reader takes one row tag; an item needs a url and a title.
     """
-    refused = F.col("body").contains("<!DOCTYPE")
+    # a declaration stands before the first element; in an item's text it is text
+    refused = F.col("body").rlike(r"^\s*(?:<\?[^>]*\?>\s*|<!--(?:(?!-->)[\s\S])*+-->\s*)*<!DOCTYPE")
     rss = F.regexp_extract_all("body", F.lit(r"(?s)<item[ >].*?</item>"), F.lit(0))
     atom = F.regexp_extract_all("body", F.lit(r"(?s)<entry[ >].*?</entry>"), F.lit(0))
     parts = F.when(refused, F.array(F.lit(None).cast("string"))).when(F.size(rss) > 0, rss).otherwise(atom)
     rows = raw.select("feed_id", "fetched_at", refused.alias("refused"), F.explode(parts).alias("x"))
 
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&lt;", "<"), "&gt;", ">"), "&quot;", '"'), "&amp;", "&"))
+
     def tag(*names: str) -> Column:
+        """The text of the first of these elements that has any: as it is within CDATA, else with entities read."""
         found = []
         for n in names:
-            inner = F.regexp_extract("x", rf"(?s)<{n}(?:\s[^>]*)?>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</{n}>", 1)
-            found.append(F.when(inner != "", inner))
+            inner = F.regexp_extract("x", rf"(?s)<{n}(?:\s[^>]*)?>(.*?)</{n}>", 1)
+            kept = F.regexp_extract(inner, r"(?s)^\s*<!\[CDATA\[(.*)\]\]>\s*$", 1)
+            value = F.when(kept != "", F.trim(kept)).otherwise(plain(F.regexp_replace(inner, r"^\s+|\s+$", "")))
+            found.append(F.when(value != "", value))
         return F.coalesce(*found)
 
-    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&lt;", "<"), "&gt;", ">"), "&quot;", '"'), "&amp;", "&"))
     href = F.regexp_extract("x", r"<link[^>]*href=[\"']([^\"']+)[\"']", 1)
-    url = F.coalesce(tag("link"), F.when(href != "", href), tag("guid", "id"))
+    url = F.coalesce(tag("link"), F.when(href != "", plain(href)), tag("guid", "id"))
     when = F.regexp_replace(tag("pubDate", "published", "updated", "dc:date"), "^[A-Za-z]{3}, *", "")
     published = F.coalesce(*(F.try_to_timestamp(when, F.lit(p)) for p in _DATES), F.try_to_timestamp(when), F.col("fetched_at"))
-    out = rows.select("feed_id", plain(url).alias("url"), plain(tag("title")).alias("title"), plain(tag("description", "summary", "content")).alias("summary"), published.alias("published_at"), "refused")
+    out = rows.select("feed_id", url.alias("url"), tag("title").alias("title"), tag("description", "summary").alias("summary"), tag("content:encoded", "content").alias("body"), published.alias("published_at"), "refused")
     reason = F.when(F.col("refused"), "DOCTYPE").when(F.col("url").isNull() | F.col("title").isNull(), "NO_URL_OR_TITLE")
     return out.withColumn("reason", reason).drop("refused")
 
