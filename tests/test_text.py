@@ -137,7 +137,12 @@ def test_vintages(spark):
     for t, v in (("2026-09-01", 314.2), ("2026-09-20", 314.5)):
         assert [float(r.value) for r in macro.known_at(points, F.lit(t).cast("date")).collect()] == [v]
     first = macro.write_observations(points)
-    assert first.count() == 4
+    plain = lambda r: str(float(r.value)) if r.property == "value" else r.value
+    assert first.count() == 8 and {(r.property, plain(r), str(r.valid_to)[:10]) for r in first.collect()} == {
+        ("label", "CPI 2026-07-01", "None"), ("period", "2026-07-01", "None"), ("value", "314.2", "2026-09-15"), ("value", "314.5", "None"), ("revision", "false", "2026-09-15"), ("revision", "true", "None"),
+    }
+    links = macro.observation_links(points).collect()
+    assert [(r.link_type, r.from_id, r.to_id) for r in links] == [("OBSERVATION_OF", "FRED:CPI:2026-07-01", "FRED:CPI")]
     assert macro.write_observations(points, first.withColumn("retracted_at", F.lit(None).cast("timestamp"))).count() == 0
 
 
