@@ -342,15 +342,16 @@ def _scored(rows: DataFrame, model: Model, text_col: str, each: Callable[[Model,
 def _model(counts: DataFrame) -> Model:
     langs = sorted(x[0] for x in counts.select("lang").distinct().collect())
     if counts.count() * max(8, len(langs) + 4) <= 8 * GRAMS:
-        table = counts.toPandas()
+        # numbers only, and one language at a time: the driver holds little besides the models
+        table = counts.select((F.array_position(F.lit(langs), F.col("lang")) - 1).cast("int").alias("j"), "half", "gram", "n").toPandas()
+        of, half, gram, n = (table[c].to_numpy() for c in ("j", "half", "gram", "n"))
+        del table
 
-        def held(part: pd.DataFrame) -> Model:
-            sums = part.groupby(["lang", "gram"], as_index=False)["n"].sum()
-            of = dict(list(sums.groupby("lang")))
-            return Model({x: (g["gram"].to_numpy(np.int64), g["n"].to_numpy(np.int64)) for x in langs for g in [of.get(x, sums[:0])]})
+        def held(wanted: np.ndarray) -> Model:
+            return Model({x: _merged([gram[at]], [n[at]]) for j, x in enumerate(langs) for at in [np.flatnonzero(wanted & (of == j))]})
 
-        model = held(table)
-        model.halves = [held(table[table["half"] != k]) for k in (0, 1)]
+        model = held(np.ones(len(of), bool))
+        model.halves = [held(half != k) for k in (0, 1)]
         return model
     model, *model.halves = (Model({}) for _ in range(3))
     tables = []
