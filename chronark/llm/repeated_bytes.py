@@ -279,7 +279,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("hash"), text.cast("binary").alias("bytes"))
     rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc", "hash"), F.lit(batches))).repartition(min(batches, 20000), "batch")
     keys = rows.groupBy("batch").applyInArrow(_keys, "key long, again boolean, batch long").repartition(min(batches, 20000), "key")
-    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where("n > 1 OR again")
+    # all columns are used on either side, so that both read one shuffle
+    counts = keys.groupBy("key").agg(F.count("batch").alias("n"), F.max("again").alias("again")).where("n > 1 OR again")
     wanted = keys.join(counts.select("key", (F.col("n") > HOT).alias("hot")), "key").select("batch", "key", "hot")
     items = rows.groupBy("batch").cogroup(wanted.groupBy("batch")).applyInArrow(_items(groups), ITEMS)
     spans = items.groupBy("group").applyInArrow(_spans, SPANS)
