@@ -129,15 +129,22 @@ def _items(groups: int):
                 doc = doc[each]
             # by the order of documents, so that what is kept of equal texts is the earliest
             rank = np.argsort(np.array(sorted(range(len(texts.keys)), key=texts.keys.__getitem__), "int64"))
-            signed = key.view("int64")
             raw, seen, batch = texts.data.tobytes(), set(), table.column("batch")[0].as_py()
-            for k in np.lexsort((begin, rank[doc])):
-                a, b = int(begin[k]), int(last[k]) + LENGTH
-                text, (doc_id, h) = raw[a:b], texts.keys[doc[k]]
-                row = (int(key[k] % np.uint64(groups)), int(signed[k]), doc_id, h, batch, a - int(texts.starts[doc[k]]), b - a, text if text not in seen else None)
-                seen.add(text)
-                for c, v in zip(out.values(), row, strict=True):
-                    c.append(v)
+            ends, starts, signed = (last + LENGTH).tolist(), texts.starts.tolist(), key.view("int64").tolist()
+            begin, doc, rows = begin.tolist(), doc.tolist(), []
+            for k in np.lexsort((begin, rank[doc])).tolist():
+                a, b, (doc_id, h) = begin[k], ends[k], texts.keys[doc[k]]
+                text = raw[a:b]
+                a, b = a - starts[doc[k]], b - starts[doc[k]]
+                if text not in seen:
+                    seen.add(text)
+                    rows.append((signed[k] % groups, signed[k], doc_id, h, batch, a, b - a, text))
+                elif rows and rows[-1][-1] is None and rows[-1][2:4] == (doc_id, h) and a <= rows[-1][5] + rows[-1][6]:
+                    rows[-1] = (*rows[-1][:6], b - rows[-1][5], None)
+                else:  # only a span, with nothing to compare: any group passes it on
+                    rows.append((h % groups, 0, doc_id, h, batch, a, b - a, None))
+            for c, v in zip(out, zip(*rows, strict=True), strict=False):
+                out[c] = v
         kinds = [pa.binary() if c == "bytes" else pa.int64() for c in out]
         return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
