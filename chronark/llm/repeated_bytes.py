@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LENGTH, SEED = 100, 32
@@ -286,9 +286,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("hash"), text.cast("binary").alias("bytes"))
     rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc", "hash"), F.lit(batches))).repartition(min(batches, 20000), "batch")
     keys = rows.groupBy("batch").applyInArrow(_keys, "key long, again boolean, batch long").repartition(min(batches, 20000), "key")
-    # all columns are used on either side, so that both read one shuffle
-    counts = keys.groupBy("key").agg(F.count("batch").alias("n"), F.max("again").alias("again")).where("n > 1 OR again")
-    wanted = keys.join(counts.select("key", (F.col("n") > HOT).alias("hot")), "key").select("batch", "key", "hot")
+    # a key has a row for each batch at most, so its window is small however often its text occurs
+    same = Window.partitionBy("key")
+    counted = keys.withColumn("n", F.count(F.lit(1)).over(same)).withColumn("several", F.max("again").over(same)).where("n > 1 OR several")
+    wanted = counted.select("batch", "key", (F.col("n") > HOT).alias("hot"))
     items = rows.groupBy("batch").cogroup(wanted.groupBy("batch")).applyInArrow(_items(groups), ITEMS)
     spans = items.groupBy("group").applyInArrow(_spans, SPANS)
     return rows.groupBy("batch").cogroup(spans.groupBy("batch")).applyInArrow(_removed, "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary")
