@@ -7,6 +7,7 @@ is monotone take windows only; others go through a fold of their own rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronark.operators import graph, temporal
+from chronark.operators import graph, ordered, temporal
 
 KEY = ["object_id", "property", "ordinal"]
 STATE = [*KEY, "value", "valid_from", "valid_to", "recorded_at", "retracted_at"]
@@ -219,30 +220,125 @@ def apply_assertions(state: DataFrame, assertions: DataFrame) -> Applied:
     return Applied(untouched.unionByName(plain).unionByName(folded.where("kind = 'state'").select(*STATE)), folded.where("kind = 'reject'").select(*KEY, "value", "valid_from", "valid_to", "recorded_at", "seq", "reason"), log)
 
 
-def set_lists(state: DataFrame, lists: DataFrame) -> DataFrame:
-    """State after list writes (object_id, property, elements, valid_from, recorded_at): equal lists are no change, others close all ordinals."""
+class _Lists:
+    """One list property of an object: its rows, as list writes come one after another."""
+
+    def __init__(self):
+        self.rows: list[dict] = []
+
+    def put(self, w: dict) -> list[tuple]:
+        if w["elements"] is None:  # a row of the state
+            self.rows.append(w)
+            return []
+        elements, start, at = list(w["elements"]), w["valid_from"], w["recorded_at"]
+        live = [r for r in self.rows if r["retracted_at"] is None]
+        opened = sorted((r for r in live if r["valid_to"] is None), key=lambda r: r["ordinal"])
+        if [r["value"] for r in opened] == elements:
+            return []
+        undo = [(r, r["valid_to"], r["retracted_at"]) for r in live]
+        reach = max(len(opened), len(elements))
+        for r in live:
+            if r["ordinal"] < reach:
+                if r["valid_from"] < start and (r["valid_to"] is None or r["valid_to"] > start):
+                    r["valid_to"] = start
+                elif r["valid_from"] == start and r["valid_to"] is None:
+                    r["retracted_at"] = at
+        if any(r["retracted_at"] is None and r["ordinal"] < len(elements) and (r["valid_to"] is None or r["valid_to"] > start) for r in live):
+            for r, to, gone in undo:
+                r["valid_to"], r["retracted_at"] = to, gone
+            return [self._out(w | {"ordinal": k, "value": v}, "reject", "TEMPORAL_CONFLICT") for k, v in enumerate(elements)]
+        self.rows += [{**w, "ordinal": k, "value": v, "valid_to": None, "retracted_at": None} for k, v in enumerate(elements)]
+        return []
+
+    def end(self) -> list[tuple]:
+        return [self._out(r, "state", None) for r in self.rows]
+
+    @staticmethod
+    def _out(r: dict, kind: str, reason: str | None) -> tuple:
+        return (*(r.get(c) for c in STATE), r["seq"], kind, reason)
+
+
+def apply_lists(state: DataFrame, lists: DataFrame) -> Applied:
+    """Bulk list writes (object_id, property, elements, valid_from, recorded_at, seq) onto ``state``, as one by one in (recorded_at, seq) order.
+
+    A list equal to what is open is no change; another one ends the open rows of all ordinals where it begins, or retracts those that began
+    at the same instant. A late list that would overlap a later one is rejected. A null list counts as empty, null elements
+    are values. Keys whose lists come in order, onto rows that began before or none, take windows: each list lasts until
+    the next other one. The rest are folded, a key's rows streaming through one task. Keys without writes are left alone.
+    """
     key = ["object_id", "property"]
-    now = state.where(temporal.is_current()).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("ordinal", "value"))).getField("value").alias("was"))
-    changed = lists.join(now, key, "left").where(~F.col("elements").eqNullSafe(F.col("was"))).drop("was")
-    closing = changed.select(*key, F.col("valid_from").alias("new_from"), F.col("recorded_at").alias("new_at"))
-    touched = state.join(closing, key, "left")
-    hit = F.col("new_from").isNotNull() & temporal.is_current()
-    closed = touched.withColumn("valid_to", F.when(hit & (F.col("valid_from") < F.col("new_from")), F.col("new_from")).otherwise(F.col("valid_to"))).withColumn("retracted_at", F.when(hit & (F.col("valid_from") == F.col("new_from")), F.col("new_at")).otherwise(F.col("retracted_at")))
-    added = changed.select(*key, F.posexplode("elements").alias("ordinal", "value"), "valid_from", F.lit(None).cast("timestamp").alias("valid_to"), "recorded_at", F.lit(None).cast("timestamp").alias("retracted_at"))
-    return closed.select(*STATE).unionByName(added.select(*STATE))
+    seq = F.col("seq").cast("long") if "seq" in lists.columns else F.lit(0).cast("long")
+    writes = lists.select(*key, F.coalesce("elements", F.array().cast(dict(lists.dtypes)["elements"])).alias("elements"), "valid_from", "recorded_at", seq.alias("seq"))
+    order = W.partitionBy(*key).orderBy("recorded_at", "seq", "valid_from", "elements")
+    writes = writes.withColumn("late", F.coalesce(F.lag("valid_from").over(order) > F.col("valid_from"), F.lit(False)))
+    spans = writes.groupBy(*key).agg(F.min("valid_from").alias("begins"), F.max("late").alias("late"))
+    old = state.select(*STATE).join(spans, key, "left")
+    untouched = old.where("begins IS NULL").select(*STATE)
+    live = F.col("retracted_at").isNull()
+    # rows that reach beyond the first write, or open ones of different times, are for the fold
+    reaches = live & F.when(F.col("valid_to").isNull(), F.col("valid_from") > F.col("begins")).otherwise(F.col("valid_to") > F.col("begins"))
+    odd = old.where("begins IS NOT NULL").groupBy(*key).agg(F.max(reaches).alias("odd"), F.count_if(live & F.col("valid_to").isNull()).alias("n"), F.max(F.when(live & F.col("valid_to").isNull(), F.col("ordinal"))).alias("top"))
+    special = graph.cut(spans.join(odd, key, "left").where("late OR odd OR n <> coalesce(top, -1) + 1").select(*key))
+    old = old.where("begins IS NOT NULL").select(*STATE)
+
+    plain, was = writes.drop("late").join(special, key, "left_anti"), old.join(special, key, "left_anti")
+    open_ = temporal.is_current()
+    first = was.where(open_).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("ordinal", "value"))).getField("value").alias("elements"))
+    both = first.select(*key, "elements", *(F.lit(None).cast("timestamp").alias(c) for c in ("valid_from", "recorded_at")), F.lit(None).cast("long").alias("seq"), F.lit(True).alias("old"))
+    both = both.unionByName(plain.withColumn("old", F.lit(False)))
+    order = W.partitionBy(*key).orderBy(F.desc("old"), "recorded_at", "seq", "valid_from", "elements")
+    # before the first write, what is open is the list; without any it is empty
+    last = F.coalesce(F.lag("elements").over(order), F.array().cast(dict(writes.dtypes)["elements"]))
+    changed = both.withColumn("last", last).where(F.col("old") | ~F.col("last").eqNullSafe(F.col("elements"))).drop("last")
+    changed = changed.withColumn("next", F.lead("valid_from").over(order)).withColumn("next_at", F.lead("recorded_at").over(order))
+    ended = lambda begin: (F.when(F.col("next") > begin, F.col("next")).alias("valid_to"), F.when(F.col("next") == begin, F.col("next_at")).alias("retracted_at"))
+    made = changed.where("NOT old").select(*key, F.posexplode("elements").alias("ordinal", "value"), "valid_from", "recorded_at", *ended(F.col("valid_from")))
+    closing = was.where(open_).drop("valid_to", "retracted_at").join(changed.where("old").select(*key, "next", "next_at"), key, "left").select(*key, "ordinal", "value", "valid_from", "recorded_at", *ended(F.col("valid_from")))
+    simple = made.select(*STATE).unionByName(closing.select(*STATE)).unionByName(was.where(~open_).select(*STATE))
+
+    kinds = dict(state.dtypes)
+    rows = old.join(special, key, "left_semi").select(*STATE, F.lit(None).cast("long").alias("seq"))
+    rows = rows.unionByName(writes.drop("late").join(special, key, "left_semi"), allowMissingColumns=True)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in STATE), "seq long", "kind string", "reason string"])
+    folded = graph.cut(ordered.fold(rows, key, [F.col("elements").isNotNull(), "recorded_at", "seq", "valid_from", "elements"], _Lists, schema))
+    out = untouched.unionByName(simple).unionByName(folded.where("kind = 'state'").select(*STATE))
+    return Applied(out, folded.where("kind = 'reject'").select(*KEY, "value", "valid_from", "recorded_at", "seq", "reason"), property_log(state, out))
+
+
+def set_lists(state: DataFrame, lists: DataFrame) -> DataFrame:
+    """The state after ``apply_lists``."""
+    return apply_lists(state, lists).state
+
+
+def _first_of(rows: DataFrame, value: str, fits: Callable[[Column], Column]) -> tuple[DataFrame, Column]:
+    """The values asked for each key, in order of ``seq`` if there is one, else their own, and the first of them that ``fits``."""
+    kinds = dict(rows.dtypes)
+    order = F.col("seq").cast("long") if "seq" in kinds else F.lit(0).cast("long")
+    asked = rows.groupBy("object_id", "property").agg(F.sort_array(F.collect_set(F.struct(order.alias("seq"), F.col(value).alias("at")))).getField("at").alias("asked"))
+    return asked, F.try_element_at(F.filter("asked", fits), F.lit(1))
 
 
 def close_properties(state: DataFrame, closings: DataFrame) -> DataFrame:
-    """(object_id, property, until): open rows that began before get that end."""
-    rows = state.join(closings, ["object_id", "property"], "left")
-    hit = temporal.is_current() & (F.col("valid_from") < F.col("until"))
-    return rows.withColumn("valid_to", F.when(hit, F.col("until")).otherwise(F.col("valid_to"))).select(*STATE)
+    """(object_id, property, until): open rows that began before get that end; of several ends of a key the first that is later than the
+    row's start, by ``seq`` if the table has it, else the earliest. Null ends and keys close nothing."""
+    asked, until = _first_of(closings.where("until IS NOT NULL"), "until", lambda u: u > F.col("valid_from"))
+    rows = state.join(asked, ["object_id", "property"], "left")
+    return rows.withColumn("valid_to", F.when(temporal.is_current(), F.coalesce(until, "valid_to")).otherwise(F.col("valid_to"))).select(*STATE)
 
 
 def retract_properties(state: DataFrame, retractions: DataFrame) -> DataFrame:
-    """(object_id, property, at): open rows are retracted."""
-    rows = state.join(retractions, ["object_id", "property"], "left")
-    return rows.withColumn("retracted_at", F.when(temporal.is_current() & F.col("at").isNotNull(), F.col("at")).otherwise(F.col("retracted_at"))).select(*STATE)
+    """(object_id, property, at): open rows are retracted; by the first of several retractions of a key, by ``seq`` if the table has it, else the earliest."""
+    asked, at = _first_of(retractions.where("at IS NOT NULL"), "at", lambda _: F.lit(True))
+    rows = state.join(asked, ["object_id", "property"], "left")
+    return rows.withColumn("retracted_at", F.when(temporal.is_current(), at).otherwise(F.col("retracted_at"))).select(*STATE)
+
+
+def property_log(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(op, KEY, valid_from, n): rows that writes set, ended or retracted, from the tables before and after them."""
+    count = lambda df, sign: df.select(*KEY, "valid_from", F.lit(sign).alias("n"), F.when(F.col("valid_to").isNotNull(), sign).otherwise(0).alias("closed"), F.when(F.col("retracted_at").isNotNull(), sign).otherwise(0).alias("retracted"))
+    rows = count(before, -1).unionByName(count(after, 1)).groupBy(*KEY, "valid_from").agg(*(F.sum(c).alias(c) for c in ("n", "closed", "retracted")))
+    each = F.array(*(F.struct(F.lit(op).alias("op"), F.col(c).alias("n")) for op, c in (("SET_PROPERTY", "n"), ("CLOSE_PROPERTY", "closed"), ("RETRACT_PROPERTY", "retracted"))))
+    return rows.select(*KEY, "valid_from", F.explode(each).alias("x")).where("x.n > 0").select("x.op", *KEY, "valid_from", "x.n")
 
 
 def create_objects(objects: DataFrame, new: DataFrame, types: DataFrame, required: DataFrame, given: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -278,29 +374,126 @@ def delete_objects(objects: DataFrame, deletions: DataFrame) -> DataFrame:
 LINK = ("link_type", "from_id", "to_id", "weight", "valid_from", "valid_to", "recorded_at", "retracted_at")
 
 
-def link_objects(assertions: DataFrame, cardinality: str, symmetric: bool = False, state: DataFrame | None = None) -> DataFrame:
-    """Links of one type after assertions (link_type, from_id, to_id, weight, valid_from, recorded_at, seq), in the order in which they were recorded.
+class _Links:
+    """Links that compete for sources or targets, as assertions come one after another."""
+
+    def __init__(self, of_source: bool, of_target: bool, symmetric: bool):
+        self.of_source, self.of_target, self.symmetric = of_source, of_target, symmetric
+        self.open: dict[tuple, dict] = {}
+        self.by: dict[tuple, set[tuple]] = {}
+        self.ended: dict[tuple, pd.Timestamp] = {}
+
+    def _add(self, r: dict) -> None:
+        pair = (r["from_id"], r["to_id"])
+        self.open[pair] = r
+        self.by.setdefault(("from", pair[0]), set()).add(pair)
+        self.by.setdefault(("to", pair[1]), set()).add(pair)
+
+    def _close(self, pair: tuple, at: pd.Timestamp) -> tuple:
+        r = self.open.pop(pair)
+        self.by["from", pair[0]].discard(pair)
+        self.by["to", pair[1]].discard(pair)
+        self.ended[pair] = max(at, self.ended.get(pair, at))
+        return self._out(r | {"valid_to": at}, "state", None)
+
+    def put(self, a: dict) -> list[tuple]:
+        pair, start = (a["from_id"], a["to_id"]), a["valid_from"]
+        if a["old"]:
+            if a["retracted_at"] is None and a["valid_to"] is None and pair not in self.open:
+                self._add(a)
+                return []
+            if a["retracted_at"] is None and a["valid_to"] is not None:
+                self.ended[pair] = max(a["valid_to"], self.ended.get(pair, a["valid_to"]))
+            return [self._out(a, "state", None)]
+        if pair in self.open:
+            return []
+        back = pair[::-1]
+        new = [pair, back] if self.symmetric and back not in self.open else [pair]
+        if any(p in self.ended and self.ended[p] > start for p in new):
+            return [self._out(a, "reject", "TEMPORAL_CONFLICT")]
+        others = [p for p in self.by.get(("from", pair[0]), ()) if self.of_source and p != pair] + [p for p in self.by.get(("to", pair[1]), ()) if self.of_target and p != pair]
+        out = [self._close(p, start) for p in dict.fromkeys(others) if self.open[p]["valid_from"] < start]
+        for f, t in new:
+            self._add(a | {"from_id": f, "to_id": t, "valid_to": None, "retracted_at": None})
+        return out
+
+    def end(self) -> list[tuple]:
+        return [self._out(r, "state", None) for r in self.open.values()]
+
+    @staticmethod
+    def _out(r: dict, kind: str, reason: str | None) -> tuple:
+        return (*(r[c] for c in LINK), r["seq"], kind, reason)
+
+
+def apply_links(assertions: DataFrame, cardinality: str, symmetric: bool = False, state: DataFrame | None = None) -> Applied:
+    """Links of each type after assertions (link_type, from_id, to_id, weight, valid_from, recorded_at, seq), as one by one in (recorded_at, seq) order.
 
     A link that is open is not asserted again. Where a source may have one target (ONE_TO_ONE, MANY_TO_ONE), or a target one
-    source (ONE_TO_ONE, ONE_TO_MANY), the next link of the source or target closes it if it begins later; of links that begin
-    at one instant none closes another. Symmetric types get the reverse link too. ``state`` holds links from before; its open
-    ones take part like any other, all its columns stay.
+    source (ONE_TO_ONE, ONE_TO_MANY), a link ends the other open ones of its source or target that began before it; those that begin later or
+    at the same instant stay open. A link to itself is rejected (SELF_LINK), and one that would overlap an ended link of the same pair
+    (TEMPORAL_CONFLICT). Symmetric types get the reverse link too, unless it is open; it ends no other. ``state`` holds links from before.
 
-    Whether a link is open when it is asserted again depends on the last links of its source and of its target only: windows
-    on either side decide it, and no group of linked objects is gathered.
+    Where the links of a source or target come in order, windows on either side tell which are open, and nothing is gathered. What competes with
+    a late link, or with two of one instant, is folded: the rows of a source, a target, a pair or, one to one, of all that compete with each other,
+    stream through a task, which holds the open links and the last end of each pair.
     """
-    rows = assertions.where("from_id <> to_id").select(*(c for c in LINK if c not in ("valid_to", "retracted_at")), "seq", F.lit(False).alias("old"))
-    if symmetric:
-        back = rows.select(*(F.col({"from_id": "to_id", "to_id": "from_id"}.get(c, c)).alias(c) for c in rows.columns))
-        rows = rows.unionByName(back).dropDuplicates(["link_type", "from_id", "to_id", "seq"])
-    done = None
-    if state is not None:
-        current = temporal.is_current()
-        done = state.where(~current).select(*LINK)
-        rows = rows.unionByName(state.where(current).select(*(c for c in LINK if c not in ("valid_to", "retracted_at")), F.lit(0).cast("long").alias("seq"), F.lit(True).alias("old")))
+    order = ["recorded_at", "seq", "valid_from", "from_id", "to_id"]
+    asserted = assertions.select("link_type", "from_id", "to_id", "weight", "valid_from", "recorded_at", F.col("seq").cast("long").alias("seq"))
+    selfs = asserted.where("from_id = to_id")
+    none = F.lit(None).cast("timestamp")
+    new = asserted.where("from_id <> to_id").select(*LINK[:5], none.alias("valid_to"), "recorded_at", none.alias("retracted_at"), "seq", F.lit(False).alias("old"))
+    old = (state if state is not None else new.limit(0)).select(*LINK, F.lit(None).cast("long").alias("seq"), F.lit(True).alias("old"))
     of_source = cardinality in ("ONE_TO_ONE", "MANY_TO_ONE")
     of_target = cardinality in ("ONE_TO_ONE", "ONE_TO_MANY")
     sides = [["link_type", "from_id"]] * of_source + [["link_type", "to_id"]] * of_target or [["link_type", "from_id", "to_id"]]
+    if symmetric and (of_source or of_target or state is not None):
+        rows, special = new.unionByName(old), None
+    else:
+        if symmetric:
+            new = new.unionByName(new.select(*(F.col({"from_id": "to_id", "to_id": "from_id"}.get(c, c)).alias(c) for c in new.columns))).dropDuplicates(["link_type", "from_id", "to_id", "seq"])
+        rows = new.unionByName(old)
+        # in doubt: a side's link that begins before the one before it, or with another; links from before that share a side; ended links of the pair
+        current = temporal.is_current()
+        doubt = F.lit(False)
+        for side in sides:
+            over = W.partitionBy(*side).orderBy(F.desc("old"), *order)
+            before = F.lag(F.struct("valid_from", "from_id", "to_id", "old")).over(over)
+            other = (before["from_id"] != F.col("from_id")) | (before["to_id"] != F.col("to_id"))
+            doubt = doubt | F.coalesce((before["valid_from"] > F.col("valid_from")) & (~F.col("old") | other) | other & (before["valid_from"] == F.col("valid_from")) | before["old"] & F.col("old"), F.lit(False))
+        live = rows.where(current).withColumn("doubt", doubt)
+        ended = old.where("retracted_at IS NULL AND valid_to IS NOT NULL").groupBy("link_type", "from_id", "to_id").agg(F.max("valid_to").alias("ended"))
+        live = live.join(ended, ["link_type", "from_id", "to_id"], "left").withColumn("doubt", F.col("doubt") | F.coalesce(F.col("ended") > F.col("valid_from"), F.lit(False))).drop("ended")
+        special = graph.cut(live.where("doubt").select("link_type", "from_id", "to_id").distinct())
+    group = {(True, False): F.array("link_type", "from_id"), (False, True): F.array("link_type", "to_id")}.get((of_source, of_target), F.array("link_type", F.least("from_id", "to_id"), F.greatest("from_id", "to_id")))
+    if of_source and of_target or symmetric and (of_source or of_target):
+        tag = (lambda c, _: F.concat_ws("\u0001", "link_type", c)) if symmetric else (lambda c, side: F.concat_ws("\u0001", F.lit(side), "link_type", c))
+        if special is not None and special.isEmpty():
+            rows = rows.withColumn("group", F.array("link_type", "from_id"))
+        else:
+            nodes = rows.select(tag("from_id", "F").alias("a"), tag("to_id", "T").alias("b")).distinct()
+            found = graph.components(nodes).withColumnRenamed("component", "found")
+            rows = rows.withColumn("node", tag("from_id", "F")).join(found, "node", "left").withColumn("group", F.array(F.coalesce("found", "node"))).drop("node", "found")
+    else:
+        rows = rows.withColumn("group", group)
+    rows = graph.cut(rows)
+    plain = None
+    if special is not None:
+        groups = rows.join(special, ["link_type", "from_id", "to_id"], "left_semi").select("group").distinct()
+        plain, rows = rows.join(groups, "group", "left_anti"), rows.join(groups, "group", "left_semi")
+    schema = "link_type string, from_id string, to_id string, weight double, valid_from timestamp, valid_to timestamp, recorded_at timestamp, retracted_at timestamp, seq long, kind string, reason string"
+    names = [f"{c} {dict(rows.dtypes)[c]}" if c in LINK else f"{c} {t}" for c, t in (x.split() for x in schema.split(", "))]
+    folded = graph.cut(ordered.fold(rows.withColumn("group", F.col("group").cast("string")), ["group"], [F.desc("old"), *order], lambda: _Links(of_source, of_target, symmetric), ", ".join(names)))
+    out = folded.where("kind = 'state'").select(*LINK)
+    if plain is not None:
+        out = out.unionByName(_windowed_links(plain, sides, of_source or of_target))
+    reject = lambda df, reason: df.select("link_type", "from_id", "to_id", "weight", "valid_from", "recorded_at", "seq", reason.alias("reason"))
+    rejects = reject(folded.where("kind = 'reject'"), F.col("reason")).unionByName(reject(selfs, F.lit("SELF_LINK")))
+    return Applied(out, rejects)
+
+
+def _windowed_links(rows: DataFrame, sides: list[list[str]], closes: bool) -> DataFrame:
+    """Links where each side's come in order: one is open if it is the last of its source and of its target, and ends with the next on either side."""
+    done, rows = rows.where(~temporal.is_current()), rows.where(temporal.is_current())
     order = (F.desc("old"), "recorded_at", "seq", "valid_from", "from_id", "to_id")
     again = F.lit(True)
     for side in sides:
@@ -308,13 +501,17 @@ def link_objects(assertions: DataFrame, cardinality: str, symmetric: bool = Fals
         again = again & F.coalesce(last == F.struct("from_id", "to_id"), F.lit(False))
     rows = rows.withColumn("again", again).where("NOT again").drop("again")
     ends = []
-    for side in sides if of_source or of_target else []:
+    for side in sides if closes else []:
         ends.append(f"end_{side[-1]}")
         later = W.partitionBy(*side).orderBy(F.unix_micros("valid_from")).rangeBetween(1, W.unboundedFollowing)
         rows = rows.withColumn(ends[-1], F.min("valid_from").over(later))
     end = F.least(*map(F.col, ends)) if len(ends) > 1 else F.col(ends[0]) if ends else F.lit(None).cast("timestamp")
-    out = rows.withColumn("valid_to", end).withColumn("retracted_at", F.lit(None).cast("timestamp")).select(*LINK)
-    return out if done is None else done.unionByName(out)
+    return rows.withColumn("valid_to", end).select(*LINK).unionByName(done.select(*LINK))
+
+
+def link_objects(assertions: DataFrame, cardinality: str, symmetric: bool = False, state: DataFrame | None = None) -> DataFrame:
+    """The links after ``apply_links``."""
+    return apply_links(assertions, cardinality, symmetric, state).state
 
 
 def unlink_objects(links: DataFrame, ends: DataFrame, symmetric: bool = False) -> DataFrame:

@@ -10,11 +10,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronark.functions import text
-from chronark.operators import graph
+from chronark.operators import graph, similarity
 from chronark.operators.query import Catalog, Link, Property
 
 WINDOW_H = 72
-THRESHOLD = 0.45
+THRESHOLD = similarity.THRESHOLD
 #: Keywords of event types, as they are compared with stemmed tokens. Ties go to the type listed first.
 EVENTS = {
     "REGULATORY": ("sec", "regulator", "lawsuit", "court", "ban", "approval", "compliance", "legislation"),
@@ -93,69 +93,88 @@ def dedup_content(items: DataFrame, hours: int = WINDOW_H) -> DataFrame:
     return items.join(rows.where("size = 1").select("content", "seq").unionByName(several), ["content", "seq"], "left_semi").select(*items.columns)
 
 
-def similar_pairs(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b, similarity), a < b: items (seq, tokens) whose token sets reach the threshold.
+#: Rows of a part after which the neighbours of its sets are sent anew; sets and leaders that can't matter any more are forgotten then.
+EPOCH = 4096
 
-    Tokens are ordered by frequency, rarest first; two sets that are similar share one of their first
-    n - ceil(t n) + 1. So only those are joined, and the exact similarity is taken of what meets.
-    """
-    sets = items.where(F.size("tokens") > 0).select("seq", "tokens", F.size("tokens").alias("n"))
-    each = sets.select("seq", "n", F.explode("tokens").alias("token"))
-    count = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = each.join(count, "token").withColumn("rank", F.row_number().over(W.partitionBy("seq").orderBy("df", "token")))
-    first = ranked.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).where("df > 1").select("seq", "n", "token")
-    a, b = first.alias("a"), first.alias("b")
-    fits = (F.col("a.seq") < F.col("b.seq")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold) - 1e-9)
-    met = a.join(b, (F.col("a.token") == F.col("b.token")) & fits).select(F.col("a.seq").alias("a"), F.col("b.seq").alias("b")).distinct()
-    x, y = sets.select(F.col("seq").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("seq").alias("b"), F.col("tokens").alias("tb"))
-    return met.join(x, "a").join(y, "b").select("a", "b", text.jaccard(F.col("ta"), F.col("tb")).alias("similarity")).where(F.col("similarity") >= threshold)
-
-
-def greedy(items: list[tuple], near: dict[int, list[tuple[int, float]]], hours: int = WINDOW_H) -> Iterator[tuple[int, int]]:
-    """(seq, leader's seq) for items (seq, published seconds, token set) in arrival order: the best match among leaders still
-    alive, of equal ones the newest, else its own. ``near`` tells the similarity of other sets to a set."""
-    leaders: dict[int, list[int]] = {}
-    last: dict[int, float] = {}
-    for seq, at, tokens in items:
-        alive = [(s, last[k], -k) for other, s in [(tokens, 1.0), *near.get(tokens, [])] for k in leaders.get(other, []) if last[k] >= at - hours * 3600]
+
+class _Live:
+    """The clusters of one part that may still get items, while these pass in arrival order."""
+
+    def __init__(self, seconds: float):
+        self.seconds = seconds
+        self.leaders: dict[int, list[int]] = {}
+        self.last: dict[int, float] = {}
+        self.near: dict[int, list[tuple[int, float]]] = {}
+
+    def put(self, seq: int, at: float, of: int) -> int:
+        """The leader of the cluster that an item of set ``of`` joins: the most similar alive, of equal ones the newest, else its own."""
+        alive = [(s, self.last[k], -k) for other, s in [(of, 1.0), *self.near.get(of, ())] for k in self.leaders.get(other, ()) if self.last[k] >= at - self.seconds]
         if alive:
             leader = -max(alive)[2]
-            last[leader] = max(last[leader], at)
-        else:
-            leader = seq
-            last[seq] = at
-            leaders.setdefault(tokens, []).append(seq)
-        yield seq, leader
+            self.last[leader] = max(self.last[leader], at)
+            return leader
+        self.last[seq] = at
+        self.leaders.setdefault(of, []).append(seq)
+        return seq
+
+    def forget(self, oldest: float) -> None:
+        """Drops what no item published at ``oldest`` or later can join, and the neighbours."""
+        self.near.clear()
+        for of, leaders in list(self.leaders.items()):
+            stay = [k for k in leaders if self.last[k] >= oldest - self.seconds]
+            for k in set(leaders) - set(stay):
+                del self.last[k]
+            if stay:
+                self.leaders[of] = stay
+            else:
+                del self.leaders[of]
+
+
+def _fold(hours: float):
+    """Items of whole parts, in arrival order: batch after batch, only live clusters are held."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, epoch, live = None, None, None
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if (r.component, r.part) != part:
+                    part, epoch, live = (r.component, r.part), 0, _Live(hours * 3600)
+                if r.epoch != epoch:
+                    epoch = r.epoch
+                    live.forget(r.oldest)
+                if r.near is not None:
+                    live.near[r.set] = [(int(x["b"]), float(x["similarity"])) for x in r.near]
+                out.append((r.seq, live.put(r.seq, r.at, r.set)))
+            yield pd.DataFrame(out, columns=["seq", "cluster_seq"])
+
+    return run
 
 
 def cluster(items: DataFrame, threshold: float = THRESHOLD, hours: int = WINDOW_H) -> DataFrame:
     """(seq, cluster_seq): each item joins the most similar cluster by its first member's tokens that still gets items, or founds one.
 
-    Items only join leaders they match, so clusters lie within components of the similarity graph of distinct token sets; equal
-    sets are one node. A component is split where all that arrives later is also published later than all before by more than
-    the window: no leader lives across. What is folded, in arrival order, is (seq, time, set) of each part, with each set's
-    neighbours once. Items without tokens found clusters of their own.
+    Equal token sets are one node. Sets are compared with those of groups that may still get items only, by tiles of time
+    (``similarity.reachable_pairs``). Clusters lie within components of what is similar, and a component is split where all that arrives
+    later is also published later than all before by more than the window: no leader lives across. A part passes one task
+    in arrival order, which holds live clusters only. Items without tokens found clusters of their own.
     """
     rows = items.select("seq", F.array_sort("tokens").alias("tokens"), F.unix_seconds("published_at").cast("double").alias("at"))
-    sets = rows.where(F.size("tokens") > 0).groupBy("tokens").agg(F.min("seq").alias("set"))
-    sets = graph.cut(sets)
-    pairs = graph.cut(similar_pairs(sets.select(F.col("set").alias("seq"), "tokens"), threshold))
-    both = pairs.select("a", "b", "similarity").union(pairs.select("b", "a", "similarity")).toDF("of", "other", "similarity")
-    near = both.groupBy("of").agg(F.collect_list(F.struct("other", "similarity")).alias("near"))
+    sets = graph.cut(rows.where(F.size("tokens") > 0).groupBy("tokens").agg(F.min("seq").alias("set")))
+    placed = graph.cut(rows.join(sets, "tokens").select("seq", "at", "set"))
+    pairs = similarity.reachable_pairs(placed, graph.cut(similarity.indexed(sets, "set", threshold)), threshold, hours)
+    pairs = graph.cut(pairs)
+    near = pairs.groupBy(F.col("a").alias("of")).agg(F.collect_list(F.struct("b", "similarity")).alias("near"))
     found = graph.components(pairs)
-    placed = rows.join(sets, "tokens").join(found.select(F.col("node").alias("set"), "component"), "set", "left").select("seq", "at", "set", F.coalesce("component", "set").alias("component"))
+    placed = placed.join(found.select(F.col("node").alias("set"), "component"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     arrival = W.partitionBy("component").orderBy("seq")
     newest, oldest = F.max("at").over(arrival.rowsBetween(W.unboundedPreceding, -1)), F.min("at").over(arrival.rowsBetween(W.currentRow, W.unboundedFollowing))
-    placed = placed.withColumn("free", F.coalesce(oldest > newest + hours * 3600, F.lit(False)).cast("int")).withColumn("part", F.sum("free").over(arrival))
-    nth = F.row_number().over(W.partitionBy("component", "part", "set").orderBy("seq"))
-    placed = placed.withColumn("of", F.when(nth == 1, F.col("set"))).join(near, "of", "left").select("component", "part", "seq", "at", "set", "near")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        known = {s: [(int(x["other"]), float(x["similarity"])) for x in of] for s, of in zip(pdf["set"], pdf["near"], strict=True) if of is not None}
-        return pd.DataFrame(list(greedy(list(zip(pdf["seq"], pdf["at"], pdf["set"], strict=True)), known, hours)), columns=["seq", "cluster_seq"])
-
-    out = placed.groupBy("component", "part").applyInPandas(fold, "seq long, cluster_seq long")
+    placed = placed.withColumn("newest", newest).withColumn("oldest", oldest)
+    placed = placed.withColumn("free", F.coalesce(F.col("oldest") > F.col("newest") + hours * 3600, F.lit(False)).cast("int")).withColumn("part", F.sum("free").over(arrival))
+    placed = placed.withColumn("epoch", F.floor((F.row_number().over(W.partitionBy("component", "part").orderBy("seq")) - 1) / EPOCH))
+    nth = F.row_number().over(W.partitionBy("component", "part", "epoch", "set").orderBy("seq"))
+    placed = placed.withColumn("of", F.when(nth == 1, F.col("set"))).join(near, "of", "left").select("component", "part", "epoch", "seq", "at", "oldest", "set", "near")
+    out = placed.repartition("component", "part").sortWithinPartitions("component", "part", "seq").mapInPandas(_fold(hours), "seq long, cluster_seq long")
     return out.unionByName(rows.where(F.size("tokens") == 0).select("seq", F.col("seq").alias("cluster_seq")))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronark.functions import text
 from chronark.operators import bars as B
-from chronark.operators import graph, learning, ledger, macro, news, progress
+from chronark.operators import graph, learning, ledger, macro, news, progress, similarity
 from chronark.plans import adapters as A
 from chronark.plans.registry import query
 from chronark.sources import decode
@@ -90,7 +90,15 @@ def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_HEADLINES}, n AS (SELECT seq, len(tokens) AS n FROM s), c AS (SELECT a.seq AS a, b.seq AS b, count(*) AS c FROM k a JOIN k b ON a.token = b.token AND a.seq < b.seq GROUP BY 1, 2)
 SELECT a, b, round(c / (x.n + y.n - c), 6) AS similarity FROM c JOIN n x ON x.seq = a JOIN n y ON y.seq = b WHERE c / (x.n + y.n - c) >= 0.45""")
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = news.similar_pairs(A.headlines(spark, sf_dir).select("seq", "tokens"))
+    out = similarity.similar_pairs(A.headlines(spark, sf_dir).select("seq", "tokens"))
+    return out.select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""WITH {_TOKENS}, n AS (SELECT seq, len(tokens) AS n FROM s), c AS (SELECT a.seq AS a, b.seq AS b, count(*) AS c FROM k a JOIN k b ON a.token = b.token AND b.seq < a.seq AND a.seq - b.seq <= 600 GROUP BY 1, 2)
+SELECT a, b, round(c / (x.n + y.n - c), 6) AS similarity FROM c JOIN n x ON x.seq = a JOIN n y ON y.seq = b WHERE c / (x.n + y.n - c) >= 0.45""")
+def recent_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headline and summary of each item against those of ten hours: a minute lies between two items."""
+    out = similarity.recent_pairs(A.news(spark, sf_dir).select("seq", "tokens", "published_at"), hours=10)
     return out.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
