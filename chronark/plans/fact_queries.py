@@ -10,6 +10,7 @@ from chronark.operators import query as qb
 from chronark.operators import temporal
 from chronark.plans import adapters as A
 from chronark.plans.registry import query
+from chronark.plans.write_queries import in_order
 
 T = "timestamp '1998-01-01 00:00:00'"
 _ASSERTED = """
@@ -223,9 +224,8 @@ def walk_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bt.walk_links(A.links(spark, sf_dir), A.parties(spark, sf_dir).select("object_id"), 2)
 
 
-@query("""WITH a AS (SELECT o_custkey AS f, o_orderkey % 20 AS t, o_orderdate AS d, o_orderkey AS seq FROM orders),
-c AS (SELECT *, lag(t) OVER w AS last FROM a WINDOW w AS (PARTITION BY f ORDER BY d, seq)), e AS (SELECT * FROM c WHERE last IS NULL OR last <> t)
-SELECT f AS from_id, t AS to_id, CAST(epoch(d) AS BIGINT) AS valid_from, CAST(epoch((SELECT min(x.d) FROM e x WHERE x.f = e.f AND x.d > e.d)) AS BIGINT) AS valid_to FROM e""")
+@query(f"""WITH RECURSIVE a AS (SELECT o_custkey AS f, o_orderkey % 20 AS t, CAST(epoch(o_orderdate) AS BIGINT) AS d, o_orderkey AS seq FROM orders), {in_order('f', 'x.t <> n.t')}
+SELECT CAST(f AS BIGINT) AS from_id, CAST(t AS BIGINT) AS to_id, d AS valid_from, until AS valid_to FROM out""")
 def link_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's last used clerk: many to one, the next link closes the one before."""
     o = A.table(spark, sf_dir, "orders")

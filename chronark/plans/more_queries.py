@@ -15,6 +15,7 @@ from chronark.operators import graph, ledger, news, progress, registers, tempora
 from chronark.operators import query as qb
 from chronark.plans import adapters as A
 from chronark.plans.registry import query
+from chronark.plans.write_queries import in_order
 from chronark.plans.series_queries import B15, _signal_rows
 from chronark.plans.text_queries import _streamed
 from chronark.sources import decode
@@ -276,8 +277,7 @@ def _links_out(links: DataFrame) -> DataFrame:
     return links.select("from_id", "to_id", F.unix_seconds("valid_from").alias("valid_from"), F.unix_seconds("valid_to").alias("valid_to"))
 
 
-@query(f"""WITH {_CLERKS}, c AS (SELECT *, lag(f) OVER (PARTITION BY t ORDER BY d, seq) AS last FROM a), e AS (SELECT * FROM c WHERE last IS NULL OR last <> f)
-SELECT f AS from_id, t AS to_id, d AS valid_from, (SELECT min(x.d) FROM e x WHERE x.t = e.t AND x.d > e.d) AS valid_to FROM e""")
+@query(f"WITH RECURSIVE {_CLERKS}, {in_order('t', 'x.f <> n.f')} SELECT f AS from_id, t AS to_id, d AS valid_from, until AS valid_to FROM out")
 def link_one_to_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A clerk has one customer at a time: half of the links are there before, the other half come on top of them."""
     a = _clerk_links(spark, sf_dir)
@@ -286,9 +286,7 @@ def link_one_to_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _links_out(bt.link_objects(a.where(~middle), "ONE_TO_MANY", state=before))
 
 
-@query(f"""WITH {_CLERKS}, c AS (SELECT *, lag(t) OVER (PARTITION BY f ORDER BY d, seq) AS last_t, lag(f) OVER (PARTITION BY t ORDER BY d, seq) AS last_f FROM a),
-e AS (SELECT * FROM c WHERE NOT coalesce(last_t = t AND last_f = f, false))
-SELECT f AS from_id, t AS to_id, d AS valid_from, least((SELECT min(x.d) FROM e x WHERE x.t = e.t AND x.d > e.d), (SELECT min(x.d) FROM e x WHERE x.f = e.f AND x.d > e.d)) AS valid_to FROM e""")
+@query(f"WITH RECURSIVE {_CLERKS}, {in_order('1', '(x.f = n.f) <> (x.t = n.t)')} SELECT f AS from_id, t AS to_id, d AS valid_from, until AS valid_to FROM out")
 def link_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A clerk has one customer and a customer one clerk at a time."""
     return _links_out(bt.link_objects(_clerk_links(spark, sf_dir), "ONE_TO_ONE"))
