@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -210,43 +211,72 @@ def incremental_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.resume_from(b, "15m", F.expr("timestamp '2024-01-20 10:07:00'")).select("instrument_id", F.unix_seconds("since").alias("since"))
 
 
-@query(r"""WITH d AS (SELECT doc_id AS seq, doc_id * 1800 AS published, sha256(trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^\p{L}\p{N}]+', ' ', 'g'))) AS content FROM documents)
-SELECT seq, published, content FROM (SELECT *, row_number() OVER (PARTITION BY content ORDER BY published) AS nth FROM d) WHERE nth = 1 AND published < 259200""")
+def _with_rocksdb(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
+    """``run`` with the state store that keyed state with timers needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return run()
+    finally:
+        spark.conf.set(name, before)
+
+
+@query(r"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id AS seq, sha256(trim(regexp_replace(lower(strip_accents(coalesce(text, ''))), '[^\p{L}\p{N}]+', ' ', 'g'))) AS content FROM documents),
+r AS (SELECT content, min(seq) AS seq FROM d GROUP BY content UNION ALL SELECT content, next FROM (SELECT content, (SELECT min(x.seq) FROM d x WHERE x.content = r.content AND x.seq > r.seq + 144) AS next FROM r) WHERE next IS NOT NULL)
+SELECT seq, seq * 1800 AS published, content FROM r""")
 def stream_dedup_news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """News half an hour apart without exact repeats within 72 hours, as the stream gives them: of the first 72 hours, in which
-    any repeat is within the window."""
-    d = spark.readStream.schema(A.table(spark, sf_dir, "documents").schema).parquet(f"{sf_dir}/documents.parquet*")
+    """News half an hour apart without exact repeats within 72 hours; they land in three parts, and the stream goes on after each."""
+    at = f"{graph.shared_dir(spark)}/news-{uuid.uuid4().hex}"
+    d = A.table(spark, sf_dir, "documents")
     d = d.select(F.col("doc_id").alias("seq"), F.sha2(text.normalize(F.coalesce("text", F.lit(""))), 256).alias("content"), F.timestamp_seconds(F.lit(1767225600) + F.col("doc_id") * 1800).alias("published_at"))
-    kept = _streamed(spark, streams.stream_dedup(d, hours=72))
-    return kept.select("seq", (F.unix_seconds("published_at") - 1767225600).alias("published"), "content").where("published < 259200")
+    third = d.agg(F.max("seq")).first()[0] // 3 + 1
+    for k in range(3):
+        d.where(F.floor(F.col("seq") / third) == k).write.mode("append").parquet(f"{at}/in")
+        kept = streams.stream_dedup(spark.readStream.schema(d.schema).parquet(f"{at}/in"), hours=72)
+        _with_rocksdb(spark, lambda kept=kept: kept.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(d.schema).parquet(f"{at}/out").select("seq", (F.unix_seconds("published_at") - 1767225600).alias("published"), "content")
+
+
+def _landed(spark: SparkSession, sf_dir: str, at: str) -> DataFrame:
+    """The folder where bars land, read as a stream."""
+    return spark.readStream.schema(A.bars(spark, sf_dir, "15m", 900).withColumn("seq", F.lit(0).cast("long")).schema).parquet(at)
 
 
 @query(f"""WITH {B15}, r AS (SELECT instrument_id, (o // 3600) * 3600 AS open_time, arg_max(close, o) AS close, count(*) AS c FROM b WHERE is_final GROUP BY 1, 2)
 SELECT instrument_id, open_time, CAST(close AS DOUBLE) AS close FROM r WHERE c = 4""")
 def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base bars arrive as a stream; each batch rolls up the buckets it touches."""
+    """Base bars land in two parts, the second one late: each batch is stored and rolls up the buckets it touches."""
     at = f"{graph.shared_dir(spark)}/rollup-{uuid.uuid4().hex}"
-    A.bars(spark, sf_dir, "15m", 900).write.parquet(f"{at}/base")
-    base = spark.read.parquet(f"{at}/base")
-    on_batch = streams.stream_rollup(lambda: base, lambda df: df.write.mode("append").parquet(f"{at}/out"), "15m", ["1h"])
-    s = spark.readStream.schema(base.schema).option("maxFilesPerTrigger", 1000).parquet(f"{at}/base")
-    s.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.parquet(f"{at}/out").dropDuplicates(B.KEY)
+    bars = A.bars(spark, sf_dir, "15m", 900).withColumn("seq", F.lit(1).cast("long"))
+    for late in (False, True):
+        bars.where((F.xxhash64("instrument_id", "open_time") % 5 == 0) == late).write.mode("append").parquet(f"{at}/in")
+        streams.sync(_landed(spark, sf_dir, f"{at}/in"), f"{at}/state", streams.stream_rollup(f"{at}/store", "15m", ["1h"]))
+    out = spark.read.parquet(f"{at}/store").where("timeframe = '1h'")
     return out.select("instrument_id", F.unix_seconds("open_time").alias("open_time"), F.col("close").cast("double").alias("close"))
 
 
+@query(f"""WITH {B15} SELECT instrument_id, o AS open_time, CAST(close AS DOUBLE) AS close, is_final, CAST((SELECT count(*) FROM b) AS BIGINT) AS rows_read FROM b""")
+def sync_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars land in three parts, and each sync goes on where the last one stopped: the store, and how many rows all syncs have read."""
+    at = f"{graph.shared_dir(spark)}/sync-{uuid.uuid4().hex}"
+    bars = A.bars(spark, sf_dir, "15m", 900).withColumn("seq", F.unix_seconds("open_time"))
+    read = 0
+    for k in range(3):
+        bars.where(F.pmod(F.xxhash64("instrument_id", "open_time"), F.lit(3)) == k).write.mode("append").parquet(f"{at}/in")
+        for _ in range(2):  # the second finds nothing new
+            read += streams.sync(_landed(spark, sf_dir, f"{at}/in"), f"{at}/state", lambda batch, _: streams.merge_bars(f"{at}/store", batch))
+    out = spark.read.parquet(f"{at}/store")
+    return out.select("instrument_id", F.unix_seconds("open_time").alias("open_time"), F.col("close").cast("double").alias("close"), "is_final", F.lit(read).cast("long").alias("rows_read"))
+
+
 @query()
 def stream_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate as state of a stream of hourly signal rows."""
     at = f"{graph.shared_dir(spark)}/gate-{uuid.uuid4().hex}"
     _signal_rows(spark, sf_dir).write.parquet(f"{at}/in")
     s = spark.readStream.schema(spark.read.parquet(f"{at}/in").schema).parquet(f"{at}/in")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        out = _streamed(spark, streams.stream_gate(s))
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    out = _with_rocksdb(spark, lambda: _streamed(spark, streams.stream_gate(s)))
     return out.withColumn("as_of", F.unix_seconds("as_of"))
 
 

@@ -1,4 +1,4 @@
-"""Structured Streaming forms: bars from events, roll-up as bars arrive, exact duplicates in a window, the gate as state.
+"""Structured Streaming forms: bars from events, a store of bars that is synced and rolled up as they land, exact duplicates in a window, the gate as state.
 
 Each takes a streaming DataFrame and returns one, or a foreachBatch function; sources, sinks and triggers are the caller's.
 """
@@ -6,15 +6,18 @@ Each takes a streaming DataFrame and returns one, or a foreachBatch function; so
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from chronark.functions import timeframe as tf
 from chronark.operators import bars as B
-from chronark.operators import signals
+from chronark.operators import graph, signals
 
 
 def stream_bars(events: DataFrame, seconds: int, lateness: str = "10 minutes") -> DataFrame:
@@ -26,25 +29,115 @@ def stream_bars(events: DataFrame, seconds: int, lateness: str = "10 minutes") -
     return out.select("instrument_id", F.col("window.start").alias("open_time"), "open", "high", "low", "close", "volume")
 
 
-def stream_rollup(read_bars: Callable[[], DataFrame], write_bars: Callable[[DataFrame], None], base: str, targets: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function: the buckets that a batch of base bars touches are rolled up anew and upserted.
+def _stored(path: str, like: DataFrame, touched: list) -> DataFrame:
+    """Bars of the touched (timeframe, month) folders only; none if the store doesn't exist yet."""
+    spark = like.sparkSession
+    try:
+        bars = spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return like.limit(0)
+    folders = [(F.col("timeframe") == t) & (F.col("month") == m) for t, m in touched]
+    return bars.where(reduce(or_, folders, F.lit(False))).select(*B.KEY, *B.MEASURES, "is_final")
+
+
+def merge_bars(path: str, incoming: DataFrame, order: str = "seq") -> None:
+    """Upserts ``incoming`` into the monthly store at ``path``: only folders of months that it holds are read and replaced.
+
+    A merge that is run again changes nothing, so one that was cut short is simply run again.
+    """
+    incoming = graph.cut(incoming)
+    month = F.date_format("open_time", "yyyy-MM").alias("month")
+    touched = [tuple(r) for r in incoming.select("timeframe", month).distinct().collect()]
+    if touched:
+        old = _stored(path, incoming.select(*B.KEY, *B.MEASURES, "is_final"), touched)
+        B.write_monthly(graph.cut(B.upsert(old, incoming, order)), path, "overwrite")
+
+
+def roll_touched(path: str, batch: DataFrame, base: str, targets: list[str]) -> DataFrame:
+    """Complete buckets of ``targets`` that hold a bar of ``batch``, from the stored base bars of these buckets: a bucket lies within one
+    month, so only folders of the batch's months are read."""
+    longest = max(tf.SECONDS[t] for t in targets)
+    span = tf.floor_time(F.col("open_time"), longest).alias("span")
+    rows = batch.where(F.col("timeframe") == base)
+    months = [(base, r[0]) for r in rows.select(F.date_format("open_time", "yyyy-MM")).distinct().collect()]
+    old = _stored(path, batch.select(*B.KEY, *B.MEASURES, "is_final"), months).select("*", span)
+    rolled = B.rollup(old.join(rows.select("instrument_id", span).distinct(), ["instrument_id", "span"], "left_semi").drop("span"), base, targets)
+    kinds = dict(batch.dtypes)  # sums are wider than what the store has
+    return rolled.select(*(F.col(c).cast(kinds[c]).alias(c) for c in (*B.KEY, *B.MEASURES, "is_final")))
+
+
+def stream_rollup(path: str, base: str, targets: list[str]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: a batch of base bars (with seq) is upserted into the store, then the buckets that it touches are rolled up and upserted.
 
     Late bars complete their bucket whenever they come; a batch that is run again changes nothing.
     """
 
     def on_batch(batch: DataFrame, _: int) -> None:
-        longest = max(tf.SECONDS[t] for t in targets)
-        touched = batch.select("instrument_id", tf.floor_time(F.col("open_time"), longest).alias("span")).distinct()
-        rows = read_bars().withColumn("span", tf.floor_time(F.col("open_time"), longest)).join(touched, ["instrument_id", "span"], "left_semi").drop("span")
-        write_bars(B.rollup(rows, base, targets))
+        batch = graph.cut(batch)
+        merge_bars(path, batch)
+        merge_bars(path, roll_touched(path, batch, base, targets).withColumn("seq", F.lit(0).cast("long")))
 
     return on_batch
 
 
-def stream_dedup(items: DataFrame, hours: int = 72) -> DataFrame:
-    """Items of (content, published_at, ...) without exact repeats. The window counts from the first item of a content by event
-    time, where the batch form counts from the last accepted one."""
-    return items.withWatermark("published_at", f"{hours} hours").dropDuplicatesWithinWatermark(["content"])
+def sync(landed: DataFrame, checkpoint: str, on_batch: Callable[[DataFrame, int], None]) -> int:
+    """Gives ``on_batch`` all that has landed since the last call with this checkpoint, and returns the number of rows read.
+
+    ``landed`` is a streaming read of a folder; files that were read by an earlier call aren't read again, and a batch that failed halfway
+    comes again as it was.
+    """
+    run = landed.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return sum(p.numInputRows for p in run.recentProgress)
+
+
+class _Dedup(StatefulProcessor):
+    """The newest accepted publication of one content, forgotten once no item in time can be within the window of it."""
+
+    def __init__(self, hours: float, names: list[str]):
+        self.hours, self.names = hours, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.newest = handle.getValueState("newest", "at timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802, ANN001
+        pdf = pd.concat(list(rows)).sort_values("seq", kind="stable")
+        window = pd.Timedelta(hours=self.hours)
+        newest = before = pd.Timestamp(self.newest.get()[0]).tz_localize(None) if self.newest.exists() else None
+        keep = []
+        for at in pdf["published_at"]:
+            new = newest is None or newest < at - window
+            keep.append(new)
+            if new:
+                newest = at if newest is None else max(newest, at)
+        if newest != before:
+            due = lambda at: int((at + window).timestamp() * 1000) + 1
+            if before is not None:
+                self.handle.deleteTimer(due(before))
+            self.handle.registerTimer(due(newest))
+            self.newest.update((newest.to_pydatetime(),))
+        yield pdf.loc[keep, self.names]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
+        self.newest.clear()
+        yield pd.DataFrame(columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_dedup(items: DataFrame, hours: float = 72, lateness: str = "1 hour") -> DataFrame:
+    """Items (content, seq, published_at, ...) whose content no accepted item of the last ``hours`` had, in order of arrival and of seq within a
+    batch: what ``news.dedup_content`` keeps.
+
+    A content's state is one time, and goes when the watermark has passed its window. Items published more than ``lateness`` before
+    the newest of earlier batches are late and dropped, as in any query with a watermark. Needs the RocksDB state store.
+    """
+    late = items.withWatermark("published_at", lateness)
+    return late.groupBy("content").transformWithStateInPandas(_Dedup(hours, items.columns), items.schema, "append", "eventTime")
 
 
 class _Gate(StatefulProcessor):

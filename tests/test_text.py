@@ -241,8 +241,50 @@ def test_streams(spark, tmp_path):
     out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out").orderBy("open_time").collect()
     assert [r.volume for r in got] == [9, 9, 8]
-    items = spark.createDataFrame([("c", START, 1), ("c", START + timedelta(hours=1), 2), ("d", START, 3)], "content string, published_at timestamp, seq long")
-    items.write.parquet(f"{tmp_path}/news")
-    dedup = streams.stream_dedup(spark.readStream.schema(items.schema).parquet(f"{tmp_path}/news"))
-    dedup.writeStream.format("parquet").option("path", f"{tmp_path}/o2").option("checkpointLocation", f"{tmp_path}/s2").trigger(availableNow=True).start().awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/o2").count() == 2
+
+
+@pytest.fixture
+def rocksdb(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.set(name, before)
+
+
+def test_stream_dedup_equals_the_batch_form(spark, tmp_path, rocksdb):
+    """Parts that land one after another, some items out of order, windows that end and begin again."""
+    rng = random.Random(6)
+    rows, at = [], 0
+    for seq in range(120):
+        at += rng.choice([600, 20_000, 90_000])
+        rows.append((seq, rng.choice("abcd"), None, START + timedelta(seconds=at - rng.choice([0, 0, 3000]))))
+    df = spark.createDataFrame(rows, "seq long, title string, body string, published_at timestamp").withColumn("content", text.content_hash(F.col("title"), F.lit("")))
+    for k in range(3):
+        df.where(F.floor(F.col("seq") / 40) == k).write.mode("append").parquet(f"{tmp_path}/in")
+        kept = streams.stream_dedup(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), 48)
+        kept.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    want = sorted(r.seq for r in news.dedup_content(df.drop("content"), 48).collect())
+    assert sorted(r.seq for r in spark.read.schema(df.schema).parquet(f"{tmp_path}/out").collect()) == want
+
+
+def test_sync_goes_on_and_reads_touched_months_only(spark, tmp_path):
+    kind = "instrument_id string, timeframe string, open_time timestamp, close_time timestamp, open double, high double, low double, close double, volume double, quote_volume double, trade_count int, taker_buy_base double, is_final boolean, seq long"
+    bar = lambda month, hour, quarter, close: ("a", "15m", datetime(2026, month, 1, hour, 15 * quarter), datetime(2026, month, 1, hour, 15 * quarter + 14), 1.0, 9.0, 0.5, close, 1.0, 1.0, 1, 0.5, True, 1)
+    put = lambda rows: spark.createDataFrame(rows, kind).write.mode("append").parquet(f"{tmp_path}/in")
+    run = lambda: streams.sync(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), f"{tmp_path}/state", streams.stream_rollup(f"{tmp_path}/store", "15m", ["1h"]))
+    hours = lambda: sorted((r.open_time.month, r.open_time.hour, r.close) for r in spark.read.parquet(f"{tmp_path}/store").where("timeframe = '1h'").collect())
+    put([bar(m, h, q, float(q)) for m in (1, 2) for h in (3, 4) for q in range(4) if (m, h, q) != (2, 4, 2)])
+    assert run() == 15 and run() == 0
+    assert hours() == [(1, 3, 3.0), (1, 4, 3.0), (2, 3, 3.0)]
+    put([bar(2, 4, 2, 7.0), bar(2, 3, 3, 8.0)])
+    assert run() == 2
+    assert hours() == [(1, 3, 3.0), (1, 4, 3.0), (2, 3, 8.0), (2, 4, 3.0)]
+    stored = streams._stored(f"{tmp_path}/store", spark.createDataFrame([], kind), [("15m", "2026-02")])
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    folders = plan[plan.index("PartitionFilters: [") :].split("]")[0]
+    assert "month" in folders and "timeframe" in folders and "PushedFilters: []" in plan
+    assert stored.count() == 8
+    again = streams.stream_rollup(f"{tmp_path}/store", "15m", ["1h"])
+    again(spark.createDataFrame([bar(2, 4, 2, 7.0)], kind), 9)
+    assert len(hours()) == 4 and spark.read.parquet(f"{tmp_path}/store").count() == 20
