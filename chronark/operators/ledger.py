@@ -74,18 +74,21 @@ class Field:
 
 @dataclass
 class Conformed:
+    """A value made to fit its field, null if it can't, and whether a bound changed it."""
+
     value: Column
-    clamped: Column
-    dropped: Column
-    missing: Column = field(default=None)
+    clamped: Column = field(default_factory=lambda: F.lit(False))
+
+
+def _is(v: Column, *kinds: str) -> Column:
+    return F.coalesce(F.schema_of_variant(v).rlike(f"^({'|'.join(kinds)})"), F.lit(False))
 
 
 def _scalar(v: Column, f: Field) -> Conformed:
-    """A variant column made to fit one field: its value, whether it was clamped, whether something was there but didn't fit."""
-    there = v.isNotNull() & ~F.is_variant_null(v)
+    """A variant column made to fit one field of any kind but lists of objects."""
     as_text = F.try_variant_get(v, "$", "string")
     if f.kind in ("NUMBER", "INTEGER"):
-        x = F.try_variant_get(v, "$", "double")
+        x = F.when(~_is(v, "BOOLEAN", "OBJECT", "ARRAY"), F.try_variant_get(v, "$", "double"))
         x = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
         held = x
         if f.low is not None:
@@ -93,65 +96,73 @@ def _scalar(v: Column, f: Field) -> Conformed:
         if f.high is not None:
             held = F.least(held, F.when(x.isNotNull(), F.lit(float(f.high))))
         # first within bounds, then rounded: what the bound changes is reported, what rounding changes isn't
-        return Conformed(F.rint(held) if f.kind == "INTEGER" else held, F.coalesce(held != x, F.lit(False)), there & x.isNull())
+        return Conformed(F.rint(held) if f.kind == "INTEGER" else held, F.coalesce(held != x, F.lit(False)))
     if f.kind == "BOOLEAN":
-        x = F.when(F.lower(as_text) == "true", True).when(F.lower(as_text) == "false", False)
-        return Conformed(x, F.lit(False), there & x.isNull())
+        word = F.lower(F.trim(as_text))
+        return Conformed(F.when(word == "true", True).when(word == "false", False))
     if f.kind == "ENUM":
-        x = F.coalesce(*(F.when(F.lower(F.trim(as_text)) == value.lower(), F.lit(value)) for value in f.values))
-        return Conformed(x, F.lit(False), there & x.isNull())
+        return Conformed(F.coalesce(*(F.when(F.lower(F.trim(as_text)) == value.lower(), F.lit(value)) for value in f.values)))
     if f.kind == "TEXT_LIST":
-        plain = F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda e: ~F.schema_of_variant(e).rlike("^(OBJECT|ARRAY|VOID)"))
+        plain = F.filter(F.try_variant_get(v, "$", "array<variant>"), lambda e: ~_is(e, "OBJECT", "ARRAY", "VOID"))
         listed = F.filter(F.transform(plain, lambda e: F.trim(F.try_variant_get(e, "$", "string"))), lambda t: t != "")
-        x = F.coalesce(listed, F.when(F.schema_of_variant(v).isin("STRING", "BIGINT", "BOOLEAN") | F.schema_of_variant(v).startswith("DECIMAL"), F.array(as_text)))
-        return Conformed(x, F.lit(False), there & x.isNull())
-    return Conformed(as_text, F.lit(False), there & as_text.isNull())
+        alone = F.when(_is(v, "OBJECT"), F.array().cast("array<string>")).when(~_is(v, "ARRAY", "VOID"), F.array(as_text))
+        return Conformed(F.when(_is(v, "ARRAY"), listed).otherwise(alone))
+    return Conformed(as_text)
 
 
-def _items(items: Column, f: Field) -> Column:
-    """The items of an object list as structs, without those that miss a required field."""
+def _items(v: Column, f: Field) -> tuple[Column, Column, Column]:
+    """(items, clamped names, a name for each item dropped) of a list of objects: what isn't a list counts as an empty one."""
 
     def fit(x: Column) -> Column:
-        parts = {g.name: _scalar(F.try_variant_get(x, f"$.{g.name}", "variant"), g).value for g in f.fields}
-        broken = F.lit(False)
+        parts = {g.name: _scalar(F.try_variant_get(x, f"$.{g.name}", "variant"), g) for g in f.fields}
+        broken = ~_is(x, "OBJECT")
         for g in f.fields:
             if g.required:
-                broken = broken | parts[g.name].isNull()
-        return F.struct(*(c.alias(n) for n, c in parts.items()), broken.alias("__broken"))
+                broken = broken | parts[g.name].value.isNull()
+        clamped = F.array_compact(F.array(*(F.when(c.clamped, F.lit(f"{f.name}.{n}")) for n, c in parts.items())))
+        return F.struct(F.struct(*(c.value.alias(n) for n, c in parts.items())).alias("item"), broken.alias("broken"), clamped.alias("clamped"))
 
-    whole = F.filter(F.transform(items, fit), lambda x: ~x["__broken"])
-    return F.transform(whole, lambda x: F.struct(*(x[g.name].alias(g.name) for g in f.fields)))
+    listed = F.when(_is(v, "ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array().cast("array<variant>"))
+    tried = F.transform(listed, fit)
+    good = F.transform(F.filter(tried, lambda x: ~x["broken"]), lambda x: x["item"])
+    dropped = F.transform(F.filter(tried, lambda x: x["broken"]), lambda _: F.lit(f.name))
+    return good, F.flatten(F.transform(tried, lambda x: x["clamped"])), dropped
 
 
 def conform(responses: DataFrame, fields: list[Field], raw: str = "raw") -> DataFrame:
     """``responses`` with a typed column for each field, ``clamped`` and ``dropped`` names, and ``error`` if a required one is missing.
 
-    Numbers are clamped to their bounds, integers rounded, enums matched whatever their case, a single value taken for a list;
-    what doesn't fit is dropped. Items of object lists with a missing required field are dropped one by one.
+    Numbers are clamped to their bounds, integers rounded, enums matched whatever their case, a single value taken for a list; a
+    scalar that doesn't fit counts as absent. Of a list of objects, items that aren't objects or miss a required field are dropped, one name
+    each in ``dropped``; what bounds change in an item is reported as list.field. An empty list is a value, and anything but a list
+    counts as an empty list of objects. With an error nothing is reported as clamped or dropped.
     """
     for f in fields:
         f.check()
     doc = F.try_parse_json(text.extract_json(F.col(raw)))
     rows = responses.withColumn("__doc", doc)
-    out, clamped, dropped, missing = [], [], [], []
+    none = F.array().cast("array<string>")
+    out, clamped, dropped, missing = [], [none], [none], []
     for f in fields:
         v = F.try_variant_get("__doc", f"$.{f.name}", "variant")
+        there = v.isNotNull() & ~F.coalesce(F.is_variant_null(v), F.lit(False))
         if f.kind == "OBJECT_LIST":
-            items = F.coalesce(F.try_variant_get("__doc", f"$.{f.name}", "array<variant>"), F.array().cast("array<variant>"))
-            good = _items(items, f)
-            c = Conformed(good, F.lit(False), F.size(good) < F.size(items))
-            lost = F.size(good) == 0
+            good, of_items, lost = _items(v, f)
+            value = F.when(there, good)
+            clamped.append(F.when(there, of_items).otherwise(none))
+            dropped.append(F.when(there, lost).otherwise(none))
         else:
-            c = _scalar(v, f)
-            lost = c.value.isNull()
-        out.append(c.value.alias(f.name))
-        clamped.append(F.when(c.clamped, F.lit(f.name)))
-        dropped.append(F.when(c.dropped, F.lit(f.name)))
+            c = _scalar(F.when(there, v), f)
+            value = c.value
+            clamped.append(F.when(c.clamped, F.array(F.lit(f.name))).otherwise(none))
+        out.append(value.alias(f.name))
         if f.required:
-            missing.append(F.when(lost, F.lit(f.name)))
-    absent = F.array_compact(F.array(*missing)) if missing else F.array().cast("array<string>")
+            missing.append(F.when(value.isNull(), F.lit(f.name)))
+    absent = F.array_compact(F.array(*missing)) if missing else none
     error = F.when(F.col("__doc").isNull(), "not JSON").when(F.size(absent) > 0, F.concat(F.lit("missing: "), F.array_join(absent, ",")))
-    return rows.select(*responses.columns, *out, F.array_compact(F.array(*clamped)).alias("clamped"), F.array_compact(F.array(*dropped)).alias("dropped"), error.alias("error"))
+    made = rows.select(*responses.columns, *out, F.concat(*clamped).alias("clamped"), F.concat(*dropped).alias("dropped"), error.alias("error"))
+    ok = lambda c: F.when(F.col("error").isNull(), F.col(c)).otherwise(none)
+    return made.withColumn("clamped", ok("clamped")).withColumn("dropped", ok("dropped"))
 
 
 def news_from_conformed(conformed: DataFrame, fallback: DataFrame, key: str = "seq") -> DataFrame:

@@ -223,16 +223,47 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH e AS (SELECT *, CAST(regexp_extract(props, '(-?\\d+)', 1) AS DOUBLE) + CASE WHEN event_id % 10 = 5 AND event_id % 7 = 0 THEN 0.3 ELSE 0 END AS x, event_id % 10 AS m FROM events)
 SELECT event_id, CASE WHEN m <> 4 THEN round(least(greatest(x, 0), 50)) END AS k, CASE WHEN m = 4 THEN 'VIEW' WHEN m IN (3, 5) THEN NULL WHEN event_type IN ('click', 'view') THEN upper(event_type) END AS kind,
   CASE WHEN m = 3 THEN true END AS flag, CASE WHEN m = 3 THEN 'one' WHEN m = 5 THEN 'two,three,4' ELSE '' END AS tags, CASE WHEN m <> 4 AND (x < 0 OR x > 50) THEN 'k' ELSE '' END AS clamped,
-  CASE WHEN m NOT IN (3, 4, 5) AND event_type NOT IN ('click', 'view') THEN 'kind' ELSE '' END AS dropped, CASE WHEN m = 4 THEN 'missing: k' END AS error FROM e""")
+  '' AS dropped, CASE WHEN m = 4 THEN 'missing: k' END AS error FROM e""")
 def conform_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ledger.conform(_responses(spark, sf_dir), _FIELDS)
     return out.select("event_id", "k", "kind", "flag", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), ",").alias("tags"), F.array_join("clamped", ",").alias("clamped"), F.array_join("dropped", ",").alias("dropped"), "error")
 
 
-@query("""WITH e AS (SELECT *, CAST(regexp_extract(props, '(-?\\d+)', 1) AS DOUBLE) + CASE WHEN event_id % 10 = 5 AND event_id % 7 = 0 THEN 0.3 ELSE 0 END AS x, event_id % 10 AS m FROM events)
-SELECT 'k' AS violation, count(*) AS n FROM e WHERE m <> 4 AND (x < 0 OR x > 50) HAVING count(*) > 0 UNION ALL SELECT 'dropped:kind', count(*) FROM e WHERE m NOT IN (3, 4, 5) AND event_type NOT IN ('click', 'view') HAVING count(*) > 0""")
+_LISTED = [
+    ledger.Field("k", "INTEGER", True, 0, 50), ledger.Field("sure", "BOOLEAN"),
+    ledger.Field("items", "OBJECT_LIST", True, fields=(ledger.Field("n", "NUMBER", True, 0, 100), ledger.Field("name", "TEXT"))),
+]
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses with a list of objects: none, an empty one, no list, one with broken and clamped items, one of the event itself."""
+    e = A.table(spark, sf_dir, "events")
+    m = F.col("event_id") % 10
+    odd = '[{"n": 120, "name": "a"}, {"name": "b"}, 5, {"n": -3, "name": " c "}, {"n": "7"}, {"n": true}, {"n": null, "name": "d"}]'
+    own = F.concat(F.lit('[{"n": '), (F.col("event_id") % 150).cast("string"), F.lit(', "name": "'), F.col("event_type"), F.lit('"}]'))
+    items = F.when(m == 6, "[]").when(m == 7, odd).when(m == 8, '{"n": 1}').when(m != 9, own)
+    put = F.concat(F.when(m < 5, ', "sure": " TRUE "').otherwise(', "sure": "yes"'), F.coalesce(F.concat(F.lit(', "items": '), items), F.lit("")), F.lit("}"))
+    return e.select("event_id", F.concat(F.regexp_replace("props", r"\}$", ""), put).alias("raw"))
+
+
+_LISTED_SQL = """e AS (SELECT event_id, event_type, event_id % 10 AS m, event_id % 150 AS n, CAST(regexp_extract(props, '(-?\\d+)', 1) AS DOUBLE) AS x FROM events),
+c AS (SELECT event_id, m, round(least(greatest(x, 0), 50)) AS k, CASE WHEN m < 5 THEN true END AS sure, CASE WHEN m = 7 THEN '100.0:a,0.0: c ,7.0:' WHEN m IN (6, 8) THEN '' WHEN m <> 9 THEN concat(CAST(CAST(least(n, 100) AS DOUBLE) AS VARCHAR), ':', event_type) END AS items,
+  CASE WHEN m = 9 THEN [] ELSE list_concat(CASE WHEN x < 0 OR x > 50 THEN ['k'] ELSE [] END, CASE WHEN m = 7 THEN ['items.n', 'items.n'] WHEN m NOT IN (6, 8) AND n > 100 THEN ['items.n'] ELSE [] END) END AS clamped,
+  CASE WHEN m = 7 THEN ['items', 'items', 'items', 'items'] ELSE [] END AS dropped, CASE WHEN m = 9 THEN 'missing: items' END AS error FROM e)"""
+
+
+@query(f"WITH {_LISTED_SQL} SELECT event_id, k, sure, items, array_to_string(clamped, ',') AS clamped, array_to_string(dropped, ',') AS dropped, error FROM c")
+def conform_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A required list of objects whose items have a required number within bounds."""
+    out = ledger.conform(_listed(spark, sf_dir), _LISTED)
+    items = F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["n"].cast("string"), F.coalesce(x["name"], F.lit("")))), ",")
+    return out.select("event_id", "k", "sure", items.alias("items"), F.array_join("clamped", ",").alias("clamped"), F.array_join("dropped", ",").alias("dropped"), "error")
+
+
+@query(f"WITH {_LISTED_SQL} SELECT violation, count(*) AS n FROM (SELECT unnest(list_concat(clamped, list_transform(dropped, lambda x: concat('dropped:', x)))) AS violation FROM c) GROUP BY 1")
 def violation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.violation_report(ledger.conform(_responses(spark, sf_dir), _FIELDS))
+    """Each broken item and each clamped number counts."""
+    return ledger.violation_report(ledger.conform(_listed(spark, sf_dir), _LISTED))
 
 
 @query("""SELECT event_id // 50 AS body, CAST(epoch_ms(ts) // 60000 * 60000 AS BIGINT) AS open_ms, round(value, 2) AS close, user_id AS trade_count, ts < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 1 MINUTE AS is_final FROM events""")

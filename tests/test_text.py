@@ -195,9 +195,9 @@ def test_conform(spark):
     got = [r for r in ledger.conform(spark.createDataFrame(list(enumerate(raws)), "i long, raw string"), FIELDS).orderBy("i").collect()]
     assert (got[0].sentiment, got[0].materiality, got[0].clamped, got[0].error) == (-1, 1, ["sentiment", "materiality"], None)
     assert (got[1].eventType, got[1].speculation, got[1].entities) == ("HACK", True, ["BTC"])
-    assert [(e.claim, e.weight) for e in got[1].evidence] == [("a", 1.0)] and "evidence" in got[1].dropped
+    assert [(e.claim, e.weight) for e in got[1].evidence] == [("a", 1.0)] and (got[1].clamped, got[1].dropped) == (["evidence.weight"], ["evidence"])
     assert got[2].error == "missing: materiality" and got[3].error == "not JSON" and got[5].error == "not JSON"
-    assert got[4].error == "missing: sentiment" and set(got[4].dropped) == {"sentiment", "eventType"}
+    assert got[4].error == "missing: sentiment" and got[4].clamped == got[4].dropped == []
     with pytest.raises(ValueError):
         ledger.conform(spark.createDataFrame([(1, "{}")], "i long, raw string"), [ledger.Field("e", "ENUM")])
 
