@@ -144,3 +144,35 @@ def test_line_dedup_of_odd_rows(spark, odd, odd_rows, nothing):
     rows = [(None, "a line that many texts share\nfirst"), (None, "a line that many texts share\nsecond"), (None, "alone")]
     out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.n_removed for r in out) == [0, 0, 1]
+
+
+def test_within_one_edit():
+    rng = random.Random(3)
+    for _ in range(3000):
+        a = "".join(rng.choice("aé\U0001f600") for _ in range(rng.randrange(7)))
+        b = list(a)
+        for _ in range(rng.randrange(3)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(2)] = rng.choice(["", "a", "é"])
+        b = "".join(b)
+        rows = [list(range(len(b) + 1))]
+        for i, x in enumerate(a, 1):
+            rows.append([i])
+            for j, y in enumerate(b, 1):
+                rows[i].append(min(rows[i - 1][j] + 1, rows[i][j - 1] + 1, rows[i - 1][j - 1] + (x != y)))
+        assert line_dedup.within_one(a, b) == (rows[-1][-1] <= 1)
+
+
+def test_long_lines_and_many_lines(spark):
+    rng = random.Random(4)
+    line = "".join(rng.choice("abcdefghij ") for _ in range(60_000)) + "x"
+    many = "\n".join(f"number {k} of many lines" for k in range(30_000))
+    rows = [(1, line), (2, line[:20_000] + "Z" + line[20_001:]), (3, line[:50_000] + line[50_001:]), (4, line[:9] + "ZZZ" + line[9:]), (5, many), (6, many + "\nlast one")]
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # a number's first digit may be the edit
+    assert {k: got[k] for k in (1, 2, 3, 4, 6)} == {1: (1, 0), 2: (1, 1), 3: (1, 1), 4: (1, 0), 6: (30_001, 30_000)}
+    assert got[5][0] == 30_000
+    plain = line_dedup.dedup_lines(spark.createDataFrame(rows[:3], "doc_id long, text string"), edits=0)
+    assert {r.n_removed for r in plain.collect()} == {0}
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(spark.createDataFrame(rows[:1], "doc_id long, text string"), edits=2)
