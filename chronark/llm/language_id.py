@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from chronark.llm import _runtime
 
 ORDER = 4
-_BITS = 12
+_BITS = 16
 _MASK = (1 << _BITS) - 1
 #: N-grams of all languages that are held in sorted arrays and sent to all tasks, at most (fewer with more than 4 languages, as
 #: each takes a column). More stay a table, of which a block of texts fetches the rows it needs; the results are the same.
@@ -38,16 +38,27 @@ _BIN = 0.02
 _table: list[np.ndarray] = []
 
 
+def _low(k: int) -> int:
+    """The mask of an n-gram's last ``k`` codes; four fill a long."""
+    return (1 << _BITS * k) - 1 if k * _BITS < 64 else -1
+
+
 def _codes(text: str) -> np.ndarray:
-    """12-bit codes of the letters, lower-cased, 0 for each run of other characters, also before and after."""
+    """16-bit codes of the letters, lower-cased, 0 for each run of other characters, also before and after.
+
+    Letters below U+10000 are numbered, so none shares its code; those above, of rare Han characters and dead scripts, share what is left.
+    """
     if not _table:
-        lower = [chr(i).lower() if chr(i).isalpha() else "" for i in range(65536)]
-        _table.append(np.array([(ord(c[0]) % _MASK) + 1 if c else 0 for c in lower], np.int64))
+        lower = [ord(chr(i).lower()[0]) if chr(i).isalpha() else 0 for i in range(65536)]
+        near = sorted({c for c in lower if 0 < c < 65536})
+        number = {c: k for k, c in enumerate(near, 1)}
+        _table.append(np.array([number.get(c, 0) for c in lower], np.int64))
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     far = points >= 65536
     codes = _table[0][np.where(far, 0, points)]
     if far.any():
-        codes[far] = [(int(p) % _MASK) + 1 if chr(p).isalpha() else 0 for p in points[far]]
+        last = int(_table[0].max())
+        codes[far] = [last + 1 + ord(chr(p).lower()[0]) % (_MASK - last) if chr(p).isalpha() else 0 for p in points[far]]
     codes = np.concatenate(([0], codes, [0]))
     return codes[np.concatenate(([True], (codes[1:] != 0) | (codes[:-1] != 0)))]
 
@@ -116,7 +127,7 @@ class Model:
         for lang, (key, n) in grams.items():
             levels = [(key, n.astype(float))]
             for k in range(ORDER - 1, 0, -1):  # how many different characters stand before a shorter n-gram
-                key, n = np.unique(levels[0][0] & ((1 << _BITS * k) - 1), return_counts=True)
+                key, n = np.unique(levels[0][0] & _low(k), return_counts=True)
                 levels.insert(0, (key, n.astype(float)))
             per[lang] = levels
         letters = np.unique(np.concatenate([per[x][0][0] for x in self.langs])) if self.langs else np.empty(0)
@@ -140,7 +151,7 @@ class Model:
         """-log2 P(last | before) of each n-gram in each language."""
         p = np.full((len(grams), len(self.langs)), self.floor)
         for k, (keys, share, contexts, weight) in enumerate(self.orders):
-            part = grams & ((1 << _BITS * (k + 1)) - 1)
+            part = grams & _low(k + 1)
             for table, values, of in ((contexts, weight, part >> _BITS), (keys, share, part)):
                 if not len(table):
                     continue
@@ -255,7 +266,7 @@ def _table_of(counts: DataFrame, langs: list[str]) -> DataFrame:
     parts: list[DataFrame] = []
     for k in range(ORDER - 1, -1, -1):
         if k < ORDER - 1:  # how many different characters stand before a shorter n-gram
-            level = level.groupBy("j", F.col("key").bitwiseAND(F.lit((1 << _BITS * (k + 1)) - 1)).alias("key")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+            level = level.groupBy("j", F.col("key").bitwiseAND(F.lit(_low(k + 1)).cast("long")).alias("key")).agg(F.count(F.lit(1)).cast("double").alias("n"))
         level = _runtime.cut(level.withColumn("context", F.shiftright("key", _BITS)))
         ones, twos = F.sum(F.when(F.col("n") == 1, 1.0).otherwise(0.0)), F.sum(F.when(F.col("n") == 2, 1.0).otherwise(0.0))
         discount = level.groupBy("j").agg(F.least(F.lit(0.95), F.greatest(F.lit(0.3), ones / F.greatest(F.lit(1.0), ones + 2 * twos))).alias("discount"))
@@ -275,7 +286,7 @@ def _needed(texts: list[str | None]) -> list[tuple[int, np.ndarray]]:
     seen = np.empty(0, np.int64)
     for part in _slices(texts):
         seen = np.unique(np.concatenate([seen, *(_grams(_codes(t or "")) for t in texts[part])]))
-    keys = [np.unique(seen & ((1 << _BITS * (k + 1)) - 1)) for k in range(ORDER)]
+    keys = [np.unique(seen & _low(k + 1)) for k in range(ORDER)]
     return [x for k in range(ORDER) for x in ((2 * k, keys[k]), (2 * k + 1, np.unique(keys[k] >> _BITS)))]
 
 

@@ -465,3 +465,14 @@ def test_toxicity_of_odd_rows(spark, odd, odd_rows, nothing, label):
     model = toxicity.train(odd, labels)
     assert toxicity.score(odd, model).count() == len(odd_rows)
     assert toxicity.score(nothing, model).collect() == []
+
+
+def test_letters_of_different_scripts_have_different_codes():
+    letters = [chr(i) for i in range(65536) if chr(i).isalpha() and chr(i).lower() == chr(i)]
+    codes = language_id._codes(" ".join(letters))
+    codes = codes[codes != 0]
+    assert len(codes) == len(letters) == len(set(codes.tolist())) and codes.max() < 65535
+    far = language_id._codes("\U00020000 a")
+    assert far[1] > codes.max() and far.max() <= language_id._MASK
+    grams = language_id._grams(language_id._codes("\U0002a6d6\U0002a6d6\U0002a6d6\U0002a6d6 x"))
+    assert len(np.unique(grams & language_id._low(4))) == len(np.unique(grams))
