@@ -7,6 +7,8 @@ window, so neither needs a task that holds a whole series.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -115,11 +117,44 @@ def indicators(bars: DataFrame, sd: str = "stddev_pop") -> DataFrame:
     return out.withColumn("unavailable", F.array_compact(F.array(*(F.when(F.col(c).isNull(), F.lit(c)) for c in NEEDS))))
 
 
-def percentile_rank(values: Column, x: Column) -> Column:
-    """100 * (below + equal / 2) / n of ``x`` in an array."""
-    below = F.size(F.filter(values, lambda v: v < x))
-    equal = F.size(F.filter(values, lambda v: v == x))
-    return 100 * (below + equal / 2) / F.nullif(F.size(values), F.lit(0))
+def trailing_ranks(values: np.ndarray, width: int, least: int = 1) -> np.ndarray:
+    """100 * (below + equal / 2) / n of each value among the last ``width``, itself included, those that are there: NaN for none or
+    fewer than ``least``. The window is kept sorted: a value costs two binary searches, and only the window is held."""
+    out, held = np.full(len(values), np.nan), []
+    for i, v in enumerate(values.tolist()):
+        if i >= width and (gone := values[i - width]) == gone:
+            del held[bisect_left(held, gone)]
+        if v == v:
+            insort(held, v)
+            if len(held) >= least:
+                lo, hi = bisect_left(held, v), bisect_right(held, v)
+                out[i] = 100 * (lo + (hi - lo) / 2) / len(held)
+    return out
+
+
+def with_trailing_ranks(rows: DataFrame, ranks: dict[str, tuple[str, int, int]], order: str = "open_time") -> DataFrame:
+    """``rows`` with a column for each of ``ranks``: name to (column, width, least), see ``trailing_ranks``.
+
+    A long series is cut into chunks, each of which also gets the rows of one window before it.
+    """
+    most = max(width for _, width, _ in ranks.values())
+    size = max(CHUNK, most)
+    rows = rows.withColumn("__idx", F.row_number().over(W.partitionBy(*BY).orderBy(order)) - 1)
+    chunk = F.floor(F.col("__idx") / size)
+    part = lambda c, own: F.struct(c.alias("chunk"), F.lit(own).alias("own"))
+    dealt = F.when(F.col("__idx") % size > size - most, F.array(part(chunk, True), part(chunk + 1, False))).otherwise(F.array(part(chunk, True)))
+    rows = rows.withColumn("__part", F.explode(dealt)).withColumn("__chunk", F.col("__part.chunk")).withColumn("__own", F.col("__part.own")).drop("__part")
+    kept = [c for c in rows.columns if c not in ("__idx", "__chunk", "__own")]
+    kinds = dict(rows.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__idx")
+        for name, (column, width, least) in ranks.items():
+            pdf[name] = trailing_ranks(pdf[column].to_numpy(float), width, least)
+        return pdf.loc[pdf["__own"], [*kept, *ranks]]
+
+    out = rows.groupBy(*BY, "__chunk").applyInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in kept), *(f"{c} double" for c in ranks)]))
+    return out.select(*kept, *(F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ranks))
 
 
 def z_score(x: Column, mean: Column, sd: Column, n: Column) -> Column:
@@ -141,13 +176,8 @@ def statistics(bars: DataFrame, step_s: int, fast: int = 24, slow: int = 96, lea
     prior = o.rowsBetween(-fast, -1)
     count, sd = F.count("volume").over(prior), F.stddev_samp("volume").over(prior)
     rows = rows.withColumn("volume_z", F.when(F.col("n") > fast, z_score(F.col("volume"), F.avg("volume").over(prior), sd, count)))
-    rows = rows.withColumn("closes", F.collect_list("close").over(w))
-    rows = rows.withColumn("price_percentile", percentile_rank(F.col("closes"), F.col("close"))).drop("closes")
-    for name, k in (("realized_vol", fast), ("realized_vol_slow", slow)):
-        # the rolling series inside the history: its first values lie k bars after the history's start
-        inside = o.rowsBetween(-(HISTORY - 1 - k), 0)
-        rows = rows.withColumn("vols", F.collect_list(name).over(inside))
-        rank = F.when((F.size("vols") >= least) & F.col(name).isNotNull(), percentile_rank(F.col("vols"), F.col(name)))
-        rows = rows.withColumn({"realized_vol": "vol_percentile", "realized_vol_slow": "vol_percentile_slow"}[name], rank).drop("vols")
+    # the rolling series inside the history: its first values lie k bars after the history's start
+    inside = {"vol_percentile": ("realized_vol", HISTORY - fast, least), "vol_percentile_slow": ("realized_vol_slow", HISTORY - slow, least)}
+    rows = with_trailing_ranks(rows, {"price_percentile": ("close", HISTORY, 1)} | inside)
     names = ["return1", "return24", "return168", "realized_vol", "realized_vol_slow", "vol_percentile", "vol_percentile_slow", "volume_z", "price_percentile"]
     return rows.select(*BY, "open_time", "close", *(F.round(F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), 0.0).otherwise(F.col(c)), 8).alias(c) for c in names))

@@ -172,10 +172,21 @@ def price_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("instrument_id", _epoch("open_time"), *(F.round(F.col(c) + 1e-7, 4).alias(c) for c in names))
 
 
-@query()
+_RANK = "CASE WHEN len({l}) >= 30 AND {v} IS NOT NULL THEN round(100 * (len(list_filter({l}, lambda c: c < {v})) + len(list_filter({l}, lambda c: c = {v})) / 2) / len({l}) + 1e-7, 4) END"
+
+
+@query(f"""
+WITH {B1H}, x AS (SELECT instrument_id, o, CAST(close AS DOUBLE) AS close FROM b WHERE is_final),
+y AS (SELECT *, ln(close / lag(close) OVER w) AS r, row_number() OVER w AS n FROM x WINDOW w AS (PARTITION BY instrument_id ORDER BY o)),
+v AS (SELECT *, CASE WHEN n > 24 THEN stddev_samp(r) OVER (PARTITION BY instrument_id ORDER BY o ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) END AS fast,
+  CASE WHEN n > 96 THEN stddev_samp(r) OVER (PARTITION BY instrument_id ORDER BY o ROWS BETWEEN 95 PRECEDING AND CURRENT ROW) END AS slow FROM y),
+l AS (SELECT *, list_filter(list(fast) OVER (PARTITION BY instrument_id ORDER BY o ROWS BETWEEN 695 PRECEDING AND CURRENT ROW), lambda c: c IS NOT NULL) AS fasts,
+  list_filter(list(slow) OVER (PARTITION BY instrument_id ORDER BY o ROWS BETWEEN 623 PRECEDING AND CURRENT ROW), lambda c: c IS NOT NULL) AS slows FROM v)
+SELECT instrument_id, o AS open_time, {_RANK.format(l='fasts', v='fast')} AS vol_percentile, {_RANK.format(l='slows', v='slow')} AS vol_percentile_slow FROM l
+""")
 def vol_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = series.statistics(A.bars(spark, sf_dir, "1h", 3600), 3600)
-    return out.select("instrument_id", _epoch("open_time"), "vol_percentile", "vol_percentile_slow")
+    return out.select("instrument_id", _epoch("open_time"), *(F.round(F.col(c) + 1e-7, 4).alias(c) for c in ("vol_percentile", "vol_percentile_slow")))
 
 
 _EMA = "list_reduce(list_prepend(closes[1], closes), lambda s, x: s + (x - s) * {a})"

@@ -202,3 +202,22 @@ def test_replay_equals_the_fold(spark, seed):
             x = of[name, r[1]]
             assert (x.trend, x.volatility, x.regime_changed, x.is_open) == (trend, volatility, changed, is_open)
             assert abs(x.strength - strength) < 1.1e-4 and [(y.type, y.magnitude) for y in x.reasons if y.type != "REGIME_CHANGE"] == [(y["type"], y["magnitude"]) for y in reasons if y["type"] != "REGIME_CHANGE"]
+
+
+@pytest.mark.parametrize("size", [7, 4000])
+def test_trailing_ranks_equal_brute_force(spark, size, monkeypatch):
+    """Ties, missing values, windows longer and shorter than a chunk."""
+    monkeypatch.setattr(series, "CHUNK", size)
+    rng = np.random.default_rng(size)
+    rows = [(k, "1h", i, None if rng.random() < 0.1 else float(rng.integers(6))) for k in ("a", "b") for i in range(90)]
+    df = spark.createDataFrame(rows, "instrument_id string, timeframe string, open_time long, x double").repartition(3)
+    got = {(r.instrument_id, r.open_time): (r.short, r.long) for r in series.with_trailing_ranks(df, {"short": ("x", 5, 3), "long": ("x", 40, 1)}).collect()}
+
+    def rank(values, least):
+        v, have = values[-1], [x for x in values if x is not None]
+        if v is None or len(have) < least:
+            return None
+        return 100 * (sum(x < v for x in have) + sum(x == v for x in have) / 2) / len(have)
+
+    by = {k: [x for i, _, _, x in rows if i == k] for k in ("a", "b")}
+    assert got == {(k, i): (rank(v[max(0, i - 4) : i + 1], 3), rank(v[max(0, i - 39) : i + 1], 1)) for k, v in by.items() for i in range(90)}
