@@ -211,9 +211,30 @@ def compute_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("instrument_id", _epoch("open_time"), *(F.round(F.col(c) + 1e-7, 4).alias(c) for c in ("ema20", "ema50", "rsi14", "atr14", "bb_middle", "bb_upper", "vwap20")))
 
 
-@query()
+_NEEDED = "ema20:80 ema50:200 ema200:800 rsi14:56 macd:104 macd_signal:140 macd_histogram:140 atr14:56 atr_percent:56 bb_middle:20 bb_upper:20 bb_lower:20 bb_width:20 bb_percent_b:20 vwap20:20".split()
+
+
+@query(f"""
+WITH {B1H}, x AS (SELECT instrument_id, o, CAST(close AS DOUBLE) AS close, CAST(high AS DOUBLE) AS high, CAST(low AS DOUBLE) AS low, CAST(volume AS DOUBLE) AS volume FROM b WHERE is_final),
+d AS (SELECT *, close - lag(close) OVER w AS d, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM x WINDOW w AS (PARTITION BY instrument_id ORDER BY o)),
+y AS (SELECT *, list(close) OVER h AS closes, list(d) OVER h AS ds, list(tr) OVER h AS trs, first_value(high - low) OVER h AS tr0, count(*) OVER h AS n,
+  avg(close) OVER k AS bb_middle, stddev_pop(close) OVER k AS sd, sum((high + low + close) / 3 * volume) OVER k / nullif(sum(volume) OVER k, 0) AS vwap20
+  FROM d WINDOW h AS (PARTITION BY instrument_id ORDER BY o ROWS BETWEEN 799 PRECEDING AND CURRENT ROW), k AS (PARTITION BY instrument_id ORDER BY o ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+z AS (SELECT *, {_EMA.format(a='2 / 21')} AS ema20, {_EMA.format(a='2 / 51')} AS ema50, {_EMA.format(a='2 / 201')} AS ema200,
+  list_reduce(list_prepend(0.0::DOUBLE, list_transform(ds[2:], lambda g: greatest(g, 0))), lambda s, g: s + (g - s) / 14) AS gain,
+  list_reduce(list_prepend(0.0::DOUBLE, list_transform(ds[2:], lambda g: greatest(-g, 0))), lambda s, g: s + (g - s) / 14) AS loss,
+  list_reduce(list_prepend(tr0, trs[2:]), lambda s, g: s + (g - s) / 14) AS atr14, bb_middle + 2 * sd AS bb_upper, bb_middle - 2 * sd AS bb_lower,
+  list_reduce(list_prepend([closes[1], closes[1], 0.0::DOUBLE], list_transform(closes, lambda c: [c, c, 0.0::DOUBLE])), lambda s, c: [s[1] + (c[1] - s[1]) * 2 / 13, s[2] + (c[2] - s[2]) * 2 / 27,
+    s[3] + (s[1] + (c[1] - s[1]) * 2 / 13 - (s[2] + (c[2] - s[2]) * 2 / 27) - s[3]) * 0.2]) AS m FROM y),
+v AS (SELECT *, CASE WHEN loss = 0 THEN CASE WHEN gain = 0 THEN 0 ELSE 100 END ELSE 100 - 100 / (1 + gain / loss) END AS rsi14, m[1] - m[2] AS macd, m[3] AS macd_signal, m[1] - m[2] - m[3] AS macd_histogram, atr14 / nullif(close, 0) * 100 AS atr_percent,
+  CASE WHEN bb_upper <> bb_lower AND bb_middle <> 0 THEN (bb_upper - bb_lower) / bb_middle END AS bb_width, CASE WHEN bb_upper <> bb_lower AND bb_middle <> 0 THEN (close - bb_lower) / (bb_upper - bb_lower) END AS bb_percent_b FROM z)
+SELECT instrument_id, o AS open_time, {", ".join("round(CASE WHEN n >= {1} THEN {0} END + 1e-7, 4) AS {0}".format(*x.split(":")) for x in _NEEDED)},
+  concat_ws(',', {", ".join("CASE WHEN n < {1} OR {0} IS NULL THEN '{0}' END".format(*x.split(":")) for x in _NEEDED)}) AS unavailable FROM v
+""")
 def all_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.indicators(A.bars(spark, sf_dir, "1h", 3600)).withColumn("open_time", F.unix_seconds("open_time"))
+    """Every indicator at every final bar, and the names of those that can't be told there."""
+    out = series.indicators(A.bars(spark, sf_dir, "1h", 3600))
+    return out.select("instrument_id", _epoch("open_time"), *(F.round(F.col(c) + 1e-7, 4).alias(c) for c in series.NEEDS), F.array_join("unavailable", ",").alias("unavailable"))
 
 
 def _signal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
