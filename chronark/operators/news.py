@@ -254,3 +254,24 @@ def mentions(items: DataFrame, entities: DataFrame) -> DataFrame:
 
 def ingest_report(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ingest(items: DataFrame, threshold: float = THRESHOLD, hours: int = WINDOW_H) -> DataFrame:
+    """(seq, outcome, cluster_seq) of items in arrival order: DUPLICATE by the feed's address or by content within the window, else
+    NEW_CLUSTER or JOINED. An item that is a duplicate by its address doesn't count as seen content."""
+    fresh = graph.cut(dedup_content(dedup_url(items), hours).select("seq", "tokens", "published_at"))
+    joined = cluster(fresh, threshold, hours)
+    of = joined.select("seq", "cluster_seq", F.when(F.col("seq") == F.col("cluster_seq"), "NEW_CLUSTER").otherwise("JOINED").alias("found"))
+    return items.select("seq").join(of, "seq", "left").select("seq", F.coalesce("found", F.lit("DUPLICATE")).alias("outcome"), "cluster_seq")
+
+
+def ingest_counts(items: DataFrame, feeds: DataFrame, threshold: float = THRESHOLD, hours: int = WINDOW_H) -> DataFrame:
+    """(outcome, n) of an ingest, zeros included: FETCHED, NEW_CLUSTER, JOINED, DUPLICATE, and FAILED_FEED for feeds (feed_id, ok) that gave
+    nothing; what they hold isn't counted as fetched."""
+    working = feeds.where("ok").select("feed_id").distinct()
+    done = ingest(items.join(working, "feed_id", "left_semi"), threshold, hours)
+    sums = {"FETCHED": F.count(F.lit(1)), **{k: F.count_if(F.col("outcome") == k) for k in ("NEW_CLUSTER", "JOINED", "DUPLICATE")}}
+    counts = done.agg(*(v.alias(k) for k, v in sums.items()))
+    failed = feeds.where("NOT ok").select("feed_id").distinct().agg(F.count(F.lit(1)).alias("FAILED_FEED"))
+    each = lambda df: df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("outcome"), F.col(c).alias("n")) for c in df.columns))).alias("x")).select("x.*")
+    return each(counts).unionByName(each(failed))

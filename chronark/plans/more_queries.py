@@ -18,7 +18,7 @@ from chronark.plans import adapters as A
 from chronark.plans.registry import query
 from chronark.plans.write_queries import in_order
 from chronark.plans.series_queries import B15, _signal_rows
-from chronark.plans.text_queries import _streamed
+from chronark.plans.text_queries import _COUNTED, _HEADLINES, _clusters, _streamed
 from chronark.sources import decode
 from chronark.streaming import streams
 
@@ -171,7 +171,7 @@ def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news.ingest_report(n.select("seq").join(new, "seq", "left").select(F.coalesce("outcome", F.lit("DUPLICATE")).alias("outcome")))
 
 
-@query()
+@query(f"WITH RECURSIVE {_HEADLINES}, {_clusters('t')}, c AS ({_COUNTED}) SELECT cluster_seq, source_count, last_at, title FROM c WHERE last_at >= epoch(TIMESTAMP '2026-01-02') - 48 * 3600 ORDER BY last_at DESC, cluster_seq LIMIT 20")
 def recent_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 20 clusters by latest publication of a day."""
     n = A.headlines(spark, sf_dir)

@@ -102,12 +102,42 @@ def recent_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+def _clusters(first_stage: str) -> str:
+    """SQL that walks headlines in order: (n, seq, leader). ``first_stage`` names the rows (seq) that reach the clusters."""
+    return f"""np AS (SELECT seq, len(tokens) AS n FROM s), cp AS (SELECT a.seq AS a, b.seq AS b, count(*) AS c FROM k a JOIN k b ON a.token = b.token AND a.seq < b.seq GROUP BY 1, 2),
+near AS (SELECT b AS seq, list(a ORDER BY a) AS keys, list(c / (x.n + y.n - c) ORDER BY a) AS sims FROM cp JOIN np x ON x.seq = a JOIN np y ON y.seq = b WHERE c / (x.n + y.n - c) >= 0.45 GROUP BY b),
+walk AS MATERIALIZED (SELECT seq, 1767225600 + seq * 60 AS at_s, coalesce(keys, []) AS keys, coalesce(sims, []) AS sims, row_number() OVER (ORDER BY seq) AS n FROM {first_stage} LEFT JOIN near USING (seq)),
+r AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS leader, CAST([] AS STRUCT(k BIGINT, l BIGINT)[]) AS leaders
+  UNION ALL
+  SELECT n, seq, coalesce(best.k, seq), CASE WHEN best IS NULL THEN list_append(leaders, CAST({{'k': seq, 'l': at_s}} AS STRUCT(k BIGINT, l BIGINT)))
+    ELSE list_transform(leaders, lambda x: CASE WHEN x.k = best.k THEN CAST({{'k': x.k, 'l': greatest(x.l, at_s)}} AS STRUCT(k BIGINT, l BIGINT)) ELSE x END) END
+  FROM (SELECT *, list_sort(list_transform(list_filter(leaders, lambda x: x.l >= at_s - 72 * 3600 AND list_contains(keys, x.k)), lambda x: {{'s': sims[list_position(keys, x.k)], 'l': x.l, 'm': -x.k, 'k': x.k}}), 'DESC')[1] AS best
+    FROM (SELECT walk.n, walk.seq, at_s, keys, sims, leaders FROM r JOIN walk ON walk.n = r.n + 1)))"""
+
+
+_COUNTED = "SELECT leader AS cluster_seq, count(*) AS source_count, min(1767225600 + r.seq * 60) AS first_at, max(1767225600 + r.seq * 60) AS last_at, arg_min(title, r.seq) AS title FROM r JOIN t ON t.seq = r.seq GROUP BY 1"
+
+
+@query(f"WITH RECURSIVE {_HEADLINES}, {_clusters('t')} {_COUNTED}")
 def cluster_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = A.headlines(spark, sf_dir)
     return news.cluster_counters(n, news.cluster(n)).withColumn("first_at", F.unix_seconds("first_at")).withColumn("last_at", F.unix_seconds("last_at"))
 
 
+_KEPT = r"""u AS (SELECT doc_id AS seq FROM documents QUALIFY row_number() OVER (PARTITION BY source, doc_id % 700 ORDER BY doc_id) = 1),
+h AS MATERIALIZED (SELECT doc_id AS seq, sha256(trim(regexp_replace(lower(strip_accents(concat_ws(' ', regexp_extract(text, '^[^.\n]*'), coalesce(text, '')))), '[^\p{L}\p{N}]+', ' ', 'g'))) AS content FROM documents JOIN u ON seq = doc_id),
+q AS (SELECT content, min(seq) AS seq FROM h GROUP BY content UNION ALL SELECT content, next FROM (SELECT content, (SELECT min(x.seq) FROM h x WHERE x.content = q.content AND x.seq > q.seq + 4320) AS next FROM q) WHERE next IS NOT NULL)"""
+
+
+@query(f"""WITH RECURSIVE {_HEADLINES}, {_KEPT}, {_clusters('q')}
+SELECT 'NEW_CLUSTER' AS outcome, count(*) FILTER (WHERE seq = leader) AS n FROM r UNION ALL SELECT 'JOINED', count(*) FILTER (WHERE seq <> leader) FROM r
+UNION ALL SELECT 'DUPLICATE', (SELECT count(*) FROM documents) - (SELECT count(*) FROM q) UNION ALL SELECT 'FETCHED', count(*) FROM documents UNION ALL SELECT 'FAILED_FEED', 0""")
+def ingest_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an ingest of all news did: duplicates by address, then by content, then clusters of the rest; no feed failed."""
+    n = A.headlines(spark, sf_dir)
+    return news.ingest_counts(n, n.select("feed_id", F.lit(True).alias("ok")).distinct())
+
+
 _HITS = """len(list_intersect(tokens, ['sec', 'regulator', 'lawsuit', 'court', 'ban', 'approval', 'compliance', 'legislation'])) AS reg,
 len(list_intersect(tokens, ['fed', 'inflation', 'cpi', 'rate', 'fomc', 'gdp', 'unemployment', 'treasury', 'yield'])) AS mac,
 len(list_intersect(tokens, ['hack', 'exploit', 'breach', 'stolen', 'vulnerability', 'attack'])) AS inc, len(list_intersect(tokens, ['listing', 'listed', 'delist', 'trading pair'])) AS lis,

@@ -140,6 +140,15 @@ def test_source_counts_and_mentions(spark):
     assert [(r.link_type, r.from_id, r.to_id) for r in links] == [("MENTIONS", "NEWS:0", "ASSET:BTC")]
 
 
+def test_ingest_counts_every_outcome(spark):
+    rows = [(k, feed, url, title, None, START + timedelta(minutes=k)) for k, (feed, url, title) in enumerate([("a", "x.com/1", SAME[0]), ("a", "x.com/1?utm_source=q", "Other words"), ("b", "y.com/1", SAME[0]), ("b", "y.com/2", SAME[1]), ("b", "y.com/3", "Other words"), ("c", "z.com/1", "Never seen")])]
+    df = spark.createDataFrame(rows, "seq long, feed_id string, url string, title string, body string, published_at timestamp")
+    df = df.withColumn("tokens", text.tokens(text.normalize(F.col("title"))))
+    feeds = spark.createDataFrame([("a", True), ("b", True), ("c", False), ("d", False)], "feed_id string, ok boolean")
+    got = {r.outcome: r.n for r in news.ingest_counts(df, feeds).collect()}
+    assert got == {"FETCHED": 5, "NEW_CLUSTER": 2, "JOINED": 1, "DUPLICATE": 2, "FAILED_FEED": 2}
+
+
 def test_urls(spark):
     urls = ["https://www.Example.com/a/?utm_source=t&b=2&a=1#x", "https://example.com/a?a=1&b=2&fbclid=9", "HTTPS://example.com:443/a/?a=1&b=2", " not a url "]
     got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(text.canonical_url(F.col("u"))).collect()]
