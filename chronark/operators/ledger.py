@@ -166,13 +166,26 @@ def conform(responses: DataFrame, fields: list[Field], raw: str = "raw") -> Data
 
 
 def news_from_conformed(conformed: DataFrame, fallback: DataFrame, key: str = "seq") -> DataFrame:
-    """Analyses from conformed responses with their defaults; where there is an error, the fallback's with its own extractor name."""
+    """Analyses from conformed responses with their defaults; where there is an error, the fallback's with its own extractor name.
+
+    What the answer may leave out defaults: the event to OTHER, the horizon to DAYS, speculation to false, the summary to the item's own
+    (the fallback's ``summary``). Symbols become entity ids, unknown forms are dropped. ``summary``, ``time_horizon`` and ``entities`` are
+    returned if both tables have them.
+    """
     cols = ["event_type", "sentiment", "speculation", "materiality"]
+    cols += [c for c in ("summary", "time_horizon", "entities") if c in conformed.columns and c in fallback.columns]
     joined = conformed.join(fallback.select(key, *(F.col(c).alias(f"f_{c}") for c in cols)), key, "left")
     bad = F.col("error").isNotNull()
-    default = {"event_type": F.lit("OTHER"), "speculation": F.lit(False)}
-    pick = lambda c: F.when(bad, F.col(f"f_{c}")).otherwise(F.coalesce(c, default[c]) if c in default else F.col(c)).alias(c)
-    return joined.select(key, *map(pick, cols), F.when(bad, "heuristic").otherwise("model").alias("extractor"))
+    own = {c: F.col(c) for c in cols} | {
+        "event_type": F.coalesce("event_type", F.lit("OTHER")), "speculation": F.coalesce("speculation", F.lit(False)),
+    }
+    if "summary" in cols:
+        own["summary"] = F.coalesce("summary", "f_summary")
+    if "time_horizon" in cols:
+        own["time_horizon"] = F.coalesce("time_horizon", F.lit("DAYS"))
+    if "entities" in cols:
+        own["entities"] = text.entity_ids(F.coalesce("entities", F.array().cast("array<string>")), "ASSET:")
+    return joined.select(key, *(F.when(bad, F.col(f"f_{c}")).otherwise(own[c]).alias(c) for c in cols), F.when(bad, "heuristic").otherwise("model").alias("extractor"))
 
 
 def violation_report(conformed: DataFrame) -> DataFrame:

@@ -171,6 +171,18 @@ def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news.ingest_report(n.select("seq").join(new, "seq", "left").select(F.coalesce("outcome", F.lit("DUPLICATE")).alias("outcome")))
 
 
+@query("""SELECT concat('C', c_custkey) AS object_id, CAST(CASE WHEN c_custkey % 2 = 0 THEN c_acctbal * 2 ELSE c_acctbal END AS DOUBLE) AS balance FROM customer WHERE c_custkey % 5 <> 0""")
+def refresh_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even customers' balances doubled and every fifth was deleted; only these objects' rows of the projection are replaced."""
+    p = A.parties(spark, sf_dir).where("type = 'Customer'").select("object_id", "key", "name", F.col("balance").cast("double").alias("balance"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    c = A.table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), "c_custkey").alias("object_id"), F.col("c_acctbal").cast("double").alias("balance"))
+    before = c.where("true")
+    touched = p.where("key % 2 = 0 OR key % 5 = 0").select("object_id")
+    rebuilt = c.join(p.select("object_id", "key"), "object_id").select("object_id", (F.col("balance") * F.when(F.col("key") % 2 == 0, 2).otherwise(1)).alias("balance"))
+    objects = p.select("object_id", F.when(F.col("key") % 5 == 0, F.expr("timestamp '1999-01-01 00:00:00'")).alias("deleted_at"))
+    return qb.refresh(before, rebuilt, touched, objects).select("object_id", "balance")
+
+
 @query(f"WITH RECURSIVE {_HEADLINES}, {_clusters('t')}, c AS ({_COUNTED}) SELECT cluster_seq, source_count, last_at, title FROM c WHERE last_at >= epoch(TIMESTAMP '2026-01-02') - 48 * 3600 ORDER BY last_at DESC, cluster_seq LIMIT 20")
 def recent_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 20 clusters by latest publication of a day."""

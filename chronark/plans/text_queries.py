@@ -259,6 +259,32 @@ def conform_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "k", "kind", "flag", F.array_join(F.coalesce("tags", F.array().cast("array<string>")), ",").alias("tags"), F.array_join("clamped", ",").alias("clamped"), F.array_join("dropped", ",").alias("dropped"), "error")
 
 
+
+_ANSWER = [
+    ledger.Field("sentiment", "NUMBER", True, -1, 1), ledger.Field("materiality", "NUMBER", True, 0, 1), ledger.Field("event_type", "ENUM", values=(*news.EVENTS, "OTHER")), ledger.Field("time_horizon", "ENUM", values=("HOURS", "DAYS", "WEEKS", "MONTHS")),
+    ledger.Field("speculation", "BOOLEAN"), ledger.Field("summary", "TEXT"), ledger.Field("entities", "TEXT_LIST"),
+]
+
+
+@query(f"""WITH {_TOKENS}, a AS (SELECT t.seq, coalesce(tokens, []) AS tokens FROM t LEFT JOIN s USING (seq)), h AS (SELECT seq, {_HITS} FROM a),
+e AS (SELECT *, greatest(reg, mac, inc, lis, pro, fun, par) AS most, CASE WHEN p + n > 0 THEN (p - n) / (p + n) ELSE 0.0 END AS sentiment FROM h),
+y AS (SELECT *, CASE WHEN most = 0 THEN 'OTHER' WHEN reg = most THEN 'REGULATORY' WHEN mac = most THEN 'MACRO' WHEN inc = most THEN 'SECURITY_INCIDENT' WHEN lis = most THEN 'LISTING' WHEN pro = most THEN 'PROTOCOL' WHEN fun = most THEN 'FUNDING' ELSE 'PARTNERSHIP' END AS event_type FROM e),
+f AS (SELECT *, least(0.5, (CASE WHEN event_type IN ('REGULATORY', 'MACRO', 'SECURITY_INCIDENT') THEN 0.45 WHEN event_type IN ('PROTOCOL', 'LISTING') THEN 0.35 WHEN event_type = 'OTHER' THEN 0.15 ELSE 0.25 END + 0.1 * abs(sentiment)) * CASE WHEN speculation THEN 0.6 ELSE 1 END)::DOUBLE AS materiality, seq % 6 AS m FROM y)
+SELECT seq, CASE m WHEN 0 THEN 'MACRO' WHEN 3 THEN 'OTHER' ELSE event_type END AS event_type, round(CASE m WHEN 0 THEN 1 WHEN 3 THEN -0.5 ELSE sentiment END, 6) AS sentiment, round(CASE m WHEN 0 THEN 0.3 WHEN 3 THEN 0.9 ELSE materiality END, 6) AS materiality,
+  CASE WHEN m IN (0, 3) THEN m = 0 ELSE speculation END AS speculation, CASE m WHEN 0 THEN 'WEEKS' ELSE 'DAYS' END AS time_horizon, CASE m WHEN 0 THEN 'ASSET:BTC,ASSET:ETH' ELSE '' END AS entities,
+  sha256(CASE m WHEN 3 THEN 'Short.' ELSE substr(text, length({_FIRST}) + 1) END) AS summary, CASE WHEN m IN (0, 3) THEN 'model' ELSE 'heuristic' END AS extractor FROM f JOIN documents ON doc_id = seq""")
+def news_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers on every news item: a full one, a short one, one that lacks a number and one without JSON; the last two fall back on the words."""
+    n = A.news(spark, sf_dir)
+    m = F.col("seq") % 6
+    full = '{"sentiment": 2, "materiality": 0.3, "event_type": " macro ", "time_horizon": "weeks", "speculation": "TRUE", "entities": ["btc", "ASSET:eth", "bad symbol", "BTC"]}'
+    raw = F.when(m == 0, full).when(m == 3, '{"sentiment": -0.5, "materiality": "0.9", "event_type": "party", "summary": "Short."}').when(m % 3 == 1, '{"sentiment": 0.1}').otherwise("none")
+    answers = ledger.conform(n.select("seq", raw.alias("raw")), _ANSWER)
+    words = news.analyze(n).withColumn("time_horizon", F.lit("DAYS")).withColumn("entities", F.array().cast("array<string>"))
+    out = ledger.news_from_conformed(answers, words)
+    return out.select("seq", "event_type", F.round("sentiment", 6).alias("sentiment"), F.round("materiality", 6).alias("materiality"), "speculation", "time_horizon", F.array_join("entities", ",").alias("entities"), F.sha2("summary", 256).alias("summary"), "extractor")
+
+
 _LISTED = [
     ledger.Field("k", "INTEGER", True, 0, 50), ledger.Field("sure", "BOOLEAN"),
     ledger.Field("items", "OBJECT_LIST", True, fields=(ledger.Field("n", "NUMBER", True, 0, 100), ledger.Field("name", "TEXT"))),
