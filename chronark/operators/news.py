@@ -37,12 +37,12 @@ SPECULATIVE = ("could", "might", "rumor", "rumour", "reportedly", "speculation",
 
 
 def ensure_schema(catalog: Catalog) -> Catalog:
-    """``catalog`` with the types and links that articles and macro figures need, where they are missing."""
+    """``catalog`` with the types and links that articles and macro figures need, where they are missing; tone and weight of an article have bounds."""
     wanted = {
-        "Asset": [Property("name", is_title=True)],
+        "Asset": [Property("name", is_title=True), Property("symbol")],
         "NewsArticle": [
-            Property("title", is_title=True), Property("url"), Property("publishedAt", "TIMESTAMP"), Property("summary"), Property("eventType", "ENUM"), Property("timeHorizon", "ENUM"),
-            Property("sentiment", "DECIMAL"), Property("materiality", "DECIMAL"), Property("speculation", "BOOLEAN"), Property("sourceCount", "INTEGER"),
+            Property("title", is_title=True), Property("url"), Property("publishedAt", "TIMESTAMP"), Property("summary", "TEXT"), Property("eventType"), Property("timeHorizon"),
+            Property("sentiment", "DECIMAL", low=-1, high=1), Property("materiality", "DECIMAL", low=0, high=1), Property("speculation", "BOOLEAN"), Property("sourceCount", "INTEGER"),
         ],
         "MacroIndicator": [Property("title", is_title=True), Property("units")],
         "MacroObservation": [Property("label", is_title=True), Property("period", "DATE"), Property("value", "DECIMAL"), Property("revision", "BOOLEAN")],

@@ -40,6 +40,8 @@ class Property:
     order: int = 0
     since: int = 1
     deprecated_in: int | None = None
+    low: float | None = None
+    high: float | None = None
 
 
 @dataclass
@@ -140,6 +142,12 @@ class Catalog:
             rows.append((t, parent, t in self.abstract, self.versions.get(t, 1), [(p.name, p.data_type, p.is_list, p.required, p.since, p.deprecated_in) for p in shown]))
         return spark.createDataFrame(rows, kind)
 
+    def value_rules(self, spark: SparkSession) -> DataFrame:
+        """What ``bitemporal.validate_values`` asks of each type's own and inherited properties."""
+        kind = "type string, property string, data_type string, enum_values array<string>, min_length int, max_length int, pattern string, min_value double, max_value double"
+        rows = [(t, p.name, p.data_type, None, None, None, None, *(None if x is None else float(x) for x in (p.low, p.high))) for t in self.parents for p in self.properties(t).values()]
+        return spark.createDataFrame(rows, kind)
+
 
 @dataclass
 class Where:

@@ -171,6 +171,22 @@ def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news.ingest_report(n.select("seq").join(new, "seq", "left").select(F.coalesce("outcome", F.lit("DUPLICATE")).alias("outcome")))
 
 
+@query("""WITH v AS (SELECT doc_id, unnest(['sentiment', 'materiality', 'sourceCount', 'publishedAt', 'mood']) AS property FROM documents), r AS (SELECT doc_id, property, CASE property WHEN 'sentiment' THEN (doc_id % 31 - 15) / 10.0 WHEN 'materiality' THEN (doc_id % 23 - 4) / 10.0 END AS x FROM v)
+SELECT property, violation, count(*) AS n FROM (SELECT property, CASE WHEN property = 'mood' THEN 'UNKNOWN_PROPERTY' WHEN property = 'sourceCount' THEN CASE WHEN doc_id % 4 = 0 THEN 'TYPE' END WHEN property = 'publishedAt' THEN CASE WHEN doc_id % 5 = 0 THEN 'TYPE' END
+  WHEN x < CASE property WHEN 'sentiment' THEN -1 ELSE 0 END THEN 'MIN' WHEN x > 1 THEN 'MAX' END AS violation FROM r) WHERE violation IS NOT NULL GROUP BY 1, 2""")
+def news_value_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of articles against the news schema: bounds of tone and weight, numbers, times, and a property that it doesn't have."""
+    rules = news.ensure_schema(qb.Catalog({}, {})).value_rules(spark)
+    d, k = A.table(spark, sf_dir, "documents"), F.col("doc_id")
+    raws = {
+        "sentiment": ((k % 31 - 15) / 10).cast("string"), "materiality": ((k % 23 - 4) / 10).cast("string"), "sourceCount": F.when(k % 4 == 0, "1.5").otherwise("3"),
+        "publishedAt": F.when(k % 5 == 0, "soon").otherwise("2026-01-01T00:00:00Z"), "mood": F.lit("calm"),
+    }
+    each = F.explode(F.array(*(F.struct(F.lit(p).alias("property"), raw.alias("raw")) for p, raw in raws.items()))).alias("v")
+    found = bt.validate_values(d.select(F.lit("NewsArticle").alias("type"), each).select("type", "v.property", "v.raw"), rules)
+    return found.select("property", F.explode("violations").alias("violation")).groupBy("property", "violation").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""SELECT concat('C', c_custkey) AS object_id, CAST(CASE WHEN c_custkey % 2 = 0 THEN c_acctbal * 2 ELSE c_acctbal END AS DOUBLE) AS balance FROM customer WHERE c_custkey % 5 <> 0""")
 def refresh_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even customers' balances doubled and every fifth was deleted; only these objects' rows of the projection are replaced."""

@@ -160,7 +160,7 @@ def test_catalog_grows_by_versions(spark):
     c.define_property("Coin", qb.Property("supply", "DECIMAL"))
     c.deprecate("Coin", "supply")
     spec = {r.type: r for r in c.specs(spark).collect()}
-    assert spec["Coin"].version == 3 and [(p.name, p.deprecated_in) for p in spec["Coin"].properties] == [("name", None), ("supply", 3)]
+    assert spec["Coin"].version == 3 and [(p.name, p.deprecated_in) for p in spec["Coin"].properties] == [("name", None), ("supply", 3), ("symbol", None)]
     for bad in (lambda: c.define_type("coin"), lambda: c.define_type("Coin"), lambda: c.define_property("Coin", qb.Property("Bad")), lambda: c.define_property("Coin", qb.Property("must", required=True), populated=True), lambda: c.define_link(qb.Link("bad", "Coin", "Asset"))):
         with pytest.raises(qb.SchemaViolation):
             bad()
