@@ -84,14 +84,14 @@ def test_clusters_with_late_items_equal_a_plain_fold(spark, seed, monkeypatch):
     monkeypatch.setattr(similarity, "SLICE", 3)
     rng = random.Random(seed + 10)
     rows, at = [], 0
-    for seq in range(90):
+    for seq in range(60):
         at += rng.choice([10_000, 30_000, 60_000])
         base = rng.randrange(3)
         tokens = sorted({f"s{base}{k}" for k in range(8)} - {f"s{base}{rng.randrange(8)}"} | ({f"x{rng.randrange(40)}"} if rng.random() < 0.5 else set()))
         rows.append((seq, tokens, at - rng.choice([0, 0, 0, 0, 200_000, 900_000])))
     df = spark.createDataFrame(rows, "seq long, tokens array<string>, at long").select("seq", "tokens", F.timestamp_seconds("at").alias("published_at"))
-    got = {r.seq: r.cluster_seq for r in news.cluster(df.repartition(3), hours=48).collect()}
-    assert got == plain_clusters([(s, frozenset(t), at) for s, t, at in rows], hours=48)
+    got = {r.seq: r.cluster_seq for r in news.cluster(df.repartition(3), hours=250).collect()}
+    assert got == plain_clusters([(s, frozenset(t), at) for s, t, at in rows], hours=250)
     assert len(set(got.values())) > 2
 
 
