@@ -7,6 +7,7 @@ is monotone take windows only; others go through a fold of their own rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -19,6 +20,8 @@ from chronark.operators import graph, ordered, temporal
 
 KEY = ["object_id", "property", "ordinal"]
 STATE = [*KEY, "value", "valid_from", "valid_to", "recorded_at", "retracted_at"]
+#: Later than any end, and still a pandas time in nanoseconds.
+_FAR = pd.Timestamp("2262-01-01")
 
 
 # reads
@@ -134,51 +137,89 @@ def monotone(assertions: DataFrame) -> DataFrame:
     return out if "old" in assertions.columns else out.drop("old")
 
 
-def _apply(rows: list[dict], assertions: list[dict]) -> tuple[list[dict], list[dict], list[dict]]:
-    """One key's rows after its assertions (op set, close or retract), what was rejected, and what changed."""
-    rejects, log = [], []
-    far = pd.Timestamp("2262-01-01")
-    end = lambda r: far if r["valid_to"] is None else r["valid_to"]
-    for a in assertions:
-        live = [r for r in rows if r["retracted_at"] is None]
-        opened = [r for r in live if r["valid_to"] is None]
+class _Values:
+    """One key's rows, as its assertions (op set, close or retract) come one after another.
+
+    Retracted rows can't change any more and go out at once; live ones are held in order of their start. They don't overlap, unless the
+    state came so (``crossed``), so a write looks at the rows next to its own time, not at the key's whole history.
+    """
+
+    def __init__(self):
+        self.starts: list = []
+        self.rows: list[dict] = []
+        self.crossed = False
+
+    @staticmethod
+    def _end(r: dict) -> pd.Timestamp:
+        return _FAR if r["valid_to"] is None else r["valid_to"]
+
+    def _hold(self, r: dict) -> None:
+        at = bisect_right(self.starts, r["valid_from"])
+        beside = self.rows[max(at - 1, 0) : at + 1]
+        self.crossed |= r["valid_from"] >= self._end(r) or any(x["valid_from"] < self._end(r) and r["valid_from"] < self._end(x) for x in beside)
+        self.starts.insert(at, r["valid_from"])
+        self.rows.insert(at, r)
+
+    def _drop_retracted(self, near: list[dict]) -> list[tuple]:
+        gone = [r for r in near if r["retracted_at"] is not None]
+        for r in gone:
+            at = bisect_left(self.starts, r["valid_from"])
+            while self.rows[at] is not r:
+                at += 1
+            del self.starts[at], self.rows[at]
+        return [self._out(r, "state", None) for r in gone]
+
+    def put(self, a: dict) -> list[tuple]:
+        if a["op"] is None:  # a row of the state
+            row = a | {"seq": None}
+            if row["retracted_at"] is not None:
+                return [self._out(row, "state", None)]
+            self._hold(row)
+            return []
         start, until, at = a["valid_from"], a["valid_to"], a["recorded_at"]
+        opened = [r for r in (self.rows if self.crossed else self.rows[-1:]) if r["valid_to"] is None]
         if a["op"] == "retract":
             for r in opened:
                 r["retracted_at"] = at
-            log += [("RETRACT_PROPERTY", a)] * bool(opened)
-            continue
+            return self._drop_retracted(opened) + [self._out(a, "log", "RETRACT_PROPERTY")] * bool(opened)
         if a["op"] == "close":
             hit = [r for r in opened if r["valid_from"] < until]
             for r in hit:
                 r["valid_to"] = until
-            log += [("CLOSE_PROPERTY", a)] * bool(hit)
-            continue
+            return [self._out(a, "log", "CLOSE_PROPERTY")] * bool(hit)
         if len(opened) == 1 and opened[0]["value"] == a["value"] and until is None:
-            continue
-        undo = [(r, r["valid_to"], r["retracted_at"]) for r in live]
+            return []
+        i = bisect_right(self.starts, start)
+        near = list(self.rows) if self.crossed else self.rows[max(i - 1, 0) : i + 1]
+        undo = [(r, r["valid_to"]) for r in near]
         if until is None:
-            for r in live:
-                if r["valid_from"] < start < end(r):
+            for r in near:
+                if r["valid_from"] < start < self._end(r):
                     r["valid_to"] = start
                 elif r["valid_to"] is None and r["valid_from"] == start:
                     r["retracted_at"] = at
-        stop = far if until is None else until
-        if any(r["retracted_at"] is None and r["valid_from"] < stop and start < end(r) for r in live) or start >= stop:
-            for r, to, gone in undo:
-                r["valid_to"], r["retracted_at"] = to, gone
-            rejects.append(("TEMPORAL_CONFLICT", a))
-            continue
-        rows.append({"value": a["value"], "valid_from": start, "valid_to": until, "recorded_at": at, "retracted_at": None})
-        log.append(("SET_PROPERTY", a))
-    return rows, rejects, log
+        stop = _FAR if until is None else until
+        if start >= stop or any(r["retracted_at"] is None and r["valid_from"] < stop and start < self._end(r) for r in near):
+            for r, to in undo:
+                r["valid_to"], r["retracted_at"] = to, None
+            return [self._out(a, "reject", "TEMPORAL_CONFLICT")]
+        out = self._drop_retracted(near)
+        self._hold(a | {"retracted_at": None})
+        return [*out, self._out(a, "log", "SET_PROPERTY")]
+
+    def end(self) -> list[tuple]:
+        return [self._out(r, "state", None) for r in self.rows]
+
+    @staticmethod
+    def _out(r: dict, kind: str, reason: str | None) -> tuple:
+        return (*(r.get(c) for c in STATE), r["seq"], kind, reason)
 
 
 def apply_assertions(state: DataFrame, assertions: DataFrame) -> Applied:
     """Bulk change application: assertions (KEY, value, op, valid_from, valid_to, recorded_at, seq) onto ``state``.
 
     Only keys with assertions are touched. Keys whose assertions are plain open-ended sets in order, that start empty or with one
-    open row before them, take the window form; the rest are folded, one key a group, once.
+    open row before them, take the window form; the rest are folded, a key's rows streaming through one task.
     """
     a = assertions.select(*KEY, "value", "op", "valid_from", "valid_to", "recorded_at", "seq")
     touched = a.select(*KEY).distinct()
@@ -198,23 +239,9 @@ def apply_assertions(state: DataFrame, assertions: DataFrame) -> Applied:
     old = old.join(special, KEY, "left_semi")
     both = old.select(*STATE, F.lit(None).cast("string").alias("op"), F.lit(None).cast("long").alias("seq")).unionByName(a.join(special, KEY, "left_semi"), allowMissingColumns=True)
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.astype(object).where(pdf.notna(), None)
-        records = pdf.to_dict("records")
-        names = ("value", "valid_from", "valid_to", "recorded_at", "retracted_at")
-        rows, rejects, log = _apply([{n: r[n] for n in names} for r in records if r["op"] is None], sorted((r for r in records if r["op"] is not None), key=lambda r: (r["recorded_at"], r["seq"])))
-        out = [{**r, "kind": "state", "reason": None, "seq": None} for r in rows]
-        out += [{n: x[n] for n in names} | {"kind": kind, "reason": reason, "seq": x["seq"]} for kind, part in (("reject", rejects), ("log", log)) for reason, x in part]
-        made = pd.DataFrame(out, columns=[*names, "kind", "reason", "seq"])
-        for c in ("valid_from", "valid_to", "recorded_at", "retracted_at"):
-            made[c] = pd.to_datetime(made[c])
-        for n, v in zip(KEY, key, strict=True):
-            made[n] = v
-        return made
-
     kinds = dict(state.dtypes)
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in STATE), "kind string", "reason string", "seq long"])
-    folded = graph.cut(both.groupBy(*KEY).applyInPandas(fold, schema))
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in STATE), "seq long", "kind string", "reason string"])
+    folded = graph.cut(ordered.fold(both, KEY, [F.col("op").isNotNull(), "recorded_at", "seq", "valid_from", "value"], _Values, schema))
     log = folded.where("kind = 'log'").select(*KEY, "value", "valid_from", "recorded_at", "seq", F.col("reason").alias("op"))
     log = log.unionByName(made.where("NOT old").select(*KEY, "value", "valid_from", "recorded_at", F.lit(None).cast("long").alias("seq"), F.lit("SET_PROPERTY").alias("op")))
     return Applied(untouched.unionByName(plain).unionByName(folded.where("kind = 'state'").select(*STATE)), folded.where("kind = 'reject'").select(*KEY, "value", "valid_from", "valid_to", "recorded_at", "seq", "reason"), log)
