@@ -7,7 +7,10 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from datetime import datetime
+from decimal import Decimal
 from typing import Any
+from uuid import UUID
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -171,12 +174,19 @@ class Query:
 
 
 def literal(value: Any, data_type: str) -> Column:
-    if data_type in _SPARK:
-        try:
-            return F.lit(str(value) if data_type in ("DECIMAL", "INTEGER") else value).cast(_SPARK[data_type])
-        except Exception as e:
-            raise SchemaViolation(str(e)) from e
-    return F.lit(value)
+    """A value as a constant of a property's type, from text too; what isn't of that type is refused before any plan."""
+    try:
+        if data_type in ("DECIMAL", "INTEGER"):
+            return F.lit(str(Decimal(str(value)))).cast(_SPARK[data_type])
+        if data_type == "BOOLEAN":
+            return F.lit(value if isinstance(value, bool) else str(value).lower() == "true")
+        if data_type in ("TIMESTAMP", "DATE") and isinstance(value, str):
+            return F.lit(datetime.fromisoformat(value).isoformat()).cast("timestamp")
+        if data_type == "REFERENCE":
+            return F.lit(str(UUID(str(value))))
+    except (ValueError, ArithmeticError) as e:
+        raise SchemaViolation(f"{value} is no {data_type}") from e
+    return F.lit(value).cast(_SPARK[data_type]) if data_type in _SPARK else F.lit(value)
 
 
 def check(q: Query, catalog: Catalog) -> None:
@@ -197,6 +207,28 @@ def check(q: Query, catalog: Catalog) -> None:
             catalog.property(q.type, name)
 
 
+def violations(requests: DataFrame, catalog: Catalog) -> DataFrame:
+    """Conditions (type, field, op, values) with what ``check`` says of each as ``reason``, null if it may run.
+
+    ``values`` is an array of text: no array, or a null in its first place, is no value, and IN needs one at least. Null names are unknown ones.
+    """
+    rows = [(t, p.name, p.data_type, p.is_list) for t in catalog.parents for p in catalog.properties(t).values()]
+    known = requests.sparkSession.createDataFrame(rows, "type string, field string, __kind string, __list boolean")
+    op, kind, shown = F.coalesce("op", F.lit("null")), F.col("__kind"), lambda c: F.coalesce(F.col(c), F.lit("null"))
+    absent = F.when(op == "IN", F.coalesce(F.size("values"), F.lit(0)) <= 0).otherwise(F.try_element_at("values", F.lit(1)).isNull())
+    wrong = op.isin("GT", "GTE", "LT", "LTE") & ~kind.isin(*sorted(ORDERED)) | op.isin("CONTAINS", "STARTS_WITH") & ~kind.isin(*sorted(TEXT))
+    reason = (
+        F.when(~F.coalesce(F.col("type").isin(*catalog.parents), F.lit(False)), F.concat(F.lit("type "), shown("type")))
+        .when(kind.isNull(), F.concat(F.lit("field "), "type", F.lit("."), shown("field")))
+        .when(~op.isin(*OPERATORS), F.concat(F.lit("operator "), op))
+        .when(~op.isin("IS_NULL", "IS_NOT_NULL") & absent, F.concat(op, F.lit(" needs a value")))
+        .when(F.col("__list") & ~op.isin("EQ", "CONTAINS", "IS_NULL", "IS_NOT_NULL"), F.concat(op, F.lit(" on a list")))
+        .when(~F.col("__list") & wrong, F.concat(op, F.lit(" on "), kind))
+    )
+    # the schema is the driver's own: a row for each property of each type
+    return requests.join(F.broadcast(known), ["type", "field"], "left").withColumn("reason", reason).drop("__kind", "__list")
+
+
 def test(c: Column, op: str, value: Any, data_type: str, null_is_different: bool = True) -> Column:
     """One condition on a typed column. ``null_is_different``: NEQ holds for an absent value."""
     if op == "IN":

@@ -12,11 +12,12 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronark.operators import ordered
+
 ENTER_TREND, STAY_TREND = 0.15, 0.08
 ENTER_HIGH, LEAVE_HIGH, ENTER_LOW, LEAVE_LOW = 80.0, 60.0, 20.0, 40.0
 UNKNOWN = "UNKNOWN"
@@ -128,11 +129,28 @@ def regimes(rows: DataFrame) -> DataFrame:
     return rows.drop("__blind", "__fast", "__slow", "__sure", "__lean", "__level", "__near")
 
 
+class _Reviews:
+    """Times of a span's rows that are due for review, each at least ``REVIEW_S`` after the one before or after the span's anchor."""
+
+    def __init__(self):
+        self.last = None
+
+    def put(self, r: dict) -> list[tuple]:
+        last = r["anchor"] if self.last is None else self.last
+        if last is not None and r["at"] - last < REVIEW_S:
+            return []
+        self.last = r["at"]
+        return [(r["instrument_id"], int(r["at"]))]
+
+    def end(self) -> list[tuple]:
+        return []
+
+
 def replay(rows: DataFrame) -> DataFrame:
     """(instrument_id, as_of, trend, volatility, strength, regime_changed, is_open, reasons): the gate walked over every row.
 
     Rules and regime are windows. A row with any such reason opens a round whatever came before, so reviews, which depend on
-    the round before, are picked in each span between two such rows for itself.
+    the round before, are picked in each span between two such rows for itself, whose rows stream through one task.
     """
     fired = F.array_compact(F.array(*(F.when(m.isNotNull(), F.struct(F.lit(t).alias("type"), m.cast("double").alias("magnitude"))) for t, m in stateless_reasons().items())))
     out = regimes(rows.withColumn("reasons", fired).select("instrument_id", "as_of", F.unix_seconds("as_of").alias("at"), *STATE))
@@ -143,16 +161,8 @@ def replay(rows: DataFrame) -> DataFrame:
     out = out.withColumns({"span": F.count_if("certain").over(upto), "anchor": F.max(F.when(F.col("certain"), F.col("at"))).over(upto)})
     waiting = out.where(F.col("has_open_position") & ~F.col("certain") & (F.col("anchor").isNull() | (F.col("at") - F.col("anchor") >= REVIEW_S)))
 
-    def picked(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, keep = pdf["anchor"].iloc[0], []
-        for at in pdf["at"].sort_values():
-            if last is None or math.isnan(last) or at - last >= REVIEW_S:
-                keep.append(at)
-                last = at
-        return pd.DataFrame({"instrument_id": pdf["instrument_id"].iloc[0], "at": keep})
-
     kind = dict(rows.dtypes)["instrument_id"]
-    reviews = waiting.select("instrument_id", "span", "anchor", "at").groupBy("instrument_id", "span").applyInPandas(picked, f"instrument_id {kind}, at long")
+    reviews = ordered.fold(waiting.select("instrument_id", "span", "anchor", "at"), ["instrument_id", "span"], ["at"], _Reviews, f"instrument_id {kind}, at long")
     out = out.join(reviews.withColumn("reviewed", F.lit(True)), ["instrument_id", "at"], "left")
     before = F.max(F.when(F.col("certain") | F.col("reviewed"), F.col("at"))).over(w.rowsBetween(W.unboundedPreceding, -1))
     out = out.withColumn("before", before)

@@ -79,12 +79,27 @@ def set_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(bt.apply_assertions(none, a).state, "object_id", "value", "valid_from", "valid_to", "retracted_at")
 
 
-@query()
+_PRICE = "STRUCT(v DOUBLE, f BIGINT, t BIGINT, r BIGINT)"
+
+
+@query(f"""WITH RECURSIVE {_ASSERTED}, w AS (SELECT object_id AS k, row_number() OVER (PARTITION BY object_id ORDER BY recorded_at, seq) AS n, seq AS q, CAST(epoch(recorded_at) AS BIGINT) AS at_s, CAST(epoch(valid_from) AS BIGINT) AS s, CAST(value AS DOUBLE) AS p FROM a),
+o AS (SELECT object_id AS k, list(CAST({{'v': CAST(value AS DOUBLE), 'f': CAST(epoch(valid_from) AS BIGINT), 't': CAST(epoch(valid_to) AS BIGINT), 'r': CAST(epoch(retracted_at) AS BIGINT)}} AS {_PRICE})) AS rows FROM v WHERE object_id % 5 = 0 GROUP BY 1),
+s AS (SELECT k, CAST(0 AS BIGINT) AS n, coalesce(rows, CAST([] AS {_PRICE}[])) AS rows, CAST([] AS BIGINT[]) AS refused FROM (SELECT DISTINCT k FROM w) LEFT JOIN o USING (k)
+  UNION ALL
+  SELECT k, n, CASE WHEN same OR clash THEN rows ELSE list_append(after, CAST({{'v': p, 'f': s, 't': NULL, 'r': NULL}} AS {_PRICE})) END, CASE WHEN NOT same AND clash THEN list_append(refused, q) ELSE refused END
+  FROM (SELECT *, len(list_filter(after, lambda x: x.r IS NULL AND (x.t IS NULL OR x.t > s))) > 0 AS clash
+    FROM (SELECT *, len(opened) = 1 AND coalesce(opened[1].v = p, false) AS same,
+        list_transform(rows, lambda x: CASE WHEN x.r IS NULL AND x.f < s AND (x.t IS NULL OR x.t > s) THEN CAST({{'v': x.v, 'f': x.f, 't': s, 'r': NULL}} AS {_PRICE}) WHEN x.r IS NULL AND x.f = s AND x.t IS NULL THEN CAST({{'v': x.v, 'f': x.f, 't': NULL, 'r': at_s}} AS {_PRICE}) ELSE x END) AS after
+      FROM (SELECT s.k, w.n, rows, refused, w.q, w.s, w.p, w.at_s, list_filter(rows, lambda x: x.r IS NULL AND x.t IS NULL) AS opened FROM s JOIN w ON w.k = s.k AND w.n = s.n + 1)))),
+done AS (SELECT k, arg_max(rows, n) AS rows, arg_max(refused, n) AS refused FROM s GROUP BY k)
+SELECT k AS object_id, x.v AS value, x.f AS valid_from, x.t AS valid_to, x.r AS retracted_at, CAST(NULL AS VARCHAR) AS reason FROM (SELECT k, unnest(rows) AS x FROM done)
+UNION ALL SELECT k, p, s, NULL, NULL, 'TEMPORAL_CONFLICT' FROM done JOIN w USING (k) WHERE list_contains(refused, q)""")
 def set_properties_unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bulk apply where records arrive late: out-of-order keys are folded, conflicts named."""
     done = bt.apply_assertions(A.price_values(spark, sf_dir).where("object_id % 5 = 0").select(*bt.STATE), A.price_assertions(spark, sf_dir))
-    state = done.state.select("object_id", "value", "valid_from", F.lit(None).cast("string").alias("reason"))
-    return _out(state.unionByName(done.rejects.select("object_id", "value", "valid_from", "reason")), "object_id", "value", "valid_from", "reason")
+    state = done.state.select("object_id", "value", "valid_from", "valid_to", "retracted_at", F.lit(None).cast("string").alias("reason"))
+    refused = done.rejects.select("object_id", "value", "valid_from", "reason")
+    return _out(state.unionByName(refused, allowMissingColumns=True), "object_id", "value", "valid_from", "valid_to", "retracted_at", "reason")
 
 
 @query(f"""WITH {_ASSERTED} SELECT object_id, CAST(value AS DOUBLE) AS value, CAST(epoch(CASE WHEN valid_to IS NULL AND retracted_at IS NULL AND object_id % 2 = 0 AND valid_from < {T} THEN {T} ELSE valid_to END) AS BIGINT) AS valid_to,

@@ -334,12 +334,24 @@ def decode_klines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("instrument_id").alias("body"), F.unix_millis("open_time").alias("open_ms"), F.round(F.col("close").cast("double"), 2).alias("close"), F.col("trade_count").cast("long").alias("trade_count"), "is_final")
 
 
-@query("""SELECT count(*) FILTER (WHERE p_size % 2 = 0) AS bools, count(*) AS numbers, count(*) FILTER (WHERE p_size % 2 = 1) AS bad FROM part""")
+@query("""WITH r AS (SELECT p_partkey, unnest([{'t': 'BOOLEAN', 'raw': CASE p_size % 4 WHEN 0 THEN 'true' WHEN 1 THEN 'FALSE' WHEN 2 THEN 'yes' END}, {'t': 'DECIMAL', 'raw': CASE WHEN p_size % 3 = 0 THEN concat(p_size, '.') ELSE concat(p_size, '.250') END},
+  {'t': 'INTEGER', 'raw': CASE WHEN p_size % 5 = 0 THEN p_brand ELSE CAST(p_size AS VARCHAR) END}, {'t': 'DATE', 'raw': CASE WHEN p_size % 2 = 0 THEN '2026-01-05' ELSE '2026-02-06T10:20:30Z' END}, {'t': 'TIMESTAMP', 'raw': CASE WHEN p_size % 3 = 0 THEN 'today' ELSE '2026-02-06T10:20:30Z' END},
+  {'t': 'STRING', 'raw': p_brand}, {'t': 'REFERENCE', 'raw': CASE WHEN p_size % 2 = 0 THEN '0000000A-0000-4000-8000-00000000000b' ELSE p_brand END}, {'t': 'JSON', 'raw': CASE WHEN p_size % 2 = 0 THEN '{"n": 1}' ELSE '{"n": ' END}], recursive := true) FROM part)
+SELECT p_partkey, t AS data_type, raw, CASE WHEN t = 'STRING' THEN raw END AS value_text, CASE WHEN t IN ('DECIMAL', 'INTEGER') THEN TRY_CAST(raw AS DOUBLE) END AS value_numeric, CASE WHEN t = 'BOOLEAN' AND lower(raw) IN ('true', 'false') THEN lower(raw) = 'true' END AS value_bool,
+  CAST(CASE WHEN t = 'DATE' THEN epoch(CAST(left(raw, 10) AS DATE)) WHEN t = 'TIMESTAMP' AND raw <> 'today' THEN epoch(TIMESTAMP '2026-02-06 10:20:30') END AS BIGINT) AS value_ts, CASE WHEN t = 'REFERENCE' AND length(raw) = 36 THEN raw END AS value_ref, CASE WHEN t = 'JSON' AND json_valid(raw) THEN raw END AS value_json,
+  CASE WHEN raw IS NULL THEN 'NULL' WHEN t = 'BOOLEAN' AND lower(raw) NOT IN ('true', 'false') OR t = 'INTEGER' AND TRY_CAST(raw AS DOUBLE) IS NULL OR t = 'TIMESTAMP' AND raw = 'today' OR t = 'REFERENCE' AND length(raw) <> 36 OR t = 'JSON' AND NOT json_valid(raw) THEN 'NOT_A_VALUE' END AS reason FROM r""")
 def value_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = A.table(spark, sf_dir, "part")
-    each = F.explode(F.array(F.struct(F.lit("BOOLEAN").alias("data_type"), F.when(F.col("p_size") % 2 == 0, "true").otherwise("yes").alias("raw")), F.struct(F.lit("DECIMAL").alias("data_type"), F.col("p_retailprice").cast("string").alias("raw")))).alias("v")
-    out = decode.values(p.select(each).select("v.*"))
-    return out.agg(F.count("value_bool").alias("bools"), F.count("value_numeric").alias("numbers"), F.count_if(F.col("reason") == "NOT_A_VALUE").alias("bad"))
+    """Every part as eight raw values, one a type, some of them null or not of their type: the value or the reason of each."""
+    n, brand = F.col("p_size"), F.col("p_brand")
+    at = "2026-02-06T10:20:30Z"
+    raw = {
+        "BOOLEAN": F.when(n % 4 == 0, "true").when(n % 4 == 1, "FALSE").when(n % 4 == 2, "yes"), "DECIMAL": F.concat(n.cast("string"), F.when(n % 3 == 0, ".").otherwise(".250")), "INTEGER": F.when(n % 5 == 0, brand).otherwise(n.cast("string")),
+        "DATE": F.when(n % 2 == 0, "2026-01-05").otherwise(at), "TIMESTAMP": F.when(n % 3 == 0, "today").otherwise(at), "STRING": brand,
+        "REFERENCE": F.when(n % 2 == 0, "0000000A-0000-4000-8000-00000000000b").otherwise(brand), "JSON": F.when(n % 2 == 0, '{"n": 1}').otherwise('{"n": '),
+    }
+    each = F.explode(F.array(*(F.struct(F.lit(t).alias("data_type"), v.alias("raw")) for t, v in raw.items())))
+    out = decode.values(A.table(spark, sf_dir, "part").select("p_partkey", each.alias("v")).select("p_partkey", "v.*"))
+    return out.withColumns({"value_numeric": F.col("value_numeric").cast("double"), "value_ts": F.unix_seconds("value_ts")})
 
 
 @query("SELECT page_id, concat('Page & ', page_id) AS title, url, sha256(trim(html)) AS body FROM pages WHERE page_id % 9 <> 0 AND trim(html) <> ''")
@@ -365,11 +377,14 @@ def advance_watermarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.join(progress.advance_cursors(e, ["user_id"]).select("user_id", F.col("progress").alias("cursor")), "user_id")
 
 
-@query("SELECT s_suppkey % 100 AS k, count(*) FILTER (WHERE s_suppkey % 3 = 0) AS found FROM supplier GROUP BY 1 HAVING count(*) FILTER (WHERE s_suppkey % 3 = 0) > 0")
+@query("""SELECT s_suppkey, lower(s_name) AS symbol, 'FOUND' AS status FROM supplier WHERE s_suppkey % 3 = 0
+UNION ALL SELECT NULL, concat('NONE', s_suppkey), 'NOT_FOUND' FROM supplier WHERE s_suppkey % 7 = 0""")
 def select_configured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = A.table(spark, sf_dir, "supplier").select("s_suppkey", F.lower("s_name").alias("symbol"))
-    found, _ = B.select_configured(s, A.table(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(F.col("s_name").alias("symbol")))
-    return found.groupBy((F.col("s_suppkey") % 100).alias("k")).agg(F.count(F.lit(1)).alias("found"))
+    """Suppliers whose name is configured, in whatever case, and configured names that no supplier has."""
+    s = A.table(spark, sf_dir, "supplier")
+    configured = s.where("s_suppkey % 3 = 0").select(F.col("s_name").alias("symbol")).unionByName(s.where("s_suppkey % 7 = 0").select(F.concat(F.lit("none"), "s_suppkey").alias("symbol")))
+    found, missing = B.select_configured(s.select("s_suppkey", F.lower("s_name").alias("symbol")), configured)
+    return found.withColumn("status", F.lit("FOUND")).unionByName(missing.withColumn("status", F.lit("NOT_FOUND")), allowMissingColumns=True)
 
 
 @query("""WITH r AS (SELECT ((doc_id * 37) % 100) / 100.0 AS c, CAST(quality AS DOUBLE) AS h FROM labels), p AS (SELECT c, h, least(greatest(c, 1e-6), 1 - 1e-6) AS q, CAST(least(9, floor(c * 10)) AS INTEGER) AS bucket FROM r)

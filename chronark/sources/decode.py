@@ -85,8 +85,8 @@ def values(rows: DataFrame) -> DataFrame:
     day = F.coalesce(raw.try_cast("date"), F.to_date(raw.try_cast("timestamp"))).cast("timestamp")
     typed = {
         "value_text": F.when(kind.isin("STRING", "TEXT", "ENUM"), raw), "value_numeric": F.when(kind.isin("DECIMAL", "INTEGER"), raw.try_cast("decimal(38,12)")),
-        "value_bool": F.when(kind == "BOOLEAN", F.when(raw == "true", True).when(raw == "false", False)), "value_ts": F.when(kind == "TIMESTAMP", raw.try_cast("timestamp")).when(kind == "DATE", day),
-        "value_ref": F.when((kind == "REFERENCE") & raw.rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), raw), "value_json": F.when((kind == "JSON") & F.try_parse_json(raw).isNotNull(), raw),
+        "value_bool": F.when(kind == "BOOLEAN", F.when(F.lower(raw) == "true", True).when(F.lower(raw) == "false", False)), "value_ts": F.when(kind == "TIMESTAMP", raw.try_cast("timestamp")).when(kind == "DATE", day),
+        "value_ref": F.when((kind == "REFERENCE") & raw.rlike("(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), raw), "value_json": F.when((kind == "JSON") & F.try_parse_json(raw).isNotNull(), raw),
     }
     out = rows.withColumns(typed)
     return out.withColumn("reason", F.when(raw.isNull(), "NULL").when(F.coalesce(*(F.col(c).cast("string") for c in typed)).isNull(), "NOT_A_VALUE"))

@@ -274,3 +274,33 @@ def test_unlinking_before_the_start_does_nothing(spark):
     ends = lambda *until: spark.createDataFrame([("L", "a", "x", d(u)) for u in until], "link_type string, from_id string, to_id string, until timestamp")
     assert bt.unlink_objects(links, ends("2026-02-01")).first().valid_to is None
     assert bt.unlink_objects(links, ends("2026-01-01", "2026-04-01", "2026-03-01")).first().valid_to == d("2026-03-01")
+
+
+def test_conditions_are_checked_alike_in_bulk_and_alone(spark):
+    c = qb.Catalog({}, {})
+    c.define_type("Thing")
+    c.define_type("Tool", "Thing")
+    for p in (qb.Property("name"), qb.Property("price", "DECIMAL"), qb.Property("marks", is_list=True), qb.Property("sold", "BOOLEAN")):
+        c.define_property("Thing", p)
+    values = [None, [], [None], ["1"]]
+    asked = [(t, f, o, v) for t in ("Tool", "None") for f in ("name", "price", "marks", "sold", "other") for o in (*qb.OPERATORS, "LIKE") for v in values]
+
+    def alone(t, f, o, v):
+        value = v if o == "IN" else v[0] if v else None
+        try:
+            qb.check(qb.Query(t, [qb.Where(f, o, value)]), c)
+        except ValueError as e:
+            return str(e)
+
+    requests = spark.createDataFrame([*asked, (None, "name", "EQ", ["1"]), ("Tool", None, "EQ", ["1"])], "type string, field string, op string, values array<string>")
+    got = {(r.type, r.field, r.op, str(r["values"])): r.reason for r in qb.violations(requests, c).collect()}
+    assert got[(None, "name", "EQ", "['1']")] == "type null" and got[("Tool", None, "EQ", "['1']")] == "field Tool.null"
+    assert {(t, f, o, str(v)): alone(t, f, o, v) for t, f, o, v in asked}.items() <= got.items()
+
+
+def test_literals_of_the_wrong_type_are_refused_before_any_plan(spark):
+    for value, kind in (("ten", "DECIMAL"), ("1,5", "INTEGER"), ("soon", "DATE"), ("x", "REFERENCE")):
+        with pytest.raises(qb.SchemaViolation):
+            qb.literal(value, kind)
+    one = spark.range(1).select(qb.literal("1.50", "DECIMAL").alias("a"), qb.literal("True", "BOOLEAN").alias("b"), qb.literal("yes", "BOOLEAN").alias("c"), qb.literal("2026-01-05", "DATE").alias("d"), qb.literal(7, "INTEGER").alias("e")).first()
+    assert (float(one.a), one.b, one.c, one.d, int(one.e)) == (1.5, True, False, d("2026-01-05"), 7)
