@@ -354,18 +354,23 @@ def value_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"value_numeric": F.col("value_numeric").cast("double"), "value_ts": F.unix_seconds("value_ts")})
 
 
-@query("SELECT page_id, concat('Page & ', page_id) AS title, url, sha256(trim(html)) AS body FROM pages WHERE page_id % 9 <> 0 AND trim(html) <> ''")
+@query("""WITH p AS (SELECT page_id, url, html, CASE WHEN page_id % 9 = 0 THEN 'DOCTYPE' WHEN page_id % 11 = 5 THEN 'BAD_XML' WHEN page_id % 2 = 1 AND page_id % 13 = 7 THEN 'NO_URL_OR_TITLE' END AS reason FROM pages WHERE trim(html) <> '')
+SELECT page_id, CASE WHEN reason IS NULL OR reason = 'NO_URL_OR_TITLE' THEN concat('Page & ', page_id) END AS title, CASE WHEN reason IS NULL THEN url END AS url, CASE WHEN reason IS NULL OR reason = 'NO_URL_OR_TITLE' THEN sha256(trim(html)) END AS body,
+  CAST(epoch(CASE WHEN reason IN ('DOCTYPE', 'BAD_XML') OR page_id % 2 = 0 AND page_id % 3 = 2 THEN TIMESTAMP '2026-01-06 00:00:00' WHEN page_id % 2 = 0 AND page_id % 3 = 1 THEN TIMESTAMP '2026-01-05 08:00:00' ELSE TIMESTAMP '2026-01-05 10:00:00' END) AS BIGINT) AS published_at, reason FROM p""")
 def parse_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page as an RSS or Atom body with its address and HTML; every ninth has a DOCTYPE."""
+    """Each page as an RSS or Atom body with its address and HTML, times of several kinds; some have a DOCTYPE, no end or no link of their own."""
+    k = F.col("page_id")
     p = A.table(spark, sf_dir, "pages").where(F.trim("html") != "")
-    t = F.concat(F.lit("Page &amp; "), "page_id")
     u = F.regexp_replace(F.regexp_replace("url", "&", "&amp;"), "<", "&lt;")
     html = F.concat(F.lit("<![CDATA["), "html", F.lit("]]>"))
-    rss = F.concat(F.lit("<rss><channel><item><title>"), t, F.lit("</title><link>"), u, F.lit("</link><content:encoded>"), html, F.lit("</content:encoded><pubDate>Mon, 05 Jan 2026 10:00:00 +0000</pubDate></item></channel></rss>"))
-    atom = F.concat(F.lit('<feed><entry><title type="text">'), t, F.lit('</title><link rel="x" href="'), u, F.lit('"/><content type="html">'), html, F.lit("</content><updated>2026-01-05T10:00:00Z</updated></entry></feed>"))
-    body = F.when(F.col("page_id") % 9 == 0, F.concat(F.lit("<!DOCTYPE x>"), rss)).when(F.col("page_id") % 2 == 0, rss).otherwise(atom)
-    out = decode.feeds(p.select(F.col("page_id").alias("feed_id"), F.expr("timestamp '2026-01-06 00:00:00'").alias("fetched_at"), body.alias("body")))
-    return out.where("reason IS NULL").select(F.col("feed_id").alias("page_id"), "title", "url", F.sha2("body", 256).alias("body"))
+    when = F.when(k % 3 == 0, "Mon, 05 Jan 2026 10:00:00 GMT").when(k % 3 == 1, "Mon, 05 Jan 2026 10:00:00 +0200").otherwise("2026-01-05 10:00")
+    rss = F.concat(F.lit("<rss><channel><title>All</title><item><title>Page &#38; "), k, F.lit("</title><link>"), u, F.lit("</link><content:encoded>"), html, F.lit("</content:encoded><pubDate>"), when, F.lit("</pubDate></item></channel></rss>"))
+    rel = F.when(k % 13 == 7, "related").otherwise("alternate")
+    atom = F.concat(F.lit('<feed><entry><title type="text">Page &amp; '), k, F.lit('</title><link rel="self" href="x"/><link rel="'), rel, F.lit('" href="'), u, F.lit('"/><content type="html">'), html, F.lit("</content><updated>2026-01-05T10:00:00Z</updated></entry></feed>"))
+    cut = F.concat(F.lit("<rss><channel><item><title>Page"), html, F.lit("</item>"))
+    body = F.when(k % 9 == 0, F.concat(F.lit("<!DOCTYPE x>"), rss)).when(k % 11 == 5, cut).when(k % 2 == 0, rss).otherwise(atom)
+    out = decode.feeds(p.select(k.alias("feed_id"), F.expr("timestamp '2026-01-06 00:00:00'").alias("fetched_at"), body.alias("body")))
+    return out.select(F.col("feed_id").alias("page_id"), "title", "url", F.sha2("body", 256).alias("body"), F.unix_seconds("published_at").alias("published_at"), "reason")
 
 
 @query("""WITH a AS (SELECT user_id, event_id, event_type <> 'error' AS ok, value FROM events), g AS (SELECT user_id, max(event_id) FILTER (WHERE ok) AS last_ok FROM a GROUP BY 1)

@@ -29,40 +29,53 @@ def exchange_info(raw: DataFrame) -> DataFrame:
     return s.select("exchange", "symbol", F.col("baseAsset").alias("base_asset"), F.col("quoteAsset").alias("quote_asset"), status.alias("status"), pick(("PRICE_FILTER",), "tickSize", "0.00000001").alias("tick_size"), pick(("LOT_SIZE",), "stepSize", "0.00000001").alias("step_size"), pick(("MIN_NOTIONAL", "NOTIONAL"), "minNotional", "0").alias("min_notional"))
 
 
-_DATES = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm Z", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX")
+_DATES = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm z")
+_TEXTS = lambda *names: ",".join(f"`{n}`:array<string>" for n in names)
+_ITEM = f"array<struct<{_TEXTS('link', 'title', 'description', 'content:encoded', 'pubDate', 'dc:date')}>>"
+_ENTRY = f"array<struct<link:array<struct<_href:string,_rel:string>>,{_TEXTS('id', 'title', 'summary', 'content', 'published', 'updated')}>>"
 
 
 def feeds(raw: DataFrame) -> DataFrame:
-    """(feed_id, url, title, summary, body, published_at, reason) from RSS 2.0 items, else Atom entries; bodies with a DOCTYPE are refused.
+    """(feed_id, url, title, summary, body, published_at, reason) from RSS items, in a channel or beside it, else Atom entries.
 
-    Items are cut out by pattern, as Spark's XML reader takes one row tag; an item needs a url and a title.
+    Bodies are read by Spark's XML parser; those that declare a DOCTYPE are refused and those that are no XML are named, each as one row
+    without item. An item needs a url and a title. Its time is the fetch's if it has none with a zone. A body's items come by time, those that lack
+    something last.
+    Markup within an element stays as it is written.
     """
     # a declaration stands before the first element; in an item's text it is text
-    refused = F.col("body").rlike(r"^\s*(?:<\?[^>]*\?>\s*|<!--(?:(?!-->)[\s\S])*+-->\s*)*<!DOCTYPE")
-    rss = F.regexp_extract_all("body", F.lit(r"(?s)<item[ >].*?</item>"), F.lit(0))
-    atom = F.regexp_extract_all("body", F.lit(r"(?s)<entry[ >].*?</entry>"), F.lit(0))
-    parts = F.when(refused, F.array(F.lit(None).cast("string"))).when(F.size(rss) > 0, rss).otherwise(atom)
-    rows = raw.select("feed_id", "fetched_at", refused.alias("refused"), F.explode(parts).alias("x"))
-
-    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "&lt;", "<"), "&gt;", ">"), "&quot;", '"'), "&amp;", "&"))
-
-    def tag(*names: str) -> Column:
-        """The text of the first of these elements that has any: as it is within CDATA, else with entities read."""
-        found = []
-        for n in names:
-            inner = F.regexp_extract("x", rf"(?s)<{n}(?:\s[^>]*)?>(.*?)</{n}>", 1)
-            kept = F.regexp_extract(inner, r"(?s)^\s*<!\[CDATA\[(.*)\]\]>\s*$", 1)
-            value = F.when(kept != "", F.trim(kept)).otherwise(plain(F.regexp_replace(inner, r"^\s+|\s+$", "")))
-            found.append(F.when(value != "", value))
-        return F.coalesce(*found)
-
-    href = F.regexp_extract("x", r"<link[^>]*href=[\"']([^\"']+)[\"']", 1)
-    url = F.coalesce(tag("link"), F.when(href != "", plain(href)), tag("guid", "id"))
-    when = F.regexp_replace(tag("pubDate", "published", "updated", "dc:date"), "^[A-Za-z]{3}, *", "")
-    published = F.coalesce(*(F.try_to_timestamp(when, F.lit(p)) for p in _DATES), F.try_to_timestamp(when), F.col("fetched_at"))
-    out = rows.select("feed_id", url.alias("url"), tag("title").alias("title"), tag("description", "summary").alias("summary"), tag("content:encoded", "content").alias("body"), published.alias("published_at"), "refused")
-    reason = F.when(F.col("refused"), "DOCTYPE").when(F.col("url").isNull() | F.col("title").isNull(), "NO_URL_OR_TITLE")
-    return out.withColumn("reason", reason).drop("refused")
+    refused = F.coalesce(F.col("body").rlike(r"^\s*(?:<\?[^>]*\?>\s*|<!--(?:(?!-->)[\s\S])*+-->\s*)*<!DOCTYPE"), F.lit(False))
+    kind = f"channel array<struct<item:{_ITEM}>>, item {_ITEM}, entry {_ENTRY}, __corrupt string"
+    parsed = F.from_xml(F.when(~F.col("refused"), F.col("body")), kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"})
+    rows = raw.select("feed_id", "fetched_at", "body", refused.alias("refused")).withColumn("x", parsed)
+    none = lambda kind: F.array().cast(kind)
+    items = F.concat(F.coalesce(F.flatten(F.filter(F.transform("x.channel", lambda c: c["item"]), lambda i: i.isNotNull())), none(_ITEM)), F.coalesce("x.item", none(_ITEM)))
+    rows = rows.select("feed_id", "fetched_at", "refused", (F.col("body").isNull() | F.col("x.__corrupt").isNotNull()).alias("bad"), items.alias("items"), F.coalesce("x.entry", none(_ENTRY)).alias("entries"))
+
+    def first(x: Column, *names: str) -> Column:
+        """The text of the first of these elements that has any."""
+        texts = (F.regexp_replace(F.try_element_at(x[n], F.lit(1)), r"^[\x00-\x20]+|[\x00-\x20]+$", "") for n in names)
+        return F.coalesce(*(F.when(t != "", t) for t in texts))
+
+    def time(x: Column, *names: str) -> Column:
+        when = first(x, *names)
+        day = F.regexp_replace(when, "^[A-Za-z]{3}, *", "")
+        zoned = F.when(when.rlike(r"^\d{4}-\d\d-\d\dT.*(?:Z|[+-]\d\d:?\d\d)$"), F.try_to_timestamp(when))
+        return F.coalesce(*(F.try_to_timestamp(day, F.lit(p)) for p in _DATES), zoned, F.col("fetched_at"))
+
+    def read(x: Column, i: Column, url: Column, summary: str, body: tuple, times: tuple) -> Column:
+        lacks = url.isNull() | first(x, "title").isNull()
+        return F.struct(lacks.alias("lacks"), time(x, *times).alias("published_at"), i.alias("i"), url.alias("url"), first(x, "title").alias("title"), first(x, summary).alias("summary"), first(x, *body).alias("body"))
+
+    href = lambda x: F.try_element_at(F.filter(x["link"], lambda k: (F.coalesce(k["_rel"], F.lit("")).isin("", "alternate")) & (F.trim(k["_href"]) != "")), F.lit(1))["_href"]
+    rss = F.transform("items", lambda x, i: read(x, i, first(x, "link"), "description", ("content:encoded", "description"), ("pubDate", "dc:date")))
+    atom = F.transform("entries", lambda x, i: read(x, i, F.coalesce(href(x), first(x, "id")), "summary", ("content", "summary"), ("published", "updated")))
+    found = F.array_sort(F.when(F.size("items") > 0, rss).otherwise(atom))
+    # what was refused or couldn't be read has a row too
+    found = F.when(F.col("refused") | F.col("bad"), F.array(F.lit(None))).otherwise(found)
+    out = rows.select("feed_id", "fetched_at", "refused", "bad", F.explode(found).alias("n"))
+    reason = F.when(F.col("refused"), "DOCTYPE").when(F.col("bad"), "BAD_XML").when(F.col("n.lacks"), "NO_URL_OR_TITLE")
+    return out.select("feed_id", *(F.col(f"n.{c}") for c in ("url", "title", "summary", "body")), F.coalesce("n.published_at", "fetched_at").alias("published_at"), reason.alias("reason"))
 
 
 def vintages(raw: DataFrame) -> DataFrame:

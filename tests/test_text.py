@@ -221,6 +221,28 @@ def test_budget_and_cost(spark):
     assert [(float(r.spend), r.calls) for r in ledger.spend_by_purpose(calls, F.lit(START + timedelta(days=15))).collect()] == [(0.3, 2)]
 
 
+def test_feeds_are_read_as_xml(spark):
+    rss = """<?xml version="1.0"?><!-- <!DOCTYPE --><rss><channel><title>c</title>
+      <item><title>late &#8217;A&#x41;</title><link> http://a </link><link>http://b</link><description><![CDATA[one <p>]]>two<![CDATA[ three]]></description><dc:date>2026-01-05T12:00:00+02:00</dc:date></item>
+      <item><title>early</title><link>http://c</link><content:encoded><![CDATA[<item><title>not one</title></item>]]></content:encoded><pubDate>Mon, 5 Jan 2026 09:00:00 GMT</pubDate></item>
+      <item><title>unzoned</title><link>http://d</link><pubDate>2026-01-05T09:00:00</pubDate></item><item><link>http://e</link><guid>x</guid></item></channel></rss>"""
+    atom = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>x</title><link rel="self" href="s"/><link href="http://f"/><id>i</id><updated>2026-01-05T10:00:00.5Z</updated><summary>s</summary></entry>
+      <entry><title>y</title><link rel="self" href="s"/><id>urn:1</id><published>2026-01-04T10:00:00Z</published></entry></feed>"""
+    bodies = {"rss": rss, "atom": atom, "rdf": "<rdf:RDF><item><title>q</title><link>l</link></item></rdf:RDF>", "none": "<rss><channel/></rss>", "cut": "<rss><channel><item>", "text": "hello", "empty": "", "null": None, "type": "<!DOCTYPE rss><rss/>"}
+    raw = spark.createDataFrame([(k, START, v) for k, v in bodies.items()], "feed_id string, fetched_at timestamp, body string")
+    got = {}
+    for r in decode.feeds(raw).withColumn("at", F.date_format("published_at", "dd HH:mm")).collect():
+        got.setdefault(r.feed_id, []).append((r.url, r.title, r.summary, r.body, r["at"], r.reason))
+    start = "01 00:00"
+    bad = lambda reason: [(None, None, None, None, start, reason)]
+    assert got == {
+        "rss": [("http://d", "unzoned", None, None, start, None), ("http://c", "early", None, "<item><title>not one</title></item>", "05 09:00", None),
+                ("http://a", "late \u2019AA", "one <p>two three", "one <p>two three", "05 10:00", None), ("http://e", None, None, None, start, "NO_URL_OR_TITLE")],
+        "atom": [("urn:1", "y", None, None, "04 10:00", None), ("http://f", "x", "s", "s", "05 10:00", None)], "rdf": [("l", "q", None, None, start, None)],
+        "cut": bad("BAD_XML"), "text": bad("BAD_XML"), "empty": bad("BAD_XML"), "null": bad("BAD_XML"), "type": bad("DOCTYPE"),
+    }
+
+
 def test_decoders(spark):
     k = [[1767225600000, "1", "2", "0.5", "1.5", "10", 1767225659999, "15", 3, "5", "x"], ["bad"]]
     bars = decode.klines(spark.createDataFrame([(1, "1m", json.dumps(k))], "instrument_id long, timeframe string, body string"), F.lit(START + timedelta(hours=1))).collect()
