@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -26,41 +31,54 @@ def verdict(pnl: Column, thesis_held: Column) -> Column:
     return F.when((pnl > 0) & thesis_held, "CORRECT").when(pnl > 0, "LUCKY").when(thesis_held, "UNLUCKY").otherwise("WRONG")
 
 
-def similar_objects(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1000) -> DataFrame:
-    """(query_id, vec_id, similarity, rank): the k nearest by cosine of each query among all vectors.
+def similar_objects(vectors: DataFrame, queries: DataFrame, k: int, chunk: int = 65_536) -> DataFrame:
+    """(query_id, vec_id, similarity, rank): the k nearest by cosine of each query among all vectors but its own; ties by smaller id.
 
-    Queries go out in blocks of ``block`` rows; each task keeps its k best of each, and these are merged. Rows without an id or a
-    vector take no part.
+    Vectors are dealt into chunks, each of about ``chunk`` rows, and every query goes to every chunk: a task holds one chunk while the
+    queries stream past it, and each leaves its k best there. A larger chunk sends fewer copies of the queries and needs more memory, 0.5
+    KB a row of 64 numbers. Rows without an id, a vector, or with a number that isn't finite take no part; queries of one id are one.
     """
-    import numpy as np
-    import pandas as pd
-
-    vectors, queries = (df.where("vec_id IS NOT NULL AND embedding IS NOT NULL") for df in (vectors, queries))
-    out = None
-    n = queries.count()
-    for part in range(max(1, -(-n // block))):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // block)))) == part).select("vec_id", "embedding").toPandas()
-        if not len(rows):
-            continue
-        ids, q = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-
-        def nearest(batches, ids=ids, q=q):  # noqa: ANN001
-            best = None
-            for pdf in batches:
-                x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-                s = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)) @ q.T
-                i, j = np.nonzero(s >= (np.sort(s, axis=0)[-min(k + 1, len(s))])[None, :])
-                new = pd.DataFrame({"query_id": ids[j], "vec_id": pdf["vec_id"].to_numpy()[i], "similarity": s[i, j]})
-                best = new if best is None else pd.concat([best, new])
-                best = best[best["query_id"] != best["vec_id"]].sort_values(["query_id", "similarity", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-            if best is not None:
-                yield best
-
-        found = vectors.select("vec_id", "embedding").mapInPandas(nearest, "query_id long, vec_id long, similarity double")
-        out = found if out is None else out.union(found)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, similarity double, rank int")
-    from pyspark.sql import Window as W
-
-    return out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))).where(F.col("rank") <= k)
+
+    def whole(df: DataFrame) -> DataFrame:
+        odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        return df.where("vec_id IS NOT NULL AND embedding IS NOT NULL").where(~odd).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+
+    vectors, queries = whole(vectors), whole(queries).dropDuplicates(["vec_id"])
+    chunks = max(1, -(-vectors.count() // chunk))
+    # by place, not by content: rows that repeat are spread too
+    dealt = vectors.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks))).withColumn("asked", F.lit(False))
+    every = queries.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))).withColumn("asked", F.lit(True))
+
+    def scaled(rows: pd.Series) -> np.ndarray:
+        x = np.stack(rows.to_numpy())
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def best(ids: np.ndarray, x: np.ndarray, asked: pd.DataFrame) -> pd.DataFrame:
+        of = asked["vec_id"].to_numpy()
+        s = scaled(asked["embedding"]) @ x.T
+        s[of[:, None] == ids[None, :]] = -np.inf
+        least = np.partition(s, -min(k, len(ids)), axis=1)[:, -min(k, len(ids))]
+        i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+        found = pd.DataFrame({"query_id": of[i], "vec_id": ids[j], "similarity": s[i, j]})
+        return found.sort_values(["query_id", "similarity", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, ids, x = None, [], []
+        for pdf in batches:
+            for c, rows in pdf.groupby("chunk"):
+                if c != at:
+                    at, ids, x = c, [], []
+                held, asked = rows[~rows["asked"]], rows[rows["asked"]]
+                if len(held):
+                    ids.append(held["vec_id"].to_numpy())
+                    x.append(scaled(held["embedding"]))
+                if len(asked) and ids:
+                    ids, x = [np.concatenate(ids)], [np.concatenate(x)]
+                    for n in range(0, len(asked), 64):
+                        yield best(ids[0], x[0], asked.iloc[n : n + 64])
+
+    # a chunk's vectors come before the queries
+    rows = dealt.unionByName(every).repartition("chunk").sortWithinPartitions("chunk", "asked")
+    found = rows.mapInPandas(nearest, "query_id long, vec_id long, similarity double")
+    order = W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronark.functions import text
-from chronark.operators import ledger, macro, news, progress, similarity
+from chronark.operators import learning, ledger, macro, news, progress, similarity
 from chronark.sources import decode
 from chronark.streaming import streams
 
@@ -319,3 +319,22 @@ def test_sync_goes_on_and_reads_touched_months_only(spark, tmp_path):
     again = streams.stream_rollup(f"{tmp_path}/store", "15m", ["1h"])
     again(spark.createDataFrame([bar(2, 4, 2, 7.0)], kind), 9)
     assert len(hours()) == 4 and spark.read.parquet(f"{tmp_path}/store").count() == 20
+
+
+def test_similar_objects_in_chunks_equal_all_pairs(spark):
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [(i, [float(rng.randint(-3, 3)) for _ in range(4)]) for i in range(300)]
+    rows[5], rows[6], rows[7] = (5, [0.0] * 4), (6, rows[8][1]), (7, [1.0, float("nan"), 0.0, 0.0])
+    given = spark.createDataFrame([*rows, (None, [1.0] * 4), (900, None)], "vec_id long, embedding array<float>").repartition(5)
+    asked = given.where("vec_id % 7 = 0 OR vec_id IN (5, 6)")
+    x = {i: np.array(v) / max(np.linalg.norm(v), 1e-12) for i, v in rows if i != 7}
+    want = {q: [round(float(s), 9) for s in sorted((x[q] @ x[i] for i in x if i != q), reverse=True)[:5]] for q in x if q % 7 == 0 or q in (5, 6)}
+    for chunk in (20, 1000):
+        got = {}
+        for r in learning.similar_objects(given, asked.union(asked), 5, chunk).orderBy("query_id", "rank").collect():
+            assert r.vec_id != r.query_id and abs(float(x[r.query_id] @ x[r.vec_id]) - r.similarity) < 1e-9
+            got.setdefault(r.query_id, []).append(round(r.similarity, 9))
+        assert got == want
+    assert learning.similar_objects(given.where("false"), asked, 5).count() == learning.similar_objects(given, asked.where("false"), 5).count() == 0
