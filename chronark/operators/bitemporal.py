@@ -573,9 +573,10 @@ def link_log(before: DataFrame, after: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array_compact(kinds)).alias("op"), *key)
 
 
-def check_invariants(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
-    """``rows`` with ``violations``: the names of the rules that don't hold (null counts as holding)."""
-    return rows.withColumn("violations", F.array_compact(F.array(*(F.when(~F.coalesce(rule, F.lit(True)), F.lit(name)) for name, rule in rules.items()))))
+def check_invariants(rows: DataFrame, rules: dict[str, Column | str]) -> DataFrame:
+    """``rows`` with ``violations``: the names of the rules, Columns or SQL, that don't hold (null counts as holding)."""
+    tests = {name: F.expr(rule) if isinstance(rule, str) else rule for name, rule in rules.items()}
+    return rows.withColumn("violations", F.array_compact(F.array(*(F.when(~F.coalesce(rule, F.lit(True)), F.lit(name)) for name, rule in tests.items()))))
 
 
 BAR_RULES = {
@@ -583,6 +584,12 @@ BAR_RULES = {
     "no_negative_volume": "volume >= 0 AND quote_volume >= 0 AND trade_count >= 0", "closes_after_open": "close_time > open_time",
 }
 VALUE_RULES = {"valid_range": "valid_from < valid_to", "retracted_after_recorded": "retracted_at >= recorded_at", "confidence": "confidence BETWEEN 0 AND 1"}
+_TYPED = ("value_text", "value_numeric", "value_bool", "value_ts", "value_json", "value_ref")
+#: For values in a column for each kind, as ``decode.values`` makes them.
+TYPED_VALUE_RULES = VALUE_RULES | {"one_value": f"{' + '.join(f'int({c} IS NOT NULL)' for c in _TYPED)} = 1"}
+LINK_RULES = VALUE_RULES | {"no_self_link": "from_id <> to_id"}
+NEWS_RULES = {"sentiment": "sentiment BETWEEN -1 AND 1", "materiality": "materiality BETWEEN 0 AND 1"}
+VINTAGE_RULES = {"has_value": "value IS NOT NULL", "vintage_order": "vintage_from < vintage_to"}
 CALL_RULES = {"tokens": "input_tokens >= 0 AND output_tokens >= 0", "cached_within_input": "cached_input_tokens <= input_tokens"}
 
 

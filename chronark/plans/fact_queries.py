@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -292,6 +294,31 @@ def check_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(has("too_much"), has("too_cheap"), F.count(F.lit(1)).alias("lines"))
 
 
+#: Rows of each kind made of an order's key (k) and price (p), alike in both engines; some break a rule.
+_MADE = {
+    "bar": (bt.BAR_RULES, "p AS open, p + 2 AS close, p + CASE WHEN k % 5 = 0 THEN 1 ELSE 3 END AS high, p - CASE WHEN k % 7 = 0 THEN -1 ELSE 1 END AS low, CASE WHEN k % 11 = 0 THEN -1 ELSE k END AS volume, 0 AS quote_volume, CASE WHEN k % 13 = 0 THEN NULL ELSE 1 END AS trade_count, k AS open_time, k + 1 - k % 2 AS close_time",
+            {"high_is_highest": "k % 5 = 0", "low_is_lowest": "k % 7 = 0", "no_negative_volume": "k % 11 = 0", "closes_after_open": "k % 2 = 1"}),
+    "value": (bt.TYPED_VALUE_RULES, "k AS valid_from, CASE WHEN k % 3 = 0 THEN NULL ELSE k + k % 2 END AS valid_to, k AS recorded_at, CASE WHEN k % 5 = 0 THEN k - 1 END AS retracted_at, (k % 12) / 10.0 AS confidence, CASE WHEN k % 4 = 0 THEN 'a' END AS value_text, CASE WHEN k % 4 < 2 THEN 1 END AS value_numeric, CASE WHEN k % 4 = 3 THEN true END AS value_bool, NULL AS value_ts, NULL AS value_json, NULL AS value_ref",
+              {"valid_range": "k % 3 <> 0 AND k % 2 = 0", "retracted_after_recorded": "k % 5 = 0", "confidence": "k % 12 = 11", "one_value": "k % 4 IN (0, 2)"}),
+    "link": (bt.LINK_RULES, "k AS valid_from, k + 1 AS valid_to, k AS recorded_at, k AS retracted_at, 1 AS confidence, k % 10 AS from_id, CASE WHEN k % 9 = 4 THEN NULL ELSE k % 6 END AS to_id", {"no_self_link": "k % 9 <> 4 AND k % 10 = k % 6"}),
+    "news": (bt.NEWS_RULES, "(k % 13 - 6) / 5.0 AS sentiment, CASE WHEN k % 2 = 0 THEN (k % 14 - 1) / 10.0 END AS materiality", {"sentiment": "k % 13 IN (0, 12)", "materiality": "k % 14 IN (0, 12)"}),
+    "vintage": (bt.VINTAGE_RULES, "CASE WHEN k % 6 <> 0 THEN p END AS value, k AS vintage_from, CASE WHEN k % 4 <> 0 THEN k + k % 3 END AS vintage_to", {"has_value": "k % 6 = 0", "vintage_order": "k % 4 <> 0 AND k % 3 = 0"}),
+    "call": (bt.CALL_RULES, "k % 8 - 1 AS input_tokens, 5 AS output_tokens, k % 5 AS cached_input_tokens", {"tokens": "k % 8 = 0", "cached_within_input": "k % 5 > k % 8 - 1"}),
+}
+
+
+@query("WITH o AS (SELECT o_orderkey AS k FROM orders) " + " UNION ALL ".join(f"SELECT '{kind}' AS kind, k, concat_ws(' ', {', '.join(f'CASE WHEN {broken} THEN {chr(39)}{name}{chr(39)} END' for name, broken in made[2].items())}) AS violations FROM o" for kind, made in _MADE.items()))
+def rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars, typed values, links, news, vintages and calls against all rules of their kind: the names of those that each row breaks."""
+    o = A.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS k", "o_totalprice AS p")
+    out = None
+    for kind, (rules, columns, _) in _MADE.items():
+        rows = o.selectExpr("k", *(c.strip() for c in re.split(r",(?![^(]*\))", columns)))
+        found = bt.check_invariants(rows, rules).select(F.lit(kind).alias("kind"), "k", F.array_join("violations", " ").alias("violations"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query(f"""WITH {_ASSERTED}, u AS (SELECT object_id, recorded_at, seq FROM v UNION ALL SELECT o_custkey, o_orderdate, o_orderkey + 1000000000 FROM orders)
 SELECT object_id, arg_max(seq, (recorded_at, seq)) AS last_commit FROM u GROUP BY 1""")
 def last_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
