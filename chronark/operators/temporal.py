@@ -49,9 +49,15 @@ def as_of_many(values: DataFrame, instants: DataFrame, key: list[str]) -> DataFr
     return met.where(known_at(F.col("at"))).drop("month")
 
 
-def detect_overlaps(rows: DataFrame, key: list[str]) -> DataFrame:
-    """Rows that are not retracted and begin before an earlier one of their key has ended."""
+def detect_overlaps(rows: DataFrame, key: list[str], then: str | None = None) -> DataFrame:
+    """Rows that are not retracted and begin before an earlier one of their key has ended.
+
+    Of rows that begin and were recorded at the same instants the one with the smaller ``then`` (``commit_id`` if there is one) is
+    earlier, next the one that ends first: the same rows are found however the table is dealt.
+    """
     far = F.lit("9999-12-31").cast("timestamp")
-    before = W.partitionBy(*key).orderBy("valid_from", "recorded_at").rowsBetween(W.unboundedPreceding, -1)
+    then = then or ("commit_id" if "commit_id" in rows.columns else None)
+    order = ["valid_from", "recorded_at", *([then] if then else []), F.coalesce("valid_to", far)]
+    before = W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     held = rows.where("retracted_at IS NULL").withColumn("held_until", F.max(F.coalesce("valid_to", far)).over(before))
     return held.where("valid_from < held_until")

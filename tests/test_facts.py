@@ -171,6 +171,14 @@ def test_overlaps(spark):
     assert [r.object_id for r in temporal.detect_overlaps(rows, bt.KEY).collect()] == [2]
 
 
+def test_overlaps_of_one_instant_by_commit(spark):
+    at = d("2026-01-01")
+    rows = [(1, "p", 0, "long", at, d("2026-02-01"), at, None, 8), (1, "p", 0, "short", at, at, at, None, 7), (2, "p", 0, "long", at, d("2026-02-01"), at, None, 7), (2, "p", 0, "short", at, at, at, None, 8)]
+    for some in (rows, rows[::-1]):
+        found = temporal.detect_overlaps(spark.createDataFrame(some, f"{S}, commit_id long").coalesce(1), bt.KEY)
+        assert [(r.object_id, r.value) for r in found.collect()] == [(2, "short")]
+
+
 CATALOG = qb.Catalog({"Asset": None, "CryptoAsset": "Asset"}, {"Asset": [qb.Property("name", is_title=True)], "CryptoAsset": [qb.Property("marketCap", "DECIMAL"), qb.Property("category", "ENUM"), qb.Property("tags", is_list=True)]}, {"Asset"})
 COINS = [("BTC", "Bitcoin", "1300000000000", "L1", ["PoW", "STORE_OF_VALUE"]), ("ETH", "Ethereum", "400000000000", "L1", ["PoS", "SMART_CONTRACT"]), ("ARB", "Arbitrum", "3000000000", "L2", ["PoS", "ROLLUP"]), ("USDT", "Tether", "120000000000", "STABLECOIN", ["STABLE"])]
 
