@@ -1,6 +1,7 @@
 """News, macro, ledger, decoders, progress and streams."""
 
 import json
+import time
 from datetime import datetime, timedelta, timezone
 
 import random
@@ -243,6 +244,14 @@ def test_feeds_are_read_as_xml(spark):
     }
 
 
+def test_entities_of_a_long_text(spark):
+    d = spark.createDataFrame([("of the", "A"), ("w7 of the", "B"), ("end", "C"), ("the w", "D")], "keyword string, entity_id string")
+    long = spark.createDataFrame([(1, " ".join(f"w{k % 10} of the" for k in range(40_000)) + " end")], "seq long, normalized string")
+    start = time.perf_counter()
+    assert {r.entity_id for r in news.link_entities(long, d).collect()} == {"A", "B", "C"}
+    assert time.perf_counter() - start < 60  # splitting the text anew for every word takes far longer
+
+
 def test_decoders(spark):
     k = [[1767225600000, "1", "2", "0.5", "1.5", "10", 1767225659999, "15", 3, "5", "x"], ["bad"]]
     bars = decode.klines(spark.createDataFrame([(1, "1m", json.dumps(k))], "instrument_id long, timeframe string, body string"), F.lit(START + timedelta(hours=1))).collect()
