@@ -13,7 +13,7 @@ def klines(raw: DataFrame, now: Column, until: Column | None = None) -> DataFram
     ms = lambda i: F.timestamp_millis(F.col("k")[i].try_cast("long"))
     out = rows.select(
         "instrument_id", "timeframe", ms(0).alias("open_time"), ms(6).alias("close_time"), *(F.col("k")[i].try_cast(price).alias(c) for i, c in enumerate(("open", "high", "low", "close"), 1)),
-        F.col("k")[5].try_cast(amount).alias("volume"), F.col("k")[7].try_cast(amount).alias("quote_volume"), F.col("k")[8].try_cast("int").alias("trade_count"), F.col("k")[9].try_cast(amount).alias("taker_buy_base"),
+        F.col("k")[5].try_cast(amount).alias("volume"), F.col("k")[7].try_cast(amount).alias("quote_volume"), F.col("k")[8].try_cast("long").alias("trade_count"), F.col("k")[9].try_cast(amount).alias("taker_buy_base"),
     ).where("open_time IS NOT NULL AND close IS NOT NULL")
     if until is not None:
         out = out.where(F.col("open_time") < until)

@@ -252,6 +252,12 @@ def test_entities_of_a_long_text(spark):
     assert time.perf_counter() - start < 60  # splitting the text anew for every word takes far longer
 
 
+def test_many_trades(spark):
+    body = json.dumps([[1767225600000, "1", "2", "0.5", "1.5", "10", 1767225659999, "15", 3_000_000_235, "5"]])
+    bars = decode.klines(spark.createDataFrame([(1, "1m", body)], "instrument_id long, timeframe string, body string"), F.lit(START + timedelta(hours=1)))
+    assert [r.trade_count for r in bars.collect()] == [3_000_000_235]
+
+
 def test_decoders(spark):
     k = [[1767225600000, "1", "2", "0.5", "1.5", "10", 1767225659999, "15", 3, "5", "x"], ["bad"]]
     bars = decode.klines(spark.createDataFrame([(1, "1m", json.dumps(k))], "instrument_id long, timeframe string, body string"), F.lit(START + timedelta(hours=1))).collect()
