@@ -7,7 +7,7 @@ is monotone take windows only; others go through a fold of their own rows.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -407,30 +407,50 @@ class _Links:
     def __init__(self, of_source: bool, of_target: bool, symmetric: bool):
         self.of_source, self.of_target, self.symmetric = of_source, of_target, symmetric
         self.open: dict[tuple, dict] = {}
-        self.by: dict[tuple, set[tuple]] = {}
+        #: Open links of each source and target that may have one only: (start, a number, pair), in order.
+        self.by: dict[tuple, list[tuple]] = {}
+        self.added = 0
+        #: Last ends of pairs that a later row may begin before.
         self.ended: dict[tuple, pd.Timestamp] = {}
+        self.most = 1000
+
+    def _sides(self, pair: tuple) -> list[tuple]:
+        return [("from", pair[0])] * self.of_source + [("to", pair[1])] * self.of_target
 
     def _add(self, r: dict) -> None:
         pair = (r["from_id"], r["to_id"])
-        self.open[pair] = r
-        self.by.setdefault(("from", pair[0]), set()).add(pair)
-        self.by.setdefault(("to", pair[1]), set()).add(pair)
+        self.added += 1
+        self.open[pair] = r | {"nth": self.added}
+        for side in self._sides(pair):
+            insort(self.by.setdefault(side, []), (r["valid_from"], self.added, pair))
 
-    def _close(self, pair: tuple, at: pd.Timestamp) -> tuple:
+    def _close(self, pair: tuple, at: pd.Timestamp, ahead: pd.Timestamp | None) -> tuple:
         r = self.open.pop(pair)
-        self.by["from", pair[0]].discard(pair)
-        self.by["to", pair[1]].discard(pair)
-        self.ended[pair] = max(at, self.ended.get(pair, at))
+        for side in self._sides(pair):
+            held = self.by[side]
+            del held[bisect_left(held, (r["valid_from"], r["nth"]))]
+            if not held:
+                del self.by[side]
+        self._end(pair, at, ahead)
         return self._out(r | {"valid_to": at}, "state", None)
 
+    def _end(self, pair: tuple, at: pd.Timestamp, ahead: pd.Timestamp | None) -> None:
+        """Holds an end if a row to come begins before it (``ahead`` is the earliest begin of these), and drops those that none does any more."""
+        if ahead is None or at <= ahead:
+            return
+        self.ended[pair] = max(at, self.ended.get(pair, at))
+        if len(self.ended) > self.most:
+            self.ended = {p: to for p, to in self.ended.items() if to > ahead}
+            self.most = 1000 + 2 * len(self.ended)
+
     def put(self, a: dict) -> list[tuple]:
-        pair, start = (a["from_id"], a["to_id"]), a["valid_from"]
+        pair, start, ahead = (a["from_id"], a["to_id"]), a["valid_from"], a["ahead"]
         if a["old"]:
             if a["retracted_at"] is None and a["valid_to"] is None and pair not in self.open:
                 self._add(a)
                 return []
             if a["retracted_at"] is None and a["valid_to"] is not None:
-                self.ended[pair] = max(a["valid_to"], self.ended.get(pair, a["valid_to"]))
+                self._end(pair, a["valid_to"], ahead)
             return [self._out(a, "state", None)]
         if pair in self.open:
             return []
@@ -438,8 +458,10 @@ class _Links:
         new = [pair, back] if self.symmetric and back not in self.open else [pair]
         if any(p in self.ended and self.ended[p] > start for p in new):
             return [self._out(a, "reject", "TEMPORAL_CONFLICT")]
-        others = [p for p in self.by.get(("from", pair[0]), ()) if self.of_source and p != pair] + [p for p in self.by.get(("to", pair[1]), ()) if self.of_target and p != pair]
-        out = [self._close(p, start) for p in dict.fromkeys(others) if self.open[p]["valid_from"] < start]
+        out = []
+        for side in self._sides(pair):
+            held = self.by.get(side, ())
+            out += [self._close(p, start, ahead) for _, _, p in held[: bisect_left(held, (start,))]]
         for f, t in new:
             self._add(a | {"from_id": f, "to_id": t, "valid_to": None, "retracted_at": None})
         return out
@@ -462,7 +484,7 @@ def apply_links(assertions: DataFrame, cardinality: str, symmetric: bool = False
 
     Where the links of a source or target come in order, windows on either side tell which are open, and nothing is gathered. What competes with
     a late link, or with two of one instant, is folded: the rows of a source, a target, a pair or, one to one, of all that compete with each other,
-    stream through a task, which holds the open links and the last end of each pair.
+    stream through a task, which holds the open links and the last ends of pairs that a row to come begins before.
     """
     order = ["recorded_at", "seq", "valid_from", "from_id", "to_id"]
     asserted = assertions.select("link_type", "from_id", "to_id", "weight", "valid_from", "recorded_at", F.col("seq").cast("long").alias("seq"))
@@ -509,7 +531,7 @@ def apply_links(assertions: DataFrame, cardinality: str, symmetric: bool = False
         plain, rows = rows.join(groups, "group", "left_anti"), rows.join(groups, "group", "left_semi")
     schema = "link_type string, from_id string, to_id string, weight double, valid_from timestamp, valid_to timestamp, recorded_at timestamp, retracted_at timestamp, seq long, kind string, reason string"
     names = [f"{c} {dict(rows.dtypes)[c]}" if c in LINK else f"{c} {t}" for c, t in (x.split() for x in schema.split(", "))]
-    folded = graph.cut(ordered.fold(rows.withColumn("group", F.col("group").cast("string")), ["group"], [F.desc("old"), *order], lambda: _Links(of_source, of_target, symmetric), ", ".join(names)))
+    folded = graph.cut(ordered.fold(rows.withColumn("group", F.col("group").cast("string")), ["group"], [~F.col("old"), *order], lambda: _Links(of_source, of_target, symmetric), ", ".join(names), F.when(~F.col("old"), F.col("valid_from"))))
     out = folded.where("kind = 'state'").select(*LINK)
     if plain is not None:
         out = out.unionByName(_windowed_links(plain, sides, of_source or of_target))
@@ -530,7 +552,8 @@ def _windowed_links(rows: DataFrame, sides: list[list[str]], closes: bool) -> Da
     ends = []
     for side in sides if closes else []:
         ends.append(f"end_{side[-1]}")
-        later = W.partitionBy(*side).orderBy(F.unix_micros("valid_from")).rangeBetween(1, W.unboundedFollowing)
+        # from the last begin to the first: a frame to the end would be read anew for every row
+        later = W.partitionBy(*side).orderBy(F.unix_micros("valid_from").desc()).rangeBetween(W.unboundedPreceding, -1)
         rows = rows.withColumn(ends[-1], F.min("valid_from").over(later))
     end = F.least(*map(F.col, ends)) if len(ends) > 1 else F.col(ends[0]) if ends else F.lit(None).cast("timestamp")
     return rows.withColumn("valid_to", end).select(*LINK).unionByName(done.select(*LINK))

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +140,11 @@ def test_a_late_link_leaves_later_ones_open(spark):
     assert bt.link_objects(asserted(spark, rows).limit(0), "ONE_TO_ONE").count() == 0
     more = asserted(spark, rows).withColumn("old", F.lit(1)).withColumn("group", F.lit("g"))
     assert bt.link_objects(more, "ONE_TO_MANY").count() == 2
+
+
+def test_links_in_order_hold_open_ones_only():
+    links, out = bt._Links(True, True, False), []
+    for k in range(3000):
+        row = {"link_type": "L", "from_id": f"C{k}", "to_id": f"K{k % 3}", "weight": 1.0, "valid_from": pd.Timestamp(day(1)) + pd.Timedelta(hours=k), "valid_to": None, "recorded_at": None, "retracted_at": None, "seq": k, "old": False}
+        out += links.put(row | {"ahead": row["valid_from"] + pd.Timedelta(hours=1) if k < 2999 else None})
+    assert len(out) == 2997 and len(links.open) == 3 and len(links.by) == 6 and not links.ended
