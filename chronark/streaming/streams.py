@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import or_
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -140,6 +141,14 @@ def stream_dedup(items: DataFrame, hours: float = 72, lateness: str = "1 hour")
     return late.groupBy("content").transformWithStateInPandas(_Dedup(hours, items.columns), items.schema, "append", "eventTime")
 
 
+#: Rows of an instrument that are walked and given out at once.
+GATE_ROWS = 5000
+_GATE_COLUMNS = (
+    "as_of", "close", "ema20", "ema50", "ema200", "rsi14", "macd_histogram", "bb_percent_b", "atr_percent", "volume_z", "return1", "vol_percentile_slow", "max_news_materiality",
+    "has_open_position",
+)
+
+
 class _Gate(StatefulProcessor):
     """Regime and the time of the last round of one instrument, over rows in time order."""
 
@@ -147,20 +156,25 @@ class _Gate(StatefulProcessor):
         self.state = handle.getValueState("gate", "trend string, volatility string, strength double, round_at double, rsi14 double, macd_histogram double, bb_percent_b double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802, ANN001
-        pdf = pd.concat(list(rows)).sort_values("as_of")
+        # numbers by column; only some thousand rows at a time become objects
+        batches = [{c: pdf[c].to_numpy(copy=True) for c in pdf.columns if c in _GATE_COLUMNS} for pdf in rows]
+        columns = {c: np.concatenate([b.pop(c) for b in batches]) for c in list(batches[0])}
+        order = np.argsort(columns["as_of"], kind="stable")
         last, round_at, before = signals.Regime(), None, None
         if self.state.exists():
             s = self.state.get()
             last, round_at, before = signals.Regime(s[0], s[1], s[2]), s[3], dict(zip(("rsi14", "macd_histogram", "bb_percent_b"), s[4:], strict=True))
-        out = []
-        for r in pdf.to_dict("records"):
-            fired = _fired(r, before)
-            at = r["as_of"].timestamp()
-            trend, volatility, strength, changed, is_open, reasons, round_at = next(signals.fold(iter([(at, r["ema20"], r["ema50"], r["ema200"], r["vol_percentile_slow"], r["has_open_position"], fired)]), last, round_at))
-            last, before = signals.Regime(trend, volatility, strength), r
-            out.append((key[0], r["as_of"], trend, volatility, changed, is_open, ",".join(x["type"] for x in reasons)))
-        self.state.update((last.trend, last.volatility, last.strength, round_at, before["rsi14"], before["macd_histogram"], before["bb_percent_b"]))
-        yield pd.DataFrame(out, columns=["instrument_id", "as_of", "trend", "volatility", "regime_changed", "is_open", "reasons"])
+        for begin in range(0, len(order), GATE_ROWS):
+            out = []
+            part = order[begin : begin + GATE_ROWS]
+            for r in pd.DataFrame({c: v[part] for c, v in columns.items()}).to_dict("records"):
+                fired = _fired(r, before)
+                at = r["as_of"].timestamp()
+                trend, volatility, strength, changed, is_open, reasons, round_at = next(signals.fold(iter([(at, r["ema20"], r["ema50"], r["ema200"], r["vol_percentile_slow"], r["has_open_position"], fired)]), last, round_at))
+                last, before = signals.Regime(trend, volatility, strength), r
+                out.append((key[0], r["as_of"], trend, volatility, changed, is_open, ",".join(x["type"] for x in reasons)))
+            self.state.update((last.trend, last.volatility, last.strength, round_at, before["rsi14"], before["macd_histogram"], before["bb_percent_b"]))
+            yield pd.DataFrame(out, columns=["instrument_id", "as_of", "trend", "volatility", "regime_changed", "is_open", "reasons"])
 
     def close(self) -> None:
         pass

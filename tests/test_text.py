@@ -6,6 +6,7 @@ from datetime import datetime, timedelta, timezone
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -353,3 +354,27 @@ def test_similar_objects_in_chunks_equal_all_pairs(spark):
             got.setdefault(r.query_id, []).append(round(r.similarity, 9))
         assert got == want
     assert learning.similar_objects(given.where("false"), asked, 5).count() == learning.similar_objects(given, asked.where("false"), 5).count() == 0
+
+
+def test_the_gate_walks_some_rows_at_a_time(monkeypatch):
+    class State:
+        value = None
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def update(self, value):
+            self.value = value
+
+    def run(rows, most):
+        monkeypatch.setattr(streams, "GATE_ROWS", most)
+        gate = streams._Gate()
+        gate.state = State()
+        return list(gate.handleInputRows(("X",), iter(rows), None)), gate.state.value
+
+    names = [c for c in streams._GATE_COLUMNS if c not in ("as_of", "has_open_position")]
+    rng = random.Random(5)
+    rows = pd.DataFrame([{"instrument_id": "X", "as_of": pd.Timestamp(2026, 1, 1) + pd.Timedelta(hours=k), "has_open_position": k % 3 > 0} | {c: rng.choice([0.0, 25.0, 75.0, 100.0, None]) for c in names} for k in range(100)])
+    mixed = rows.sample(frac=1, random_state=2)
+    whole, parts = run([rows], 1000), run([mixed[:30], mixed[30:]], 7)
+    assert [len(p) for p in parts[0]] == [7] * 14 + [2]
+    assert pd.concat(parts[0], ignore_index=True).equals(whole[0][0]) and str(parts[1]) == str(whole[1])
