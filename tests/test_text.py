@@ -378,3 +378,13 @@ def test_the_gate_walks_some_rows_at_a_time(monkeypatch):
     whole, parts = run([rows], 1000), run([mixed[:30], mixed[30:]], 7)
     assert [len(p) for p in parts[0]] == [7] * 14 + [2]
     assert pd.concat(parts[0], ignore_index=True).equals(whole[0][0]) and str(parts[1]) == str(whole[1])
+
+
+def test_conforming_reads_each_field_once(spark):
+    fields = [ledger.Field("k", "INTEGER", True, 0, 50), ledger.Field("items", "OBJECT_LIST", True, fields=(ledger.Field("n", "NUMBER", True, 0, 100), ledger.Field("name", "TEXT")))]
+    raw = '{"k": "7", "items": [{"n": 120, "name": "a"}, {"name": "b"}, 5]}'
+    done = ledger.conform(spark.createDataFrame([(1, raw)], "id long, raw string"), fields)
+    r = done.first()
+    assert (r.k, [tuple(x) for x in r["items"]], r.clamped, r.dropped, r.error) == (7.0, [(100.0, "a")], ["items.n"], ["items", "items"], None)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("variantget") + plan.count("variant_get") <= 12
