@@ -36,17 +36,20 @@ def valid_at(t: Column) -> Column:
 def as_of_many(values: DataFrame, instants: DataFrame, key: list[str]) -> DataFrame:
     """Values known at each of many instants: (at, key..., value columns), instants being (key..., at).
 
-    Rows are dealt to the calendar months they span, up to the last instant of their key, and met with the instants of that
-    month: an equi-join with an exact filter behind it instead of a join on inequalities.
+    A key's time from its first instant to its last is cut into as many slices as it has instants. Rows are dealt to the slices they span
+    and met with the instants of that slice: an equi-join with an exact filter behind it instead of a join on inequalities. So a
+    row is repeated about as often as it has instants, whatever time it spans.
     """
-    last = instants.groupBy(*key).agg(F.max("at").alias("last"), F.min("at").alias("least"))
-    month = lambda c: F.trunc(c, "month")
-    rows = values.join(last, key).where(F.col("valid_from") <= F.col("last"))
+    spans = instants.groupBy(*key).agg(F.max("at").alias("last"), F.min("at").alias("least"), F.count(F.lit(1)).alias("n"))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    width = F.floor((micros(F.col("last")) - micros(F.col("least"))) / F.col("n")) + 1
+    slice_ = lambda c: F.floor((micros(c) - micros(F.col("least"))) / width).cast("long")
+    rows = values.join(spans, key).where(F.col("valid_from") <= F.col("last"))
     start = F.greatest(F.col("valid_from"), F.col("recorded_at"), F.col("least"))
     end = F.least(F.coalesce("valid_to", "last"), F.coalesce("retracted_at", "last"), F.col("last"))
-    rows = rows.where(start <= end).withColumn("month", F.explode(F.sequence(month(start), month(end), F.expr("interval 1 month")))).drop("last", "least")
-    met = rows.join(instants.withColumn("month", month(F.col("at"))), [*key, "month"])
-    return met.where(known_at(F.col("at"))).drop("month")
+    rows = rows.where(start <= end).withColumn("slice", F.explode(F.sequence(slice_(start), slice_(end)))).drop("last", "least", "n")
+    met = rows.join(instants.join(spans, key).withColumn("slice", slice_(F.col("at"))).drop("last", "least", "n"), [*key, "slice"])
+    return met.where(known_at(F.col("at"))).drop("slice")
 
 
 def detect_overlaps(rows: DataFrame, key: list[str], then: str | None = None) -> DataFrame:

@@ -179,6 +179,33 @@ def test_overlaps_of_one_instant_by_commit(spark):
         assert [(r.object_id, r.value) for r in found.collect()] == [(2, "short")]
 
 
+def test_many_instants_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    day = lambda k: datetime(2026, 1, 1) + timedelta(days=k)
+    rows = [(k % 7, k, day(a := rng.randrange(400)), rng.choice([None, day(a + rng.randrange(300))]), day(a + rng.randrange(20)), rng.choice([None, None, day(a + 90)])) for k in range(150)]
+    asked = sorted({(k % 8, day(rng.randrange(700))) for k in range(60)} | {(6, day(200))})
+    values = spark.createDataFrame(rows, "k int, value int, valid_from timestamp, valid_to timestamp, recorded_at timestamp, retracted_at timestamp")
+    got = temporal.as_of_many(values.repartition(3), spark.createDataFrame(asked, "k int, at timestamp"), ["k"])
+    want = [(k, v, at) for k, v, f, to, rec, gone in rows for key, at in asked if key == k and f <= at and (to is None or at < to) and rec <= at and (gone is None or gone > at)]
+    assert sorted((r.k, r.value, r.at) for r in got.collect()) == sorted(want) and want
+
+
+def test_an_instant_costs_the_same_after_any_time(spark):
+    import time
+
+    at = lambda *t: F.array(*(F.lit(x).cast("timestamp") for x in t))
+    key = spark.range(3000)
+    none = F.lit(None).cast("timestamp")
+    begin = F.lit("0001-01-01 00:00:00").cast("timestamp")
+    values = key.select("id", begin.alias("valid_from"), none.alias("valid_to"), begin.alias("recorded_at"), none.alias("retracted_at"))
+    start = time.perf_counter()
+    met = temporal.as_of_many(values, key.select("id", F.explode(at("0001-01-02", "9999-01-01")).alias("at")), ["id"])
+    assert met.agg(F.count("valid_from")).first()[0] == 6000
+    assert time.perf_counter() - start < 30  # a row for each of 120 000 months takes far longer
+
+
 CATALOG = qb.Catalog({"Asset": None, "CryptoAsset": "Asset"}, {"Asset": [qb.Property("name", is_title=True)], "CryptoAsset": [qb.Property("marketCap", "DECIMAL"), qb.Property("category", "ENUM"), qb.Property("tags", is_list=True)]}, {"Asset"})
 COINS = [("BTC", "Bitcoin", "1300000000000", "L1", ["PoW", "STORE_OF_VALUE"]), ("ETH", "Ethereum", "400000000000", "L1", ["PoS", "SMART_CONTRACT"]), ("ARB", "Arbitrum", "3000000000", "L2", ["PoS", "ROLLUP"]), ("USDT", "Tether", "120000000000", "STABLECOIN", ["STABLE"])]
 
