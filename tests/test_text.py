@@ -117,6 +117,23 @@ def test_recent_pairs_equal_brute_force(spark, size, monkeypatch):
     assert similarity.recent_pairs(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("span", "unit"), [(2, 8192), (3, 20)])
+def test_recent_pairs_deal_texts_once(spark, span, unit, monkeypatch):
+    """Many windows, some of them dense, times before 1970 and late items: all pairs, and one shuffle that carries tokens, not one for each of these."""
+    for name, value in (("SPAN", span), ("UNIT", unit), ("STEP", 7), ("PIECE", 50)):
+        monkeypatch.setattr(similarity, name, value)
+    rng = random.Random(span)
+    at = [rng.choice([rng.randrange(-50 * 3600, 90 * 3600), 36000 * rng.randrange(-3, 6), rng.randrange(3600)]) for _ in range(150)]
+    rows = [(seq, sorted({f"t{rng.randrange(9)}" for _ in range(rng.randrange(1, 7))}), at[seq]) for seq in range(150)]
+    df = spark.createDataFrame(rows, "seq long, tokens array<string>, at long").select("seq", "tokens", F.timestamp_seconds("at").alias("published_at"))
+    want = {(a, b): len(set(x) & set(y)) / len(set(x) | set(y)) for a, x, ta in rows for b, y, tb in rows if a > b and abs(ta - tb) <= 36000}
+    found = similarity.recent_pairs(df, hours=10)
+    got = [((r.a, r.b), r.similarity) for r in found.collect()]
+    assert len(got) == len(dict(got)) and dict(got) == {k: v for k, v in want.items() if v >= 0.45}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "explode(tokens" not in plan
+
+
 def test_content_window_equals_a_plain_fold(spark):
     rng = random.Random(4)
     rows, at = [], 0
