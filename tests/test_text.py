@@ -134,6 +134,27 @@ def test_recent_pairs_deal_texts_once(spark, span, unit, monkeypatch):
     assert plan.count("RepartitionByExpression") == 1 and "explode(tokens" not in plan
 
 
+@pytest.mark.parametrize(("slice_size", "list_size"), [(3, 2), (2000, 512)])
+def test_similar_pairs_equal_brute_force_with_copies(spark, slice_size, list_size, monkeypatch):
+    monkeypatch.setattr(similarity, "SLICE", slice_size)
+    monkeypatch.setattr(similarity, "LIST", list_size)
+    rng = random.Random(list_size)
+    kinds = [sorted({f"t{int(rng.random() ** 2 * 14)}" for _ in range(rng.randrange(1, 10))}) for _ in range(40)]
+    rows = [(seq, rng.choice(kinds) if seq % 3 else kinds[0]) for seq in range(150)] + [(200, []), (201, None), (202, ["only"])]
+    want = {(a, b): len(set(x) & set(y)) / len(set(x) | set(y)) for a, x in rows for b, y in rows if a < b and x and y}
+    got = [((r.a, r.b), r.similarity) for r in similarity.similar_pairs(spark.createDataFrame(rows, "seq long, tokens array<string>").repartition(3)).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == {k: v for k, v in want.items() if v >= 0.45}
+
+
+def test_copies_meet_as_one_set(spark):
+    """The index of pairs meets a set once, however many items have it, and hands no pair of items to a shuffle."""
+    rows = [(seq, ["a", "b", "c"] if seq < 400 else ["a", "b", "d"]) for seq in range(800)]
+    found = similarity.similar_pairs(spark.createDataFrame(rows, "seq long, tokens array<string>"))
+    assert found.count() == 800 * 799 // 2
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Deduplicate" not in plan and "tokens" not in plan and plan.index("explode(items") < plan.index("RepartitionByExpression")
+
+
 def test_content_window_equals_a_plain_fold(spark):
     rng = random.Random(4)
     rows, at = [], 0
