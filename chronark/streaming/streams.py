@@ -95,50 +95,60 @@ def sync(landed: DataFrame, checkpoint: str, on_batch: Callable[[DataFrame, int]
 
 
 class _Dedup(StatefulProcessor):
-    """The newest accepted publication of one content, forgotten once no item in time can be within the window of it."""
+    """The newest accepted publication of each content of a bucket, forgotten once no item in time can be within the window of it."""
 
     def __init__(self, hours: float, names: list[str]):
-        self.hours, self.names = hours, names
+        self.window, self.names = int(hours * 3_600_000_000), names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.newest = handle.getValueState("newest", "at timestamp")
+        self.state = handle.getValueState("newest", "content array<string>, at array<long>, due long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802, ANN001
         pdf = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        window = pd.Timedelta(hours=self.hours)
-        newest = before = pd.Timestamp(self.newest.get()[0]).tz_localize(None) if self.newest.exists() else None
+        newest, before = {}, None
+        if self.state.exists():
+            contents, times, before = self.state.get()
+            newest = dict(zip(contents, times, strict=True))
         keep = []
-        for at in pdf["published_at"]:
-            new = newest is None or newest < at - window
+        for content, at in zip(pdf["content"].tolist(), pdf["micros"].tolist(), strict=True):
+            last = newest.get(content)
+            new = last is None or last < at - self.window
             keep.append(new)
             if new:
-                newest = at if newest is None else max(newest, at)
-        if newest != before:
-            due = lambda at: int((at + window).timestamp() * 1000) + 1
-            if before is not None:
-                self.handle.deleteTimer(due(before))
-            self.handle.registerTimer(due(newest))
-            self.newest.update((newest.to_pydatetime(),))
+                newest[content] = at if last is None else max(last, at)
+        # later batches hold nothing from before the watermark of this one
+        oldest = timer_values.getCurrentWatermarkInMs() * 1000 - self.window
+        newest = {content: at for content, at in newest.items() if at >= oldest}
+        due = (max(newest.values()) + self.window) // 1000 + 2 if newest else None
+        if before is not None and before != due:
+            self.handle.deleteTimer(before)
+        if newest:
+            if before != due:
+                self.handle.registerTimer(due)
+            self.state.update((list(newest), list(newest.values()), due))
+        elif before is not None:
+            self.state.clear()
         yield pdf.loc[keep, self.names]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803, ANN001
-        self.newest.clear()
+        self.state.clear()
         yield pd.DataFrame(columns=self.names)
 
     def close(self) -> None:
         pass
 
 
-def stream_dedup(items: DataFrame, hours: float = 72, lateness: str = "1 hour") -> DataFrame:
+def stream_dedup(items: DataFrame, hours: float = 72, lateness: str = "1 hour", buckets: int = 256) -> DataFrame:
     """Items (content, seq, published_at, ...) whose content no accepted item of the last ``hours`` had, in order of arrival and of seq within a
     batch: what ``news.dedup_content`` keeps.
 
-    A content's state is one time, and goes when the watermark has passed its window. Items published more than ``lateness`` before
+    Contents share a state by hash, in ``buckets`` that stay the same for a checkpoint's life: a batch costs a few calls to the state store for each
+    bucket, not for each content. A content's time goes when the watermark has passed its window. Items published more than ``lateness`` before
     the newest of earlier batches are late and dropped, as in any query with a watermark. Needs the RocksDB state store.
     """
-    late = items.withWatermark("published_at", lateness)
-    return late.groupBy("content").transformWithStateInPandas(_Dedup(hours, items.columns), items.schema, "append", "eventTime")
+    late = items.withColumn("micros", F.unix_micros("published_at")).withColumn("bucket", F.pmod(F.xxhash64("content"), F.lit(buckets))).withWatermark("published_at", lateness)
+    return late.groupBy("bucket").transformWithStateInPandas(_Dedup(hours, items.columns), items.schema, "append", "eventTime")
 
 
 #: Rows of an instrument that are walked and given out at once.

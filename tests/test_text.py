@@ -353,6 +353,24 @@ def test_stream_dedup_equals_the_batch_form(spark, tmp_path, rocksdb):
     assert sorted(r.seq for r in spark.read.schema(df.schema).parquet(f"{tmp_path}/out").collect()) == want
 
 
+def test_stream_dedup_calls_the_state_by_bucket(spark, tmp_path, rocksdb):
+    """Contents share buckets: the state has a row for each of these at most, forgets what is over and keeps what a late item may meet."""
+    hour = lambda h: START + timedelta(hours=h)
+    parts = [[(k, f"c{k}", hour(k)) for k in range(60)], [(k, f"c{k % 60}", hour(k)) for k in range(60, 120)], [(120, "c59", hour(121)), (121, "c58", hour(110)), (122, "c1", hour(122))]]
+    kind = "seq long, content string, published_at timestamp"
+    states = []
+    for rows in parts:
+        spark.createDataFrame(rows, kind).write.mode("append").parquet(f"{tmp_path}/in")
+        kept = streams.stream_dedup(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), 60, "20 hours", buckets=4)
+        run = kept.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+        states += [p.stateOperators[0].numRowsTotal for p in run.recentProgress if p.stateOperators]
+    got = sorted(r.seq for r in spark.read.schema(kind).parquet(f"{tmp_path}/out").collect())
+    # c0 to c59 come again after 60 hours exactly, which is within the window; c1 after 121 and c59 after 62 are not
+    assert got == [*range(60), 120, 122]
+    assert max(states) <= 8
+
+
 def test_sync_goes_on_and_reads_touched_months_only(spark, tmp_path):
     kind = "instrument_id string, timeframe string, open_time timestamp, close_time timestamp, open double, high double, low double, close double, volume double, quote_volume double, trade_count int, taker_buy_base double, is_final boolean, seq long"
     bar = lambda month, hour, quarter, close: ("a", "15m", datetime(2026, month, 1, hour, 15 * quarter), datetime(2026, month, 1, hour, 15 * quarter + 14), 1.0, 9.0, 0.5, close, 1.0, 1.0, 1, 0.5, True, 1)
