@@ -97,6 +97,18 @@ def test_clusters_with_late_items_equal_a_plain_fold(spark, seed, monkeypatch):
     assert len(set(got.values())) > 2
 
 
+def test_groups_of_many_windows_take_no_more_steps(spark, monkeypatch):
+    """A headline with another word each day: the driver plans as many steps for twenty windows as for two."""
+    steps, cut = [], similarity.graph.cut
+    monkeypatch.setattr(similarity.graph, "cut", lambda df: steps.append(df) or cut(df))
+    taken = []
+    for days in (6, 60):
+        steps.clear()
+        assert set(clusters(spark, [f"{SAME[0]} word{k}x" for k in range(days)], step=86_400)) == {0}
+        taken.append(len(steps))
+    assert taken[0] == taken[1]
+
+
 @pytest.mark.parametrize("size", [2, 2000])
 def test_recent_pairs_equal_brute_force(spark, size, monkeypatch):
     monkeypatch.setattr(similarity, "SLICE", size)
