@@ -6,12 +6,14 @@ from datetime import datetime, timedelta, timezone
 
 import random
 
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from chronark.functions import text
 from chronark.operators import learning, ledger, macro, news, progress, similarity
+from chronark.plans.queries import ORACLE_SQL, QUERIES
 from chronark.sources import decode
 from chronark.streaming import streams
 
@@ -309,6 +311,17 @@ def test_many_trades(spark):
     assert [r.trade_count for r in bars.collect()] == [3_000_000_235]
 
 
+def test_klines_at_the_end_of_a_minute_and_between_two_cents(spark, tmp_path):
+    """A bar opens in its event's minute, up to the last microsecond, and a price is rounded as the decimal it is written as; in the SQL too."""
+    rows = [(0, datetime(2024, 1, 14, 23, 58, 59, 999900), 1, 1.005), (1, datetime(2024, 1, 14, 23, 59), 2, 2.675), (60, datetime(1969, 12, 31, 23, 59, 59, 999999), 3, -1.005)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(map(tuple, QUERIES["decode_klines"](spark, str(tmp_path)).select("body", "open_ms", "close", "trade_count", "is_final").collect()))
+    assert got == [(0, 1705276680000, 1.01, 1, True), (0, 1705276740000, 2.68, 2, False), (1, -60000, -1.01, 3, True)]
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert sorted(duck.sql(ORACLE_SQL["decode_klines"]).fetchall()) == got
+
+
 def test_decoders(spark):
     k = [[1767225600000, "1", "2", "0.5", "1.5", "10", 1767225659999, "15", 3, "5", "x"], ["bad"]]
     bars = decode.klines(spark.createDataFrame([(1, "1m", json.dumps(k))], "instrument_id long, timeframe string, body string"), F.lit(START + timedelta(hours=1))).collect()
