@@ -483,7 +483,7 @@ def apply_links(assertions: DataFrame, cardinality: str, symmetric: bool = False
     (TEMPORAL_CONFLICT). Symmetric types get the reverse link too, unless it is open; it ends no other. ``state`` holds links from before.
 
     Where the links of a source or target come in order, windows on either side tell which are open, and nothing is gathered. What competes with
-    a late link, or with two of one instant, is folded: the rows of a source, a target, a pair or, one to one, of all that compete with each other,
+    a late link is folded: the rows of a source, a target, a pair or, one to one, of all that compete with each other,
     stream through a task, which holds the open links and the last ends of pairs that a row to come begins before.
     """
     order = ["recorded_at", "seq", "valid_from", "from_id", "to_id"]
@@ -501,64 +501,122 @@ def apply_links(assertions: DataFrame, cardinality: str, symmetric: bool = False
         if symmetric:
             new = new.unionByName(new.select(*(F.col({"from_id": "to_id", "to_id": "from_id"}.get(c, c)).alias(c) for c in new.columns))).dropDuplicates(["link_type", "from_id", "to_id", "seq"])
         rows = new.unionByName(old)
-        # in doubt: a side's link that begins before the one before it, or with another; links from before that share a side; ended links of the pair
+        # in doubt: a side's link that begins before the one before it; links from before that share a side; ended links of the pair
         current = temporal.is_current()
         doubt = F.lit(False)
         for side in sides:
             over = W.partitionBy(*side).orderBy(F.desc("old"), *order)
             before = F.lag(F.struct("valid_from", "from_id", "to_id", "old")).over(over)
             other = (before["from_id"] != F.col("from_id")) | (before["to_id"] != F.col("to_id"))
-            doubt = doubt | F.coalesce((before["valid_from"] > F.col("valid_from")) & (~F.col("old") | other) | other & (before["valid_from"] == F.col("valid_from")) | before["old"] & F.col("old"), F.lit(False))
+            doubt = doubt | F.coalesce((before["valid_from"] > F.col("valid_from")) & (~F.col("old") | other) | before["old"] & F.col("old"), F.lit(False))
         live = rows.where(current).withColumn("doubt", doubt)
         ended = old.where("retracted_at IS NULL AND valid_to IS NOT NULL").groupBy("link_type", "from_id", "to_id").agg(F.max("valid_to").alias("ended"))
         live = live.join(ended, ["link_type", "from_id", "to_id"], "left").withColumn("doubt", F.col("doubt") | F.coalesce(F.col("ended") > F.col("valid_from"), F.lit(False))).drop("ended")
         special = graph.cut(live.where("doubt").select("link_type", "from_id", "to_id").distinct())
     group = {(True, False): F.array("link_type", "from_id"), (False, True): F.array("link_type", "to_id")}.get((of_source, of_target), F.array("link_type", F.least("from_id", "to_id"), F.greatest("from_id", "to_id")))
-    if of_source and of_target or symmetric and (of_source or of_target):
+    competing = of_source and of_target or symmetric and (of_source or of_target)
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        """Rows with all that competes with them, directly or not, in one ``group``."""
+        if not competing:
+            return rows.withColumn("group", group)
         tag = (lambda c, _: F.concat_ws("\u0001", "link_type", c)) if symmetric else (lambda c, side: F.concat_ws("\u0001", F.lit(side), "link_type", c))
-        if special is not None and special.isEmpty():
-            rows = rows.withColumn("group", F.array("link_type", "from_id"))
-        else:
-            nodes = rows.select(tag("from_id", "F").alias("a"), tag("to_id", "T").alias("b")).distinct()
-            found = graph.components(nodes).withColumnRenamed("component", "found")
-            rows = rows.withColumn("node", tag("from_id", "F")).join(found, "node", "left").withColumn("group", F.array(F.coalesce("found", "node"))).drop("node", "found")
-    else:
-        rows = rows.withColumn("group", group)
-    rows = graph.cut(rows)
+        found = graph.components(rows.select(tag("from_id", "F").alias("a"), tag("to_id", "T").alias("b")).distinct()).withColumnRenamed("component", "found")
+        rows = rows.withColumn("node", tag("from_id", "F")).join(found, "node", "left")
+        return rows.withColumn("group", F.array(F.coalesce("found", "node"))).drop("node", "found")
+
+    def split(rows: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows of the groups that hold none of these pairs, and of those that do."""
+        rows = graph.cut(grouped(rows))
+        groups = rows.join(pairs, ["link_type", "from_id", "to_id"], "left_semi").select("group").distinct()
+        return rows.join(groups, "group", "left_anti"), rows.join(groups, "group", "left_semi")
+
     plain = None
-    if special is not None:
-        groups = rows.join(special, ["link_type", "from_id", "to_id"], "left_semi").select("group").distinct()
-        plain, rows = rows.join(groups, "group", "left_anti"), rows.join(groups, "group", "left_semi")
+    if special is None:
+        rows = graph.cut(grouped(rows))
+    else:
+        plain, rows = (rows, rows.limit(0).withColumn("group", group)) if special.isEmpty() else split(rows, special)
+        if of_source or of_target:
+            plain = _told(plain.drop("group"), sides)
+            stuck = graph.cut(plain.where("added IS NULL").select("link_type", "from_id", "to_id").distinct())
+            if not stuck.isEmpty():
+                plain, more = split(plain, stuck)
+                rows = rows.unionByName(more.drop("added"))
     schema = "link_type string, from_id string, to_id string, weight double, valid_from timestamp, valid_to timestamp, recorded_at timestamp, retracted_at timestamp, seq long, kind string, reason string"
     names = [f"{c} {dict(rows.dtypes)[c]}" if c in LINK else f"{c} {t}" for c, t in (x.split() for x in schema.split(", "))]
     folded = graph.cut(ordered.fold(rows.withColumn("group", F.col("group").cast("string")), ["group"], [~F.col("old"), *order], lambda: _Links(of_source, of_target, symmetric), ", ".join(names), F.when(~F.col("old"), F.col("valid_from"))))
     out = folded.where("kind = 'state'").select(*LINK)
     if plain is not None:
-        out = out.unionByName(_windowed_links(plain, sides, of_source or of_target))
+        out = out.unionByName(_windowed_links(plain, sides) if of_source or of_target else _first_links(plain))
     reject = lambda df, reason: df.select("link_type", "from_id", "to_id", "weight", "valid_from", "recorded_at", "seq", reason.alias("reason"))
     rejects = reject(folded.where("kind = 'reject'"), F.col("reason")).unionByName(reject(selfs, F.lit("SELF_LINK")))
     return Applied(out, rejects)
 
 
-def _windowed_links(rows: DataFrame, sides: list[list[str]], closes: bool) -> DataFrame:
-    """Links where each side's come in order: one is open if it is the last of its source and of its target, and ends with the next on either side."""
-    done, rows = rows.where(~temporal.is_current()), rows.where(temporal.is_current())
+#: Rounds after which links that still wait for others are folded.
+ROUNDS = 24
+
+
+def _told(rows: DataFrame, sides: list[list[str]]) -> DataFrame:
+    """Links that come in order, with ``added``: false where the pair is open already, null where ``ROUNDS`` rounds couldn't tell.
+
+    After a pair's first link it is open, until a link that is added on one of its sides begins later than it. So all first links are added. A later
+    one waits; it is added if on its sides a link before it that is added begins later than the pair's last one that may be. If none of
+    those that wait is, they may still be by each other: through a link of a pair whose open link isn't told yet, or one that such a link
+    may bring about. Where that leads nowhere, a link isn't added. Only what waits goes on to the next round, with what was added before it.
+    """
     order = (F.desc("old"), "recorded_at", "seq", "valid_from", "from_id", "to_id")
-    again = F.lit(True)
-    for side in sides:
-        last = F.lag(F.struct("from_id", "to_id")).over(W.partitionBy(*side).orderBy(*order))
-        again = again & F.coalesce(last == F.struct("from_id", "to_id"), F.lit(False))
-    rows = rows.withColumn("again", again).where("NOT again").drop("again")
+    before = lambda *key: W.partitionBy(*key).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    latest = lambda which, *key: F.max(F.when(F.expr(which), F.col("valid_from"))).over(before(*key))
+    pair, names = ("link_type", "from_id", "to_id"), [f"side{n}" for n in range(len(sides))]
+    later = lambda than, got: F.coalesce(F.greatest(F.lit(False), *(c > F.col(than) for c in got)), F.lit(False))
+    kept = [*LINK, "seq", "old"]
+    # by source, so that pairs and sources need no other shuffle
+    rows = rows.withColumn("live", temporal.is_current()).repartition("link_type", "from_id")
+    rows = rows.withColumn("first", F.col("live") & latest("live", *pair).isNull())
+    rows = graph.cut(rows.withColumns({"was": latest("first", *pair)} | {c: latest("first", *side) for c, side in zip(names, sides, strict=True)}))
+    told = rows.where("first OR NOT live").select(*kept, F.col("first").alias("added"))
+    waiting = rows.where("live AND NOT first").select(*kept, "was", *names, F.lit(False).alias("maybe"))
+    for _ in range(ROUNDS):
+        w = waiting.withColumn("may", F.greatest("was", latest("true", *pair)))
+        w = w.withColumn("now", later("may", map(F.col, names))).withColumn("maybe_now", F.col("maybe") | F.col("now") | (F.col("may") > F.col("was")))
+        w = w.withColumn("next", ~F.col("now") & (F.col("maybe_now") | later("was", (latest("maybe_now", *side) for side in sides))))
+        w = w.withColumns({f"{c}_now": F.greatest(c, latest("now", *side)) for c, side in (("was", pair), *zip(names, sides, strict=True))})
+        w = graph.cut(w)
+        n, now, more = w.agg(F.count(F.lit(1)), F.count_if("now"), F.count_if(F.col("next") & ~F.col("maybe"))).first()
+        if not n:
+            break
+        if now:
+            told = told.unionByName(w.where("now").select(*kept, F.lit(True).alias("added")))
+            waiting = w.where("NOT now").select(*kept, *(F.col(f"{c}_now").alias(c) for c in ("was", *names)), F.lit(False).alias("maybe"))
+        elif more:
+            waiting = w.select(*kept, "was", *names, F.col("next").alias("maybe"))
+        else:
+            told = told.unionByName(w.where("NOT next").select(*kept, F.lit(False).alias("added")))
+            waiting = w.where("next").select(*kept, "was", *names, F.lit(False).alias("maybe"))
+    return told.unionByName(waiting.select(*kept, F.lit(None).cast("boolean").alias("added")))
+
+
+def _windowed_links(rows: DataFrame, sides: list[list[str]]) -> DataFrame:
+    """Links that come in order, of which it is told which are ``added``: each ends with the next that begins later on either side."""
+    done, rows = rows.where(~temporal.is_current()), rows.where("added")
     ends = []
-    for side in sides if closes else []:
+    for side in sides:
         ends.append(f"end_{side[-1]}")
         # from the last begin to the first: a frame to the end would be read anew for every row
         later = W.partitionBy(*side).orderBy(F.unix_micros("valid_from").desc()).rangeBetween(W.unboundedPreceding, -1)
         rows = rows.withColumn(ends[-1], F.min("valid_from").over(later))
-    end = F.least(*map(F.col, ends)) if len(ends) > 1 else F.col(ends[0]) if ends else F.lit(None).cast("timestamp")
+    end = F.least(*map(F.col, ends)) if len(ends) > 1 else F.col(ends[0])
     return rows.withColumn("valid_to", end).select(*LINK).unionByName(done.select(*LINK))
 
 
+def _first_links(rows: DataFrame) -> DataFrame:
+    """The first of each pair's links, which nothing ends."""
+    done, rows = rows.where(~temporal.is_current()), rows.where(temporal.is_current())
+    nth = F.row_number().over(W.partitionBy("link_type", "from_id", "to_id").orderBy(F.desc("old"), "recorded_at", "seq", "valid_from", "from_id", "to_id"))
+    return rows.withColumn("nth", nth).where("nth = 1").select(*LINK).unionByName(done.select(*LINK))
+
+
 def link_objects(assertions: DataFrame, cardinality: str, symmetric: bool = False, state: DataFrame | None = None) -> DataFrame:
     """The links after ``apply_links``."""
     return apply_links(assertions, cardinality, symmetric, state).state

@@ -142,6 +142,21 @@ def test_a_late_link_leaves_later_ones_open(spark):
     assert bt.link_objects(more, "ONE_TO_MANY").count() == 2
 
 
+@pytest.mark.parametrize("cardinality, rounds", [("ONE_TO_ONE", 60), ("ONE_TO_ONE", 2), ("ONE_TO_MANY", 60), ("MANY_TO_ONE", 60)])
+def test_links_of_one_instant_are_told_by_windows(spark, monkeypatch, cardinality, rounds):
+    """Many links of each instant, in order: the same as one by one, and none is folded unless the rounds don't suffice."""
+    rng, folded = random.Random(5), []
+    monkeypatch.setattr(bt, "ROUNDS", rounds)
+    fold = bt.ordered.fold
+    monkeypatch.setattr(bt.ordered, "fold", lambda rows, *more: folded.append(rows.count()) or fold(rows, *more))
+    rows = [(f"a{rng.randrange(6)}", f"b{rng.randrange(4)}", day(k // 9), k) for k in range(180)]
+    done = bt.apply_links(asserted(spark, rows).repartition(3), cardinality)
+    want, _ = plain_links(rows, cardinality != "ONE_TO_MANY", cardinality != "MANY_TO_ONE", False)
+    assert sorted(((r.from_id, r.to_id, r.valid_from, r.valid_to) for r in done.state.collect()), key=str) == want
+    assert done.rejects.count() == 0
+    assert folded == [0] if rounds == 60 else folded[0] > 0
+
+
 def test_links_in_order_hold_open_ones_only():
     links, out = bt._Links(True, True, False), []
     for k in range(3000):
